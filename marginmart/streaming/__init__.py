@@ -1,0 +1,6 @@
+"""Streaming.
+
+The analysed application loads two files once and has no stream, watermark, window or
+state of any kind, so there is nothing to build here.  Every query in this package is a
+batch DataFrame query and can be pointed at a streaming source's sink table unchanged.
+"""
