@@ -53,3 +53,89 @@ def _register_yoy(suffix: str, col: str) -> None:
 
 for _s, _c in YOY_DIMENSIONS.items():
     _register_yoy(_s, _c)
+
+
+# --- comparisons (compare.py) --------------------------------------------------------
+
+@query("kpi_block")
+def _kpi_block(e: DataFrame) -> DataFrame:
+    """A2: headline KPIs per year."""
+    return C.kpi_block(e)
+
+
+@query("kpi_deltas")
+def _kpi_deltas(e: DataFrame) -> DataFrame:
+    """A3: KPI row with YoY deltas."""
+    return C.kpi_deltas(e)
+
+
+@query("headline")
+def _headline(e: DataFrame) -> DataFrame:
+    """Headline table."""
+    return C.headline(e)
+
+
+@query("monthly_trend")
+def _monthly_trend(e: DataFrame) -> DataFrame:
+    """Monthly metrics, chronological."""
+    return C.monthly_trend(e)
+
+
+@query("monthly_kpi")
+def _monthly_kpi(e: DataFrame) -> DataFrame:
+    """Monthly KPI table with same-month-last-year revenue YoY."""
+    return C.monthly_kpi(e)
+
+
+@query("yoy_top_n")
+def _yoy_top_n(e: DataFrame) -> DataFrame:
+    """A5 + T2: revenue per affiliate and year for the 25 largest affiliates."""
+    return C.yoy_compare(e, "CompanyName", "SaleTotal", top_n=25)
+
+
+@query("state_yoy")
+def _state_yoy(e: DataFrame) -> DataFrame:
+    """State YoY table."""
+    return C.state_yoy(e)
+
+
+@query("leaderboard")
+def _leaderboard(e: DataFrame) -> DataFrame:
+    """Affiliate leaderboard."""
+    return C.leaderboard(e)
+
+
+@query("affiliate_yoy")
+def _affiliate_yoy(e: DataFrame) -> DataFrame:
+    """Five metrics by year for every affiliate."""
+    return C.affiliate_yoy(e)
+
+
+@query("affiliate_vs_portfolio")
+def _affiliate_vs_portfolio(e: DataFrame) -> DataFrame:
+    """Every affiliate against the per-affiliate portfolio average."""
+    return C.affiliate_vs_portfolio(e)
+
+
+@query("affiliate_vs_portfolio_per_order")
+def _affiliate_vs_portfolio_per_order(e: DataFrame) -> DataFrame:
+    """Every affiliate against the portfolio, per order."""
+    return C.affiliate_vs_portfolio_per_order(e)
+
+
+@query("head_to_head")
+def _head_to_head(e: DataFrame) -> DataFrame:
+    """Head-to-head of the two largest affiliates this year."""
+    return C.head_to_head(e)
+
+
+@query("order_size_shift")
+def _order_size_shift(e: DataFrame) -> DataFrame:
+    """Order-size mean / median / p90 shift."""
+    return C.order_size_shift(e)
+
+
+@query("mix_shift")
+def _mix_shift(e: DataFrame) -> DataFrame:
+    """Sport mix shift."""
+    return C.mix_shift(e)

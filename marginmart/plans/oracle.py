@@ -31,3 +31,174 @@ GROUP BY {group}""")
 
 for _s, _c in YOY_DIMENSIONS.items():
     ORACLE[f"yoy_by_{_s}"] = yoy_table_sql(_c)
+
+
+def yoy(t: str, l: str) -> str:
+    return (f"CASE WHEN ({l}) IS NOT NULL AND ({l}) <> 0 THEN "
+            f"(CAST({t} AS DOUBLE) - CAST({l} AS DOUBLE)) / abs(CAST({l} AS DOUBLE)) * 100 END")
+
+
+def _kpi_cte() -> str:
+    parts = []
+    for cond, s in ((TY, "_ty"), (LY, "_ly")):
+        parts += [f"{dsum('SaleTotal', cond)} AS rev{s}", f"{dsum('Profit', cond)} AS prof{s}",
+                  f"CAST(coalesce(sum(CASE WHEN {cond} THEN CAST(TicketsSold AS BIGINT) END), 0) AS BIGINT) AS tickets{s}",
+                  f"count_if({cond}) AS orders{s}", f"count_if({cond} AND Profit < 0) AS loss{s}"]
+    return "k AS (SELECT " + ", ".join(parts) + " FROM e)"
+
+
+def _kv(s: str) -> dict[str, str]:
+    return {
+        "revenue": f"CAST(rev{s} AS DOUBLE)",
+        "profit": f"CAST(prof{s} AS DOUBLE)",
+        "margin": gpct(f"prof{s}", f"rev{s}"),
+        "tickets": f"tickets{s}",
+        "orders": f"orders{s}",
+        "avg_order": f"CASE WHEN orders{s} > 0 THEN CAST(rev{s} AS DOUBLE) / orders{s} ELSE 0.0 END",
+        "loss_orders": f"loss{s}",
+        "loss_share": f"CASE WHEN orders{s} > 0 THEN loss{s} / orders{s} * 100 ELSE 0.0 END",
+    }
+
+
+KPI_NAMES = ("revenue", "profit", "margin", "tickets", "orders", "avg_order", "loss_orders", "loss_share")
+ORACLE["kpi_block"] = with_enriched(
+    " UNION ALL ".join(
+        "SELECT '" + lab + "' AS year_label, " + ", ".join(f"{_kv(s)[k]} AS {k}" for k in KPI_NAMES) + " FROM k"
+        for lab, s in (("This Year", "_ty"), ("Last Year", "_ly"))),
+    _kpi_cte())
+
+_t, _l = _kv("_ty"), _kv("_ly")
+ORACLE["kpi_deltas"] = with_enriched(
+    "SELECT " + ", ".join(
+        f"{_t[k]} AS {k}_ty, {_l[k]} AS {k}_ly, {yoy(_t[k], _l[k])} AS {k}_yoy_pct"
+        for k in ("revenue", "profit", "orders", "tickets"))
+    + f", {_t['margin']} AS margin_ty, {_l['margin']} AS margin_ly, ({_t['margin']}) - ({_l['margin']}) AS margin_delta_pts FROM k",
+    _kpi_cte())
+
+ORACLE["headline"] = with_enriched(
+    " UNION ALL ".join(
+        f"SELECT {pos} AS position, '{name}' AS metric, CAST({_l[key]} AS DOUBLE) AS last_year, "
+        f"CAST({_t[key]} AS DOUBLE) AS this_year, "
+        + (f"CAST({_t[key]} AS DOUBLE) - CAST({_l[key]} AS DOUBLE)" if key == "margin"
+           else yoy(f"CAST({_t[key]} AS DOUBLE)", f"CAST({_l[key]} AS DOUBLE)"))
+        + " AS yoy_pct FROM k"
+        for pos, (name, key) in enumerate((("Revenue", "revenue"), ("Profit", "profit"), ("Margin %", "margin"),
+                                           ("Orders", "orders"), ("Tickets Sold", "tickets")))),
+    _kpi_cte())
+
+_MONTHS = f"""m AS (SELECT date_trunc('month', SellDate_dt) AS month_start,
+  {dsum('SaleTotal')} AS rev, {dsum('Profit')} AS prof, {dsum('TicketCost')} AS cost, count(*) AS orders
+  FROM e WHERE SellDate_dt IS NOT NULL GROUP BY 1)"""
+ORACLE["monthly_trend"] = with_enriched(f"""
+SELECT strftime(month_start, '%Y-%m') AS year_month, strftime(month_start, '%b %y') AS label,
+  CAST(rev AS DOUBLE) AS revenue, CAST(prof AS DOUBLE) AS profit, CAST(cost AS DOUBLE) AS cost, orders,
+  {gpct('prof', 'rev')} AS margin, {gpct('prof', 'cost')} AS ratio
+FROM m""", _MONTHS)
+
+ORACLE["monthly_kpi"] = with_enriched(f"""
+SELECT strftime(m.month_start, '%Y-%m') AS year_month, strftime(m.month_start, '%b %y') AS month,
+  CAST(m.rev AS DOUBLE) AS revenue, CAST(m.prof AS DOUBLE) AS profit,
+  {gpct('m.prof', 'm.rev')} AS margin, {gpct('m.prof', 'm.cost')} AS ratio, m.orders,
+  CASE WHEN p.rev > 0 THEN (CAST(m.rev AS DOUBLE) - CAST(p.rev AS DOUBLE)) / CAST(p.rev AS DOUBLE) * 100 END AS revenue_yoy_pct
+FROM mi m LEFT JOIN mi p ON p.idx = m.idx - 12""",
+    _MONTHS, "mi AS (SELECT *, year(month_start) * 12 + month(month_start) AS idx FROM m)")
+
+ORACLE["yoy_top_n"] = with_enriched(f"""
+SELECT grp AS group_value, 'Last Year' AS year_label, v_ly AS value FROM t
+UNION ALL SELECT grp, 'This Year', v_ty FROM t""",
+    f"""g AS (SELECT CompanyName AS grp, CAST({dsum('SaleTotal', TY)} AS DOUBLE) AS v_ty,
+       CAST({dsum('SaleTotal', LY)} AS DOUBLE) AS v_ly FROM e WHERE CompanyName IS NOT NULL GROUP BY 1)""",
+    "t AS (SELECT * FROM g ORDER BY abs(v_ty) + abs(v_ly) DESC, grp LIMIT 25)")
+
+ORACLE["state_yoy"] = yoy_table_sql("State", include_ratio=False)
+
+_COMP = (f"{dsum('SaleTotal', TY)} AS rev_ty, {dsum('SaleTotal', LY)} AS rev_ly, "
+         f"{dsum('Profit', TY)} AS prof_ty, {dsum('Profit', LY)} AS prof_ly, "
+         f"{dsum('TicketCost', TY)} AS cost_ty, {dsum('TicketCost', LY)} AS cost_ly, "
+         f"count_if({TY}) AS orders_ty, count_if({LY}) AS orders_ly")
+ORACLE["leaderboard"] = with_enriched("""
+SELECT CompanyName AS affiliate, CAST(rev_ty AS DOUBLE) AS revenue_this, CAST(rev_ly AS DOUBLE) AS revenue_last,
+  CASE WHEN rev_ly <> 0 THEN (CAST(rev_ty AS DOUBLE) - CAST(rev_ly AS DOUBLE)) / CAST(rev_ly AS DOUBLE) * 100 END AS revenue_yoy_pct,
+  CAST(prof_ty AS DOUBLE) AS profit_this, CAST(prof_ly AS DOUBLE) AS profit_last,
+  CASE WHEN rev_ty <> 0 THEN CAST(prof_ty AS DOUBLE) / CAST(rev_ty AS DOUBLE) * 100 ELSE 0.0 END AS margin_this,
+  CASE WHEN rev_ly <> 0 THEN CAST(prof_ly AS DOUBLE) / CAST(rev_ly AS DOUBLE) * 100 ELSE 0.0 END AS margin_last,
+  orders_ty AS orders_this, orders_ly AS orders_last
+FROM g""", f"g AS (SELECT CompanyName, {_COMP} FROM e WHERE CompanyName IS NOT NULL GROUP BY 1)")
+
+_ay = []
+for _lab, _s in (("This Year", "_ty"), ("Last Year", "_ly")):
+    for _m, _v in (("Revenue", f"CAST(rev{_s} AS DOUBLE)"), ("Profit", f"CAST(prof{_s} AS DOUBLE)"),
+                   ("Margin %", gpct(f"prof{_s}", f"rev{_s}")), ("P/Cost Ratio %", gpct(f"prof{_s}", f"cost{_s}")),
+                   ("Orders", f"CAST(orders{_s} AS DOUBLE)")):
+        _ay.append(f"SELECT CompanyName AS affiliate, '{_m}' AS metric, '{_lab}' AS year_label, {_v} AS value FROM g")
+ORACLE["affiliate_yoy"] = with_enriched(" UNION ALL ".join(_ay),
+                                        f"g AS (SELECT CompanyName, {_COMP} FROM e WHERE CompanyName IS NOT NULL GROUP BY 1)")
+
+_avp = [("Revenue", "CAST(a.rev AS DOUBLE)", "CAST(p.rev AS DOUBLE) / greatest(p.n_aff, 1)"),
+        ("Profit", "CAST(a.prof AS DOUBLE)", "CAST(p.prof AS DOUBLE) / greatest(p.n_aff, 1)"),
+        ("Avg Order", "CASE WHEN a.n > 0 THEN CAST(a.rev AS DOUBLE) / a.n ELSE 0.0 END",
+         "CASE WHEN p.n > 0 THEN CAST(p.rev AS DOUBLE) / p.n END"),
+        ("Margin %", gpct("a.prof", "a.rev"), gpct("p.prof", "p.rev"))]
+ORACLE["affiliate_vs_portfolio"] = with_enriched(
+    " UNION ALL ".join(f"SELECT a.CompanyName AS affiliate, '{m}' AS metric, {x} AS affiliate_value, "
+                       f"{y} AS portfolio_value FROM a CROSS JOIN p" for m, x, y in _avp),
+    f"p AS (SELECT {dsum('SaleTotal')} AS rev, {dsum('Profit')} AS prof, count(*) AS n, "
+    f"count(DISTINCT CompanyName) AS n_aff FROM e WHERE {TY})",
+    f"a AS (SELECT CompanyName, {dsum('SaleTotal')} AS rev, {dsum('Profit')} AS prof, count(*) AS n "
+    f"FROM e WHERE {TY} AND CompanyName IS NOT NULL GROUP BY 1)")
+
+_avpo = [("Avg Revenue", "CAST(a.rev AS DOUBLE) / a.n", "CASE WHEN p.n > 0 THEN CAST(p.rev AS DOUBLE) / p.n END"),
+         ("Avg Profit", "CAST(a.prof AS DOUBLE) / a.n", "CASE WHEN p.n > 0 THEN CAST(p.prof AS DOUBLE) / p.n END"),
+         ("Margin %", gpct("a.prof", "a.rev"), gpct("p.prof", "p.rev")),
+         ("P/Cost Ratio %", gpct("a.prof", "a.cost"), gpct("p.prof", "p.cost"))]
+ORACLE["affiliate_vs_portfolio_per_order"] = with_enriched(
+    " UNION ALL ".join(f"SELECT a.CompanyName AS affiliate, '{m}' AS metric, {x} AS affiliate_value, "
+                       f"{y} AS portfolio_value FROM a CROSS JOIN p" for m, x, y in _avpo),
+    f"p AS (SELECT {dsum('SaleTotal')} AS rev, {dsum('Profit')} AS prof, {dsum('TicketCost')} AS cost, "
+    f"count(*) AS n FROM e WHERE {TY})",
+    f"a AS (SELECT CompanyName, {dsum('SaleTotal')} AS rev, {dsum('Profit')} AS prof, "
+    f"{dsum('TicketCost')} AS cost, count(*) AS n FROM e WHERE {TY} AND CompanyName IS NOT NULL GROUP BY 1)")
+
+
+def _h2h(p: str) -> list[str]:
+    rev, prof, n, loss = (f"{p}.{c}" for c in ("rev", "prof", "n", "loss"))
+    return [f"CAST({rev} AS DOUBLE)", f"CAST({prof} AS DOUBLE)", gpct(prof, rev), f"CAST({n} AS DOUBLE)",
+            f"CASE WHEN {n} > 0 THEN CAST({rev} AS DOUBLE) / {n} ELSE 0.0 END",
+            f"CASE WHEN {n} > 0 THEN {loss} / {n} * 100 ELSE 0.0 END"]
+
+
+_H2H = ("Revenue", "Profit", "Margin %", "Orders", "Avg Order $", "Loss-order %")
+ORACLE["head_to_head"] = with_enriched(
+    " UNION ALL ".join(
+        f"SELECT a.CompanyName AS affiliate_a, b.CompanyName AS affiliate_b, {i} AS position, '{m}' AS metric, "
+        f"coalesce({_h2h('a')[i]}, 0.0) AS value_a, coalesce({_h2h('b')[i]}, 0.0) AS value_b, "
+        f"coalesce({_h2h('a')[i]}, 0.0) - coalesce({_h2h('b')[i]}, 0.0) AS delta "
+        f"FROM (SELECT 1) one LEFT JOIN r a ON a.rk = 1 LEFT JOIN r b ON b.rk = 2"
+        for i, m in enumerate(_H2H)),
+    f"per AS (SELECT CompanyName, {dsum('SaleTotal')} AS rev, {dsum('Profit')} AS prof, count(*) AS n, "
+    f"count_if(Profit < 0) AS loss FROM e WHERE {TY} AND CompanyName IS NOT NULL GROUP BY 1)",
+    "r AS (SELECT *, row_number() OVER (ORDER BY rev DESC, CompanyName) AS rk FROM per)")
+
+ORACLE["order_size_shift"] = with_enriched(
+    " UNION ALL ".join(
+        f"SELECT {i} AS position, '{s}' AS stat, {s}_ly AS last_year, {s}_ty AS this_year, "
+        f"CASE WHEN {s}_ly <> 0 THEN ({s}_ty / {s}_ly - 1) * 100 END AS change_pct FROM w"
+        for i, s in enumerate(("mean", "median", "p90"))),
+    f"""s AS (SELECT YearLabel, CAST(sum(SaleTotal) AS DOUBLE) / count(*) AS mean,
+       quantile_cont(CAST(SaleTotal AS DOUBLE), 0.5) AS median, quantile_cont(CAST(SaleTotal AS DOUBLE), 0.9) AS p90
+       FROM e WHERE YearLabel IN ('This Year', 'Last Year') GROUP BY 1)""",
+    "w AS (SELECT " + ", ".join(
+        f"max(CASE WHEN YearLabel = '{lab}' THEN {s} END) AS {s}{suf}"
+        for s in ("mean", "median", "p90") for lab, suf in (("This Year", "_ty"), ("Last Year", "_ly"))) + " FROM s)")
+
+ORACLE["mix_shift"] = with_enriched("""
+SELECT Sport AS sport, CAST(g.ly AS DOUBLE) AS last_year, CAST(g.ty AS DOUBLE) AS this_year,
+  CASE WHEN g.ly <> 0 THEN (CAST(g.ty AS DOUBLE) - CAST(g.ly AS DOUBLE)) / CAST(g.ly AS DOUBLE) * 100 END AS yoy_pct,
+  CASE WHEN t.ly <> 0 THEN CAST(g.ly AS DOUBLE) / CAST(t.ly AS DOUBLE) * 100 END AS ly_share_pct,
+  CASE WHEN t.ty <> 0 THEN CAST(g.ty AS DOUBLE) / CAST(t.ty AS DOUBLE) * 100 END AS ty_share_pct,
+  (CASE WHEN t.ty <> 0 THEN CAST(g.ty AS DOUBLE) / CAST(t.ty AS DOUBLE) * 100 END)
+  - (CASE WHEN t.ly <> 0 THEN CAST(g.ly AS DOUBLE) / CAST(t.ly AS DOUBLE) * 100 END) AS share_delta_pts
+FROM g CROSS JOIN t WHERE g.n > 0""",
+    f"g AS (SELECT Sport, {dsum('SaleTotal', TY)} AS ty, {dsum('SaleTotal', LY)} AS ly, "
+    f"count_if({TY} OR {LY}) AS n FROM e WHERE Sport IS NOT NULL GROUP BY 1)",
+    f"t AS (SELECT {dsum('SaleTotal', TY)} AS ty, {dsum('SaleTotal', LY)} AS ly FROM e)")
