@@ -10,8 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources import load_enriched
+from pyspark.sql import functions as F
+
+from ..functions import enrich as E
 from ..operators import compare as C
+from ..operators import scope as S
+from ..operators import shares as SH
+from ..sources import csv as CSV
+from ..sources import load_enriched, sales_mart
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -139,3 +145,94 @@ def _order_size_shift(e: DataFrame) -> DataFrame:
 def _mix_shift(e: DataFrame) -> DataFrame:
     """Sport mix shift."""
     return C.mix_shift(e)
+
+
+# --- enrichment checks ------------------------------------------------------------------
+
+@query("enrich_sections")
+def _enrich_sections(e: DataFrame) -> DataFrame:
+    """Section digits / letters, seat fallback, number and type tiers, per distinct input."""
+    return (e.groupBy("Section", "Seats", "Section_Num", "Section_Type", "SectionNumTier", "SectionTypeTier")
+             .agg(F.count(F.lit(1)).alias("orders")))
+
+
+@query("enrich_lead_time")
+def _enrich_lead_time(e: DataFrame) -> DataFrame:
+    """Lead-time days, bucket and fine bucket."""
+    return (e.groupBy("LeadTimeDays", "LeadTimeBucket", E.fine_lead_bucket("LeadTimeDays").alias("fine_bucket"))
+             .agg(F.count(F.lit(1)).alias("orders")))
+
+
+@query("enrich_quantity")
+def _enrich_quantity(e: DataFrame) -> DataFrame:
+    """Quantity and its bucket."""
+    return e.groupBy("Quantity", "QuantityBucket").agg(F.count(F.lit(1)).alias("orders"))
+
+
+@query("enrich_calendar")
+def _enrich_calendar(e: DataFrame) -> DataFrame:
+    """Calendar attributes of sale and event."""
+    return (e.groupBy("YearLabel", "YEAR", "SellMonth", "SellMonthName", "SellMonthNum", "SellDayOfWeek",
+                      "SellHour", "EventMonth", "EventDayOfWeek")
+             .agg(F.count(F.lit(1)).alias("orders")))
+
+
+@query("enrich_flags")
+def _enrich_flags(e: DataFrame) -> DataFrame:
+    """Flags, profit sign and null margins per year label."""
+    return (e.groupBy("YearLabel")
+             .agg(F.count(F.lit(1)).alias("orders"),
+                  F.count_if("IsDelivered").alias("delivered"),
+                  F.count_if("IsCancelled").alias("cancelled"),
+                  F.count_if("IsExpired").alias("expired"),
+                  F.count_if(F.col("Profit") < 0).alias("loss_orders"),
+                  F.count_if(F.col("ProfitMargin").isNull()).alias("null_margins")))
+
+
+def _lookup_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sport by type id, else by team, else Other; state by team; tier by marketplace."""
+    raw = sales_mart(spark, sf_dir).drop("Sport", "State", "MarketplaceTier")
+    looked = CSV.lookup_dims(raw, spark)
+    return (looked.groupBy("RequestedPerformerTypeId", "ShippingCompany", "Sport", "State", "MarketplaceTier")
+                  .agg(F.count(F.lit(1)).alias("orders")))
+
+
+QUERIES["lookup_dims"] = _lookup_dims
+
+
+# --- scope ----------------------------------------------------------------------------------
+
+@query("scope_counts")
+def _scope_counts(e: DataFrame) -> DataFrame:
+    """F2 + A57: counts for every affiliate choice with the four league sports selected."""
+    return S.scope_counts(S.scope(e, sports=["MLB", "NBA", "NFL", "NHL"]))
+
+
+@query("affiliate_list")
+def _affiliate_list(e: DataFrame) -> DataFrame:
+    """Affiliate picker values."""
+    return S.affiliate_list(e)
+
+
+@query("sport_list")
+def _sport_list(e: DataFrame) -> DataFrame:
+    """Sport picker values."""
+    return S.distinct_values(e, "Sport")
+
+
+@query("share_revenue")
+def _share_revenue(e: DataFrame) -> DataFrame:
+    """This-year revenue share by sport."""
+    return SH.share_by(S.split_years(e)[0], "Sport", "SaleTotal")
+
+
+@query("share_profit")
+def _share_profit(e: DataFrame) -> DataFrame:
+    """This-year profit share by marketplace tier."""
+    return SH.share_by(S.split_years(e)[0], "MarketplaceTier", "Profit")
+
+
+@query("share_orders")
+def _share_orders(e: DataFrame) -> DataFrame:
+    """This-year order share by sport."""
+    return SH.order_share_by(S.split_years(e)[0], "Sport")

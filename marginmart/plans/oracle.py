@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .catalog import YOY_DIMENSIONS
-from .oracle_base import LY, TY, dbl, dsum, gpct, with_enriched
+from ..sources import dims
+from .oracle_base import LY, MART, TY, dbl, dsum, gpct, with_enriched
 
 ORACLE: dict[str, str] = {}
 
@@ -202,3 +203,73 @@ FROM g CROSS JOIN t WHERE g.n > 0""",
     f"g AS (SELECT Sport, {dsum('SaleTotal', TY)} AS ty, {dsum('SaleTotal', LY)} AS ly, "
     f"count_if({TY} OR {LY}) AS n FROM e WHERE Sport IS NOT NULL GROUP BY 1)",
     f"t AS (SELECT {dsum('SaleTotal', TY)} AS ty, {dsum('SaleTotal', LY)} AS ly FROM e)")
+
+
+ORACLE["enrich_sections"] = with_enriched("""
+SELECT Section, Seats, Section_Num, Section_Type, SectionNumTier, SectionTypeTier, count(*) AS orders
+FROM e GROUP BY ALL""")
+
+FINE_LEAD_SQL = """CASE WHEN LeadTimeDays IS NULL OR LeadTimeDays <= -1 OR LeadTimeDays > 9999 THEN NULL
+  WHEN LeadTimeDays <= 0 THEN 'Same day' WHEN LeadTimeDays <= 1 THEN '1 day' WHEN LeadTimeDays <= 3 THEN '2-3 days'
+  WHEN LeadTimeDays <= 7 THEN '4-7 days' WHEN LeadTimeDays <= 14 THEN '1-2 weeks' WHEN LeadTimeDays <= 30 THEN '2-4 weeks'
+  WHEN LeadTimeDays <= 60 THEN '1-2 months' WHEN LeadTimeDays <= 365 THEN '2-12 months' WHEN LeadTimeDays <= 9999 THEN '1y+' END"""
+ORACLE["enrich_lead_time"] = with_enriched(f"""
+SELECT LeadTimeDays, LeadTimeBucket, {FINE_LEAD_SQL} AS fine_bucket, count(*) AS orders FROM e GROUP BY ALL""")
+
+ORACLE["enrich_quantity"] = with_enriched("SELECT Quantity, QuantityBucket, count(*) AS orders FROM e GROUP BY ALL")
+
+ORACLE["enrich_calendar"] = with_enriched("""
+SELECT YearLabel, YEAR, SellMonth, SellMonthName, SellMonthNum, SellDayOfWeek, SellHour, EventMonth, EventDayOfWeek,
+  count(*) AS orders FROM e GROUP BY ALL""")
+
+ORACLE["enrich_flags"] = with_enriched("""
+SELECT YearLabel, count(*) AS orders, count_if(IsDelivered) AS delivered, count_if(IsCancelled) AS cancelled,
+  count_if(IsExpired) AS expired, count_if(Profit < 0) AS loss_orders, count_if(ProfitMargin IS NULL) AS null_margins
+FROM e GROUP BY ALL""")
+
+
+def _values(rows, cols) -> str:
+    def lit(v):
+        return "NULL" if v is None else (str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'")
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return f"(VALUES {body}) AS t({', '.join(cols)})"
+
+
+ORACLE["lookup_dims"] = f"""WITH {MART}
+SELECT m.RequestedPerformerTypeId, m.ShippingCompany,
+  coalesce(sd.type_sport, td.team_sport, 'Other') AS Sport, td.team_state AS State,
+  coalesce(md.tier, 'Other') AS MarketplaceTier, count(*) AS orders
+FROM mart m
+LEFT JOIN (SELECT * FROM {_values(dims.SPORT_BY_TYPE_ID.items(), ["type_id", "type_sport"])}) sd ON m.RequestedPerformerTypeId = sd.type_id
+LEFT JOIN (SELECT * FROM {_values(dims.team_rows(), ["team", "team_sport", "team_state"])}) td ON m.PrimaryPerformerName = td.team
+LEFT JOIN (SELECT * FROM {_values(dims.MARKETPLACE_TIER.items(), ["marketplace", "tier"])}) md ON m.ShippingCompany = md.marketplace
+GROUP BY ALL"""
+
+_SC = ("count(*) AS rows, count_if(YearLabel = 'This Year') AS ty_rows, "
+       "count_if(YearLabel = 'Last Year') AS ly_rows")
+ORACLE["scope_counts"] = with_enriched(f"""
+SELECT CompanyName AS affiliate, {_SC} FROM s WHERE CompanyName IS NOT NULL GROUP BY 1
+UNION ALL SELECT 'All Affiliates', {_SC} FROM s""",
+    "s AS (SELECT * FROM e WHERE Sport IN ('MLB', 'NBA', 'NFL', 'NHL'))")
+
+ORACLE["affiliate_list"] = with_enriched("""
+SELECT 'All Affiliates' AS affiliate, 0 AS position
+UNION ALL SELECT DISTINCT CompanyName, 1 FROM e WHERE CompanyName IS NOT NULL""")
+
+ORACLE["sport_list"] = with_enriched("SELECT DISTINCT Sport AS value FROM e WHERE Sport IS NOT NULL")
+
+
+def share_sql(group: str, metric: str, where: str) -> str:
+    return with_enriched(f"""
+SELECT {group} AS category, CAST(v AS DOUBLE) AS value,
+  CASE WHEN t <> 0 THEN CAST(v AS DOUBLE) / CAST(t AS DOUBLE) * 100 END AS share_pct
+FROM g CROSS JOIN (SELECT {dsum(metric)} AS t FROM e WHERE {group} IS NOT NULL AND {where}) tt""",
+        f"g AS (SELECT {group}, {dsum(metric)} AS v FROM e WHERE {group} IS NOT NULL AND {where} GROUP BY 1)")
+
+
+ORACLE["share_revenue"] = share_sql("Sport", "SaleTotal", TY)
+ORACLE["share_profit"] = share_sql("MarketplaceTier", "Profit", TY)
+ORACLE["share_orders"] = with_enriched(f"""
+SELECT Sport AS category, orders, CASE WHEN t <> 0 THEN orders / t * 100 END AS share_pct
+FROM g CROSS JOIN (SELECT count(*) AS t FROM e WHERE Sport IS NOT NULL AND {TY}) tt""",
+    f"g AS (SELECT Sport, count(*) AS orders FROM e WHERE Sport IS NOT NULL AND {TY} GROUP BY 1)")
