@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import enrich as E
 from ..operators import compare as C
+from ..operators import grids as G
 from ..operators import scope as S
 from ..operators import shares as SH
 from ..sources import csv as CSV
@@ -236,3 +237,82 @@ def _share_profit(e: DataFrame) -> DataFrame:
 def _share_orders(e: DataFrame) -> DataFrame:
     """This-year order share by sport."""
     return SH.order_share_by(S.split_years(e)[0], "Sport")
+
+
+# --- grids ------------------------------------------------------------------------------------
+
+def _ty(e: DataFrame) -> DataFrame:
+    return S.split_years(e)[0]
+
+
+@query("grid_affiliate_sport")
+def _grid_affiliate_sport(e: DataFrame) -> DataFrame:
+    """This-year revenue, affiliate x sport."""
+    return G.heatmap_grid(_ty(e), "CompanyName", "Sport", "SaleTotal")
+
+
+@query("grid_affiliate_tier")
+def _grid_affiliate_tier(e: DataFrame) -> DataFrame:
+    """This-year margin, affiliate x marketplace tier."""
+    return G.heatmap_grid(_ty(e), "CompanyName", "MarketplaceTier", "SaleTotal")
+
+
+@query("grid_top_teams")
+def _grid_top_teams(e: DataFrame) -> DataFrame:
+    """A13 + T3: this-year revenue, affiliate x the 15 largest home teams."""
+    return G.heatmap_grid(_ty(e), "CompanyName", "HomeTeam", "SaleTotal", top_cols=15)
+
+
+@query("grid_top_rows_cols")
+def _grid_top_rows_cols(e: DataFrame) -> DataFrame:
+    """A13 + T3: this-year profit, the 25 largest affiliates x the 15 largest home teams."""
+    return G.heatmap_grid(_ty(e), "CompanyName", "HomeTeam", "Profit", top_rows=25, top_cols=15)
+
+
+def _shared(e: DataFrame) -> DataFrame:
+    ty = _ty(e)
+    return G.shared_range([G.grid_cells(ty, "CompanyName", "Sport", "SaleTotal"),
+                           G.grid_cells(ty, "CompanyName", "MarketplaceTier", "SaleTotal")])
+
+
+@query("grid_shared_range")
+def _grid_shared_range(e: DataFrame) -> DataFrame:
+    """Shared colour range of the affiliate x sport and affiliate x tier revenue grids."""
+    return _shared(e)
+
+
+@query("grid_intensity")
+def _grid_intensity(e: DataFrame) -> DataFrame:
+    """Colour position and labels of the affiliate x sport revenue grid on the shared range."""
+    zmax = _shared(e).select("zmax").scalar()
+    return G.intensity(G.grid_cells(_ty(e), "CompanyName", "Sport", "SaleTotal"), zmax, "SaleTotal")
+
+
+@query("day_hour_grid")
+def _day_hour_grid(e: DataFrame) -> DataFrame:
+    """Dense day x hour grid of every metric."""
+    return G.day_hour_grid(e)
+
+
+@query("time_pivot")
+def _time_pivot(e: DataFrame) -> DataFrame:
+    """Day x hour revenue, rounded."""
+    return G.time_pivot(e)
+
+
+@query("state_metric")
+def _state_metric(e: DataFrame) -> DataFrame:
+    """This-year metrics per state."""
+    return G.state_metric(_ty(e))
+
+
+@query("state_shared_range")
+def _state_shared_range(e: DataFrame) -> DataFrame:
+    """Shared state map range over both years."""
+    return G.state_shared_range(e.where(F.col("YearLabel").isNotNull()))
+
+
+@query("cross_tab")
+def _cross_tab(e: DataFrame) -> DataFrame:
+    """Affiliate x sport revenue and margin cross-tab (this year)."""
+    return G.cross_tab(_ty(e))

@@ -273,3 +273,104 @@ ORACLE["share_orders"] = with_enriched(f"""
 SELECT Sport AS category, orders, CASE WHEN t <> 0 THEN orders / t * 100 END AS share_pct
 FROM g CROSS JOIN (SELECT count(*) AS t FROM e WHERE Sport IS NOT NULL AND {TY}) tt""",
     f"g AS (SELECT Sport, count(*) AS orders FROM e WHERE Sport IS NOT NULL AND {TY} GROUP BY 1)")
+
+
+def grid_sql_ctes(row: str, col: str, metric: str, where: str, top_rows=None, top_cols=None) -> list[str]:
+    w = {"SaleTotal": dsum("SaleTotal"), "Profit": dsum("Profit")}[metric]
+    ctes = [f"c0 AS (SELECT {row} AS row_label, {col} AS col_label, CAST({w} AS DOUBLE) AS value, {w} AS w "
+            f"FROM e WHERE {row} IS NOT NULL AND {col} IS NOT NULL AND {where} GROUP BY 1, 2)"]
+    src = "c0"
+    if top_rows:
+        ctes.append(f"c1 AS (SELECT * FROM {src} WHERE row_label IN (SELECT row_label FROM {src} GROUP BY 1 "
+                    f"ORDER BY sum(abs(w)) DESC, row_label LIMIT {top_rows}))")
+        src = "c1"
+    if top_cols:
+        ctes.append(f"c2 AS (SELECT * FROM {src} WHERE col_label IN (SELECT col_label FROM {src} GROUP BY 1 "
+                    f"ORDER BY sum(abs(w)) DESC, col_label LIMIT {top_cols}))")
+        src = "c2"
+    ctes.append(f"c AS (SELECT * FROM {src})")
+    return ctes
+
+
+def grid_sql(row: str, col: str, metric: str, where: str, top_rows=None, top_cols=None) -> str:
+    ctes = grid_sql_ctes(row, col, metric, where, top_rows, top_cols)
+    ctes += ["t AS (SELECT *, sum(w) OVER (PARTITION BY row_label) AS rt, sum(w) OVER (PARTITION BY col_label) AS ct FROM c)",
+             "r AS (SELECT row_label, CAST(row_number() OVER (ORDER BY rt, row_label) - 1 AS INTEGER) AS row_order "
+             "FROM (SELECT DISTINCT row_label, rt FROM t))",
+             "k AS (SELECT col_label, CAST(row_number() OVER (ORDER BY ct DESC, col_label) - 1 AS INTEGER) AS col_order "
+             "FROM (SELECT DISTINCT col_label, ct FROM t))"]
+    return with_enriched("""
+SELECT t.row_label, t.col_label, value, CAST(rt AS DOUBLE) AS row_total, CAST(ct AS DOUBLE) AS col_total, row_order, col_order
+FROM t JOIN r USING (row_label) JOIN k USING (col_label)""", *ctes)
+
+
+ORACLE["grid_affiliate_sport"] = grid_sql("CompanyName", "Sport", "SaleTotal", TY)
+ORACLE["grid_affiliate_tier"] = grid_sql("CompanyName", "MarketplaceTier", "SaleTotal", TY)
+ORACLE["grid_top_teams"] = grid_sql("CompanyName", "HomeTeam", "SaleTotal", TY, top_cols=15)
+ORACLE["grid_top_rows_cols"] = grid_sql("CompanyName", "HomeTeam", "Profit", TY, top_rows=25, top_cols=15)
+
+_SHARED_CTES = [
+    f"v AS (SELECT CAST({dsum('SaleTotal')} AS DOUBLE) AS value FROM e WHERE {TY} AND CompanyName IS NOT NULL "
+    f"AND Sport IS NOT NULL GROUP BY CompanyName, Sport UNION ALL "
+    f"SELECT CAST({dsum('SaleTotal')} AS DOUBLE) FROM e WHERE {TY} AND CompanyName IS NOT NULL "
+    f"AND MarketplaceTier IS NOT NULL GROUP BY CompanyName, MarketplaceTier)",
+    "vv AS (SELECT value FROM v WHERE value <> 0 AND NOT isnan(value) AND NOT isinf(value))",
+    "z AS (SELECT 0.0::DOUBLE AS zmin, CASE WHEN quantile_cont(value, 0.98) > 0 THEN quantile_cont(value, 0.98) "
+    "WHEN max(value) IS NOT NULL AND max(value) <> 0 THEN max(value) ELSE 1.0 END AS zmax FROM vv)"]
+ORACLE["grid_shared_range"] = with_enriched("SELECT zmin, zmax FROM z", *_SHARED_CTES)
+
+
+def compact_money_sql(v: str) -> str:
+    a = f"abs({v})"
+    return (f"CASE WHEN {v} IS NULL OR isnan({v}) OR isinf({v}) OR {v} = 0 THEN '' ELSE "
+            f"(CASE WHEN {v} < 0 THEN '-' ELSE '' END) || CASE "
+            f"WHEN {a} >= 1e6 THEN '$' || format('{{:,.1f}}', {a} / 1e6) || 'M' "
+            f"WHEN {a} >= 1e3 THEN '$' || format('{{:,.0f}}', {a} / 1e3) || 'K' "
+            f"ELSE '$' || format('{{:,.0f}}', {a}) END END")
+
+
+ORACLE["grid_intensity"] = with_enriched(f"""
+SELECT row_label, col_label, value, CASE WHEN zmax > 0 THEN value / zmax ELSE 0.0 END AS intensity,
+  (value <> 0 AND NOT isnan(value) AND abs(value) >= CASE WHEN zmax > 0 THEN zmax * 0.03 ELSE 0.0 END) AS labeled,
+  CASE WHEN (value <> 0 AND NOT isnan(value) AND abs(value) >= CASE WHEN zmax > 0 THEN zmax * 0.03 ELSE 0.0 END)
+       THEN {compact_money_sql('value')} END AS label,
+  (CASE WHEN zmax > 0 THEN value / zmax ELSE 0.0 END) > 0.5 AS light_text
+FROM c CROSS JOIN z""", *_SHARED_CTES, *grid_sql_ctes("CompanyName", "Sport", "SaleTotal", TY))
+
+_DAYS = "['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday']"
+ORACLE["day_hour_grid"] = with_enriched(f"""
+SELECT a.day, a.day_order, a.hour, CAST(coalesce(rev, 0) AS DOUBLE) AS revenue, CAST(coalesce(prof, 0) AS DOUBLE) AS profit,
+  {gpct('coalesce(prof, 0)', 'coalesce(rev, 0)')} AS margin, {gpct('coalesce(prof, 0)', 'coalesce(cost, 0)')} AS ratio,
+  coalesce(orders, 0) AS orders
+FROM axis a LEFT JOIN c ON a.day = c.day AND a.hour = c.hour""",
+    f"axis AS (SELECT CAST(i // 24 AS INTEGER) AS day_order, CAST(i % 24 AS INTEGER) AS hour, "
+    f"{_DAYS}[CAST(i // 24 AS INTEGER) + 1] AS day FROM range(168) r(i))",
+    f"c AS (SELECT SellDayOfWeek AS day, SellHour AS hour, {dsum('SaleTotal')} AS rev, {dsum('Profit')} AS prof, "
+    f"{dsum('TicketCost')} AS cost, count(*) AS orders FROM e WHERE SellDate_dt IS NOT NULL GROUP BY 1, 2)")
+
+ORACLE["time_pivot"] = with_enriched(f"""
+SELECT SellDayOfWeek AS day, SellHour AS hour, CAST(round({dsum('SaleTotal')}, 0) AS DOUBLE) AS value,
+  CAST(list_position({_DAYS}, SellDayOfWeek) - 1 AS BIGINT) AS day_order
+FROM e WHERE SellDayOfWeek IS NOT NULL AND SellHour IS NOT NULL GROUP BY 1, 2""")
+
+_MET4 = (("revenue", "CAST(rev AS DOUBLE)"), ("profit", "CAST(prof AS DOUBLE)"),
+         ("margin", gpct("prof", "rev")), ("ratio", gpct("prof", "cost")))
+ORACLE["state_metric"] = with_enriched(
+    "SELECT State AS state, " + ", ".join(f"{x} AS {a}" for a, x in _MET4) + " FROM g",
+    f"g AS (SELECT State, {dsum('SaleTotal')} AS rev, {dsum('Profit')} AS prof, {dsum('TicketCost')} AS cost "
+    f"FROM e WHERE State IS NOT NULL AND {TY} GROUP BY 1)")
+
+ORACLE["state_shared_range"] = with_enriched(
+    " UNION ALL ".join(f"SELECT '{a}' AS metric, 0.0::DOUBLE AS zmin, greatest(coalesce(max({x}), 0.0), 1.0) AS zmax FROM g"
+                       for a, x in _MET4),
+    f"g AS (SELECT YearLabel, State, {dsum('SaleTotal')} AS rev, {dsum('Profit')} AS prof, {dsum('TicketCost')} AS cost "
+    f"FROM e WHERE State IS NOT NULL AND YearLabel IS NOT NULL GROUP BY 1, 2)")
+
+_SP = dims.SPORTS
+ORACLE["cross_tab"] = with_enriched(
+    "SELECT CompanyName AS affiliate, "
+    + ", ".join(f"CAST(r_{sp} AS DOUBLE) AS revenue_{sp.lower()}" for sp in _SP) + ", "
+    + ", ".join(f"{gpct(f'p_{sp}', f'r_{sp}')} AS margin_{sp.lower()}" for sp in _SP) + " FROM g",
+    "g AS (SELECT CompanyName, " + ", ".join(
+        f"{dsum('SaleTotal', f"Sport = '{sp}'")} AS r_{sp}, {dsum('Profit', f"Sport = '{sp}'")} AS p_{sp}" for sp in _SP)
+    + f" FROM e WHERE CompanyName IS NOT NULL AND {TY} GROUP BY 1)")
