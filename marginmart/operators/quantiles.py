@@ -27,6 +27,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 POS = "_pos"
+# Quantiles are rounded to this many decimals (well below the 4-decimal money inputs), so a
+# result does not depend on the last bit of the interpolation arithmetic.
+DIGITS = 6
 
 
 def _num_partitions(df: DataFrame) -> int:
@@ -53,7 +56,7 @@ def global_positions(df: DataFrame, order_cols: Sequence[str | Column],
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
               probs: Mapping[str, float], method: str = "exact",
-              accuracy: int = 10000) -> DataFrame:
+              accuracy: int = 10000, digits: int | None = DIGITS) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` per ``keys`` group (nulls and NaN ignored).
 
     Returns ``keys`` + one double column per entry of ``probs``; groups without a
@@ -63,7 +66,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
     v = F.col(value) if isinstance(value, str) else value
     d = df.select(*keys, v.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     if method == "approx":
-        aggs = [F.percentile_approx("_v", p, accuracy).alias(name) for name, p in probs.items()]
+        aggs = [_round(F.percentile_approx("_v", p, accuracy), digits).alias(name) for name, p in probs.items()]
         return d.groupBy(*keys).agg(*aggs) if keys else d.agg(*aggs)
     if method != "exact":
         raise ValueError(f"unknown method {method!r}")
@@ -87,10 +90,14 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
     picked = (wanted.join(lo, "_lo").join(hi, "_hi")
                     .withColumn("_qv", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo_v"))
                                 .otherwise(F.col("_lo_v") + (F.col("_hi_v") - F.col("_lo_v")) * F.col("_frac"))))
-    outs = [F.max(F.when(F.col("_q") == name, F.col("_qv"))).alias(name) for name in probs]
+    outs = [_round(F.max(F.when(F.col("_q") == name, F.col("_qv"))), digits).alias(name) for name in probs]
     return picked.groupBy(*keys).agg(*outs) if keys else picked.agg(*outs)
 
 
+def _round(c: Column, digits: int | None) -> Column:
+    return c if digits is None else F.round(c, digits)
+
+
 def quantile_scalar(df: DataFrame, value: str | Column, p: float, method: str = "exact") -> Column:
     """One quantile of the whole frame as a scalar-subquery Column."""
     return quantiles(df, [], value, {"q": p}, method=method).select("q").scalar()

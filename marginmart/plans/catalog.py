@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import enrich as E
 from ..operators import compare as C
+from ..operators import distributions as D
 from ..operators import grids as G
 from ..operators import scope as S
 from ..operators import shares as SH
@@ -316,3 +317,88 @@ def _state_shared_range(e: DataFrame) -> DataFrame:
 def _cross_tab(e: DataFrame) -> DataFrame:
     """Affiliate x sport revenue and margin cross-tab (this year)."""
     return G.cross_tab(_ty(e))
+
+
+# --- distributions ------------------------------------------------------------------------
+
+@query("hist_margin")
+def _hist_margin(e: DataFrame) -> DataFrame:
+    """Row-margin histogram per year, 50 bins."""
+    return D.margin_histogram(e)
+
+
+@query("hist_lead_time")
+def _hist_lead_time(e: DataFrame) -> DataFrame:
+    """Lead-time histogram per year, -30..365 days, 60 bins."""
+    return D.lead_time_histogram(e)
+
+
+@query("hist_order_size")
+def _hist_order_size(e: DataFrame) -> DataFrame:
+    """A10 + F8: order-size histogram below the 99th percentile, 50 bins."""
+    return D.order_size_histogram(e)
+
+
+@query("hist_clipped")
+def _hist_clipped(e: DataFrame) -> DataFrame:
+    """Clipped revenue / cost / profit histograms, 60 bins."""
+    return D.clipped_histograms(e)
+
+
+@query("margin_box")
+def _margin_box(e: DataFrame) -> DataFrame:
+    """This-year row-margin five-number summary by sport."""
+    return D.margin_box(_ty(e), "Sport")
+
+
+@query("margin_box_lead")
+def _margin_box_lead(e: DataFrame) -> DataFrame:
+    """This-year row-margin five-number summary by lead-time bucket."""
+    return D.margin_box(_ty(e), "LeadTimeBucket")
+
+
+@query("margin_summary")
+def _margin_summary(e: DataFrame) -> DataFrame:
+    """This-year margin summary by affiliate."""
+    return D.margin_summary(_ty(e), "CompanyName")
+
+
+@query("margin_summary_sport")
+def _margin_summary_sport(e: DataFrame) -> DataFrame:
+    """This-year margin summary by sport."""
+    return D.margin_summary(_ty(e), "Sport")
+
+
+@query("lead_bucket_margin")
+def _lead_bucket_margin(e: DataFrame) -> DataFrame:
+    """This-year margin profile by fine lead-time bucket."""
+    return D.lead_bucket_margin(_ty(e))
+
+
+YOY_VALUE_COLUMNS = ("revenue_ty", "revenue_ly", "profit_ty", "profit_ly", "margin_ty", "margin_ly",
+                     "ratio_ty", "ratio_ly", "orders_ty", "orders_ly")
+YOY_PCT_COLUMNS = ("revenue_yoy_pct", "profit_yoy_pct")
+
+
+@query("robust_ranges")
+def _robust_ranges(e: DataFrame) -> DataFrame:
+    """Colour ranges of the affiliate YoY table's value columns."""
+    return D.robust_ranges(C.yoy_table(e, "CompanyName"), YOY_VALUE_COLUMNS)
+
+
+@query("diverging_bounds")
+def _diverging_bounds(e: DataFrame) -> DataFrame:
+    """Diverging bounds of the affiliate YoY table's percent-change columns."""
+    return D.diverging_bounds(C.yoy_table(e, "CompanyName"), YOY_PCT_COLUMNS)
+
+
+@query("scatter_frame")
+def _scatter_frame(e: DataFrame) -> DataFrame:
+    """R9 scatter: this-year orders with positive cost and revenue, plus the break-even bound."""
+    return D.scatter_frame(_ty(e))
+
+
+@query("scatter_sample")
+def _scatter_sample(e: DataFrame) -> DataFrame:
+    """About 5000 sampled this-year orders with the break-even side (rows-only check)."""
+    return D.scatter_sample(_ty(e))

@@ -10,9 +10,13 @@ ORACLE: dict[str, str] = {}
 
 
 def yoy_table_sql(group: str, include_ratio: bool = True, where: str = "TRUE") -> str:
+    return with_enriched(yoy_table_body(group, include_ratio, where))
+
+
+def yoy_table_body(group: str, include_ratio: bool = True, where: str = "TRUE") -> str:
     ratio = (f", {gpct(dsum('Profit', TY), dsum('TicketCost', TY))} AS ratio_ty,"
              f" {gpct(dsum('Profit', LY), dsum('TicketCost', LY))} AS ratio_ly") if include_ratio else ""
-    return with_enriched(f"""
+    return (f"""
 SELECT {group},
   {dbl(dsum('SaleTotal', TY))} AS revenue_ty,
   {dbl(dsum('SaleTotal', LY))} AS revenue_ly,
@@ -374,3 +378,127 @@ ORACLE["cross_tab"] = with_enriched(
     "g AS (SELECT CompanyName, " + ", ".join(
         f"{dsum('SaleTotal', f"Sport = '{sp}'")} AS r_{sp}, {dsum('Profit', f"Sport = '{sp}'")} AS p_{sp}" for sp in _SP)
     + f" FROM e WHERE CompanyName IS NOT NULL AND {TY} GROUP BY 1)")
+
+
+def hist_sql(select_x: str, where: str, nbins: int, by: str | None = None, lo: str | None = None,
+             hi: str | None = None, extra_ctes: tuple[str, ...] = ()) -> str:
+    byc = f"{by}, " if by else ""
+    bounds = (f"b AS (SELECT {lo}::DOUBLE AS lo, {hi}::DOUBLE AS hi)" if lo is not None
+              else "b AS (SELECT min(x) AS lo, max(x) AS hi FROM d)")
+    return with_enriched(f"""
+SELECT {byc}bin, lo + bin * w AS bin_lo, lo + (bin + 1) * w AS bin_hi, count(*) AS count
+FROM (SELECT {byc}CAST(least(CASE WHEN w > 0 THEN floor((x - lo) / w) ELSE 0 END, {nbins - 1}) AS INTEGER) AS bin, lo, w
+      FROM d CROSS JOIN (SELECT lo, hi, (hi - lo) / {nbins} AS w FROM b) bb WHERE x >= lo AND x <= hi)
+GROUP BY ALL""", *extra_ctes,
+        f"d AS (SELECT {byc}CAST({select_x} AS DOUBLE) AS x FROM e WHERE {where})",
+        "d2 AS (SELECT 1)", bounds)
+
+
+_LAB = "YearLabel IN ('This Year', 'Last Year')"
+ORACLE["hist_margin"] = hist_sql("ProfitMargin", f"{_LAB} AND ProfitMargin IS NOT NULL AND NOT isnan(ProfitMargin)",
+                                 50, by="YearLabel")
+ORACLE["hist_lead_time"] = hist_sql("LeadTimeDays", f"{_LAB} AND LeadTimeDays BETWEEN -30 AND 365", 60,
+                                    by="YearLabel", lo="-30", hi="365")
+ORACLE["hist_order_size"] = hist_sql(
+    "SaleTotal", f"{_LAB} AND CAST(SaleTotal AS DOUBLE) < (SELECT quantile_cont(CAST(SaleTotal AS DOUBLE), 0.99) FROM e)",
+    50, by="YearLabel")
+
+_clip_parts = []
+for _col in ("SaleTotal", "TicketCost", "Profit"):
+    _lo = "p1" if _col == "Profit" else "0.0"
+    _clip_parts.append(f"""SELECT '{_col}' AS column_name, bin, lo + bin * w AS bin_lo, lo + (bin + 1) * w AS bin_hi, count(*) AS count
+FROM (SELECT CAST(least(CASE WHEN w > 0 THEN floor((x - lo) / w) ELSE 0 END, 59) AS INTEGER) AS bin, lo, w, x
+      FROM (SELECT least(greatest(CAST({_col} AS DOUBLE), {_lo}), p99) AS x FROM e,
+            (SELECT quantile_cont(CAST({_col} AS DOUBLE), 0.01) AS p1, quantile_cont(CAST({_col} AS DOUBLE), 0.99) AS p99 FROM e) q) d
+      CROSS JOIN (SELECT lo, (hi - lo) / 60 AS w FROM (SELECT min(least(greatest(CAST({_col} AS DOUBLE), {_lo}), p99)) AS lo,
+                  max(least(greatest(CAST({_col} AS DOUBLE), {_lo}), p99)) AS hi FROM e,
+                  (SELECT quantile_cont(CAST({_col} AS DOUBLE), 0.01) AS p1, quantile_cont(CAST({_col} AS DOUBLE), 0.99) AS p99 FROM e) q2)) bb)
+WHERE x >= lo GROUP BY ALL""")
+ORACLE["hist_clipped"] = with_enriched(" UNION ALL ".join(_clip_parts))
+
+
+def box_sql(group: str, where: str) -> str:
+    return with_enriched(f"""
+SELECT group_value, min, q1, median, q3, max, n,
+  CAST(row_number() OVER (ORDER BY median DESC, group_value) - 1 AS INTEGER) AS median_rank
+FROM (SELECT {group} AS group_value, quantile_cont(ProfitMargin, 0.0) AS min, quantile_cont(ProfitMargin, 0.25) AS q1,
+        quantile_cont(ProfitMargin, 0.5) AS median, quantile_cont(ProfitMargin, 0.75) AS q3,
+        quantile_cont(ProfitMargin, 1.0) AS max, count(*) AS n
+      FROM e WHERE {group} IS NOT NULL AND ProfitMargin IS NOT NULL AND NOT isnan(ProfitMargin) AND {where} GROUP BY 1)""")
+
+
+ORACLE["margin_box"] = box_sql("Sport", TY)
+ORACLE["margin_box_lead"] = box_sql("LeadTimeBucket", TY)
+
+
+def summary_sql(group: str, where: str) -> str:
+    m = "CASE WHEN NOT isnan(ProfitMargin) THEN ProfitMargin END"
+    return with_enriched(f"""
+SELECT {group} AS group_value, CAST({dsum('SaleTotal')} AS DOUBLE) AS revenue,
+  coalesce(quantile_cont({m}, 0.5), 0.0) AS median_margin, coalesce(quantile_cont({m}, 0.25), 0.0) AS p25_margin,
+  coalesce(quantile_cont({m}, 0.75), 0.0) AS p75_margin, CAST(count_if(Profit < 0) AS BIGINT) AS loss_orders,
+  count_if(Profit < 0) / count(*) * 100 AS loss_pct, count(*) AS orders
+FROM e WHERE {group} IS NOT NULL AND {where} GROUP BY 1""")
+
+
+ORACLE["margin_summary"] = summary_sql("CompanyName", TY)
+ORACLE["margin_summary_sport"] = summary_sql("Sport", TY)
+
+_fine_order = """CASE WHEN LeadTimeDays <= 0 THEN 0 WHEN LeadTimeDays <= 1 THEN 1 WHEN LeadTimeDays <= 3 THEN 2
+  WHEN LeadTimeDays <= 7 THEN 3 WHEN LeadTimeDays <= 14 THEN 4 WHEN LeadTimeDays <= 30 THEN 5 WHEN LeadTimeDays <= 60 THEN 6
+  WHEN LeadTimeDays <= 365 THEN 7 ELSE 8 END"""
+ORACLE["lead_bucket_margin"] = with_enriched(f"""
+SELECT bucket, CAST(bucket_order AS INTEGER) AS bucket_order, count(*) AS orders, quantile_cont(ProfitMargin, 0.5) AS median_margin,
+  CASE WHEN {dsum('SaleTotal')} <> 0 THEN CAST({dsum('Profit')} AS DOUBLE) / CAST({dsum('SaleTotal')} AS DOUBLE) * 100 END AS agg_margin
+FROM (SELECT *, {FINE_LEAD_SQL} AS bucket, {_fine_order} AS bucket_order FROM e
+      WHERE LeadTimeDays IS NOT NULL AND ProfitMargin IS NOT NULL AND {TY})
+WHERE bucket IS NOT NULL GROUP BY 1, 2""")
+
+_YV = ("revenue_ty", "revenue_ly", "profit_ty", "profit_ly", "margin_ty", "margin_ly", "ratio_ty", "ratio_ly",
+       "orders_ty", "orders_ly")
+_YP = ("revenue_yoy_pct", "profit_yoy_pct")
+
+
+def _long_sql(cols) -> str:
+    return "long AS (SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CAST({c} AS DOUBLE) AS value FROM y" for c in cols
+    ) + ") WHERE value IS NOT NULL AND NOT isnan(value) AND NOT isinf(value))"
+
+
+ORACLE["robust_ranges"] = with_enriched("""
+SELECT column_name, CASE WHEN n >= 2 AND p10 <> p90 THEN p10 END AS lo, CASE WHEN n >= 2 AND p10 <> p90 THEN p90 END AS hi
+FROM (SELECT column_name, count(*) AS n, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.9) AS p90 FROM long GROUP BY 1)""",
+    f"y AS ({yoy_table_body('CompanyName')})", _long_sql(_YV))
+
+ORACLE["diverging_bounds"] = with_enriched("""
+SELECT column_name, CASE WHEN n >= 2 AND b <> 0 THEN b END AS bound
+FROM (SELECT column_name, count(*) AS n, quantile_cont(abs(value), 0.9) AS b FROM long GROUP BY 1)""",
+    f"y AS ({yoy_table_body('CompanyName')})", _long_sql(_YP))
+
+ORACLE["scatter_frame"] = with_enriched(f"""
+SELECT CAST(TicketCost AS DOUBLE) AS cost, CAST(SaleTotal AS DOUBLE) AS revenue, Sport AS sport, TicketsSold AS tickets,
+  CompanyName AS affiliate, EventName AS event, ProfitMargin AS margin, u.upper
+FROM e CROSS JOIN (SELECT CAST(greatest(max(SaleTotal), max(TicketCost)) AS DOUBLE) AS upper FROM e
+                   WHERE SaleTotal > 0 AND TicketCost > 0 AND {TY}) u
+WHERE SaleTotal > 0 AND TicketCost > 0 AND {TY}""")
+
+
+
+def wrap_quantiles(sql: str, digits: int = 6) -> str:
+    """Round every ``quantile_cont(...)`` like the Spark side rounds its quantiles."""
+    out, i, key = [], 0, "quantile_cont("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + len(key)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(sql[i:j] + "round(" + sql[j:k] + f", {digits})")
+        i = k
+
+
+for _k in list(ORACLE):
+    ORACLE[_k] = wrap_quantiles(ORACLE[_k])
