@@ -41,6 +41,12 @@ LAST_YEAR = "Last Year"
 YEAR_CODES = {THIS_YEAR: "current", LAST_YEAR: "last_year"}
 # ---------------------------------------------------------------------------
 
+# Columns ``enrich`` adds, in order.
+ENRICHED_EXTRA = ("Profit", "TicketsSold", "SellMonth", "SellMonthName", "SellMonthNum", "SellDayOfWeek",
+                  "SellHour", "EventMonth", "EventDayOfWeek", "LeadTimeDays", "Section_Num", "Section_Type",
+                  "HomeTeam", "AwayTeam", "YEAR", "ProfitMargin", "LeadTimeBucket", "SectionNumTier",
+                  "SectionTypeTier", "QuantityBucket")
+
 MONEY_TYPE = "decimal(21,4)"
 US_PER_DAY = 86_400_000_000
 

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import enrich as E
 from ..operators import compare as C
 from ..operators import distributions as D
+from ..operators import profile as P
+from ..operators import ranking as R
+from ..operators import risk as K
 from ..operators import grids as G
 from ..operators import scope as S
 from ..operators import shares as SH
@@ -402,3 +405,147 @@ def _scatter_frame(e: DataFrame) -> DataFrame:
 def _scatter_sample(e: DataFrame) -> DataFrame:
     """About 5000 sampled this-year orders with the break-even side (rows-only check)."""
     return D.scatter_sample(_ty(e))
+
+
+# --- rankings -------------------------------------------------------------------------------
+
+@query("team_breakdown")
+def _team_breakdown(e: DataFrame) -> DataFrame:
+    """This-year team breakdown with mode sport and best / worst affiliate."""
+    return R.team_breakdown(e)
+
+
+@query("event_rollup")
+def _event_rollup(e: DataFrame) -> DataFrame:
+    """Per-event rollup over every order."""
+    return R.event_rollup(e)
+
+
+@query("top_events")
+def _top_events(e: DataFrame) -> DataFrame:
+    """T4: the 20 most profitable events."""
+    return R.top_events(e, 20, "Profit")
+
+
+@query("top_events_by_margin")
+def _top_events_by_margin(e: DataFrame) -> DataFrame:
+    """T4: the 20 events with the highest margin."""
+    return R.top_events(e, 20, "Margin")
+
+
+@query("bottom_events")
+def _bottom_events(e: DataFrame) -> DataFrame:
+    """T4: the 15 least profitable events."""
+    return R.bottom_events(e, 15)
+
+
+@query("worst_loss_orders")
+def _worst_loss_orders(e: DataFrame) -> DataFrame:
+    """The 20 worst loss orders."""
+    return R.worst_loss_orders(e, 20)
+
+
+@query("pareto")
+def _pareto(e: DataFrame) -> DataFrame:
+    """W1 + W2: affiliate revenue concentration."""
+    return R.pareto(e)
+
+
+@query("pareto_80")
+def _pareto_80(e: DataFrame) -> DataFrame:
+    """Affiliates needed for 80 % of revenue."""
+    return R.pareto_80(e)
+
+
+@query("winners")
+def _winners(e: DataFrame) -> DataFrame:
+    """10 largest revenue YoY % (last-year base over 1000)."""
+    return R.winners_losers(e, best=True)
+
+
+@query("losers")
+def _losers(e: DataFrame) -> DataFrame:
+    """10 smallest revenue YoY % (last-year base over 1000)."""
+    return R.winners_losers(e, best=False)
+
+
+@query("loss_concentration")
+def _loss_concentration(e: DataFrame) -> DataFrame:
+    """Loss concentration in the five largest loss affiliates."""
+    return R.loss_concentration(e)
+
+
+@query("worst_pairs")
+def _worst_pairs(e: DataFrame) -> DataFrame:
+    """Ten lowest-margin material affiliate x sport pairs."""
+    return R.worst_pairs(e)
+
+
+@query("margin_by_dimension")
+def _margin_by_dimension(e: DataFrame) -> DataFrame:
+    """This-year margin by four dimensions in one grouping-sets aggregation."""
+    return R.margin_by_dimension(_ty(e))
+
+
+@query("section_codes")
+def _section_codes(e: DataFrame) -> DataFrame:
+    """This-year section letter codes."""
+    return R.section_codes(_ty(e))
+
+
+# --- risk -----------------------------------------------------------------------------------
+
+@query("delivery_kpis")
+def _delivery_kpis(e: DataFrame) -> DataFrame:
+    """This-year delivery KPIs."""
+    return K.delivery_kpis(_ty(e))
+
+
+@query("undelivered")
+def _undelivered(e: DataFrame) -> DataFrame:
+    """This-year undelivered orders by affiliate."""
+    return K.undelivered_by_affiliate(_ty(e))
+
+
+@query("cancellations")
+def _cancellations(e: DataFrame) -> DataFrame:
+    """Last-year cancellations by affiliate."""
+    return K.cancellations_by_affiliate(S.split_years(e)[1])
+
+
+@query("delivery_rate")
+def _delivery_rate(e: DataFrame) -> DataFrame:
+    """This-year delivery rate by affiliate."""
+    return K.delivery_rate_by_affiliate(_ty(e))
+
+
+@query("loss_profile")
+def _loss_profile(e: DataFrame) -> DataFrame:
+    """Loss profile of affiliates with at least 50 orders."""
+    return K.loss_profile(e)
+
+
+# --- profile --------------------------------------------------------------------------------
+
+@query("profile_dates")
+def _profile_dates(e: DataFrame) -> DataFrame:
+    """Dataset profile."""
+    return P.profile_dates(e)
+
+
+@query("missingness")
+def _missingness(e: DataFrame) -> DataFrame:
+    """Missing values per column."""
+    return P.missingness(e)
+
+
+@query("export_rollup")
+def _export_rollup(e: DataFrame) -> DataFrame:
+    """Multi-key export rollup."""
+    return P.export_rollup(e)
+
+
+@query("filtered_total")
+def _filtered_total(e: DataFrame) -> DataFrame:
+    """Last-year revenue of the export rollup."""
+    return P.filtered_total(e)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .catalog import YOY_DIMENSIONS
+from ..functions.enrich import ENRICHED_EXTRA
 from ..sources import dims
+from ..sources.mart import MART_COLUMNS
 from .oracle_base import LY, MART, TY, dbl, dsum, gpct, with_enriched
 
 ORACLE: dict[str, str] = {}
@@ -484,9 +486,160 @@ WHERE SaleTotal > 0 AND TicketCost > 0 AND {TY}""")
 
 
 
-def wrap_quantiles(sql: str, digits: int = 6) -> str:
-    """Round every ``quantile_cont(...)`` like the Spark side rounds its quantiles."""
-    out, i, key = [], 0, "quantile_cont("
+# --- rankings -------------------------------------------------------------------------------
+
+ORACLE["team_breakdown"] = with_enriched("""
+SELECT t.HomeTeam AS team, sm.sport, CAST(rev AS DOUBLE) AS revenue, CAST(prof AS DOUBLE) AS profit,
+  """ + gpct("prof", "rev") + """ AS margin, """ + gpct("prof", "cost") + """ AS ratio,
+  CAST(rev AS DOUBLE) / orders AS avg_order, orders, tickets, top_affiliate,
+  CASE WHEN n_aff > 1 THEN worst END AS worst_affiliate
+FROM t LEFT JOIN sm ON t.HomeTeam = sm.HomeTeam LEFT JOIN af ON t.HomeTeam = af.HomeTeam""",
+    f"d AS (SELECT * FROM e WHERE HomeTeam IS NOT NULL AND {TY})",
+    f"t AS (SELECT HomeTeam, {dsum('SaleTotal')} AS rev, {dsum('Profit')} AS prof, {dsum('TicketCost')} AS cost, "
+    "count(*) AS orders, CAST(coalesce(sum(CAST(TicketsSold AS BIGINT)), 0) AS BIGINT) AS tickets FROM d GROUP BY 1)",
+    "sm AS (SELECT HomeTeam, Sport AS sport FROM (SELECT HomeTeam, Sport, row_number() OVER "
+    "(PARTITION BY HomeTeam ORDER BY count(*) DESC, Sport) AS rn FROM d WHERE Sport IS NOT NULL GROUP BY 1, 2) WHERE rn = 1)",
+    f"pa AS (SELECT HomeTeam, CompanyName, {dsum('Profit')} AS p FROM d WHERE CompanyName IS NOT NULL GROUP BY 1, 2)",
+    "af AS (SELECT HomeTeam, max(CASE WHEN r1 = 1 THEN CompanyName END) AS top_affiliate, "
+    "max(CASE WHEN r2 = 1 THEN CompanyName END) AS worst, count(*) AS n_aff FROM (SELECT *, "
+    "row_number() OVER (PARTITION BY HomeTeam ORDER BY p DESC, CompanyName ASC) AS r1, "
+    "row_number() OVER (PARTITION BY HomeTeam ORDER BY p ASC, CompanyName DESC) AS r2 FROM pa) GROUP BY 1)")
+
+_EV = f"""ev AS (SELECT EventName AS event, VenueName AS venue, EventDate_dt AS event_date,
+  CAST({dsum('SaleTotal')} AS DOUBLE) AS revenue, CAST({dsum('TicketCost')} AS DOUBLE) AS cost,
+  CAST({dsum('Profit')} AS DOUBLE) AS profit, count(InvoiceID) AS orders,
+  CAST(coalesce(sum(CAST(TicketsSold AS BIGINT)), 0) AS BIGINT) AS tickets,
+  {gpct(dsum('Profit'), dsum('SaleTotal'))} AS margin, {gpct(dsum('Profit'), dsum('TicketCost'))} AS ratio
+  FROM e WHERE EventName IS NOT NULL AND VenueName IS NOT NULL AND EventDate_dt IS NOT NULL GROUP BY 1, 2, 3)"""
+ORACLE["event_rollup"] = with_enriched("SELECT * FROM ev", _EV)
+_EVK = "event ASC NULLS FIRST, venue ASC NULLS FIRST, event_date ASC NULLS FIRST"
+ORACLE["top_events"] = with_enriched(f"SELECT * FROM ev ORDER BY profit DESC NULLS LAST, {_EVK} LIMIT 20", _EV)
+ORACLE["top_events_by_margin"] = with_enriched(f"SELECT * FROM ev ORDER BY margin DESC NULLS LAST, {_EVK} LIMIT 20", _EV)
+ORACLE["bottom_events"] = with_enriched(f"SELECT * FROM ev ORDER BY profit ASC NULLS FIRST, {_EVK} LIMIT 15", _EV)
+
+ORACLE["worst_loss_orders"] = with_enriched("""
+SELECT YearLabel AS year, CompanyName AS affiliate, EventName AS event, VenueName AS venue,
+  CAST(SaleTotal AS DOUBLE) AS revenue, CAST(TicketCost AS DOUBLE) AS cost, CAST(Profit AS DOUBLE) AS profit,
+  ProfitMargin AS margin, ShippingCompany AS marketplace
+FROM e WHERE Profit < 0
+ORDER BY profit NULLS FIRST, revenue NULLS FIRST, affiliate NULLS FIRST, event NULLS FIRST, venue NULLS FIRST,
+  year NULLS FIRST, marketplace NULLS FIRST
+LIMIT 20""")
+
+_PARETO = [f"g AS (SELECT CompanyName, {dsum('SaleTotal')} AS rev FROM e WHERE {TY} AND CompanyName IS NOT NULL GROUP BY 1)",
+           "tt AS (SELECT sum(rev) AS t FROM g)",
+           """p AS (SELECT CompanyName AS affiliate, CAST(rev AS DOUBLE) AS revenue,
+  CAST(row_number() OVER (ORDER BY rev DESC, CompanyName) AS INTEGER) AS "rank",
+  CASE WHEN t <> 0 THEN CAST(rev AS DOUBLE) / CAST(t AS DOUBLE) * 100 END AS share_pct,
+  CASE WHEN t <> 0 THEN CAST(sum(rev) OVER (ORDER BY rev DESC, CompanyName ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+       AS DOUBLE) / CAST(t AS DOUBLE) * 100 END AS cum_share_pct
+  FROM g CROSS JOIN tt)"""]
+ORACLE["pareto"] = with_enriched("SELECT * FROM p", *_PARETO)
+ORACLE["pareto_80"] = with_enriched("""
+SELECT count(*) AS affiliates, min(CASE WHEN cum_share_pct >= 80.0 THEN "rank" END) AS rank_at_threshold,
+  max(share_pct) AS top_share_pct FROM p""", *_PARETO)
+
+_YT = f"y AS ({yoy_table_body('CompanyName')})"
+ORACLE["winners"] = with_enriched("""SELECT * FROM y WHERE revenue_yoy_pct IS NOT NULL AND revenue_ly > 1000.0
+ORDER BY revenue_yoy_pct DESC, CompanyName LIMIT 10""", _YT)
+ORACLE["losers"] = with_enriched("""SELECT * FROM y WHERE revenue_yoy_pct IS NOT NULL AND revenue_ly > 1000.0
+ORDER BY revenue_yoy_pct ASC, CompanyName LIMIT 10""", _YT)
+
+ORACLE["loss_concentration"] = with_enriched("""
+SELECT CompanyName AS affiliate, CAST(l AS DOUBLE) AS loss_dollars,
+  CAST(row_number() OVER (ORDER BY l, CompanyName) AS INTEGER) AS loss_rank, CAST(t AS DOUBLE) AS total_loss,
+  n AS loss_orders, CASE WHEN n > 0 THEN CAST(t AS DOUBLE) / n END AS avg_loss,
+  CASE WHEN t <> 0 THEN CAST(sum(l) OVER () AS DOUBLE) / CAST(t AS DOUBLE) * 100 END AS top_share_pct
+FROM top CROSS JOIN tot""",
+    "l0 AS (SELECT * FROM e WHERE Profit < 0)",
+    f"tot AS (SELECT {dsum('Profit')} AS t, count(*) AS n FROM l0)",
+    f"top AS (SELECT CompanyName, {dsum('Profit')} AS l FROM l0 WHERE CompanyName IS NOT NULL GROUP BY 1 "
+    "ORDER BY l ASC, CompanyName LIMIT 5)")
+
+ORACLE["worst_pairs"] = with_enriched(f"""
+SELECT CompanyName AS affiliate, Sport AS sport, CAST(rev AS DOUBLE) AS revenue, CAST(prof AS DOUBLE) AS profit, orders,
+  {gpct('prof', 'rev')} AS margin
+FROM (SELECT CompanyName, Sport, {dsum('SaleTotal')} AS rev, {dsum('Profit')} AS prof, count(*) AS orders
+      FROM e WHERE {TY} AND CompanyName IS NOT NULL AND Sport IS NOT NULL GROUP BY 1, 2)
+WHERE rev >= 5000 ORDER BY margin, affiliate, sport LIMIT 10""")
+
+_MBD = " UNION ALL ".join(
+    f"SELECT '{d}' AS dimension, CAST({d} AS VARCHAR) AS value, {dsum('SaleTotal')} AS rev, {dsum('Profit')} AS prof, "
+    f"{dsum('TicketCost')} AS cost, count(*) AS orders FROM e WHERE {TY} AND {d} IS NOT NULL GROUP BY {d}"
+    for d in ("Sport", "ShippingCompany", "SectionNumTier", "LeadTimeBucket"))
+ORACLE["margin_by_dimension"] = with_enriched(f"""
+SELECT dimension, value, CAST(rev AS DOUBLE) AS revenue, CAST(prof AS DOUBLE) AS profit, CAST(cost AS DOUBLE) AS cost,
+  orders, {gpct('prof', 'rev')} AS margin, {gpct('prof', 'cost')} AS ratio, "rank"
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY dimension ORDER BY rev DESC, value) AS INTEGER) AS "rank" FROM ({_MBD}))
+WHERE NOT (dimension = 'ShippingCompany' AND "rank" > 8)""")
+
+ORACLE["section_codes"] = with_enriched(f"""
+SELECT Section_Type AS section_type, CAST({dsum('SaleTotal')} AS DOUBLE) AS revenue, CAST({dsum('Profit')} AS DOUBLE) AS profit,
+  count(InvoiceID) AS orders, round(avg(ProfitMargin), 6) AS avg_margin
+FROM e WHERE {TY} AND Section_Type IS NOT NULL AND Section_Type <> '' GROUP BY 1""")
+
+# --- risk -----------------------------------------------------------------------------------
+
+ORACLE["delivery_kpis"] = with_enriched(f"""
+SELECT total, delivered, total - delivered AS undelivered, cancelled, expired,
+  CASE WHEN total > 0 THEN delivered / total * 100 ELSE 0.0 END AS delivery_rate
+FROM (SELECT count(*) AS total, count_if(IsDelivered) AS delivered, count_if(IsCancelled) AS cancelled,
+             count_if(IsExpired) AS expired FROM e WHERE {TY})""")
+
+ORACLE["undelivered"] = with_enriched(f"""
+SELECT CompanyName AS affiliate, count(InvoiceID) AS undelivered, CAST({dsum('SaleTotal')} AS DOUBLE) AS lost_revenue
+FROM e WHERE {TY} AND NOT coalesce(IsDelivered, false) AND CompanyName IS NOT NULL GROUP BY 1""")
+
+ORACLE["cancellations"] = with_enriched(f"""
+SELECT CompanyName AS affiliate, count(InvoiceID) AS cancellations, CAST({dsum('SaleTotal')} AS DOUBLE) AS lost_revenue
+FROM e WHERE {LY} AND coalesce(IsCancelled, false) AND CompanyName IS NOT NULL GROUP BY 1""")
+
+ORACLE["delivery_rate"] = with_enriched(f"""
+SELECT affiliate, orders, delivered, CASE WHEN orders > 0 THEN delivered / orders * 100 END AS delivery_rate
+FROM (SELECT CompanyName AS affiliate, count(InvoiceID) AS orders, count_if(IsDelivered) AS delivered
+      FROM e WHERE {TY} AND CompanyName IS NOT NULL GROUP BY 1)""")
+
+ORACLE["loss_profile"] = with_enriched(f"""
+SELECT affiliate, loss_orders, loss_dollars, median_loss, total_orders, loss_orders / total_orders * 100 AS loss_pct
+FROM (SELECT CompanyName AS affiliate, count_if(Profit < 0) AS loss_orders,
+             CAST({dsum('Profit', 'Profit < 0')} AS DOUBLE) AS loss_dollars,
+             quantile_cont(CASE WHEN Profit < 0 THEN CAST(Profit AS DOUBLE) END, 0.5) AS median_loss,
+             count(*) AS total_orders
+      FROM e WHERE CompanyName IS NOT NULL GROUP BY 1)
+WHERE loss_orders > 0 AND total_orders >= 50
+ORDER BY loss_dollars, affiliate LIMIT 15""")
+
+# --- profile --------------------------------------------------------------------------------
+
+ENRICHED_COLUMNS = list(MART_COLUMNS) + list(ENRICHED_EXTRA)
+_DOUBLE_COLUMNS = ("ProfitMargin", "Section_Num")
+
+ORACLE["profile_dates"] = with_enriched(f"""
+SELECT count(*) AS rows, {len(ENRICHED_COLUMNS)} AS columns, min(SellDate_dt) AS sell_min, max(SellDate_dt) AS sell_max,
+  min(EventDate_dt) AS event_min, max(EventDate_dt) AS event_max,
+  count_if({TY}) AS this_year_rows, count_if({LY}) AS last_year_rows FROM e""")
+
+ORACLE["missingness"] = with_enriched(
+    "SELECT column_name, missing, missing / n * 100 AS pct FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count_if({c} IS NULL"
+        + (f" OR isnan({c})" if c in _DOUBLE_COLUMNS else "") + ") AS missing, count(*) AS n FROM e"
+        for c in ENRICHED_COLUMNS) + ") WHERE missing > 0")
+
+_EXP_WHERE = ("CompanyName IS NOT NULL AND PrimaryPerformerName IS NOT NULL AND YEAR IS NOT NULL "
+              "AND SellDate_dt IS NOT NULL")
+ORACLE["export_rollup"] = with_enriched(f"""
+SELECT CompanyName, PrimaryPerformerName, YEAR, CAST(month(SellDate_dt) AS INTEGER) AS MONTH,
+  CAST({dsum('Profit')} AS DOUBLE) AS Profit, CAST(coalesce(sum(CAST(TicketsSold AS BIGINT)), 0) AS BIGINT) AS TicketsSold,
+  CAST({dsum('SaleTotal')} AS DOUBLE) AS SaleTotal, round(avg(ProfitMargin), 6) AS ProfitMargin
+FROM e WHERE {_EXP_WHERE} GROUP BY 1, 2, 3, 4""")
+
+ORACLE["filtered_total"] = with_enriched(f"""
+SELECT CAST({dsum('SaleTotal')} AS DOUBLE) AS last_year_revenue FROM e
+WHERE {_EXP_WHERE} AND YEAR = 'last_year'""")
+
+
+def _wrap_calls(sql: str, fn: str, before: str, after: str) -> str:
+    out, i, key = [], 0, fn + "("
     while True:
         j = sql.find(key, i)
         if j < 0:
@@ -496,9 +649,16 @@ def wrap_quantiles(sql: str, digits: int = 6) -> str:
         while depth:
             depth += {"(": 1, ")": -1}.get(sql[k], 0)
             k += 1
-        out.append(sql[i:j] + "round(" + sql[j:k] + f", {digits})")
+        out.append(sql[i:j] + before + sql[j:k] + after)
         i = k
 
 
+def wrap_quantiles(sql: str, digits: int = 6) -> str:
+    """Round every ``quantile_cont(...)`` like the Spark side rounds its quantiles, and type
+    every ``count_if(...)`` as BIGINT like Spark's ``count_if``."""
+    sql = _wrap_calls(sql, "quantile_cont", "round(", f", {digits})")
+    return _wrap_calls(sql, "count_if", "CAST(", " AS BIGINT)")
+
+
 for _k in list(ORACLE):
     ORACLE[_k] = wrap_quantiles(ORACLE[_k])
