@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.enrich import LAST_YEAR, THIS_YEAR
+from .joins import join_on
 from .quantiles import quantiles
 
 TY, LY = M.is_this_year, M.is_last_year
@@ -288,14 +289,16 @@ def head_to_head(df: DataFrame, name_a: str | Column | None = None, name_b: str
     if name_a is None:
         ranked = per.orderBy(F.col("rev").desc(), F.col("CompanyName")).limit(2)
         a = ranked.orderBy(F.col("rev").desc(), F.col("CompanyName")).limit(1)
-        b = ranked.join(a.select("CompanyName"), "CompanyName", "left_anti")
+        b = join_on(ranked, a.select("CompanyName"), ["CompanyName"], "left_anti")
     else:
         a = per.where(F.col("CompanyName") == name_a)
         b = per.where(F.col("CompanyName") == name_b)
     va = _h2h_values(*(a.select(c).scalar() for c in ("rev", "prof", "n", "loss")))
     vb = _h2h_values(*(b.select(c).scalar() for c in ("rev", "prof", "n", "loss")))
-    a_name = a.select("CompanyName").scalar()
-    b_name = b.select("CompanyName").scalar()
+    if name_a is None:
+        a_name, b_name = a.select("CompanyName").scalar(), b.select("CompanyName").scalar()
+    else:
+        a_name, b_name = F.lit(name_a), F.lit(name_b)
     spark = df.sparkSession
     base = spark.range(1)
     parts = []
@@ -314,7 +317,7 @@ def order_size_shift(df: DataFrame) -> DataFrame:
     mean = (yr.groupBy("YearLabel").agg((M.dsum("SaleTotal").cast("double") / F.count(F.lit(1))).alias("mean")))
     q = quantiles(yr.withColumn("v", F.col("SaleTotal").cast("double")), ["YearLabel"], "v",
                   {"median": 0.5, "p90": 0.9})
-    stats = mean.join(q, "YearLabel", "full")
+    stats = join_on(mean, q, ["YearLabel"], "full")
     wide = stats.agg(*[F.max(F.when(F.col("YearLabel") == lab, F.col(s))).alias(f"{s}{suf}")
                        for s in ("mean", "median", "p90") for lab, suf in ((THIS_YEAR, "_ty"), (LAST_YEAR, "_ly"))])
     rows = []

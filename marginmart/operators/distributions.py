@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.enrich import FINE_LEAD_LABELS, LAST_YEAR, THIS_YEAR, fine_lead_bucket, fine_lead_order
+from .joins import join_on
 from .quantiles import quantile_scalar, quantiles
 
 
@@ -80,12 +81,12 @@ def clipped_histograms(df: DataFrame, nbins: int = 60) -> DataFrame:
     long = df.selectExpr(f"stack({len(cols)}, {pairs}) as (column_name, x)").where(F.col("x").isNotNull())
     q = quantiles(long, ["column_name"], "x", {"p1": 0.01, "p99": 0.99})
     lo = F.when(F.col("column_name") == "Profit", F.col("p1")).otherwise(F.lit(0.0))
-    clipped = (long.join(F.broadcast(q), "column_name")
+    clipped = (join_on(long, q, ["column_name"], broadcast=True)
                    .select("column_name", F.least(F.greatest(F.col("x"), lo), F.col("p99")).alias("_c")))
     bounds = clipped.groupBy("column_name").agg(F.min("_c").alias("lo"), F.max("_c").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / nbins
     raw = F.when(width > 0, F.floor((F.col("_c") - F.col("lo")) / width)).otherwise(F.lit(0))
-    binned = (clipped.join(F.broadcast(bounds), "column_name")
+    binned = (join_on(clipped, bounds, ["column_name"], broadcast=True)
                      .withColumn("bin", F.least(raw, F.lit(nbins - 1)).cast("int")))
     g = binned.groupBy("column_name", "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("count"))
     return g.select("column_name", "bin", (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
@@ -100,7 +101,7 @@ def margin_box(df: DataFrame, group_col: str) -> DataFrame:
     d = df.where(F.col(group_col).isNotNull())
     q = quantiles(d, [group_col], "ProfitMargin", FIVE)
     n = d.where(F.col("ProfitMargin").isNotNull()).groupBy(group_col).agg(F.count(F.lit(1)).alias("n"))
-    out = q.join(n, group_col)
+    out = join_on(q, n, [group_col])
     rank = F.row_number().over(Window.orderBy(F.col("median").desc(), F.col(group_col))) - 1
     return out.select(F.col(group_col).alias("group_value"), *FIVE, "n", rank.alias("median_rank"))
 
@@ -111,7 +112,7 @@ def margin_summary(df: DataFrame, group_col: str) -> DataFrame:
     g = d.groupBy(group_col).agg(M.dsum("SaleTotal").alias("rev"), F.count(F.lit(1)).alias("orders"),
                                  F.count_if(F.col("Profit") < 0).alias("loss"))
     q = quantiles(d, [group_col], "ProfitMargin", {"median": 0.5, "p25": 0.25, "p75": 0.75})
-    out = g.join(q, group_col, "left")
+    out = join_on(g, q, [group_col], "left")
     return out.select(F.col(group_col).alias("group_value"), F.col("rev").cast("double").alias("revenue"),
                       *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"{c}_margin") for c in ("median", "p25", "p75")],
                       F.col("loss").alias("loss_orders"), (F.col("loss") / F.col("orders") * 100).alias("loss_pct"),
@@ -128,7 +129,7 @@ def lead_bucket_margin(df: DataFrame) -> DataFrame:
     g = d.groupBy("bucket", "bucket_order").agg(F.count(F.lit(1)).alias("orders"),
                                                 M.dsum("SaleTotal").alias("rev"), M.dsum("Profit").alias("prof"))
     q = quantiles(d, ["bucket"], "ProfitMargin", {"median_margin": 0.5})
-    out = g.join(q, "bucket", "left")
+    out = join_on(g, q, ["bucket"], "left")
     return out.select("bucket", "bucket_order", "orders", "median_margin",
                       F.when(F.col("rev") != 0, F.col("prof").cast("double") / F.col("rev").cast("double") * 100)
                       .alias("agg_margin"))
@@ -148,7 +149,7 @@ def robust_ranges(table: DataFrame, columns: Sequence[str]) -> DataFrame:
     long = _long(table, columns).where(_finite(F.col("value")))
     q = quantiles(long, ["column_name"], "value", {"p10": 0.1, "p90": 0.9})
     n = long.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
-    out = n.join(q, "column_name", "left")
+    out = join_on(n, q, ["column_name"], "left")
     ok = (F.col("n") >= 2) & (F.col("p10") != F.col("p90"))
     return out.select("column_name", F.when(ok, F.col("p10")).alias("lo"), F.when(ok, F.col("p90")).alias("hi"))
 
@@ -161,7 +162,7 @@ def diverging_bounds(table: DataFrame, columns: Sequence[str], method: str = "p9
     if method == "max":
         out = n.withColumn("b", F.col("mx"))
     else:
-        out = n.join(quantiles(long, ["column_name"], "value", {"b": 0.9}), "column_name", "left")
+        out = join_on(n, quantiles(long, ["column_name"], "value", {"b": 0.9}), ["column_name"], "left")
     ok = (F.col("n") >= 2) & (F.col("b") != 0)
     return out.select("column_name", F.when(ok, F.col("b")).alias("bound"))
 

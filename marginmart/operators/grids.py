@@ -19,6 +19,7 @@ from ..functions import metrics as M
 from ..functions.enrich import DAYS_ORDER
 from ..functions.labels import compact_money
 from ..sources.dims import SPORTS
+from .joins import join_on
 from .quantiles import quantiles
 
 SUM_METRICS = ("SaleTotal", "Profit")
@@ -37,7 +38,7 @@ def grid_cells(df: DataFrame, row_col: str, col_col: str, metric: str = "SaleTot
 def _top(cells: DataFrame, axis: str, n: int) -> DataFrame:
     keep = (cells.groupBy(axis).agg(F.sum(F.abs("_w")).alias("_a"))
                  .orderBy(F.col("_a").desc(), F.col(axis)).limit(n).select(axis))
-    return cells.join(keep, axis, "left_semi")
+    return join_on(cells, keep, [axis], "left_semi")
 
 
 def heatmap_grid(df: DataFrame, row_col: str, col_col: str, metric: str = "SaleTotal",
@@ -55,7 +56,7 @@ def heatmap_grid(df: DataFrame, row_col: str, col_col: str, metric: str = "SaleT
     cols = cells.select("col_label", "_ct").distinct()
     rows = rows.withColumn("row_order", F.row_number().over(Window.orderBy(F.col("_rt").asc(), "row_label")) - 1)
     cols = cols.withColumn("col_order", F.row_number().over(Window.orderBy(F.col("_ct").desc(), "col_label")) - 1)
-    out = cells.join(rows.drop("_rt"), "row_label").join(cols.drop("_ct"), "col_label")
+    out = join_on(join_on(cells, rows.drop("_rt"), ["row_label"]), cols.drop("_ct"), ["col_label"])
     return out.select("row_label", "col_label", "value",
                       F.col("_rt").cast("double").alias("row_total"), F.col("_ct").cast("double").alias("col_total"),
                       "row_order", "col_order")

@@ -8,7 +8,8 @@ instead:
    the key distribution, so a hot group is *split* over many partitions — sorts within
    each partition, and numbers the rows: ``monotonically_increasing_id`` gives the row
    index inside a partition, and a prefix sum over the per-partition counts (one row per
-   partition, broadcast) gives each partition's offset.
+   partition, broadcast) gives each partition's offset.  The numbered rows are
+   checkpointed once so every later step sees the same partition cut.
 2. Per group, the count and the first position (``min``) are algebraic aggregates.
 3. The positions a quantile needs (floor / ceil of ``p * (n - 1)``) are joined back on
    the unique position column, so that join has no skew; the values are interpolated
@@ -26,6 +27,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+from .joins import join_on
+
 POS = "_pos"
 # Quantiles are rounded to this many decimals (well below the 4-decimal money inputs), so a
 # result does not depend on the last bit of the interpolation arithmetic.
@@ -46,12 +50,19 @@ def global_positions(df: DataFrame, order_cols: Sequence[str | Column],
            .withColumn("_pid", F.spark_partition_id())
            .withColumn("_rip", F.monotonically_increasing_id()
                        - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)))
+    # The range bounds come from sampling the input, and the input order after a shuffle is
+    # not fixed, so two evaluations could cut the partitions differently.  A reliable
+    # checkpoint (in the cluster's shared checkpoint folder) pins one cut: the partition
+    # counts and the row numbers below are read from the same files, also after a lost
+    # executor.
+    ensure_checkpoint_dir(df.sparkSession)
+    s = s.checkpoint(eager=True)
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
     # One row per partition: a proven size bound for the broadcast.
-    return (s.join(F.broadcast(offsets), "_pid")
-             .select(*cols, (F.col("_off") + F.col("_rip")).alias(POS)))
+    return (join_on(s, offsets, ["_pid"], broadcast=True)
+            .select(*cols, (F.col("_off") + F.col("_rip")).alias(POS)))
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
@@ -84,10 +95,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
                                 (rn - F.floor(rn)).alias("_frac")))
     wanted = stats.select(*keys, F.inline(F.array(*targets)))
     need = (wanted.select(F.explode(F.array("_lo", "_hi")).alias(POS)).distinct())
-    vals = pos.join(need, POS, "left_semi").select(POS, "_v")
+    vals = join_on(pos, need, [POS], "left_semi").select(POS, "_v")
     lo = vals.select(F.col(POS).alias("_lo"), F.col("_v").alias("_lo_v"))
     hi = vals.select(F.col(POS).alias("_hi"), F.col("_v").alias("_hi_v"))
-    picked = (wanted.join(lo, "_lo").join(hi, "_hi")
+    picked = (join_on(join_on(wanted, lo, ["_lo"]), hi, ["_hi"])
                     .withColumn("_qv", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo_v"))
                                 .otherwise(F.col("_lo_v") + (F.col("_hi_v") - F.col("_lo_v")) * F.col("_frac"))))
     outs = [_round(F.max(F.when(F.col("_q") == name, F.col("_qv"))), digits).alias(name) for name in probs]

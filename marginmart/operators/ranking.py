@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions.enrich import THIS_YEAR
 from . import compare as C
+from .joins import join_on
 
 EVENT_KEYS = ("EventName", "VenueName", "EventDate_dt")
 
@@ -41,7 +42,7 @@ def team_breakdown(df: DataFrame, years: Sequence[str] | None = (THIS_YEAR,)) ->
     affs = per_aff.groupBy("HomeTeam").agg(F.min_by("CompanyName", key).alias("top_affiliate"),
                                            F.max_by("CompanyName", key).alias("worst"),
                                            F.count(F.lit(1)).alias("n_aff"))
-    out = teams.join(affs, "HomeTeam", "left")
+    out = join_on(teams, affs, ["HomeTeam"], "left")
     return out.select(
         F.col("HomeTeam").alias("team"), "sport",
         F.col("rev").cast("double").alias("revenue"), F.col("prof").cast("double").alias("profit"),

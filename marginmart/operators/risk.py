@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from .joins import join_on
 from .quantiles import quantiles
 
 
@@ -56,7 +57,7 @@ def loss_profile(df: DataFrame, min_orders: int = 50, n: int = 15) -> DataFrame:
     g = d.groupBy("CompanyName").agg(F.count_if(loss).alias("loss_orders"), M.dsum("Profit", loss).alias("l"),
                                      F.count(F.lit(1)).alias("total_orders"))
     med = quantiles(d.where(loss), ["CompanyName"], "Profit", {"median_loss": 0.5})
-    out = g.where((F.col("loss_orders") > 0) & (F.col("total_orders") >= min_orders)).join(med, "CompanyName", "left")
+    out = join_on(g.where((F.col("loss_orders") > 0) & (F.col("total_orders") >= min_orders)), med, ["CompanyName"], "left")
     return (out.select(F.col("CompanyName").alias("affiliate"), "loss_orders",
                        F.col("l").cast("double").alias("loss_dollars"), "median_loss", "total_orders",
                        (F.col("loss_orders") / F.col("total_orders") * 100).alias("loss_pct"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import enrich as E
+from ..functions import labels as L
 from ..operators import compare as C
 from ..operators import distributions as D
 from ..operators import profile as P
@@ -549,3 +550,15 @@ def _export_rollup(e: DataFrame) -> DataFrame:
 def _filtered_total(e: DataFrame) -> DataFrame:
     """Last-year revenue of the export rollup."""
     return P.filtered_total(e)
+
+
+# --- labels ----------------------------------------------------------------------------------
+
+@query("labels")
+def _labels(e: DataFrame) -> DataFrame:
+    """Display labels of the monthly KPI table."""
+    m = C.monthly_kpi(e)
+    return m.select("year_month", L.month_label(F.to_timestamp_ntz(F.concat("year_month", F.lit("-01")))).alias("month_label"),
+                    L.money("revenue").alias("revenue_text"), L.compact_money("profit").alias("profit_compact"),
+                    L.pct("margin").alias("margin_text"), L.pct("revenue_yoy_pct", signed=True).alias("yoy_text"),
+                    L.integer("orders").alias("orders_text"))

@@ -638,6 +638,33 @@ SELECT CAST({dsum('SaleTotal')} AS DOUBLE) AS last_year_revenue FROM e
 WHERE {_EXP_WHERE} AND YEAR = 'last_year'""")
 
 
+# --- labels ----------------------------------------------------------------------------------
+
+def money_sql(v: str) -> str:
+    return (f"CASE WHEN {v} IS NULL OR isnan({v}) THEN '—' ELSE "
+            f"(CASE WHEN {v} < 0 THEN '-' ELSE '' END) || '$' || format('{{:,.0f}}', abs({v})) END")
+
+
+def pct_sql(v: str, signed: bool = False) -> str:
+    sign = f"CASE WHEN {v} >= 0 THEN '+' ELSE '-' END" if signed else f"CASE WHEN {v} < 0 THEN '-' ELSE '' END"
+    return f"CASE WHEN {v} IS NULL OR isnan({v}) THEN '—' ELSE {sign} || format('{{:,.1f}}', abs({v})) || '%' END"
+
+
+def int_sql(v: str) -> str:
+    return (f"CASE WHEN {v} IS NULL THEN '—' ELSE (CASE WHEN {v} < 0 THEN '-' ELSE '' END) "
+            f"|| format('{{:,.0f}}', abs(CAST({v} AS DOUBLE))) END")
+
+
+ORACLE["labels"] = with_enriched(f"""
+SELECT strftime(m.month_start, '%Y-%m') AS year_month, strftime(m.month_start, '%b %y') AS month_label,
+  {money_sql('CAST(m.rev AS DOUBLE)')} AS revenue_text, {compact_money_sql('CAST(m.prof AS DOUBLE)')} AS profit_compact,
+  {pct_sql(gpct('m.prof', 'm.rev'))} AS margin_text,
+  {pct_sql("(CASE WHEN p.rev > 0 THEN (CAST(m.rev AS DOUBLE) - CAST(p.rev AS DOUBLE)) / CAST(p.rev AS DOUBLE) * 100 END)", True)} AS yoy_text,
+  {int_sql('m.orders')} AS orders_text
+FROM mi m LEFT JOIN mi p ON p.idx = m.idx - 12""",
+    _MONTHS, "mi AS (SELECT *, year(month_start) * 12 + month(month_start) AS idx FROM m)")
+
+
 def _wrap_calls(sql: str, fn: str, before: str, after: str) -> str:
     out, i, key = [], 0, fn + "("
     while True:
