@@ -195,3 +195,9 @@ def section_codes(df: DataFrame) -> DataFrame:
                                       F.count("InvoiceID").alias("orders"), F.avg("ProfitMargin").alias("m"))
     return g.select(F.col("Section_Type").alias("section_type"), F.col("rev").cast("double").alias("revenue"),
                     F.col("prof").cast("double").alias("profit"), "orders", F.round("m", 6).alias("avg_margin"))
+
+
+def sort_table(table: DataFrame, column: str, descending: bool = True) -> DataFrame:
+    """Re-sort a finished table by one column, missing values last either way."""
+    c = F.col(column)
+    return table.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last())

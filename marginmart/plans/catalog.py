@@ -226,6 +226,13 @@ def _sport_list(e: DataFrame) -> DataFrame:
     return S.distinct_values(e, "Sport")
 
 
+@query("venue_rollup")
+def _venue_rollup(e: DataFrame) -> DataFrame:
+    """Generic group aggregate by venue: revenue sum, mean quantity, invoice count."""
+    return C.group_agg(e, "VenueName", {"revenue": ("sum", "SaleTotal"), "avg_quantity": ("mean", "Quantity"),
+                                        "orders": ("count", "InvoiceID")})
+
+
 @query("share_revenue")
 def _share_revenue(e: DataFrame) -> DataFrame:
     """This-year revenue share by sport."""
@@ -258,7 +265,7 @@ def _grid_affiliate_sport(e: DataFrame) -> DataFrame:
 
 @query("grid_affiliate_tier")
 def _grid_affiliate_tier(e: DataFrame) -> DataFrame:
-    """This-year margin, affiliate x marketplace tier."""
+    """This-year revenue, affiliate x marketplace tier."""
     return G.heatmap_grid(_ty(e), "CompanyName", "MarketplaceTier", "SaleTotal")
 
 

@@ -262,6 +262,11 @@ ORACLE["affiliate_list"] = with_enriched("""
 SELECT 'All Affiliates' AS affiliate, 0 AS position
 UNION ALL SELECT DISTINCT CompanyName, 1 FROM e WHERE CompanyName IS NOT NULL""")
 
+ORACLE["venue_rollup"] = with_enriched("""
+SELECT VenueName, CAST(coalesce(sum(SaleTotal), 0) AS DOUBLE) AS revenue, avg(Quantity) AS avg_quantity,
+  count(InvoiceID) AS orders
+FROM e WHERE VenueName IS NOT NULL AND CAST(VenueName AS VARCHAR) <> '' GROUP BY 1""")
+
 ORACLE["sport_list"] = with_enriched("SELECT DISTINCT Sport AS value FROM e WHERE Sport IS NOT NULL")
 
 
