@@ -15,8 +15,9 @@ instead:
    the unique position column, so that join has no skew; the values are interpolated
    linearly, as ``percentile`` / pandas ``quantile`` / DuckDB ``quantile_cont`` do.
 
-Every step is a bounded-memory shuffle; the only single-task step is the prefix sum
-over one row per partition.  ``method="approx"`` uses ``percentile_approx`` (a
+Equal values are combined into weighted runs first, so a value repeated by a third of
+all rows is one row, not a hot task.  Every step is a bounded-memory shuffle; the only
+single-task step is the prefix sum over one row per partition.  ``method="approx"`` uses ``percentile_approx`` (a
 mergeable sketch) instead, for callers that accept its rank error.
 """
 
@@ -26,6 +27,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import ensure_checkpoint_dir
 from .joins import join_on
@@ -65,6 +67,42 @@ def global_positions(df: DataFrame, order_cols: Sequence[str | Column],
             .select(*cols, (F.col("_off") + F.col("_rip")).alias(POS)))
 
 
+def run_positions(runs: DataFrame, order_cols: Sequence[str], weight: str,
+                  num_partitions: int | None = None) -> DataFrame:
+    """Add ``_pid`` and ``_start`` to weighted runs: a run of ``weight`` equal rows covers the
+    global positions ``[_start, _start + weight)`` in the order of ``order_cols``.
+
+    Range partitioning (sampled, so it splits hot keys), a checkpoint that pins the cut,
+    a per-partition running sum (``mapInPandas``: one sequential pass over each sorted
+    partition, no shuffle), and a prefix sum over one total per partition (broadcast).
+    """
+    n = num_partitions or _num_partitions(runs)
+    s = (runs.repartitionByRange(n, *order_cols)
+             .sortWithinPartitions(*order_cols)
+             .withColumn("_pid", F.spark_partition_id()))
+    ensure_checkpoint_dir(runs.sparkSession)
+    s = s.checkpoint(eager=True)
+    schema = StructType(s.schema.fields + [StructField("_before", LongType(), False)])
+
+    def running(batches):
+        carry: dict[int, int] = {}
+        for pdf in batches:
+            w = pdf[weight].astype("int64")
+            inner = w.groupby(pdf["_pid"]).cumsum() - w
+            base = pdf["_pid"].map(lambda p: carry.get(int(p), 0)).astype("int64")
+            pdf["_before"] = (base + inner).astype("int64")
+            for pid, tot in w.groupby(pdf["_pid"]).sum().items():
+                carry[int(pid)] = carry.get(int(pid), 0) + int(tot)
+            yield pdf
+
+    within = s.mapInPandas(running, schema)
+    totals = s.groupBy("_pid").agg(F.sum(weight).alias("_tot"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"))
+    return (join_on(within, offsets, ["_pid"], broadcast=True)
+            .withColumn("_start", F.col("_off") + F.col("_before")).drop("_off", "_before"))
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
               probs: Mapping[str, float], method: str = "exact",
               accuracy: int = 10000, digits: int | None = DIGITS) -> DataFrame:
@@ -72,37 +110,53 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
 
     Returns ``keys`` + one double column per entry of ``probs``; groups without a
     non-null value are absent.
+
+    Equal values are first combined into runs (``groupBy(keys, value).count()``, with
+    map-side combining), so neither a hot group nor a hot value (a third of all rows with
+    the same margin) lands in one task; every join below is an equi-join on bounded keys.
     """
-    keys = list(keys)
+    out_keys = list(keys)
     v = F.col(value) if isinstance(value, str) else value
-    d = df.select(*keys, v.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    keys = out_keys or ["_g"]
+    d = (df.select(*[F.col(k) for k in out_keys], v.cast("double").alias("_v"))
+           .where(F.col("_v").isNotNull() & ~F.isnan("_v")))
     if method == "approx":
         aggs = [_round(F.percentile_approx("_v", p, accuracy), digits).alias(name) for name, p in probs.items()]
-        return d.groupBy(*keys).agg(*aggs) if keys else d.agg(*aggs)
+        return d.groupBy(*out_keys).agg(*aggs) if out_keys else d.agg(*aggs)
     if method != "exact":
         raise ValueError(f"unknown method {method!r}")
+    if not out_keys:
+        d = d.withColumn("_g", F.lit(0))
 
-    pos = global_positions(d, [*keys, "_v"])
-    stat_aggs = [F.count(F.lit(1)).alias("_n"), F.min(POS).alias("_start")]
-    stats = pos.groupBy(*keys).agg(*stat_aggs) if keys else pos.agg(*stat_aggs)
+    runs = d.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_cnt"))
+    pos = run_positions(runs, [*keys, "_v"], "_cnt")
+    # One row per (partition, group): bounded by partitions + groups.
+    pg = pos.groupBy("_pid", *keys).agg(F.min("_start").alias("_pstart"), F.sum("_cnt").alias("_pcnt"))
+    stats = pg.groupBy(*keys).agg(F.sum("_pcnt").alias("_n"), F.min("_pstart").alias("_gstart"))
 
     targets = []
     for name, p in probs.items():
         rn = F.lit(float(p)) * (F.col("_n") - 1).cast("double")
         targets.append(F.struct(F.lit(name).alias("_q"),
-                                (F.col("_start") + F.floor(rn)).alias("_lo"),
-                                (F.col("_start") + F.ceil(rn)).alias("_hi"),
+                                (F.col("_gstart") + F.floor(rn)).alias("_lo"),
+                                (F.col("_gstart") + F.ceil(rn)).alias("_hi"),
                                 (rn - F.floor(rn)).alias("_frac")))
     wanted = stats.select(*keys, F.inline(F.array(*targets)))
-    need = (wanted.select(F.explode(F.array("_lo", "_hi")).alias(POS)).distinct())
-    vals = join_on(pos, need, [POS], "left_semi").select(POS, "_v")
-    lo = vals.select(F.col(POS).alias("_lo"), F.col("_v").alias("_lo_v"))
-    hi = vals.select(F.col(POS).alias("_hi"), F.col("_v").alias("_hi_v"))
-    picked = (join_on(join_on(wanted, lo, ["_lo"]), hi, ["_hi"])
-                    .withColumn("_qv", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo_v"))
-                                .otherwise(F.col("_lo_v") + (F.col("_hi_v") - F.col("_lo_v")) * F.col("_frac"))))
+    need = wanted.select(*keys, F.explode(F.array("_lo", "_hi")).alias("_t")).distinct()
+    # The partition holding each target position, then the run covering it.
+    need_pid = (join_on(need, pg, keys)
+                .where((F.col("_t") >= F.col("_pstart")) & (F.col("_t") < F.col("_pstart") + F.col("_pcnt")))
+                .select(*keys, "_t", "_pid"))
+    cover = (join_on(pos, need_pid, ["_pid", *keys])
+             .where((F.col("_t") >= F.col("_start")) & (F.col("_t") < F.col("_start") + F.col("_cnt")))
+             .select(*keys, "_t", "_v"))
+    lo = cover.select(*keys, F.col("_t").alias("_lo"), F.col("_v").alias("_lo_v"))
+    hi = cover.select(*keys, F.col("_t").alias("_hi"), F.col("_v").alias("_hi_v"))
+    picked = (join_on(join_on(wanted, lo, [*keys, "_lo"]), hi, [*keys, "_hi"])
+              .withColumn("_qv", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo_v"))
+                          .otherwise(F.col("_lo_v") + (F.col("_hi_v") - F.col("_lo_v")) * F.col("_frac"))))
     outs = [_round(F.max(F.when(F.col("_q") == name, F.col("_qv"))), digits).alias(name) for name in probs]
-    return picked.groupBy(*keys).agg(*outs) if keys else picked.agg(*outs)
+    return picked.groupBy(*out_keys).agg(*outs) if out_keys else picked.agg(*outs)
 
 
 def _round(c: Column, digits: int | None) -> Column:

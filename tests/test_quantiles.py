@@ -35,3 +35,14 @@ def test_global_quantile_and_empty_group(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (None,)], "v double")
     r = quantiles(df, [], "v", {"m": 0.5, "q": 0.25}).first()
     assert (r.m, r.q) == (2.0, 1.5)
+
+
+def test_hot_value_and_hot_group(spark):
+    """A third of all rows share one group AND one value: still exact."""
+    rows = [("hot", 0.0)] * 4000 + [("hot", float(i)) for i in range(2000)] + [(f"g{i % 5}", float(i % 97)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    got = {r.g: r for r in quantiles(df, ["g"], "v", {"p25": 0.25, "p50": 0.5, "p99": 0.99}, digits=None).collect()}
+    for g in {r[0] for r in rows}:
+        xs = np.array([v for gg, v in rows if gg == g])
+        for name, p in (("p25", 0.25), ("p50", 0.5), ("p99", 0.99)):
+            assert getattr(got[g], name) == pytest.approx(float(np.quantile(xs, p)), abs=1e-9)
