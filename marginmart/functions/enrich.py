@@ -174,6 +174,9 @@ def fine_lead_order(days: str | Column = "LeadTimeDays") -> Column:
 
 # --- sections -------------------------------------------------------------------
 
+# Upper / trim / lower / split / substring match / regex findall are the built-in
+# upper, trim, lower, split_part, rlike and regexp_extract_all used below.
+
 def section_digits(section: str | Column = "Section") -> Column:
     """Every digit run of the upper-cased section, concatenated."""
     s = F.upper(F.coalesce(_c(section).cast("string"), F.lit("")))

@@ -74,3 +74,23 @@ def clip(x: str | Column, lo: Column, hi: Column) -> Column:
 def break_even_side(profit: str | Column = "Profit") -> Column:
     """True on the profit side of the break-even line."""
     return _c(profit) >= 0
+
+
+def round_table(df, money=(), pct=(), money_digits: int = 2, pct_digits: int = 1):
+    """Round money columns to 2 and percent columns to 1 digit, at the edge only."""
+    from pyspark.sql import functions as F
+    cols = []
+    for c in df.columns:
+        if c in money:
+            cols.append(F.round(F.col(c), money_digits).alias(c))
+        elif c in pct:
+            cols.append(F.round(F.col(c), pct_digits).alias(c))
+        else:
+            cols.append(F.col(c))
+    return df.select(*cols)
+
+
+def month_key_text(c: str | Column) -> Column:
+    """First seven characters of an ISO date text (``2024-10``); E7 is used instead
+    wherever a parsed timestamp exists."""
+    return F.substring(_c(c), 1, 7)

@@ -44,11 +44,12 @@ def yoy_table(df: DataFrame, group_col: str, top_n: int | None = None,
     year shows zeros for it.  Sorted by ``sort_by`` descending (group name breaks ties);
     ``top_n`` keeps the first rows of that order (T8).
     """
+    # F6 (null groups dropped); J6: both years aligned per group in one aggregate.
     g = (df.where(F.col(group_col).isNotNull())
            .groupBy(group_col)
            .agg(*M.component_aggs(TY(), "_ty"), *M.component_aggs(LY(), "_ly")))
     out = g.select(F.col(group_col), *_yoy_columns(include_ratio))
-    out = out.orderBy(F.col(sort_by).desc(), F.col(group_col))
+    out = out.orderBy(F.col(sort_by).desc(), F.col(group_col))  # T1
     return out.limit(top_n) if top_n else out
 
 
@@ -177,7 +178,7 @@ def monthly_kpi(df: DataFrame) -> DataFrame:
            .groupBy(month.alias("month_start"))
            .agg(*M.component_aggs()))
     idx = F.year("month_start") * 12 + F.month("month_start")
-    w = Window.orderBy("month_idx").rangeBetween(-12, -12)
+    w = Window.orderBy("month_idx").rangeBetween(-12, -12)  # J5 / W4
     g = g.withColumn("month_idx", idx).withColumn("prior_rev", F.max("rev").over(w))
     return g.select(
         F.date_format("month_start", "yyyy-MM").alias("year_month"),
@@ -199,6 +200,7 @@ def yoy_compare(df: DataFrame, group_col: str, metric: str = "SaleTotal", top_n:
     if top_n:
         g = (g.withColumn("_abs", F.abs("v_ty") + F.abs("v_ly"))
                .orderBy(F.col("_abs").desc(), F.col(group_col)).limit(top_n).drop("_abs"))
+    # U4: long form (one row per group and year) by unpivoting the two year columns.
     return g.select(F.col(group_col).alias("group_value"),
                     F.expr(f"stack(2, '{LAST_YEAR}', v_ly, '{THIS_YEAR}', v_ty) as (year_label, value)"))
 
@@ -222,7 +224,7 @@ def affiliate_yoy(df: DataFrame, affiliate: str | None = None) -> DataFrame:
 
 
 def affiliate_vs_portfolio(df: DataFrame, affiliate: str | None = None) -> DataFrame:
-    """An affiliate's this-year revenue, profit, average order and margin against the
+    """A21 (+A59 count distinct): an affiliate's this-year revenue, profit, average order and margin against the
     portfolio, whose revenue and profit are divided by the number of distinct affiliates.
 
     Portfolio values are one-row aggregates attached as scalar subqueries (no join).
@@ -352,7 +354,8 @@ AGG_FUNCTIONS = {"sum": F.sum, "mean": F.avg, "count": F.count}
 
 
 def group_agg(df: DataFrame, key: str, spec: dict[str, tuple[str, str]]) -> DataFrame:
-    """``{output: (sum | mean | count, source column)}`` per non-null, non-empty key.
+    """A51 / A52 (U5 grouping): ``{output: (sum | mean | count, source column)}`` per
+    non-null, non-empty key (F12).
 
     Decimal sums stay exact; means are of the finite values (nulls skipped by Spark)."""
     k = F.col(key)

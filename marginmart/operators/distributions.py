@@ -56,7 +56,7 @@ def margin_histogram(df: DataFrame, nbins: int = 50) -> DataFrame:
 
 
 def lead_time_histogram(df: DataFrame, lo: int = -30, hi: int = 365, nbins: int = 60) -> DataFrame:
-    """Lead-time days within [lo, hi] per year, ``nbins`` bins over that range."""
+    """A9 (F7 inclusive range): lead-time days within [lo, hi] per year, ``nbins`` bins over that range."""
     d = _labeled(df).where(F.col("LeadTimeDays").between(lo, hi))
     return histogram(d, "LeadTimeDays", nbins, lo=float(lo), hi=float(hi), by=["YearLabel"])
 

@@ -36,6 +36,7 @@ def grid_cells(df: DataFrame, row_col: str, col_col: str, metric: str = "SaleTot
 
 
 def _top(cells: DataFrame, axis: str, n: int) -> DataFrame:
+    """T3 + F14 / J8: keep the cells of the top-N labels (left semi join to the top-N set)."""
     keep = (cells.groupBy(axis).agg(F.sum(F.abs("_w")).alias("_a"))
                  .orderBy(F.col("_a").desc(), F.col(axis)).limit(n).select(axis))
     return join_on(cells, keep, [axis], "left_semi")

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -42,6 +43,16 @@ def _num_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _pin(s: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared checkpoint folder.  The frame is persisted for the
+    duration of the write, so checkpointing does not run the shuffle and sort twice."""
+    ensure_checkpoint_dir(s.sparkSession)
+    s = s.persist(StorageLevel.MEMORY_AND_DISK)
+    pinned = s.checkpoint(eager=True)
+    s.unpersist()
+    return pinned
+
+
 def global_positions(df: DataFrame, order_cols: Sequence[str | Column],
                      num_partitions: int | None = None) -> DataFrame:
     """Add ``_pos``: the 0-based position of each row in the global order of ``order_cols``."""
@@ -57,8 +68,7 @@ def global_positions(df: DataFrame, order_cols: Sequence[str | Column],
     # checkpoint (in the cluster's shared checkpoint folder) pins one cut: the partition
     # counts and the row numbers below are read from the same files, also after a lost
     # executor.
-    ensure_checkpoint_dir(df.sparkSession)
-    s = s.checkpoint(eager=True)
+    s = _pin(s)
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
@@ -80,8 +90,7 @@ def run_positions(runs: DataFrame, order_cols: Sequence[str], weight: str,
     s = (runs.repartitionByRange(n, *order_cols)
              .sortWithinPartitions(*order_cols)
              .withColumn("_pid", F.spark_partition_id()))
-    ensure_checkpoint_dir(runs.sparkSession)
-    s = s.checkpoint(eager=True)
+    s = _pin(s)
     schema = StructType(s.schema.fields + [StructField("_before", LongType(), False)])
 
     def running(batches):

@@ -85,7 +85,7 @@ def bottom_events(df: DataFrame, n: int = 15) -> DataFrame:
 
 
 def worst_loss_orders(df: DataFrame, n: int = 20) -> DataFrame:
-    """T6 + E28: the ``n`` loss orders with the lowest profit, report columns renamed."""
+    """T6 + E28 (+F10): the ``n`` loss orders with the lowest profit, report columns renamed."""
     d = df.where(F.col("Profit") < 0)
     cols = [F.col("YearLabel").alias("year"), F.col("CompanyName").alias("affiliate"),
             F.col("EventName").alias("event"), F.col("VenueName").alias("venue"),
@@ -188,7 +188,7 @@ def margin_by_dimension(df: DataFrame, dims: Sequence[str] = MARGIN_DIMENSIONS,
 
 
 def section_codes(df: DataFrame) -> DataFrame:
-    """Per raw section letter code (non-empty): revenue, profit, orders and the MEAN
+    """A33 (+F12 non-empty): per raw section letter code: revenue, profit, orders and the MEAN
     row margin (the one place the source averages row margins), rounded to 6 decimals."""
     d = df.where(F.col("Section_Type").isNotNull() & (F.col("Section_Type") != ""))
     g = d.groupBy("Section_Type").agg(M.dsum("SaleTotal").alias("rev"), M.dsum("Profit").alias("prof"),

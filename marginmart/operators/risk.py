@@ -25,7 +25,7 @@ def delivery_kpis(df: DataFrame) -> DataFrame:
 
 
 def undelivered_by_affiliate(df: DataFrame) -> DataFrame:
-    """Undelivered orders (non-null invoice ids) and lost revenue per affiliate."""
+    """A35 (F11): undelivered orders (non-null invoice ids) and lost revenue per affiliate."""
     d = df.where(~F.coalesce(F.col("IsDelivered"), F.lit(False)) & F.col("CompanyName").isNotNull())
     return (d.groupBy("CompanyName").agg(F.count("InvoiceID").alias("undelivered"),
                                          M.dsum("SaleTotal").cast("double").alias("lost_revenue"))
@@ -50,7 +50,7 @@ def delivery_rate_by_affiliate(df: DataFrame) -> DataFrame:
 
 
 def loss_profile(df: DataFrame, min_orders: int = 50, n: int = 15) -> DataFrame:
-    """A44 (+F13): per affiliate with at least ``min_orders`` orders: loss orders, loss
+    """A44 (+F10, F13, J4 in one pass): per affiliate with at least ``min_orders`` orders: loss orders, loss
     dollars, median loss, total orders and loss share; the ``n`` largest losses first."""
     d = df.where(F.col("CompanyName").isNotNull())
     loss = F.col("Profit") < 0

@@ -50,7 +50,7 @@ def affiliate_list(df: DataFrame) -> DataFrame:
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
-    """Sorted distinct non-null values of a column (e.g. the sport picker)."""
+    """A56 (U2 distinct): sorted distinct non-null values of a column (e.g. the sport picker)."""
     return df.where(F.col(col).isNotNull()).select(F.col(col).alias("value")).distinct().orderBy("value")
 
 

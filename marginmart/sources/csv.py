@@ -82,7 +82,7 @@ def coerce(df: DataFrame) -> DataFrame:
 
 
 def lookup_dims(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """Sport (type id, else team, else Other), state by home team, tier by marketplace.
+    """E21-E23 via J1-J3: sport (type id, else team, else Other), state by home team, tier by marketplace.
 
     The three dimension tables are fixed-size, so each is a broadcast hash join; the
     team table has a unique key, so the joins never multiply rows.
