@@ -25,6 +25,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,39 +79,38 @@ def global_positions(df: DataFrame, order_cols: Sequence[str | Column],
             .select(*cols, (F.col("_off") + F.col("_rip")).alias(POS)))
 
 
-def run_positions(runs: DataFrame, order_cols: Sequence[str], weight: str,
-                  num_partitions: int | None = None) -> DataFrame:
-    """Add ``_pid`` and ``_start`` to weighted runs: a run of ``weight`` equal rows covers the
-    global positions ``[_start, _start + weight)`` in the order of ``order_cols``.
-
-    Range partitioning (sampled, so it splits hot keys), a checkpoint that pins the cut,
-    a per-partition running sum (``mapInPandas``: one sequential pass over each sorted
-    partition, no shuffle), and a prefix sum over one total per partition (broadcast).
-    """
-    n = num_partitions or _num_partitions(runs)
-    s = (runs.repartitionByRange(n, *order_cols)
-             .sortWithinPartitions(*order_cols)
-             .withColumn("_pid", F.spark_partition_id()))
-    s = _pin(s)
-    schema = StructType(s.schema.fields + [StructField("_before", LongType(), False)])
+def _chunk_running_sum(keys: Sequence[str], weight: str):
+    """Per-partition function: running sum of ``weight`` before each row, restarting at
+    every change of (``_pid``, keys).  Rows arrive sorted, so a chunk is contiguous; it may
+    span Arrow batches, which the carried total covers.  Vectorised pandas, no row loop."""
+    cols = ["_pid", *keys]
 
-    def running(batches):
-        carry: dict[int, int] = {}
+    def run(batches):
+        prev_key, carry = None, 0
         for pdf in batches:
+            if len(pdf) == 0:
+                yield pdf.assign(_before=pd.Series([], dtype="int64"))
+                continue
             w = pdf[weight].astype("int64")
-            inner = w.groupby(pdf["_pid"]).cumsum() - w
-            base = pdf["_pid"].map(lambda p: carry.get(int(p), 0)).astype("int64")
-            pdf["_before"] = (base + inner).astype("int64")
-            for pid, tot in w.groupby(pdf["_pid"]).sum().items():
-                carry[int(pid)] = carry.get(int(pid), 0) + int(tot)
-            yield pdf
-
-    within = s.mapInPandas(running, schema)
-    totals = s.groupBy("_pid").agg(F.sum(weight).alias("_tot"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"))
-    return (join_on(within, offsets, ["_pid"], broadcast=True)
-            .withColumn("_start", F.col("_off") + F.col("_before")).drop("_off", "_before"))
+            change = pd.Series(False, index=pdf.index)
+            for c in cols:
+                col = pdf[c].astype(object).where(pdf[c].notna(), "\0null")
+                change |= col.ne(col.shift())
+            change.iloc[0] = True
+            chunk = change.cumsum()
+            before = w.groupby(chunk).cumsum() - w
+            first_key = tuple(pdf[c].iloc[0] for c in cols)
+            if prev_key is not None and first_key == prev_key:
+                before = before.where(chunk != chunk.iloc[0], before + carry)
+                first_total = carry
+            else:
+                first_total = 0
+            last_chunk = chunk.iloc[-1]
+            in_last = chunk == last_chunk
+            carry = int(w[in_last].sum()) + (first_total if last_chunk == chunk.iloc[0] else 0)
+            prev_key = tuple(pdf[c].iloc[-1] for c in cols)
+            yield pdf.assign(_before=before.astype("int64"))
+    return run
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
@@ -120,9 +121,16 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
     Returns ``keys`` + one double column per entry of ``probs``; groups without a
     non-null value are absent.
 
-    Equal values are first combined into runs (``groupBy(keys, value).count()``, with
-    map-side combining), so neither a hot group nor a hot value (a third of all rows with
-    the same margin) lands in one task; every join below is an equi-join on bounded keys.
+    1. Equal values become weighted runs (``groupBy(keys, value).count()``, map-side
+       combined), so neither a hot group nor a hot value lands in one task.
+    2. The runs are range-partitioned by (keys, value) — sampled, so a hot group is split —
+       sorted within partitions and checkpointed (pins the cut).
+    3. Per (partition, group) totals (at most partitions + groups rows) give, with a prefix
+       sum, the first global position of each group's chunk in each partition, and the
+       group size; from these, the positions each quantile needs.
+    4. Only the chunks that hold a needed position are scanned row by row (a sequential
+       running sum per partition, ``mapInPandas``, no shuffle); the covering runs give the
+       values, interpolated linearly like ``percentile`` / DuckDB ``quantile_cont``.
     """
     out_keys = list(keys)
     v = F.col(value) if isinstance(value, str) else value
@@ -138,9 +146,19 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
         d = d.withColumn("_g", F.lit(0))
 
     runs = d.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_cnt"))
-    pos = run_positions(runs, [*keys, "_v"], "_cnt")
-    # One row per (partition, group): bounded by partitions + groups.
-    pg = pos.groupBy("_pid", *keys).agg(F.min("_start").alias("_pstart"), F.sum("_cnt").alias("_pcnt"))
+    n = _num_partitions(runs)
+    s = _pin(runs.repartitionByRange(n, *keys, "_v").sortWithinPartitions(*keys, "_v")
+                 .withColumn("_pid", F.spark_partition_id()))
+
+    # (partition, group) chunks: size and first global position.
+    chunks = s.groupBy("_pid", *keys).agg(F.sum("_cnt").alias("_pcnt"))
+    in_pid = Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("_inner", F.coalesce(F.sum("_pcnt").over(in_pid), F.lit(0)))
+    totals = chunks.groupBy("_pid").agg(F.sum("_pcnt").alias("_tot"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"))
+    pg = (join_on(chunks, offsets, ["_pid"], broadcast=True)
+          .select("_pid", *keys, "_pcnt", (F.col("_off") + F.col("_inner")).alias("_pstart")))
     stats = pg.groupBy(*keys).agg(F.sum("_pcnt").alias("_n"), F.min("_pstart").alias("_gstart"))
 
     targets = []
@@ -152,11 +170,15 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
                                 (rn - F.floor(rn)).alias("_frac")))
     wanted = stats.select(*keys, F.inline(F.array(*targets)))
     need = wanted.select(*keys, F.explode(F.array("_lo", "_hi")).alias("_t")).distinct()
-    # The partition holding each target position, then the run covering it.
-    need_pid = (join_on(need, pg, keys)
-                .where((F.col("_t") >= F.col("_pstart")) & (F.col("_t") < F.col("_pstart") + F.col("_pcnt")))
-                .select(*keys, "_t", "_pid"))
-    cover = (join_on(pos, need_pid, ["_pid", *keys])
+    # Each needed position lies in exactly one chunk (at most 2 x |probs| per group).
+    need_chunk = (join_on(need, pg, keys)
+                  .where((F.col("_t") >= F.col("_pstart")) & (F.col("_t") < F.col("_pstart") + F.col("_pcnt")))
+                  .select(*keys, "_t", "_pid", "_pstart"))
+    hot = join_on(s, need_chunk.select("_pid", *keys).distinct(), ["_pid", *keys], "left_semi", broadcast=True)
+    schema = StructType(hot.schema.fields + [StructField("_before", LongType(), False)])
+    scanned = hot.mapInPandas(_chunk_running_sum(keys, "_cnt"), schema)
+    cover = (join_on(scanned, need_chunk, ["_pid", *keys], broadcast=True)
+             .withColumn("_start", F.col("_pstart") + F.col("_before"))
              .where((F.col("_t") >= F.col("_start")) & (F.col("_t") < F.col("_start") + F.col("_cnt")))
              .select(*keys, "_t", "_v"))
     lo = cover.select(*keys, F.col("_t").alias("_lo"), F.col("_v").alias("_lo_v"))

@@ -46,3 +46,21 @@ def test_hot_value_and_hot_group(spark):
         xs = np.array([v for gg, v in rows if gg == g])
         for name, p in (("p25", 0.25), ("p50", 0.5), ("p99", 0.99)):
             assert getattr(got[g], name) == pytest.approx(float(np.quantile(xs, p)), abs=1e-9)
+
+
+def test_small_arrow_batches_carry_running_sums(spark):
+    """Chunks spanning many Arrow batches still get the right positions."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        rng = np.random.default_rng(5)
+        rows = [("a" if i % 3 else "b", float(rng.integers(0, 50))) for i in range(3000)]
+        df = spark.createDataFrame(rows, "g string, v double")
+        got = {r.g: r for r in quantiles(df, ["g"], "v", {"p37": 0.37, "p81": 0.81}, digits=None).collect()}
+        for g in ("a", "b"):
+            xs = np.array([v for gg, v in rows if gg == g])
+            assert got[g].p37 == pytest.approx(float(np.quantile(xs, 0.37)), abs=1e-9)
+            assert got[g].p81 == pytest.approx(float(np.quantile(xs, 0.81)), abs=1e-9)
+    finally:
+        spark.conf.set(key, old)
