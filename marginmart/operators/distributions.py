@@ -116,7 +116,7 @@ def margin_summary(df: DataFrame, group_col: str) -> DataFrame:
     return out.select(F.col(group_col).alias("group_value"), F.col("rev").cast("double").alias("revenue"),
                       *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"{c}_margin") for c in ("median", "p25", "p75")],
                       F.col("loss").alias("loss_orders"), (F.col("loss") / F.col("orders") * 100).alias("loss_pct"),
-                      "orders")
+                      "orders").orderBy(F.col("revenue").desc(), "group_value")
 
 
 def lead_bucket_margin(df: DataFrame) -> DataFrame:

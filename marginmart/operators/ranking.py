@@ -194,7 +194,8 @@ def section_codes(df: DataFrame) -> DataFrame:
     g = d.groupBy("Section_Type").agg(M.dsum("SaleTotal").alias("rev"), M.dsum("Profit").alias("prof"),
                                       F.count("InvoiceID").alias("orders"), F.avg("ProfitMargin").alias("m"))
     return g.select(F.col("Section_Type").alias("section_type"), F.col("rev").cast("double").alias("revenue"),
-                    F.col("prof").cast("double").alias("profit"), "orders", F.round("m", 6).alias("avg_margin"))
+                    F.col("prof").cast("double").alias("profit"), "orders", F.round("m", 6).alias("avg_margin")
+                    ).orderBy(F.col("revenue").desc(), "section_type")
 
 
 def sort_table(table: DataFrame, column: str, descending: bool = True) -> DataFrame:

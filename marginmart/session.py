@@ -41,21 +41,24 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a scratch one only if none is configured.
+    """Return the shared checkpoint folder; pick a scratch one only if none is configured.
 
-    On a cluster ``spark.checkpoint.dir`` names shared storage and is left alone. Only a
-    session without one (a test or local run) gets a fresh scratch folder.
+    On a cluster ``spark.checkpoint.dir`` names shared storage and is used as is.  Only a
+    session without one (a test or local run) gets a fresh scratch folder, registered with
+    ``SparkContext.setCheckpointDir`` (the conf key itself is static).
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        current = tempfile.mkdtemp(prefix="marginmart-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-        spark.sparkContext.setCheckpointDir(current)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(current)
-    return current
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or None
+    if named:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(named)
+        return named
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    scratch = tempfile.mkdtemp(prefix="marginmart-ckpt-")
+    sc.setCheckpointDir(scratch)
+    return scratch
 
 
 def apply_query_conf(spark: SparkSession) -> None:
