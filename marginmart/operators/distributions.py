@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions.enrich import FINE_LEAD_LABELS, LAST_YEAR, THIS_YEAR, fine_lead_bucket, fine_lead_order
 from .joins import join_on
+from .ordering import global_order
 from .quantiles import quantile_scalar, quantiles
 
 
@@ -101,9 +102,8 @@ def margin_box(df: DataFrame, group_col: str) -> DataFrame:
     d = df.where(F.col(group_col).isNotNull())
     q = quantiles(d, [group_col], "ProfitMargin", FIVE)
     n = d.where(F.col("ProfitMargin").isNotNull()).groupBy(group_col).agg(F.count(F.lit(1)).alias("n"))
-    out = join_on(q, n, [group_col])
-    rank = F.row_number().over(Window.orderBy(F.col("median").desc(), F.col(group_col))) - 1
-    return out.select(F.col(group_col).alias("group_value"), *FIVE, "n", rank.alias("median_rank"))
+    out = global_order(join_on(q, n, [group_col]), [F.col("median").desc(), F.col(group_col).asc()], "_mr")
+    return out.select(F.col(group_col).alias("group_value"), *FIVE, "n", (F.col("_mr") - 1).cast("int").alias("median_rank"))
 
 
 def margin_summary(df: DataFrame, group_col: str) -> DataFrame:

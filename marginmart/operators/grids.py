@@ -20,6 +20,7 @@ from ..functions.enrich import DAYS_ORDER
 from ..functions.labels import compact_money
 from ..sources.dims import SPORTS
 from .joins import join_on
+from .ordering import global_order
 from .quantiles import quantiles
 
 SUM_METRICS = ("SaleTotal", "Profit")
@@ -55,8 +56,10 @@ def heatmap_grid(df: DataFrame, row_col: str, col_col: str, metric: str = "SaleT
                   .withColumn("_ct", F.sum("_w").over(Window.partitionBy("col_label"))))
     rows = cells.select("row_label", "_rt").distinct()
     cols = cells.select("col_label", "_ct").distinct()
-    rows = rows.withColumn("row_order", F.row_number().over(Window.orderBy(F.col("_rt").asc(), "row_label")) - 1)
-    cols = cols.withColumn("col_order", F.row_number().over(Window.orderBy(F.col("_ct").desc(), "col_label")) - 1)
+    rows = global_order(rows, [F.col("_rt").asc(), F.col("row_label").asc()], "_ro")
+    rows = rows.withColumn("row_order", (F.col("_ro") - 1).cast("int")).drop("_ro")
+    cols = global_order(cols, [F.col("_ct").desc(), F.col("col_label").asc()], "_co")
+    cols = cols.withColumn("col_order", (F.col("_co") - 1).cast("int")).drop("_co")
     out = join_on(join_on(cells, rows.drop("_rt"), ["row_label"]), cols.drop("_ct"), ["col_label"])
     return out.select("row_label", "col_label", "value",
                       F.col("_rt").cast("double").alias("row_total"), F.col("_ct").cast("double").alias("col_total"),

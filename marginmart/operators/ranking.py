@@ -18,6 +18,7 @@ from ..functions import metrics as M
 from ..functions.enrich import THIS_YEAR
 from . import compare as C
 from .joins import join_on
+from .ordering import global_order
 
 EVENT_KEYS = ("EventName", "VenueName", "EventDate_dt")
 
@@ -98,16 +99,17 @@ def worst_loss_orders(df: DataFrame, n: int = 20) -> DataFrame:
 
 def pareto(df: DataFrame) -> DataFrame:
     """W1 + W2 + W5: affiliates by this-year revenue (desc, name), rank, share and
-    cumulative share of revenue (exact decimal running sum)."""
+    cumulative share of revenue (exact decimal running sum).  Ranks and running sums come
+    from :func:`global_order`, so no single task holds every affiliate."""
     g = (df.where((F.col("YearLabel") == THIS_YEAR) & F.col("CompanyName").isNotNull())
            .groupBy("CompanyName").agg(M.dsum("SaleTotal").alias("rev")))
-    order = Window.orderBy(F.col("rev").desc(), F.col("CompanyName"))
     total = g.agg(F.sum("rev").alias("t")).select("t").scalar()
-    run = F.sum("rev").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return g.select(F.col("CompanyName").alias("affiliate"), F.col("rev").cast("double").alias("revenue"),
-                    F.row_number().over(order).alias("rank"),
-                    F.when(total != 0, F.col("rev").cast("double") / total.cast("double") * 100).alias("share_pct"),
-                    F.when(total != 0, run.cast("double") / total.cast("double") * 100).alias("cum_share_pct"))
+    ranked = global_order(g, [F.col("rev").desc(), F.col("CompanyName").asc()], "rank", {"_run": "rev"})
+    return ranked.select(F.col("CompanyName").alias("affiliate"), F.col("rev").cast("double").alias("revenue"),
+                         F.col("rank").cast("int").alias("rank"),
+                         F.when(total != 0, F.col("rev").cast("double") / total.cast("double") * 100).alias("share_pct"),
+                         F.when(total != 0, F.col("_run").cast("double") / total.cast("double") * 100)
+                         .alias("cum_share_pct"))
 
 
 def pareto_80(df: DataFrame, threshold: float = 80.0) -> DataFrame:
