@@ -52,15 +52,15 @@ def heatmap_grid(df: DataFrame, row_col: str, col_col: str, metric: str = "SaleT
         cells = _top(cells, "row_label", top_rows)
     if top_cols:
         cells = _top(cells, "col_label", top_cols)
-    cells = (cells.withColumn("_rt", F.sum("_w").over(Window.partitionBy("row_label")))
-                  .withColumn("_ct", F.sum("_w").over(Window.partitionBy("col_label"))))
-    rows = cells.select("row_label", "_rt").distinct()
-    cols = cells.select("col_label", "_ct").distinct()
+    # Axis totals are aggregates (partial + final), not windows: a few columns (sports) may
+    # each span every affiliate, which a window partitioned by the column would put in one task.
+    rows = cells.groupBy("row_label").agg(F.sum("_w").alias("_rt"))
+    cols = cells.groupBy("col_label").agg(F.sum("_w").alias("_ct"))
     rows = global_order(rows, [F.col("_rt").asc(), F.col("row_label").asc()], "_ro")
     rows = rows.withColumn("row_order", (F.col("_ro") - 1).cast("int")).drop("_ro")
     cols = global_order(cols, [F.col("_ct").desc(), F.col("col_label").asc()], "_co")
     cols = cols.withColumn("col_order", (F.col("_co") - 1).cast("int")).drop("_co")
-    out = join_on(join_on(cells, rows.drop("_rt"), ["row_label"]), cols.drop("_ct"), ["col_label"])
+    out = join_on(join_on(cells, rows, ["row_label"]), cols, ["col_label"])
     return out.select("row_label", "col_label", "value",
                       F.col("_rt").cast("double").alias("row_total"), F.col("_ct").cast("double").alias("col_total"),
                       "row_order", "col_order")
