@@ -23,12 +23,27 @@ from .joins import join_on
 from .quantiles import _num_partitions, _pin
 
 
+# Tables up to this many rows are ranked with a plain window (one task can hold them).
+SMALL_TABLE_ROWS = 1_000_000
+
+
 def global_order(df: DataFrame, order: Sequence[Column], rank_col: str = "rank",
-                 running: dict[str, str] | None = None, num_partitions: int | None = None) -> DataFrame:
+                 running: dict[str, str] | None = None, num_partitions: int | None = None,
+                 small_rows: int | None = None) -> DataFrame:
     """Add ``rank_col`` (1-based position in ``order``, which must be a total order) and, for
     each ``{out: source}`` in ``running``, the running sum of ``source`` up to and including
-    the row."""
+    the row.
+
+    A size check (one count) picks the plan: a table of at most ``small_rows`` rows gets a
+    plain unpartitioned window, a larger one the distributed plan below.
+    """
     running = running or {}
+    limit = SMALL_TABLE_ROWS if small_rows is None else small_rows
+    if limit > 0 and df.count() <= limit:
+        w = Window.orderBy(*order)
+        upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select(*df.columns, F.row_number().over(w).cast("bigint").alias(rank_col),
+                         *[F.sum(src).over(upto).alias(out) for out, src in running.items()])
     n = num_partitions or _num_partitions(df)
     s = _pin(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
                .withColumn("_pid", F.spark_partition_id()))

@@ -36,6 +36,10 @@ from ..session import ensure_checkpoint_dir
 from .joins import join_on
 
 POS = "_pos"
+# Largest group (rows) for which Spark's own exact ``percentile`` is used; above it the
+# distributed path runs.  ``percentile`` keeps a group's values in one task, so the bound is
+# what makes that safe.
+SMALL_GROUP_ROWS = 1_000_000
 # Quantiles are rounded to this many decimals (well below the 4-decimal money inputs), so a
 # result does not depend on the last bit of the interpolation arithmetic.
 DIGITS = 6
@@ -115,7 +119,8 @@ def _chunk_running_sum(keys: Sequence[str], weight: str):
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
               probs: Mapping[str, float], method: str = "exact",
-              accuracy: int = 10000, digits: int | None = DIGITS) -> DataFrame:
+              accuracy: int = 10000, digits: int | None = DIGITS,
+              small_group_rows: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` per ``keys`` group (nulls and NaN ignored).
 
     Returns ``keys`` + one double column per entry of ``probs``; groups without a
@@ -142,6 +147,18 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
         return d.groupBy(*out_keys).agg(*aggs) if out_keys else d.agg(*aggs)
     if method != "exact":
         raise ValueError(f"unknown method {method!r}")
+    limit = SMALL_GROUP_ROWS if small_group_rows is None else small_group_rows
+    if limit > 0:
+        # Size check with a proven bound: the largest group's row count (one small job).
+        # Below the bound, Spark's exact ``percentile`` holds at most that many values per
+        # group in one task, which is safe; above it, the distributed path below runs.
+        sizes = d.groupBy(*out_keys).agg(F.count(F.lit(1)).alias("_n"))
+        largest = sizes.agg(F.max("_n")).first()[0]
+        if largest is None or largest <= limit:
+            pct = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs.values()]))
+            g = d.groupBy(*out_keys).agg(pct.alias("_p")) if out_keys else d.agg(pct.alias("_p"))
+            return g.select(*out_keys, *[_round(F.col("_p")[i], digits).alias(name)
+                                         for i, name in enumerate(probs)])
     if not out_keys:
         d = d.withColumn("_g", F.lit(0))
 

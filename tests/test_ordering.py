@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from marginmart.operators.ordering import global_order
 
 
-def test_global_order_matches_window(spark):
+import pytest
+
+
+@pytest.mark.parametrize("small", [0, None])
+def test_global_order_matches_window(spark, small):
     rows = [(f"k{i:04d}", Decimal(str((i * 7919) % 101)) / 4) for i in range(2500)]
     df = spark.createDataFrame(rows, "name string, v decimal(21,4)")
     order = [F.col("v").desc(), F.col("name").asc()]
-    got = global_order(df, order, "rank", {"run": "v"}, num_partitions=7)
+    got = global_order(df, order, "rank", {"run": "v"}, num_partitions=7, small_rows=small)
     w = Window.orderBy(*order)
     want = df.select("name", F.row_number().over(w).alias("rank"),
                      F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("run"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from marginmart.operators.quantiles import global_positions, quantiles
 
 
-def test_quantiles_match_numpy(spark):
+@pytest.mark.parametrize("small", [0, None])
+def test_quantiles_match_numpy(spark, small):
     rng = np.random.default_rng(3)
     groups = ["hot"] * 3000 + [f"g{i % 7}" for i in range(6000)]
     vals = rng.normal(size=len(groups)).round(3)  # rounding creates ties
@@ -15,7 +16,7 @@ def test_quantiles_match_numpy(spark):
     pdf_rows += [("hot", None), ("solo", 5.0)]
     df = spark.createDataFrame(pdf_rows, "g string, v double").repartition(5)
     probs = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p100": 1.0}
-    got = {r.g: r for r in quantiles(df, ["g"], "v", probs, digits=None).collect()}
+    got = {r.g: r for r in quantiles(df, ["g"], "v", probs, digits=None, small_group_rows=small).collect()}
     for g in set(groups) | {"solo"}:
         xs = np.array([v for gg, v in pdf_rows if gg == g and v is not None])
         for name, p in probs.items():
@@ -31,17 +32,20 @@ def test_global_positions_are_a_permutation(spark):
     assert ordered == sorted(ordered)
 
 
-def test_global_quantile_and_empty_group(spark):
+@pytest.mark.parametrize("small", [0, None])
+def test_global_quantile_and_empty_group(spark, small):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (None,)], "v double")
-    r = quantiles(df, [], "v", {"m": 0.5, "q": 0.25}).first()
+    r = quantiles(df, [], "v", {"m": 0.5, "q": 0.25}, small_group_rows=small).first()
     assert (r.m, r.q) == (2.0, 1.5)
 
 
-def test_hot_value_and_hot_group(spark):
+@pytest.mark.parametrize("small", [0, None])
+def test_hot_value_and_hot_group(spark, small):
     """A third of all rows share one group AND one value: still exact."""
     rows = [("hot", 0.0)] * 4000 + [("hot", float(i)) for i in range(2000)] + [(f"g{i % 5}", float(i % 97)) for i in range(6000)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(7)
-    got = {r.g: r for r in quantiles(df, ["g"], "v", {"p25": 0.25, "p50": 0.5, "p99": 0.99}, digits=None).collect()}
+    got = {r.g: r for r in quantiles(df, ["g"], "v", {"p25": 0.25, "p50": 0.5, "p99": 0.99}, digits=None,
+                                           small_group_rows=small).collect()}
     for g in {r[0] for r in rows}:
         xs = np.array([v for gg, v in rows if gg == g])
         for name, p in (("p25", 0.25), ("p50", 0.5), ("p99", 0.99)):
@@ -57,7 +61,8 @@ def test_small_arrow_batches_carry_running_sums(spark):
         rng = np.random.default_rng(5)
         rows = [("a" if i % 3 else "b", float(rng.integers(0, 50))) for i in range(3000)]
         df = spark.createDataFrame(rows, "g string, v double")
-        got = {r.g: r for r in quantiles(df, ["g"], "v", {"p37": 0.37, "p81": 0.81}, digits=None).collect()}
+        got = {r.g: r for r in quantiles(df, ["g"], "v", {"p37": 0.37, "p81": 0.81}, digits=None,
+                                           small_group_rows=0).collect()}
         for g in ("a", "b"):
             xs = np.array([v for gg, v in rows if gg == g])
             assert got[g].p37 == pytest.approx(float(np.quantile(xs, 0.37)), abs=1e-9)
