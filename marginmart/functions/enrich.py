@@ -36,6 +36,7 @@ FINE_LEAD_EDGES = (-1, 0, 1, 3, 7, 14, 30, 60, 365, 9999)
 FINE_LEAD_LABELS = ("Same day", "1 day", "2-3 days", "4-7 days", "1-2 weeks", "2-4 weeks",
                     "1-2 months", "2-12 months", "1y+")
 DAYS_ORDER = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
+# (month abbreviations are MONTH_ABBRS below)
 THIS_YEAR = "This Year"
 LAST_YEAR = "Last Year"
 YEAR_CODES = {THIS_YEAR: "current", LAST_YEAR: "last_year"}
@@ -178,26 +179,32 @@ def fine_lead_order(days: str | Column = "LeadTimeDays") -> Column:
 # upper, trim, lower, split_part, rlike and regexp_extract_all used below.
 
 def section_digits(section: str | Column = "Section") -> Column:
-    """Every digit run of the upper-cased section, concatenated."""
+    """Every digit run of the upper-cased section, concatenated (= the text with every
+    non-digit removed: one regex pass, no intermediate array)."""
     s = F.upper(F.coalesce(_c(section).cast("string"), F.lit("")))
-    return F.array_join(F.regexp_extract_all(s, F.lit("[0-9]+"), 0), "")
+    return F.regexp_replace(s, "[^0-9]", "")
 
 
 def section_letters(section: str | Column = "Section") -> Column:
     """Every ``[A-Z]+`` run of the upper-cased section, concatenated."""
     s = F.upper(F.coalesce(_c(section).cast("string"), F.lit("")))
-    return F.array_join(F.regexp_extract_all(s, F.lit("[A-Z]+"), 0), "")
+    return F.regexp_replace(s, "[^A-Z]", "")
 
 
-def section_number(section: str | Column = "Section", seats: str | Column = "Seats") -> Column:
-    """E16 + E17: section digits, else the trimmed text before the first ``-`` of Seats,
-    as a number (null when not numeric)."""
-    digits = section_digits(section)
+def section_number_from(digits: Column, seats: str | Column = "Seats") -> Column:
+    """E16 + E17 on precomputed digits: the digits, else the trimmed text before the first
+    ``-`` of Seats, as a number (null when not numeric)."""
     seats_lead = F.trim(F.split_part(F.coalesce(_c(seats).cast("string"), F.lit("")), F.lit("-"), F.lit(1)))
     text = F.when(digits == "", seats_lead).otherwise(digits)
     return text.try_cast("double")
 
 
+def section_number(section: str | Column = "Section", seats: str | Column = "Seats") -> Column:
+    """E16 + E17: section digits, else the trimmed text before the first ``-`` of Seats,
+    as a number (null when not numeric)."""
+    return section_number_from(section_digits(section), seats)
+
+
 def section_num_tier(num: str | Column = "Section_Num") -> Column:
     """E18."""
     n = _c(num)
@@ -243,37 +250,50 @@ def year_code(label: str | Column = "YearLabel") -> Column:
 
 # --- the whole enrichment ---------------------------------------------------------
 
+MONTH_ABBRS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+
+
+def _month_key(year: Column, month: Column) -> Column:
+    """``yyyy-MM`` from integer parts (same text as ``date_format(ts, 'yyyy-MM')``)."""
+    return F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"))
+
+
 def enrich(df: DataFrame) -> DataFrame:
     """Add every derived column to typed order rows.
 
     Input: ``SaleTotal``/``TicketCost`` (decimal), ``Quantity`` (int), ``SellDate_dt`` /
     ``EventDate_dt`` (timestamp_ntz), ``Section``, ``Seats``, the performer, marketplace
     and flag columns, and ``Sport``/``State``/``MarketplaceTier`` (from
-    :func:`marginmart.sources.csv.lookup_dims` or the source).  A single projection:
-    no shuffle, no UDF.
+    :func:`marginmart.sources.csv.lookup_dims` or the source).  Narrow projections only:
+    no shuffle, no UDF.  Calendar parts are extracted once as integers and names are looked
+    up in fixed arrays (cheaper per row than a date formatter); the section digits are
+    computed once and reused by the seat fallback.
     """
     sell, event = F.col("SellDate_dt"), F.col("EventDate_dt")
-    lead = lead_time_days(sell, event)
-    num = section_number("Section", "Seats")
-    letters = section_letters("Section")
-    extra = {
+    months = F.array(*[F.lit(m) for m in MONTH_ABBRS])
+    days = F.array(*[F.lit(d) for d in DAYS_ORDER])
+    parts = df.withColumns({
+        "_sy": F.year(sell), "_sm": F.month(sell), "_swd": F.weekday(sell),
+        "_ey": F.year(event), "_em": F.month(event), "_ewd": F.weekday(event),
+        "_digits": section_digits("Section"),
+    })
+    out = parts.withColumns({
         "Profit": profit(),
         "TicketsSold": F.col("Quantity"),
-        "SellMonth": year_month(sell),
-        "SellMonthName": month_abbr(sell),
-        "SellMonthNum": F.month(sell),
-        "SellDayOfWeek": day_name(sell),
+        "SellMonth": _month_key(F.col("_sy"), F.col("_sm")),
+        "SellMonthName": F.element_at(months, F.col("_sm")),
+        "SellMonthNum": F.col("_sm"),
+        "SellDayOfWeek": F.element_at(days, F.col("_swd") + 1),
         "SellHour": hour_of(sell),
-        "EventMonth": year_month(event),
-        "EventDayOfWeek": day_name(event),
-        "LeadTimeDays": lead,
-        "Section_Num": num,
-        "Section_Type": letters,
+        "EventMonth": _month_key(F.col("_ey"), F.col("_em")),
+        "EventDayOfWeek": F.element_at(days, F.col("_ewd") + 1),
+        "LeadTimeDays": lead_time_days(sell, event),
+        "Section_Num": section_number_from(F.col("_digits"), "Seats"),
+        "Section_Type": section_letters("Section"),
         "HomeTeam": F.col("PrimaryPerformerName"),
         "AwayTeam": F.col("SecondaryPerformerName"),
         "YEAR": year_code("YearLabel"),
-    }
-    out = df.withColumns(extra)
+    }).drop("_sy", "_sm", "_swd", "_ey", "_em", "_ewd", "_digits")
     return out.withColumns({
         "ProfitMargin": row_margin(F.col("Profit"), F.col("SaleTotal")),
         "LeadTimeBucket": lead_time_bucket("LeadTimeDays"),

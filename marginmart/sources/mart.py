@@ -75,8 +75,20 @@ MART_EXPRS = {
 MART_COLUMNS = list(MART_EXPRS)
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Parquet table of ``sf_dir``, projected to the used columns.
+
+    The (lazy) DataFrame is kept per session and path, so the file footers are read for
+    schema inference once, not once per query."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _TABLES.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _TABLES[key] = df
     cols = columns if columns is not None else STAR_COLUMNS.get(name)
     return df.select(*cols) if cols else df
 
