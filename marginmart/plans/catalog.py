@@ -23,7 +23,7 @@ from ..operators import grids as G
 from ..operators import scope as S
 from ..operators import shares as SH
 from ..sources import csv as CSV
-from ..sources import load_enriched, sales_mart
+from ..sources import load_enriched
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -195,17 +195,16 @@ def _enrich_flags(e: DataFrame) -> DataFrame:
                   F.count_if(F.col("ProfitMargin").isNull()).alias("null_margins")))
 
 
-def _lookup_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sport by type id, else by team, else Other; state by team; tier by marketplace."""
-    raw = sales_mart(spark, sf_dir).drop("Sport", "State", "MarketplaceTier")
-    looked = CSV.lookup_dims(raw, spark)
+@query("lookup_dims")
+def _lookup_dims(e: DataFrame) -> DataFrame:
+    """Sport by type id, else by team, else Other; state by team; tier by
+    marketplace — recomputed from the raw key columns of every order."""
+    raw = e.drop("Sport", "State", "MarketplaceTier")
+    looked = CSV.lookup_dims(raw)
     return (looked.groupBy("RequestedPerformerTypeId", "ShippingCompany", "Sport", "State", "MarketplaceTier")
                   .agg(F.count(F.lit(1)).alias("orders")))
 
 
-QUERIES["lookup_dims"] = _lookup_dims
-
-
 # --- scope ----------------------------------------------------------------------------------
 
 @query("scope_counts")
