@@ -21,7 +21,7 @@ from ..functions.labels import compact_money
 from ..sources.dims import SPORTS
 from .joins import join_on
 from .ordering import global_order
-from .quantiles import quantiles
+from .quantiles import _pin, quantiles
 
 SUM_METRICS = ("SaleTotal", "Profit")
 
@@ -47,7 +47,9 @@ def heatmap_grid(df: DataFrame, row_col: str, col_col: str, metric: str = "SaleT
                  top_rows: int | None = None, top_cols: int | None = None) -> DataFrame:
     """Metric per cell with top-N rows then top-N columns (T3), row / column totals and
     axis order (rows ascending, columns descending by total, label breaks ties: T10)."""
-    cells = grid_cells(df, row_col, col_col, metric)
+    # The cells (bounded by the label cardinalities) are read several times below: pinned
+    # once so the fact is scanned once.
+    cells = _pin(grid_cells(df, row_col, col_col, metric))
     if top_rows:
         cells = _top(cells, "row_label", top_rows)
     if top_cols:
@@ -73,8 +75,8 @@ def shared_range(cell_frames: Sequence[DataFrame]) -> DataFrame:
     for c in cell_frames:
         part = c.select(F.col("value").cast("double").alias("value"))
         vals = part if vals is None else vals.unionByName(part)
-    vals = vals.where((F.col("value") != 0) & ~F.isnan("value")
-                      & (F.abs("value") != F.lit(float("inf"))))
+    vals = _pin(vals.where((F.col("value") != 0) & ~F.isnan("value")
+                           & (F.abs("value") != F.lit(float("inf")))))
     p98 = quantiles(vals, [], "value", {"p98": 0.98}).select("p98").scalar()
     mx = vals.agg(F.max("value").alias("m")).select("m").scalar()
     zmax = (F.when(p98 > 0, p98).when(mx.isNotNull() & (mx != 0), mx).otherwise(F.lit(1.0)))

@@ -19,6 +19,7 @@ from ..functions.enrich import THIS_YEAR
 from . import compare as C
 from .joins import join_on
 from .ordering import global_order
+from .quantiles import _pin
 
 EVENT_KEYS = ("EventName", "VenueName", "EventDate_dt")
 
@@ -34,11 +35,18 @@ def team_breakdown(df: DataFrame, years: Sequence[str] | None = (THIS_YEAR,)) ->
     if years:
         df = df.where(F.col("YearLabel").isin(list(years)))
     d = df.where(F.col("HomeTeam").isNotNull())
-    teams = d.groupBy("HomeTeam").agg(*M.component_aggs(),
-                                      F.coalesce(F.sum(F.col("TicketsSold").cast("bigint")), F.lit(0).cast("bigint")).alias("tickets"),
-                                      F.mode("Sport", deterministic=True).alias("sport"))
-    per_aff = (d.where(F.col("CompanyName").isNotNull()).groupBy("HomeTeam", "CompanyName")
-                .agg(M.dsum("Profit").alias("p")))
+    # One scan of the fact: (team, affiliate, sport) partial sums; everything else is
+    # aggregated from that small table.
+    base = d.groupBy("HomeTeam", "CompanyName", "Sport").agg(
+        *M.component_aggs(), F.coalesce(F.sum(F.col("TicketsSold").cast("bigint")), F.lit(0).cast("bigint")).alias("tickets"))
+    sport_counts = (base.where(F.col("Sport").isNotNull()).groupBy("HomeTeam", "Sport")
+                        .agg(F.sum("orders").alias("_c")))
+    modes = sport_counts.groupBy("HomeTeam").agg(
+        F.min_by("Sport", F.struct((-F.col("_c")).alias("nc"), F.col("Sport").alias("s"))).alias("sport"))
+    teams = join_on(base.groupBy("HomeTeam").agg(*[F.sum(c).alias(c) for c in ("rev", "prof", "cost", "orders", "tickets")]),
+                    modes, ["HomeTeam"], "left")
+    per_aff = (base.where(F.col("CompanyName").isNotNull()).groupBy("HomeTeam", "CompanyName")
+                   .agg(F.sum("prof").alias("p")))
     key = F.struct((-F.col("p")).alias("np"), F.col("CompanyName").alias("n"))
     affs = per_aff.groupBy("HomeTeam").agg(F.min_by("CompanyName", key).alias("top_affiliate"),
                                            F.max_by("CompanyName", key).alias("worst"),
@@ -103,6 +111,9 @@ def pareto(df: DataFrame) -> DataFrame:
     from :func:`global_order`, so no single task holds every affiliate."""
     g = (df.where((F.col("YearLabel") == THIS_YEAR) & F.col("CompanyName").isNotNull())
            .groupBy("CompanyName").agg(M.dsum("SaleTotal").alias("rev")))
+    # One row per affiliate, read three times below (size check, total, ranking): pinned
+    # once so the fact is scanned once.
+    g = _pin(g)
     total = g.agg(F.sum("rev").alias("t")).select("t").scalar()
     ranked = global_order(g, [F.col("rev").desc(), F.col("CompanyName").asc()], "rank", {"_run": "rev"})
     return ranked.select(F.col("CompanyName").alias("affiliate"), F.col("rev").cast("double").alias("revenue"),
