@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions.enrich import LAST_YEAR, THIS_YEAR
 from .joins import join_on
-from .quantiles import quantiles
+from .quantiles import _pin, quantiles
 
 TY, LY = M.is_this_year, M.is_last_year
 
@@ -108,13 +108,14 @@ def _kpi_values(suffix: str) -> dict[str, Column]:
 
 
 def kpi_block(df: DataFrame) -> DataFrame:
-    """A2 for both years: one row per year label, zeros for a year without rows."""
+    """A2 for both years: one row per year label, zeros for a year without rows.
+    One aggregation; the two rows come from ``inline`` over it (no union, one scan)."""
     agg = df.agg(*_kpi_aggs(TY(), "_ty"), *_kpi_aggs(LY(), "_ly"))
     rows = []
     for label, suffix in ((THIS_YEAR, "_ty"), (LAST_YEAR, "_ly")):
         vals = _kpi_values(suffix)
-        rows.append(agg.select(F.lit(label).alias("year_label"), *[vals[k].alias(k) for k in KPI_NAMES]))
-    return rows[0].unionByName(rows[1])
+        rows.append(F.struct(F.lit(label).alias("year_label"), *[vals[k].alias(k) for k in KPI_NAMES]))
+    return agg.select(F.inline(F.array(*rows)))
 
 
 def kpi_deltas(df: DataFrame) -> DataFrame:
@@ -130,20 +131,18 @@ def kpi_deltas(df: DataFrame) -> DataFrame:
 
 
 def headline(df: DataFrame) -> DataFrame:
-    """LY, TY and YoY % for five KPIs; the margin row's change is in points."""
+    """LY, TY and YoY % for five KPIs; the margin row's change is in points.
+    One aggregation, five rows via ``inline``."""
     agg = df.agg(*_kpi_aggs(TY(), "_ty"), *_kpi_aggs(LY(), "_ly"))
     t, l = _kpi_values("_ty"), _kpi_values("_ly")
-    parts = []
+    rows = []
     for pos, (name, key) in enumerate((("Revenue", "revenue"), ("Profit", "profit"), ("Margin %", "margin"),
                                        ("Orders", "orders"), ("Tickets Sold", "tickets"))):
         ty, ly = t[key].cast("double"), l[key].cast("double")
         change = (ty - ly) if key == "margin" else M.yoy_pct(ty, ly)
-        parts.append(agg.select(F.lit(pos).alias("position"), F.lit(name).alias("metric"),
-                                ly.alias("last_year"), ty.alias("this_year"), change.alias("yoy_pct")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        rows.append(F.struct(F.lit(pos).alias("position"), F.lit(name).alias("metric"),
+                             ly.alias("last_year"), ty.alias("this_year"), change.alias("yoy_pct")))
+    return agg.select(F.inline(F.array(*rows)))
 
 
 # --- trends -----------------------------------------------------------------------------
@@ -223,49 +222,58 @@ def affiliate_yoy(df: DataFrame, affiliate: str | None = None) -> DataFrame:
     return (g.select(F.col("CompanyName").alias("affiliate"), F.inline(structs)))
 
 
-def affiliate_vs_portfolio(df: DataFrame, affiliate: str | None = None) -> DataFrame:
-    """A21 (+A59 count distinct): an affiliate's this-year revenue, profit, average order and margin against the
-    portfolio, whose revenue and profit are divided by the number of distinct affiliates.
+def _affiliate_components(df: DataFrame) -> DataFrame:
+    """This-year components per affiliate (the null-name group included, for portfolio
+    totals), pinned: one fact scan, then every total and comparison reads this table."""
+    return _pin(df.where(TY()).groupBy("CompanyName").agg(*M.component_aggs()))
 
-    Portfolio values are one-row aggregates attached as scalar subqueries (no join).
-    """
-    ty = df.where(TY())
-    port = ty.agg(M.dsum("SaleTotal").alias("rev"), M.dsum("Profit").alias("prof"),
-                  F.count(F.lit(1)).alias("n"), F.count_distinct("CompanyName").alias("n_aff"))
-    p_rev, p_prof, p_n, p_aff = (port.select(c).scalar() for c in ("rev", "prof", "n", "n_aff"))
-    n_aff = F.greatest(p_aff, F.lit(1))
-    aff = ty if affiliate is None else ty.where(F.col("CompanyName") == affiliate)
-    g = (aff.where(F.col("CompanyName").isNotNull()).groupBy("CompanyName")
-            .agg(M.dsum("SaleTotal").alias("rev"), M.dsum("Profit").alias("prof"), F.count(F.lit(1)).alias("n")))
+
+def _portfolio(comp: DataFrame) -> Column:
+    """Portfolio totals from the per-affiliate table as ONE struct scalar subquery."""
+    return comp.agg(F.struct(F.sum("rev").alias("rev"), F.sum("prof").alias("prof"),
+                             F.sum("cost").alias("cost"), F.sum("orders").alias("n"),
+                             F.count("CompanyName").alias("n_aff")).alias("p")).select("p").scalar()
+
+
+def affiliate_vs_portfolio(df: DataFrame, affiliate: str | None = None) -> DataFrame:
+    """A21 (+A59 count distinct): an affiliate's this-year revenue, profit, average order and
+    margin against the portfolio, whose revenue and profit are divided by the number of
+    distinct affiliates.  Portfolio values are a scalar subquery over the per-affiliate table."""
+    comp = _affiliate_components(df)
+    p = _portfolio(comp)
+    p_rev, p_prof, p_n = p["rev"], p["prof"], p["n"]
+    n_aff = F.greatest(p["n_aff"], F.lit(1))
+    g = comp.where(F.col("CompanyName").isNotNull())
+    if affiliate is not None:
+        g = g.where(F.col("CompanyName") == affiliate)
     rows = [
         ("Revenue", F.col("rev").cast("double"), p_rev.cast("double") / n_aff),
         ("Profit", F.col("prof").cast("double"), p_prof.cast("double") / n_aff),
-        ("Avg Order", F.when(F.col("n") > 0, F.col("rev").cast("double") / F.col("n")).otherwise(0.0),
+        ("Avg Order", F.when(F.col("orders") > 0, F.col("rev").cast("double") / F.col("orders")).otherwise(0.0),
          F.when(p_n > 0, p_rev.cast("double") / p_n)),
         ("Margin %", M.guarded_pct(F.col("prof"), F.col("rev")), M.guarded_pct(p_prof, p_rev)),
     ]
-    structs = F.array(*[F.struct(F.lit(m).alias("metric"), a.alias("affiliate_value"), p.alias("portfolio_value"))
-                        for m, a, p in rows])
+    structs = F.array(*[F.struct(F.lit(m).alias("metric"), a.alias("affiliate_value"), v.alias("portfolio_value"))
+                        for m, a, v in rows])
     return g.select(F.col("CompanyName").alias("affiliate"), F.inline(structs))
 
 
 def affiliate_vs_portfolio_per_order(df: DataFrame, affiliate: str | None = None) -> DataFrame:
     """Per-order averages, margin and cost ratio of an affiliate vs all this-year orders."""
-    ty = df.where(TY())
-    port = ty.agg(M.dsum("SaleTotal").alias("rev"), M.dsum("Profit").alias("prof"),
-                  M.dsum("TicketCost").alias("cost"), F.count(F.lit(1)).alias("n"))
-    p_rev, p_prof, p_cost, p_n = (port.select(c).scalar() for c in ("rev", "prof", "cost", "n"))
-    aff = ty if affiliate is None else ty.where(F.col("CompanyName") == affiliate)
-    g = (aff.where(F.col("CompanyName").isNotNull()).groupBy("CompanyName")
-            .agg(*M.component_aggs()))
+    comp = _affiliate_components(df)
+    p = _portfolio(comp)
+    p_rev, p_prof, p_cost, p_n = p["rev"], p["prof"], p["cost"], p["n"]
+    g = comp.where(F.col("CompanyName").isNotNull())
+    if affiliate is not None:
+        g = g.where(F.col("CompanyName") == affiliate)
     rows = [
-        ("Avg Revenue", F.col("rev").cast("double") / F.col("orders"), p_rev.cast("double") / p_n),
-        ("Avg Profit", F.col("prof").cast("double") / F.col("orders"), p_prof.cast("double") / p_n),
+        ("Avg Revenue", F.col("rev").cast("double") / F.col("orders"), F.when(p_n > 0, p_rev.cast("double") / p_n)),
+        ("Avg Profit", F.col("prof").cast("double") / F.col("orders"), F.when(p_n > 0, p_prof.cast("double") / p_n)),
         ("Margin %", M.guarded_pct(F.col("prof"), F.col("rev")), M.guarded_pct(p_prof, p_rev)),
         ("P/Cost Ratio %", M.guarded_pct(F.col("prof"), F.col("cost")), M.guarded_pct(p_prof, p_cost)),
     ]
-    structs = F.array(*[F.struct(F.lit(m).alias("metric"), a.alias("affiliate_value"), p.alias("portfolio_value"))
-                        for m, a, p in rows])
+    structs = F.array(*[F.struct(F.lit(m).alias("metric"), a.alias("affiliate_value"), v.alias("portfolio_value"))
+                        for m, a, v in rows])
     return g.select(F.col("CompanyName").alias("affiliate"), F.inline(structs))
 
 
@@ -285,9 +293,9 @@ def head_to_head(df: DataFrame, name_a: str | Column | None = None, name_b: str
     (ties by name), chosen inside the plan (no driver round trip).
     """
     ty = df.where(TY() & F.col("CompanyName").isNotNull())
-    per = (ty.groupBy("CompanyName")
-             .agg(M.dsum("SaleTotal").alias("rev"), M.dsum("Profit").alias("prof"),
-                  F.count(F.lit(1)).alias("n"), F.count_if(F.col("Profit") < 0).alias("loss")))
+    per = _pin(ty.groupBy("CompanyName")
+                 .agg(M.dsum("SaleTotal").alias("rev"), M.dsum("Profit").alias("prof"),
+                      F.count(F.lit(1)).alias("n"), F.count_if(F.col("Profit") < 0).alias("loss")))
     if name_a is None:
         ranked = per.orderBy(F.col("rev").desc(), F.col("CompanyName")).limit(2)
         a = ranked.orderBy(F.col("rev").desc(), F.col("CompanyName")).limit(1)
@@ -332,13 +340,16 @@ def order_size_shift(df: DataFrame) -> DataFrame:
 
 
 def mix_shift(df: DataFrame) -> DataFrame:
-    """Per sport, revenue both years, YoY %, each year's share and the share change in points."""
-    g = (df.where(F.col("Sport").isNotNull()).groupBy("Sport")
+    """Per sport, revenue both years, YoY %, each year's share and the share change in
+    points.  One aggregation; the year totals are a window over its rows (one per sport
+    plus the null-sport group, a fixed vocabulary), so the fact is scanned once."""
+    g = (df.groupBy("Sport")
            .agg(M.dsum("SaleTotal", TY()).alias("ty"), M.dsum("SaleTotal", LY()).alias("ly"),
                 F.count_if(TY() | LY()).alias("n")))
-    g = g.where(F.col("n") > 0)
-    tot = df.agg(M.dsum("SaleTotal", TY()).alias("ty"), M.dsum("SaleTotal", LY()).alias("ly"))
-    t_ty, t_ly = tot.select("ty").scalar(), tot.select("ly").scalar()
+    everything = Window.partitionBy()
+    g = g.withColumn("t_ty", F.sum("ty").over(everything)).withColumn("t_ly", F.sum("ly").over(everything))
+    g = g.where(F.col("Sport").isNotNull() & (F.col("n") > 0))
+    t_ty, t_ly = F.col("t_ty"), F.col("t_ly")
     ty, ly = F.col("ty").cast("double"), F.col("ly").cast("double")
     ly_share = F.when(t_ly != 0, ly / t_ly.cast("double") * 100)
     ty_share = F.when(t_ty != 0, ty / t_ty.cast("double") * 100)
@@ -346,34 +357,3 @@ def mix_shift(df: DataFrame) -> DataFrame:
                     F.when(F.col("ly") != 0, (ty - ly) / ly * 100).alias("yoy_pct"),
                     ly_share.alias("ly_share_pct"), ty_share.alias("ty_share_pct"),
                     (ty_share - ly_share).alias("share_delta_pts"))
-
-
-# --- generic helpers --------------------------------------------------------------------------
-
-AGG_FUNCTIONS = {"sum": F.sum, "mean": F.avg, "count": F.count}
-
-
-def group_agg(df: DataFrame, key: str, spec: dict[str, tuple[str, str]]) -> DataFrame:
-    """A51 / A52 (U5 grouping): ``{output: (sum | mean | count, source column)}`` per
-    non-null, non-empty key (F12).
-
-    Decimal sums stay exact; means are of the finite values (nulls skipped by Spark)."""
-    k = F.col(key)
-    d = df.where(k.isNotNull() & (k.cast("string") != ""))
-    aggs = []
-    for out, (fn, src) in spec.items():
-        c = F.col(src)
-        if fn == "sum":
-            aggs.append(F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(out))
-        elif fn == "mean":
-            aggs.append(F.avg(c).alias(out))
-        elif fn == "count":
-            aggs.append(F.count(c).alias(out))
-        else:
-            raise ValueError(f"unknown aggregate {fn!r}")
-    return d.groupBy(k.alias(key)).agg(*aggs)
-
-
-def count_where(df: DataFrame, cond) -> DataFrame:
-    """Number of rows meeting a predicate."""
-    return df.agg(F.count_if(cond).alias("n"))

@@ -18,7 +18,7 @@ from ..functions import metrics as M
 from ..functions.enrich import FINE_LEAD_LABELS, LAST_YEAR, THIS_YEAR, fine_lead_bucket, fine_lead_order
 from .joins import join_on
 from .ordering import global_order
-from .quantiles import quantile_scalar, quantiles
+from .quantiles import _pin, quantile_scalar, quantiles
 
 
 def histogram(df: DataFrame, value: str | Column, nbins: int = 50, lo: float | Column | None = None,
@@ -31,9 +31,10 @@ def histogram(df: DataFrame, value: str | Column, nbins: int = 50, lo: float | C
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
     d = df.select(*by, v.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     if lo is None or hi is None:
-        bounds = d.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-        lo = bounds.select("lo").scalar() if lo is None else lo
-        hi = bounds.select("hi").scalar() if hi is None else hi
+        # Both bounds from ONE scalar subquery (a struct), reused wherever it appears.
+        b = d.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi")).alias("b")).select("b").scalar()
+        lo = b["lo"] if lo is None else lo
+        hi = b["hi"] if hi is None else hi
     lo_c = lo if isinstance(lo, Column) else F.lit(float(lo))
     hi_c = hi if isinstance(hi, Column) else F.lit(float(hi))
     width = (hi_c - lo_c) / nbins
@@ -146,7 +147,7 @@ def _finite(c: Column) -> Column:
 
 def robust_ranges(table: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(p10, p90) of each column's finite values; null when fewer than 2 or equal."""
-    long = _long(table, columns).where(_finite(F.col("value")))
+    long = _pin(_long(table, columns).where(_finite(F.col("value"))))
     q = quantiles(long, ["column_name"], "value", {"p10": 0.1, "p90": 0.9})
     n = long.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
     out = join_on(n, q, ["column_name"], "left")
@@ -157,7 +158,7 @@ def robust_ranges(table: DataFrame, columns: Sequence[str]) -> DataFrame:
 def diverging_bounds(table: DataFrame, columns: Sequence[str], method: str = "p90") -> DataFrame:
     """Symmetric bound per column: 90th percentile of |v| (or the max of |v|); null
     when fewer than 2 finite values or the bound is 0."""
-    long = _long(table, columns).where(_finite(F.col("value"))).withColumn("value", F.abs("value"))
+    long = _pin(_long(table, columns).where(_finite(F.col("value"))).withColumn("value", F.abs("value")))
     n = long.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("mx"))
     if method == "max":
         out = n.withColumn("b", F.col("mx"))

@@ -143,11 +143,13 @@ def winners_losers(df: DataFrame, n: int = 10, min_base: float = 1000.0, best: b
 def loss_concentration(df: DataFrame, k: int = 5) -> DataFrame:
     """Total loss over loss-making orders, their count and average, and the ``k``
     affiliates with the largest losses with their combined share of the total."""
-    losses = df.where(F.col("Profit") < 0)
-    tot = losses.agg(M.dsum("Profit").alias("t"), F.count(F.lit(1)).alias("n"))
-    t, n = tot.select("t").scalar(), tot.select("n").scalar()
-    top = (losses.where(F.col("CompanyName").isNotNull()).groupBy("CompanyName").agg(M.dsum("Profit").alias("l"))
-                 .orderBy(F.col("l").asc(), "CompanyName").limit(k))
+    # Loss per affiliate (null-name group included for the totals), pinned: one fact scan.
+    per = _pin(df.where(F.col("Profit") < 0).groupBy("CompanyName")
+                 .agg(M.dsum("Profit").alias("l"), F.count(F.lit(1)).alias("c")))
+    tot = per.agg(F.struct(F.sum("l").alias("t"), F.sum("c").alias("n")).alias("s")).select("s").scalar()
+    t, n = tot["t"], tot["n"]
+    top = (per.where(F.col("CompanyName").isNotNull()).select("CompanyName", "l")
+              .orderBy(F.col("l").asc(), "CompanyName").limit(k))
     rank = F.row_number().over(Window.orderBy(F.col("l").asc(), "CompanyName"))
     top_sum = F.sum("l").over(Window.partitionBy(F.lit(1)))
     return top.select(F.col("CompanyName").alias("affiliate"), F.col("l").cast("double").alias("loss_dollars"),

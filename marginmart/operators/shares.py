@@ -1,12 +1,12 @@
 """Category shares (A6, A7, W5): value or order count per category and its share of the total.
 
-The total is a one-row aggregate used as a scalar subquery, so no window over all rows
-and no join are needed.  Null categories are dropped.
+One aggregation per share table; the total is a window over its rows (one row per
+category: pie-chart categories), so the fact is scanned once.  Null categories are dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
@@ -14,17 +14,15 @@ from ..functions import metrics as M
 
 def share_by(df: DataFrame, group_col: str, metric: str = "SaleTotal") -> DataFrame:
     """Sum of ``metric`` (SaleTotal or Profit) per category, with its share in percent."""
-    d = df.where(F.col(group_col).isNotNull())
-    g = d.groupBy(group_col).agg(M.dsum(metric).alias("_v"))
-    total = d.agg(M.dsum(metric).alias("t")).select("t").scalar()
+    g = df.where(F.col(group_col).isNotNull()).groupBy(group_col).agg(M.dsum(metric).alias("_v"))
+    total = F.sum("_v").over(Window.partitionBy())
     return g.select(F.col(group_col).alias("category"), F.col("_v").cast("double").alias("value"),
                     F.when(total != 0, F.col("_v").cast("double") / total.cast("double") * 100).alias("share_pct"))
 
 
 def order_share_by(df: DataFrame, group_col: str) -> DataFrame:
     """Rows per category, with its share in percent."""
-    d = df.where(F.col(group_col).isNotNull())
-    g = d.groupBy(group_col).agg(F.count(F.lit(1)).alias("orders"))
-    total = d.agg(F.count(F.lit(1)).alias("t")).select("t").scalar()
+    g = df.where(F.col(group_col).isNotNull()).groupBy(group_col).agg(F.count(F.lit(1)).alias("orders"))
+    total = F.sum("orders").over(Window.partitionBy())
     return g.select(F.col(group_col).alias("category"), "orders",
                     F.when(total != 0, F.col("orders") / total * 100).alias("share_pct"))
