@@ -357,3 +357,31 @@ def mix_shift(df: DataFrame) -> DataFrame:
                     F.when(F.col("ly") != 0, (ty - ly) / ly * 100).alias("yoy_pct"),
                     ly_share.alias("ly_share_pct"), ty_share.alias("ty_share_pct"),
                     (ty_share - ly_share).alias("share_delta_pts"))
+
+
+# --- generic helpers --------------------------------------------------------------------------
+
+def group_agg(df: DataFrame, key: str, spec: dict[str, tuple[str, str]]) -> DataFrame:
+    """A51 / A52 (U5 grouping): ``{output: (sum | mean | count, source column)}`` per
+    non-null, non-empty key (F12).
+
+    Decimal sums stay exact; means are of the finite values (nulls skipped by Spark)."""
+    k = F.col(key)
+    d = df.where(k.isNotNull() & (k.cast("string") != ""))
+    aggs = []
+    for out, (fn, src) in spec.items():
+        c = F.col(src)
+        if fn == "sum":
+            aggs.append(F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(out))
+        elif fn == "mean":
+            aggs.append(F.avg(c).alias(out))
+        elif fn == "count":
+            aggs.append(F.count(c).alias(out))
+        else:
+            raise ValueError(f"unknown aggregate {fn!r}")
+    return d.groupBy(k.alias(key)).agg(*aggs)
+
+
+def count_where(df: DataFrame, cond) -> DataFrame:
+    """Number of rows meeting a predicate."""
+    return df.agg(F.count_if(cond).alias("n"))
