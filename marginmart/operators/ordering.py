@@ -20,11 +20,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import join_on
-from .quantiles import _num_partitions, _pin
+from .quantiles import _num_partitions, _pin, conf_int
 
 
 # Tables up to this many rows are ranked with a plain window (one task can hold them).
 SMALL_TABLE_ROWS = 1_000_000
+SMALL_TABLE_CONF = "spark.marginmart.ordering.smallTableRows"
 
 
 def global_order(df: DataFrame, order: Sequence[Column], rank_col: str = "rank",
@@ -38,7 +39,8 @@ def global_order(df: DataFrame, order: Sequence[Column], rank_col: str = "rank",
     plain unpartitioned window, a larger one the distributed plan below.
     """
     running = running or {}
-    limit = SMALL_TABLE_ROWS if small_rows is None else small_rows
+    limit = (conf_int(df.sparkSession, SMALL_TABLE_CONF, SMALL_TABLE_ROWS)
+             if small_rows is None else small_rows)
     if limit > 0 and df.count() <= limit:
         w = Window.orderBy(*order)
         upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

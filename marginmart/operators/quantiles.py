@@ -45,6 +45,15 @@ SMALL_GROUP_ROWS = 1_000_000
 DIGITS = 6
 
 
+SMALL_GROUP_CONF = "spark.marginmart.quantiles.smallGroupRows"
+
+
+def conf_int(spark, key: str, default: int) -> int:
+    """An integer session setting (``spark.conf``), or the default."""
+    value = spark.conf.get(key, None)
+    return int(value) if value not in (None, "") else default
+
+
 def _num_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -147,7 +156,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
         return d.groupBy(*out_keys).agg(*aggs) if out_keys else d.agg(*aggs)
     if method != "exact":
         raise ValueError(f"unknown method {method!r}")
-    limit = SMALL_GROUP_ROWS if small_group_rows is None else small_group_rows
+    limit = (conf_int(df.sparkSession, SMALL_GROUP_CONF, SMALL_GROUP_ROWS)
+             if small_group_rows is None else small_group_rows)
     if limit > 0:
         # Size check with a proven bound: the largest group's row count (one small job).
         # Below the bound, Spark's exact ``percentile`` holds at most that many values per
