@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..functions.enrich import FINE_LEAD_LABELS, LAST_YEAR, THIS_YEAR, fine_lead_bucket, fine_lead_order
+from ..functions.enrich import LAST_YEAR, THIS_YEAR, fine_lead_bucket, fine_lead_order
 from .joins import join_on
 from .ordering import global_order
 from .quantiles import _pin, quantile_scalar, quantiles
@@ -190,5 +190,3 @@ def scatter_sample(df: DataFrame, target: int = 5000, seed: int = 7) -> DataFram
                       F.col("Sport").alias("sport"), F.col("CompanyName").alias("affiliate"),
                       (F.col("Profit") >= 0).alias("profit_side")))
 
-
-FINE_LEAD_ORDER = {label: i for i, label in enumerate(FINE_LEAD_LABELS)}
