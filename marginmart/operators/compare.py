@@ -240,10 +240,10 @@ def affiliate_vs_portfolio(df: DataFrame, affiliate: str | None = None) -> DataF
     margin against the portfolio, whose revenue and profit are divided by the number of
     distinct affiliates.  Portfolio values are a scalar subquery over the per-affiliate table."""
     comp = _affiliate_components(df)
-    p = _portfolio(comp)
+    g = comp.where(F.col("CompanyName").isNotNull()).withColumn("_p", _portfolio(comp))
+    p = F.col("_p")
     p_rev, p_prof, p_n = p["rev"], p["prof"], p["n"]
     n_aff = F.greatest(p["n_aff"], F.lit(1))
-    g = comp.where(F.col("CompanyName").isNotNull())
     if affiliate is not None:
         g = g.where(F.col("CompanyName") == affiliate)
     rows = [
@@ -261,9 +261,9 @@ def affiliate_vs_portfolio(df: DataFrame, affiliate: str | None = None) -> DataF
 def affiliate_vs_portfolio_per_order(df: DataFrame, affiliate: str | None = None) -> DataFrame:
     """Per-order averages, margin and cost ratio of an affiliate vs all this-year orders."""
     comp = _affiliate_components(df)
-    p = _portfolio(comp)
+    g = comp.where(F.col("CompanyName").isNotNull()).withColumn("_p", _portfolio(comp))
+    p = F.col("_p")
     p_rev, p_prof, p_cost, p_n = p["rev"], p["prof"], p["cost"], p["n"]
-    g = comp.where(F.col("CompanyName").isNotNull())
     if affiliate is not None:
         g = g.where(F.col("CompanyName") == affiliate)
     rows = [
@@ -303,14 +303,17 @@ def head_to_head(df: DataFrame, name_a: str | Column | None = None, name_b: str
     else:
         a = per.where(F.col("CompanyName") == name_a)
         b = per.where(F.col("CompanyName") == name_b)
-    va = _h2h_values(*(a.select(c).scalar() for c in ("rev", "prof", "n", "loss")))
-    vb = _h2h_values(*(b.select(c).scalar() for c in ("rev", "prof", "n", "loss")))
+    # One struct scalar subquery per side, evaluated once into a column.
+    cols = ("rev", "prof", "n", "loss")
+    base = (df.sparkSession.range(1)
+              .withColumn("_a", a.select(F.struct("CompanyName", *cols).alias("s")).select("s").scalar())
+              .withColumn("_b", b.select(F.struct("CompanyName", *cols).alias("s")).select("s").scalar()))
+    va = _h2h_values(*(F.col("_a")[c] for c in cols))
+    vb = _h2h_values(*(F.col("_b")[c] for c in cols))
     if name_a is None:
-        a_name, b_name = a.select("CompanyName").scalar(), b.select("CompanyName").scalar()
+        a_name, b_name = F.col("_a")["CompanyName"], F.col("_b")["CompanyName"]
     else:
         a_name, b_name = F.lit(name_a), F.lit(name_b)
-    spark = df.sparkSession
-    base = spark.range(1)
     parts = []
     for i, m in enumerate(H2H_METRICS):
         x, y = F.coalesce(va[i], F.lit(0.0)), F.coalesce(vb[i], F.lit(0.0))

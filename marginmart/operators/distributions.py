@@ -37,13 +37,17 @@ def histogram(df: DataFrame, value: str | Column, nbins: int = 50, lo: float | C
         hi = b["hi"] if hi is None else hi
     lo_c = lo if isinstance(lo, Column) else F.lit(float(lo))
     hi_c = hi if isinstance(hi, Column) else F.lit(float(hi))
+    # Bounds (possibly scalar subqueries) are evaluated once into columns.
+    d = d.withColumn("_lo", lo_c).withColumn("_hi", hi_c)
+    lo_c, hi_c = F.col("_lo"), F.col("_hi")
     width = (hi_c - lo_c) / nbins
     raw = F.when(width > 0, F.floor((F.col("_x") - lo_c) / width)).otherwise(F.lit(0))
     b = F.least(raw, F.lit(nbins - 1)).cast("int")
     inside = (F.col("_x") >= lo_c) & (F.col("_x") <= hi_c)
     # The bin is projected first: bounds may come from a quantile subquery, which Spark
     # treats as non-deterministic and so keeps out of grouping expressions.
-    g = d.where(inside).withColumn("bin", b).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("count"))
+    g = (d.where(inside).withColumn("bin", b)
+           .groupBy(*by, "bin", "_lo", "_hi").agg(F.count(F.lit(1)).alias("count")))
     return g.select(*by, "bin", (lo_c + F.col("bin") * width).alias("bin_lo"),
                     (lo_c + (F.col("bin") + 1) * width).alias("bin_hi"), "count")
 

@@ -95,6 +95,9 @@ def max_abs_range(cell_frames: Sequence[DataFrame]) -> DataFrame:
 def intensity(cells: DataFrame, zmax: Column, metric: str = "SaleTotal", label_share: float = 0.03) -> DataFrame:
     """Colour position ``v / zmax``, whether the cell gets a label (|v| at least
     ``label_share`` of zmax, non-zero), the label text and whether the text is light."""
+    # The scalar subquery is evaluated once into a column and referenced from there.
+    cells = cells.withColumn("_z", zmax)
+    zmax = F.col("_z")
     v = F.col("value")
     inten = F.when(zmax > 0, v / zmax).otherwise(F.lit(0.0))
     threshold = F.when(zmax > 0, zmax * label_share).otherwise(F.lit(0.0))

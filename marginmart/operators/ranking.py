@@ -147,9 +147,9 @@ def loss_concentration(df: DataFrame, k: int = 5) -> DataFrame:
     per = _pin(df.where(F.col("Profit") < 0).groupBy("CompanyName")
                  .agg(M.dsum("Profit").alias("l"), F.count(F.lit(1)).alias("c")))
     tot = per.agg(F.struct(F.sum("l").alias("t"), F.sum("c").alias("n")).alias("s")).select("s").scalar()
-    t, n = tot["t"], tot["n"]
     top = (per.where(F.col("CompanyName").isNotNull()).select("CompanyName", "l")
-              .orderBy(F.col("l").asc(), "CompanyName").limit(k))
+              .orderBy(F.col("l").asc(), "CompanyName").limit(k)).withColumn("_t", tot)
+    t, n = F.col("_t")["t"], F.col("_t")["n"]
     rank = F.row_number().over(Window.orderBy(F.col("l").asc(), "CompanyName"))
     top_sum = F.sum("l").over(Window.partitionBy(F.lit(1)))
     return top.select(F.col("CompanyName").alias("affiliate"), F.col("l").cast("double").alias("loss_dollars"),
