@@ -142,7 +142,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
     3. Per (partition, group) totals (at most partitions + groups rows) give, with a prefix
        sum, the first global position of each group's chunk in each partition, and the
        group size; from these, the positions each quantile needs.
-    4. Only the chunks that hold a needed position are scanned row by row (a sequential
+    4. Only the partitions that hold a needed position are scanned row by row (a sequential
        running sum per partition, ``mapInPandas``, no shuffle); the covering runs give the
        values, interpolated linearly like ``percentile`` / DuckDB ``quantile_cont``.
     """
@@ -201,10 +201,15 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
     need_chunk = (join_on(need, pg, keys)
                   .where((F.col("_t") >= F.col("_pstart")) & (F.col("_t") < F.col("_pstart") + F.col("_pcnt")))
                   .select(*keys, "_t", "_pid", "_pstart"))
-    hot = join_on(s, need_chunk.select("_pid", *keys).distinct(), ["_pid", *keys], "left_semi", broadcast=True)
+    # Keep only the partitions holding a needed position: at most one row per partition, a
+    # proven bound for the broadcast, and a broadcast semi-join keeps each partition's rows
+    # in their sorted order for the sequential scan below.
+    pids = need_chunk.select("_pid").distinct()
+    hot = join_on(s, pids, ["_pid"], "left_semi", broadcast=True)
     schema = StructType(hot.schema.fields + [StructField("_before", LongType(), False)])
     scanned = hot.mapInPandas(_chunk_running_sum(keys, "_cnt"), schema)
-    cover = (join_on(scanned, need_chunk, ["_pid", *keys], broadcast=True)
+    # need_chunk grows with the number of groups, so Spark's size check picks the join.
+    cover = (join_on(scanned, need_chunk, ["_pid", *keys])
              .withColumn("_start", F.col("_pstart") + F.col("_before"))
              .where((F.col("_t") >= F.col("_start")) & (F.col("_t") < F.col("_start") + F.col("_cnt")))
              .select(*keys, "_t", "_v"))
