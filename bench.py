@@ -27,7 +27,8 @@ def main() -> None:
 
     from marginmart.session import get_session
     scratch = tempfile.mkdtemp(prefix="marginmart-bench-")
-    spark = get_session(master=f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus),
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(max(8, 2 * cpus))))
+    spark = get_session(master=f"local[{cpus}]", shuffle_partitions=parts,
                         extra={"spark.local.dir": scratch, "spark.sql.files.maxPartitionBytes": "128m"})
     from marginmart.plans.catalog import QUERIES
     from marginmart.sources import load_enriched

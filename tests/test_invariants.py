@@ -67,3 +67,11 @@ def test_worst_affiliate_null_for_single(spark):
     assert rows["T1"].worst_affiliate is None and rows["T1"].top_affiliate == "A"
     assert (rows["T2"].top_affiliate, rows["T2"].worst_affiliate) == ("A", "B")
     assert rows["T2"].sport == "NBA"  # tie on count -> smallest
+
+
+def test_share_null_label(enriched_small):
+    with_null = SH.order_share_by(enriched_small, "State", null_label="Unknown")
+    labels = {r.category for r in with_null.collect()}
+    assert "Unknown" in labels
+    assert with_null.agg(F.sum("orders")).first()[0] == enriched_small.count()
+    assert "Unknown" not in {r.category for r in SH.order_share_by(enriched_small, "State").collect()}
