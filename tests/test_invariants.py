@@ -75,3 +75,15 @@ def test_share_null_label(enriched_small):
     assert "Unknown" in labels
     assert with_null.agg(F.sum("orders")).first()[0] == enriched_small.count()
     assert "Unknown" not in {r.category for r in SH.order_share_by(enriched_small, "State").collect()}
+
+
+def test_empty_scope(enriched_small):
+    empty = S.scope(enriched_small, "No Such Affiliate")
+    k = {r.year_label: r for r in C.kpi_block(empty).collect()}
+    assert set(k) == {"This Year", "Last Year"}
+    for r in k.values():
+        assert (r.revenue, r.profit, r.margin, r.orders, r.avg_order, r.loss_share) == (0.0, 0.0, 0.0, 0, 0.0, 0.0)
+    assert C.yoy_table(empty, "Sport").count() == 0
+    assert G.day_hour_grid(empty).count() == 168
+    d = C.kpi_deltas(empty).first()
+    assert d.revenue_yoy_pct is None and d.margin_delta_pts == 0.0
