@@ -33,7 +33,20 @@ def materialize(df: DataFrame, name: str = "enriched", partition_by: str | None
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    # The enrichment and the Parquet encoding are CPU-heavy per row while the shuffled join
+    # output is small in bytes, so AQE's size-based coalescing would leave most cores idle;
+    # the one-time fact write keeps the configured shuffle parallelism instead.
+    # (The local shuffle reader is off too: after a join turns into a broadcast join it
+    # splits work by map task, and a source with few row groups has few map tasks.)
+    keys = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.adaptive.localShuffleReader.enabled")
+    before = {k: spark.conf.get(k, "true") for k in keys}
+    for k in keys:
+        spark.conf.set(k, "false")
+    try:
+        writer.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.parquet(path)
     # Keep the original column order (partition columns come back last).
     return out.select(*df.columns)
