@@ -46,6 +46,8 @@ DIGITS = 6
 
 
 SMALL_GROUP_CONF = "spark.marginmart.quantiles.smallGroupRows"
+# Session-wide override of the quantile method ("exact" or "approx", percentile_approx).
+METHOD_CONF = "spark.marginmart.quantiles.method"
 
 
 def conf_int(spark, key: str, default: int) -> int:
@@ -151,6 +153,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
     keys = out_keys or ["_g"]
     d = (df.select(*[F.col(k) for k in out_keys], v.cast("double").alias("_v"))
            .where(F.col("_v").isNotNull() & ~F.isnan("_v")))
+    method = df.sparkSession.conf.get(METHOD_CONF, method) or method
     if method == "approx":
         aggs = [_round(F.percentile_approx("_v", p, accuracy), digits).alias(name) for name, p in probs.items()]
         return d.groupBy(*out_keys).agg(*aggs) if out_keys else d.agg(*aggs)

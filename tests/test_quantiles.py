@@ -69,3 +69,13 @@ def test_small_arrow_batches_carry_running_sums(spark):
             assert got[g].p81 == pytest.approx(float(np.quantile(xs, 0.81)), abs=1e-9)
     finally:
         spark.conf.set(key, old)
+
+
+def test_approx_method_switch(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(1001)], "v double")
+    spark.conf.set("spark.marginmart.quantiles.method", "approx")
+    try:
+        r = quantiles(df, [], "v", {"m": 0.5}).first()
+    finally:
+        spark.conf.unset("spark.marginmart.quantiles.method")
+    assert abs(r.m - 500.0) <= 2.0
