@@ -29,13 +29,23 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 
 
-def query(name: str):
+def in_scope(e: DataFrame) -> DataFrame:
+    """The analysed scope: the two labelled years.  (The source loads exactly those two
+    exports; mart rows of other years only feed the monthly queries and the enrichment
+    checks, which are registered with ``scope="all"``.)"""
+    return e.where(F.col("YearLabel").isNotNull())
+
+
+def query(name: str, scope: str = "years"):
     def deco(fn: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        def on_enriched(e: DataFrame) -> DataFrame:
+            return fn(e if scope == "all" else in_scope(e))
+
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(load_enriched(spark, sf_dir))
+            return on_enriched(load_enriched(spark, sf_dir))
         run.__name__ = f"q_{name}"
         run.__doc__ = fn.__doc__
-        run.on_enriched = fn  # type: ignore[attr-defined]
+        run.on_enriched = on_enriched  # type: ignore[attr-defined]
         QUERIES[name] = run
         return fn
     return deco
@@ -87,13 +97,13 @@ def _headline(e: DataFrame) -> DataFrame:
     return C.headline(e)
 
 
-@query("monthly_trend")
+@query("monthly_trend", scope="all")
 def _monthly_trend(e: DataFrame) -> DataFrame:
     """Monthly metrics, chronological."""
     return C.monthly_trend(e)
 
 
-@query("monthly_kpi")
+@query("monthly_kpi", scope="all")
 def _monthly_kpi(e: DataFrame) -> DataFrame:
     """Monthly KPI table with same-month-last-year revenue YoY."""
     return C.monthly_kpi(e)
@@ -155,27 +165,27 @@ def _mix_shift(e: DataFrame) -> DataFrame:
 
 # --- enrichment checks ------------------------------------------------------------------
 
-@query("enrich_sections")
+@query("enrich_sections", scope="all")
 def _enrich_sections(e: DataFrame) -> DataFrame:
     """Section digits / letters, seat fallback, number and type tiers, per distinct input."""
     return (e.groupBy("Section", "Seats", "Section_Num", "Section_Type", "SectionNumTier", "SectionTypeTier")
              .agg(F.count(F.lit(1)).alias("orders")))
 
 
-@query("enrich_lead_time")
+@query("enrich_lead_time", scope="all")
 def _enrich_lead_time(e: DataFrame) -> DataFrame:
     """Lead-time days, bucket and fine bucket."""
     return (e.groupBy("LeadTimeDays", "LeadTimeBucket", E.fine_lead_bucket("LeadTimeDays").alias("fine_bucket"))
              .agg(F.count(F.lit(1)).alias("orders")))
 
 
-@query("enrich_quantity")
+@query("enrich_quantity", scope="all")
 def _enrich_quantity(e: DataFrame) -> DataFrame:
     """Quantity and its bucket."""
     return e.groupBy("Quantity", "QuantityBucket").agg(F.count(F.lit(1)).alias("orders"))
 
 
-@query("enrich_calendar")
+@query("enrich_calendar", scope="all")
 def _enrich_calendar(e: DataFrame) -> DataFrame:
     """Calendar attributes of sale and event."""
     return (e.groupBy("YearLabel", "YEAR", "SellMonth", "SellMonthName", "SellMonthNum", "SellDayOfWeek",
@@ -183,7 +193,7 @@ def _enrich_calendar(e: DataFrame) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("orders")))
 
 
-@query("enrich_flags")
+@query("enrich_flags", scope="all")
 def _enrich_flags(e: DataFrame) -> DataFrame:
     """Flags, profit sign and null margins per year label."""
     return (e.groupBy("YearLabel")
@@ -195,7 +205,7 @@ def _enrich_flags(e: DataFrame) -> DataFrame:
                   F.count_if(F.col("ProfitMargin").isNull()).alias("null_margins")))
 
 
-@query("lookup_dims")
+@query("lookup_dims", scope="all")
 def _lookup_dims(e: DataFrame) -> DataFrame:
     """Sport by type id, else by team, else Other; state by team; tier by
     marketplace — recomputed from the raw key columns of every order."""
@@ -560,7 +570,7 @@ def _filtered_total(e: DataFrame) -> DataFrame:
 
 # --- labels ----------------------------------------------------------------------------------
 
-@query("labels")
+@query("labels", scope="all")
 def _labels(e: DataFrame) -> DataFrame:
     """Display labels of the monthly KPI table."""
     m = C.monthly_kpi(e)

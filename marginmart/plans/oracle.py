@@ -95,7 +95,7 @@ ORACLE["headline"] = with_enriched(
 
 _MONTHS = f"""m AS (SELECT date_trunc('month', SellDate_dt) AS month_start,
   {dsum('SaleTotal')} AS rev, {dsum('Profit')} AS prof, {dsum('TicketCost')} AS cost, count(*) AS orders
-  FROM e WHERE SellDate_dt IS NOT NULL GROUP BY 1)"""
+  FROM eall WHERE SellDate_dt IS NOT NULL GROUP BY 1)"""
 ORACLE["monthly_trend"] = with_enriched(f"""
 SELECT strftime(month_start, '%Y-%m') AS year_month, strftime(month_start, '%b %y') AS label,
   CAST(rev AS DOUBLE) AS revenue, CAST(prof AS DOUBLE) AS profit, CAST(cost AS DOUBLE) AS cost, orders,
@@ -213,25 +213,25 @@ FROM g CROSS JOIN t WHERE g.n > 0""",
 
 ORACLE["enrich_sections"] = with_enriched("""
 SELECT Section, Seats, Section_Num, Section_Type, SectionNumTier, SectionTypeTier, count(*) AS orders
-FROM e GROUP BY ALL""")
+FROM eall GROUP BY ALL""")
 
 FINE_LEAD_SQL = """CASE WHEN LeadTimeDays IS NULL OR LeadTimeDays <= -1 OR LeadTimeDays > 9999 THEN NULL
   WHEN LeadTimeDays <= 0 THEN 'Same day' WHEN LeadTimeDays <= 1 THEN '1 day' WHEN LeadTimeDays <= 3 THEN '2-3 days'
   WHEN LeadTimeDays <= 7 THEN '4-7 days' WHEN LeadTimeDays <= 14 THEN '1-2 weeks' WHEN LeadTimeDays <= 30 THEN '2-4 weeks'
   WHEN LeadTimeDays <= 60 THEN '1-2 months' WHEN LeadTimeDays <= 365 THEN '2-12 months' WHEN LeadTimeDays <= 9999 THEN '1y+' END"""
 ORACLE["enrich_lead_time"] = with_enriched(f"""
-SELECT LeadTimeDays, LeadTimeBucket, {FINE_LEAD_SQL} AS fine_bucket, count(*) AS orders FROM e GROUP BY ALL""")
+SELECT LeadTimeDays, LeadTimeBucket, {FINE_LEAD_SQL} AS fine_bucket, count(*) AS orders FROM eall GROUP BY ALL""")
 
-ORACLE["enrich_quantity"] = with_enriched("SELECT Quantity, QuantityBucket, count(*) AS orders FROM e GROUP BY ALL")
+ORACLE["enrich_quantity"] = with_enriched("SELECT Quantity, QuantityBucket, count(*) AS orders FROM eall GROUP BY ALL")
 
 ORACLE["enrich_calendar"] = with_enriched("""
 SELECT YearLabel, YEAR, SellMonth, SellMonthName, SellMonthNum, SellDayOfWeek, SellHour, EventMonth, EventDayOfWeek,
-  count(*) AS orders FROM e GROUP BY ALL""")
+  count(*) AS orders FROM eall GROUP BY ALL""")
 
 ORACLE["enrich_flags"] = with_enriched("""
 SELECT YearLabel, count(*) AS orders, count_if(IsDelivered) AS delivered, count_if(IsCancelled) AS cancelled,
   count_if(IsExpired) AS expired, count_if(Profit < 0) AS loss_orders, count_if(ProfitMargin IS NULL) AS null_margins
-FROM e GROUP BY ALL""")
+FROM eall GROUP BY ALL""")
 
 
 def _values(rows, cols) -> str:

@@ -79,7 +79,7 @@ e1 AS (
 )"""
 
 STEP2 = f"""
-e AS (
+eall AS (
   SELECT *,
     CASE WHEN SaleTotal <> 0 THEN CAST(Profit AS DOUBLE) / CAST(SaleTotal AS DOUBLE) * 100 END AS ProfitMargin,
     CASE WHEN LeadTimeDays IS NULL THEN 'Unknown'
@@ -111,12 +111,18 @@ e AS (
   FROM e1
 )"""
 
-PREFIX = "WITH " + ",".join([MART, STEP1, STEP2])
+# The analysed scope: the two labelled years (rows of other years only feed the monthly
+# queries and the enrichment checks, which read ``eall``).
+STEP3 = """
+e AS (SELECT * FROM eall WHERE YearLabel IS NOT NULL)"""
+
+PREFIX = "WITH " + ",".join([MART, STEP1, STEP2, STEP3])
 
 
 def with_enriched(body: str, *extra_ctes: str) -> str:
-    """``WITH mart, e1, e[, extra...] body`` — ``e`` is the enriched fact."""
-    ctes = [MART, STEP1, STEP2, *extra_ctes]
+    """``WITH mart, e1, eall, e[, extra...] body`` — ``eall`` is every enriched row, ``e`` the
+    two labelled years."""
+    ctes = [MART, STEP1, STEP2, STEP3, *extra_ctes]
     return "WITH " + ",".join(ctes) + "\n" + body
 
 
