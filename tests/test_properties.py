@@ -51,3 +51,46 @@ def test_quantiles_match_numpy_property(spark, rows, small):
         xs = np.array([v for gg, v in rows if gg == g], dtype=float)
         for name, p in probs.items():
             assert getattr(got[g], name) == pytest.approx(float(np.quantile(xs, p)), abs=1e-9)
+
+
+def model_lead_bucket(d):
+    if d is None:
+        return "Unknown"
+    if d < 0:
+        return "Post-event sale"
+    if d == 0:
+        return "Same day"
+    for hi, label in ((3, "1-3 days"), (7, "4-7 days"), (30, "1-4 weeks"), (90, "1-3 months")):
+        if d <= hi:
+            return label
+    return "3+ months"
+
+
+def model_num_tier(n):
+    if n is None:
+        return "Unknown"
+    for hi, label in ((100, "Floor / Low (<100)"), (200, "Lower Bowl (100s)"), (300, "Mid Level (200s)"),
+                      (400, "Upper Mid (300s)")):
+        if int(n) < hi:
+            return label
+    return "Upper Deck (400s+)"
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(-400, 400)),
+                          st.one_of(st.none(), st.floats(-50, 900, allow_nan=False))), min_size=1, max_size=30))
+def test_bucket_rules_match_model(spark, rows):
+    df = spark.createDataFrame(rows, "d bigint, n double")
+    got = df.select(E.lead_time_bucket("d").alias("b"), E.section_num_tier("n").alias("t")).collect()
+    for (d, n), r in zip(rows, got):
+        assert r.b == model_lead_bucket(d)
+        assert r.t == model_num_tier(n)
+
+
+def test_timestamp_formats(spark):
+    import datetime as dt
+    vals = ["2024-10-03 10:00:00", "2024-10-03", "10/3/2024 10:05", "10/3/2024", "2024/10/03", "garbage", None]
+    df = spark.createDataFrame([(v,) for v in vals], "x string")
+    got = [r[0] for r in df.select(E.timestamp("x")).collect()]
+    assert got == [dt.datetime(2024, 10, 3, 10), dt.datetime(2024, 10, 3), dt.datetime(2024, 10, 3, 10, 5),
+                   dt.datetime(2024, 10, 3), dt.datetime(2024, 10, 3), None, None]
