@@ -30,10 +30,22 @@ class InputError(ValueError):
     """Raised when an input export is missing or has no rows."""
 
 
+# Compression codecs whose files Spark cannot split: one task would read (and, without a
+# shuffle, process) the whole file.
+UNSPLITTABLE = (".gz", ".gzip", ".zst", ".zstd", ".lz4", ".snappy", ".deflate")
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV, all columns as strings (no inference), blank lines skipped (S3)."""
+    """Header CSV, all columns as strings (no inference), blank lines skipped (S3).
+
+    Plain and bzip2 files are split by Spark across tasks.  A file in an unsplittable codec
+    is read by one task, so its rows are spread round-robin over the shuffle partitions
+    right after the read (one exchange) instead of leaving all enrichment work in that task.
+    """
     df = (spark.read.option("header", True).option("inferSchema", False)
           .option("mode", "PERMISSIVE").csv(path))
+    if str(path).lower().endswith(UNSPLITTABLE):
+        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     df = df.drop(STRAY_COLUMN)                                    # S2
     # S3: a line of only separators reads as all-null; drop such rows.
     return df.dropna(how="all")

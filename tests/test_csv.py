@@ -103,3 +103,15 @@ def test_csv_roundtrip_matches_mart(spark, tmp_path):
     # Lookups ran: type ids 38/42/43 resolve, other parts fall back to Other.
     sports = {r[0] for r in loaded.select("Sport").distinct().collect()}
     assert sports <= {"NBA", "NFL", "NHL", "MLB", "Other"} and {"NBA", "NFL", "NHL"} <= sports
+
+
+def test_gzip_export_is_spread(spark, tmp_path):
+    import gzip
+
+    t, lst = tmp_path / "this.csv.gz", tmp_path / "last.csv"
+    with gzip.open(t, "wt") as fh:
+        fh.write(THIS)
+    lst.write_text(LAST)
+    df = CSV.load_combined(spark, str(t), str(lst))
+    assert df.count() == 4
+    assert CSV.read_raw(spark, str(t)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
