@@ -46,6 +46,7 @@ def query(name: str, scope: str = "years"):
         run.__name__ = f"q_{name}"
         run.__doc__ = fn.__doc__
         run.on_enriched = on_enriched  # type: ignore[attr-defined]
+        run.scope = scope  # type: ignore[attr-defined]
         QUERIES[name] = run
         return fn
     return deco
