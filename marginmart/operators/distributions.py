@@ -22,11 +22,12 @@ from .quantiles import _pin, quantile_scalar, quantiles
 
 
 def histogram(df: DataFrame, value: str | Column, nbins: int = 50, lo: float | Column | None = None,
-              hi: float | Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+              hi: float | Column | None = None, by: Sequence[str] = (), dense: bool = False) -> DataFrame:
     """Equal-width histogram of ``value`` over [lo, hi] (the data's min / max when not
     given), ``nbins`` bins, last bin closed; values outside [lo, hi] and nulls are dropped.
 
-    Returns ``by`` + ``bin`` (0-based), ``bin_lo``, ``bin_hi``, ``count`` for non-empty bins.
+    Returns ``by`` + ``bin`` (0-based), ``bin_lo``, ``bin_hi``, ``count`` for non-empty bins
+    (every bin with ``dense=True``).
     """
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
     d = df.select(*by, v.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
@@ -48,6 +49,13 @@ def histogram(df: DataFrame, value: str | Column, nbins: int = 50, lo: float | C
     # treats as non-deterministic and so keeps out of grouping expressions.
     g = (d.where(inside).withColumn("bin", b)
            .groupBy(*by, "bin", "_lo", "_hi").agg(F.count(F.lit(1)).alias("count")))
+    if dense:
+        # Every bin of every ``by`` group, empty ones with count 0: the bins are generated
+        # per distinct group (``explode(sequence(..))``), then the counts are joined on.
+        axis = (d.select(*by, "_lo", "_hi").distinct()
+                 .withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(nbins - 1)))))
+        g = (join_on(axis, g.drop("_lo", "_hi"), [*by, "bin"], "left")
+             .withColumn("count", F.coalesce(F.col("count"), F.lit(0).cast("bigint"))))
     return g.select(*by, "bin", (lo_c + F.col("bin") * width).alias("bin_lo"),
                     (lo_c + (F.col("bin") + 1) * width).alias("bin_hi"), "count")
 

@@ -92,3 +92,13 @@ def test_ratio_metric_grid(spark, enriched_small):
     assert g and all(-1e9 < r.value < 1e9 for r in g)
     orders = sorted({(r.row_order, r.row_label) for r in g})
     assert [o for o, _ in orders] == list(range(len(orders)))
+
+
+def test_dense_histogram(spark):
+    from marginmart.operators import distributions as D
+    df = spark.createDataFrame([("a", 0.0), ("a", 10.0), ("b", 5.0)], "g string, v double")
+    sparse = D.histogram(df, "v", 5, by=["g"]).collect()
+    dense = D.histogram(df, "v", 5, by=["g"], dense=True).collect()
+    assert sum(r["count"] for r in sparse) == 3 and len(sparse) == 3
+    assert len(dense) == 10 and sum(r["count"] for r in dense) == 3
+    assert {(r.g, r.bin) for r in dense} == {(g, b) for g in "ab" for b in range(5)}
