@@ -1,7 +1,6 @@
 """Every registered query against its DuckDB oracle on sf0.001 (exact row multiset)."""
 
 import math
-from pathlib import Path
 
 import duckdb
 import pytest
