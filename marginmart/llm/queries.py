@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marginmart.llm.packing import op1_packing
+from marginmart.llm.tokenfile import op3_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_token_files": op3_token_files,
 }
 
 ORACLE: dict[str, str] = {}
