@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marginmart.llm.packing import op1_packing
 from marginmart.llm.tokenfile import op3_token_files
+from marginmart.llm.warc import op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_token_files": op3_token_files,
+    "op10_warc": op10_warc,
 }
 
 ORACLE: dict[str, str] = {}
