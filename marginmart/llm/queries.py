@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marginmart.llm.chat import op8_chat
 from marginmart.llm.langid import op9_langid
 from marginmart.llm.packing import op1_packing
 from marginmart.llm.tokenfile import op3_token_files
@@ -14,6 +15,7 @@ from marginmart.llm.warc import op10_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_token_files": op3_token_files,
+    "op8_chat": op8_chat,
     "op9_langid": op9_langid,
     "op10_warc": op10_warc,
 }
