@@ -8,16 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marginmart.llm.chat import op8_chat
 from marginmart.llm.langid import op9_langid
+from marginmart.llm.mtree import OP2_SQL, op2_mtree
 from marginmart.llm.packing import op1_packing
 from marginmart.llm.tokenfile import op3_token_files
-from marginmart.llm.warc import op10_warc
+from marginmart.llm.warc import OP10_SQL, op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_mtree": op2_mtree,
     "op3_token_files": op3_token_files,
     "op8_chat": op8_chat,
     "op9_langid": op9_langid,
     "op10_warc": op10_warc,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_mtree": OP2_SQL,
+    "op10_warc": OP10_SQL,
+}

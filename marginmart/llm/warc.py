@@ -144,3 +144,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write(spark.read.parquet(f"{sf_dir}/pages.parquet"), _common.scratch(spark, "warc"))
     back = read(index, payload=False)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# Five hexadecimal digits of the SHA-1 are four base-32 signs.
+OP10_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, payload_bytes, h, array_to_string(list_transform(range(32), lambda i:
+          substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, 5 * (i // 4) + 1, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1), 1)), '') AS payload_digest,
+          max(page_id) OVER (PARTITION BY h) AS last_id FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last_id THEN last_id END AS refers_to FROM d
+"""
