@@ -96,9 +96,9 @@ def shingle_words(h: np.ndarray, at: np.ndarray, size: int = WORDS) -> tuple[np.
         rolled = rolled * factor + wide[j : len(h) + j]
     rolled = mix(rolled)
     for row in np.flatnonzero((n > 0) & (n < size)):
-        short = np.uint64(n[row])
-        for x in h[at[row] : at[row + 1]]:
-            short = short * factor + x
-        rolled[at[row]] = mix(np.array([short]))[0]
+        short = int(n[row])
+        for x in h[at[row] : at[row + 1]].tolist():
+            short = (short * int(factor) + x) % (1 << 64)
+        rolled[at[row]] = mix(np.array([short], np.uint64))[0]
     rows = np.repeat(np.arange(len(n)), counts)
     return rolled[np.arange(out_at[-1]) - out_at[rows] + at[rows]], out_at
