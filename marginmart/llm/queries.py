@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marginmart.llm.chat import op8_chat
+from marginmart.llm.decontam import op4_decontam
 from marginmart.llm.forest import op6_jaccard
 from marginmart.llm.langid import op9_langid
 from marginmart.llm.mtree import OP2_SQL, op2_mtree
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mtree": op2_mtree,
     "op3_token_files": op3_token_files,
+    "op4_decontam": op4_decontam,
     "op6_jaccard": op6_jaccard,
     "op8_chat": op8_chat,
     "op9_langid": op9_langid,
