@@ -12,6 +12,7 @@ from marginmart.llm.forest import op6_jaccard
 from marginmart.llm.langid import op9_langid
 from marginmart.llm.mtree import OP2_SQL, op2_mtree
 from marginmart.llm.packing import op1_packing
+from marginmart.llm.suffixes import op5_suffixes
 from marginmart.llm.tokenfile import op3_token_files
 from marginmart.llm.warc import OP10_SQL, op10_warc
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mtree": op2_mtree,
     "op3_token_files": op3_token_files,
     "op4_decontam": op4_decontam,
+    "op5_suffixes": op5_suffixes,
     "op6_jaccard": op6_jaccard,
     "op8_chat": op8_chat,
     "op9_langid": op9_langid,
