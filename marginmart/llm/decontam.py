@@ -36,15 +36,6 @@ ITEM_CHARS = 8 << 20
 RESULT = "doc_id long, item_id long, start_word long, n_words long, hamming int, similarity double"
 
 
-def rolled(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the ``size`` words from each word on; no row bounds."""
-    n = len(words) - size + 1
-    out = np.full(max(0, n), size, np.uint64)
-    for j in range(size):
-        out = out * np.uint64(0xD1342543DE82EF95) + words[j : n + j]
-    return _text.mix(out)
-
-
 def simhash(h: np.ndarray) -> int:
     """64-bit fingerprint of shingles, each as often as it occurs."""
     bits = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -74,7 +65,7 @@ class Index:
             if not len(own):
                 continue
             s = min(size, len(own))
-            h = rolled(own, s)
+            h = _text.rolled(own, s)
             number, print_ = len(self.items), simhash(h)
             self.items.append((item_id, len(own), s, h, print_))
             found.setdefault(s, []).append((np.unique(h), number))
@@ -102,7 +93,7 @@ class Index:
         """(row, item, start, words, distance, similarity): each row's best window for each item that it leaks."""
         best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
         for s, (keys, owner, top) in self.lookup.items():
-            h = rolled(words, s)
+            h = _text.rolled(words, s)
             hit = np.flatnonzero(top[(h >> np.uint64(44)).astype(np.int64)])
             row = np.searchsorted(at, hit, side="right") - 1
             inside = hit + s <= at[row + 1]

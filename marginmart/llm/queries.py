@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marginmart.llm.backoff import OP7_SQL, op7_backoff
 from marginmart.llm.chat import op8_chat
 from marginmart.llm.decontam import op4_decontam
 from marginmart.llm.forest import op6_jaccard
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontam": op4_decontam,
     "op5_suffixes": op5_suffixes,
     "op6_jaccard": op6_jaccard,
+    "op7_backoff": op7_backoff,
     "op8_chat": op8_chat,
     "op9_langid": op9_langid,
     "op10_warc": op10_warc,
@@ -30,5 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op2_mtree": OP2_SQL,
+    "op7_backoff": OP7_SQL,
     "op10_warc": OP10_SQL,
 }
