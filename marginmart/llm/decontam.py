@@ -132,21 +132,45 @@ class Index:
                     best[key] = (x, start - first, width, d)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, words: int = WORDS, item_chars: int = ITEM_CHARS) -> DataFrame:
-    """One row per document and benchmark item that it holds: doc_id, item_id, start_word, n_words, hamming, similarity."""
+def item_blocks(benchmark: DataFrame, item_chars: int = ITEM_CHARS) -> Iterator[list[tuple[int | None, str]]]:
+    """The benchmark's items, in lists of about ``item_chars`` characters; none twice. One empty list if there are none."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(chars) // item_chars))
-    out = None
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text")
-        listed = [(r["item_id"], r["text"]) for r in part.collect()]  # of bounded size
-        found = rows.mapInArrow(_search(listed, threshold, radius, words), RESULT)
+        yield [(r["item_id"], r["text"]) for r in part.collect()]  # of bounded size
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, words: int = WORDS, item_chars: int = ITEM_CHARS) -> DataFrame:
+    """One row per document and benchmark item that it holds: doc_id, item_id, start_word, n_words, hamming, similarity."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = None
+    for items in item_blocks(benchmark, item_chars):
+        found = rows.mapInArrow(_search(items, threshold, radius, words), RESULT)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, words: int = WORDS, item_chars: int = ITEM_CHARS) -> DataFrame:
+    """The documents that hold no benchmark item."""
+    for items in item_blocks(benchmark, item_chars):
+        docs = docs.mapInArrow(_keep(items, threshold, radius, words, docs.columns.index("text")), docs.schema)
+    return docs
+
+
+def _keep(items: list[tuple[int | None, str]], threshold: float, radius: int, size: int, at_text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(items, threshold, radius, size)
+        for batch in _common.slices(batches, "text"):
+            words, at = _text.words(batch.column(at_text))
+            keep = np.ones(batch.num_rows, bool)
+            keep[[found[0] for found in index.search(words, at)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def _search(items: list[tuple[int | None, str]], threshold: float, radius: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(items, threshold, radius, size)

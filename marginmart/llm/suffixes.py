@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -345,9 +346,9 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def cut(rows: DataFrame, with_bytes: bool = False) -> DataFrame:
-    """Of (ord, sub, z, ranges): n_removed, n_spans, kept_sha256 (and kept, the remaining bytes)."""
-    schema = "ord long, sub long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
+def cut(rows: DataFrame) -> DataFrame:
+    """Of (ord, sub, z, ranges): n_removed, n_spans, kept_sha256."""
+    schema = "ord long, sub long, n_removed long, n_spans long, kept_sha256 string"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _common.slices(batches, "z", 1 << 19):
@@ -358,50 +359,90 @@ def cut(rows: DataFrame, with_bytes: bool = False) -> DataFrame:
                 spans = merged([(r["start"], r["stop"]) for r in ranges])
                 edges = [0, *(x for s in spans for x in s), len(text)]
                 left = b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2])])
-                out.append((len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest(), *([left] * with_bytes)))
-            kinds = [pa.int64(), pa.int64(), pa.string(), *([pa.binary()] * with_bytes)]
-            names = ["n_removed", "n_spans", "kept_sha256", *(["kept"] * with_bytes)]
+                out.append((len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest()))
+            kinds, names = [pa.int64(), pa.int64(), pa.string()], ["n_removed", "n_spans", "kept_sha256"]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(zip(*out), kinds)]], names=["ord", "sub", *names])
 
     return rows.select("ord", "sub", "z", "ranges").mapInArrow(work, schema)
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cover: int = COVER, with_bytes: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with ord (a null id is smaller than all) and own (the text's hash)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumn("ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))).withColumn("text", text).withColumn("own", F.xxhash64("text"))
 
-    with_bytes: also kept, the remaining bytes of the documents that lose some but not as later
-    copies of a whole text, and null for all others.
-    """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("ord"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = _common.staged(keyed.select("doc_id", "ord", F.sha2("text", 256).alias("sha"), F.xxhash64("text").alias("own"), F.octet_length("text").cast("long").alias("n_bytes")), "texts")
-    # Ids with several texts; sub tells them apart, and is 0 elsewhere.
+
+def _named(rows: DataFrame, clashes: DataFrame) -> DataFrame:
+    """rows with sub, which tells the texts of one id apart and is 0 where it has only one."""
+    return rows.join(clashes, "ord", "left").withColumn("sub", F.when(F.col("clash"), F.col("own")).otherwise(F.lit(0).cast("long"))).drop("clash", "own")
+
+
+def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cover: int = COVER) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(base, clashes, ranges): a row per document with its text's digest; ids with several texts; and the covered byte ranges of each (ord, sub) that is no later copy of a whole text."""
+    keyed = _keyed(docs.select("doc_id", "text"))
+    base = _common.staged(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "ord", F.sha2("text", 256).alias("sha"), "own", F.octet_length("text").cast("long").alias("n_bytes")), "texts")
     clashes = base.groupBy("ord").agg(F.min("sha").alias("low"), F.max("sha").alias("high")).where("low <> high").select("ord", F.lit(True).alias("clash"))
     clashes = _common.staged(clashes, "clashes")
-    named = lambda df, own: df.join(clashes, "ord", "left").withColumn("sub", F.when(F.col("clash"), own).otherwise(F.lit(0).cast("long"))).drop("clash")
-    base = named(base, F.col("own"))
     # The first of each text; rows that repeat its id too are that same document.
     first = base.groupBy("sha").agg(F.min("ord").alias("first_ord"))
-    base = _common.staged(base.join(first, "sha").select("doc_id", "ord", "sub", "sha", "n_bytes", ((F.col("ord") > F.col("first_ord")) & (F.col("n_bytes") >= length)).alias("copy")), "firsts")
+    copy = (F.col("ord") > F.col("first_ord")) & (F.col("n_bytes") >= length)
+    base = _common.staged(_named(base, clashes).join(first, "sha").select("doc_id", "ord", "sub", "sha", "n_bytes", copy.alias("copy")), "firsts")
     copies = base.where("copy and sub = 0").select("ord").distinct()
 
-    texts = named(keyed.where(F.octet_length("text") >= length).select("ord", "text"), F.xxhash64("text"))
+    texts = _named(keyed.where(F.octet_length("text") >= length).select("ord", "text", "own"), clashes)
     hints = repeating(texts.select("ord", "text"), length, gram).join(copies, "ord", "left_anti").groupBy("ord").agg(F.collect_set("h").alias("hs"))
     sent = _common.staged(segments(squeezed(texts).join(hints, "ord").select("ord", "sub", "z", "hs"), length, gram), "segments")
     known = sent.where("bytes is null").select("ord", "sub", "start", "stop")
     ranges = known.unionByName(sort_buckets(sent, length, cover)).groupBy("ord", "sub").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
-    rest = _common.staged(cut(squeezed(texts).join(ranges, ["ord", "sub"]), with_bytes).dropDuplicates(["ord", "sub"]), "cut")
+    return base, clashes, ranges
+
 
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cover: int = COVER) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    base, clashes, ranges = covered(docs, length, gram, cover)
+    texts = _named(_keyed(docs.select("doc_id", "text")).select("ord", "text", "own"), clashes)
+    rest = cut(squeezed(texts).join(ranges, ["ord", "sub"])).dropDuplicates(["ord", "sub"])
+    out = base.join(_common.staged(rest, "cut"), ["ord", "sub"], "left")
     copied = F.col("copy")
-    out = base.join(rest, ["ord", "sub"], "left")
     return out.select(
         "doc_id", "n_bytes",
         F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(copied, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0).cast("long"))).alias("n_spans"),
         F.when(copied, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        *(["kept"] * with_bytes),
     )
 
 
+def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cover: int = COVER) -> DataFrame:
+    """docs with the covered bytes cut out of text; documents of which nothing is left go.
+
+    Signs of which the cut leaves only some bytes go too. Texts that lose nothing stay as they are.
+    """
+    base, clashes, ranges = covered(docs, length, gram, cover)
+    whole = base.where("copy").select("ord", "sub", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop"))).alias("ranges")).dropDuplicates(["ord", "sub"])
+    ranges = ranges.unionByName(whole).groupBy("ord", "sub").agg(F.flatten(F.collect_list("ranges")).alias("_ranges"))
+    rows = docs.withColumn("ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))).withColumn("own", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    rows = _named(rows, clashes).join(ranges, ["ord", "sub"], "left").select(*docs.columns, "_ranges")
+    at = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _common.slices(batches, "text"):
+            texts = batch.column(at).to_pylist()
+            for k, ranges in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if ranges:
+                    raw, place, left = texts[k].encode(), 0, []
+                    for a, b in merged([(r["start"], r["stop"]) for r in ranges]):
+                        left.append(raw[place:a].decode(errors="ignore"))
+                        place = b
+                    texts[k] = "".join(left) + raw[place:].decode(errors="ignore") or None
+            gone = pa.array([t is None and bool(r) for t, r in zip(texts, batch.column(batch.num_columns - 1).to_pylist())])
+            columns = [pa.array(texts, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(len(docs_columns))]
+            out = pa.RecordBatch.from_arrays(columns, names=docs_columns)
+            yield out.filter(pc.invert(gone))
+
+    docs_columns = docs.columns
+    return rows.mapInArrow(work, docs.schema)
+
+
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes of 100-byte strings that start earlier: counts and digests."""
     return dedup(_common.documents(spark, sf_dir))
