@@ -110,8 +110,11 @@ def fit(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS,
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where((F.length("text") <= chars) & F.col("lang").isNotNull()).withColumn("_h", F.xxhash64("text"))
     # First the hashes, then the texts of those few: a text that fills a third of the rows counts once.
-    first = Window.partitionBy("lang").orderBy("_h")
-    least = rows.select("lang", "_h").distinct().withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= docs).drop("_r")
+    # Least of each of 64 parts of a language, then of those: the last step's rows are bounded.
+    least = rows.select("lang", "_h").distinct().withColumn("_part", F.pmod(F.xxhash64("_h"), F.lit(64)))
+    for keys in (("lang", "_part"), ("lang",)):
+        least = least.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_h"))).where(F.col("_r") <= docs).drop("_r")
+    least = least.drop("_part")
     texts = rows.join(F.broadcast(least), ["lang", "_h"]).groupBy("lang", "_h").agg(F.min("text").alias("text"))
     picked = sorted(texts.collect(), key=lambda r: (r["lang"], r["_h"]))
     trees = {}
