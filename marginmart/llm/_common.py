@@ -17,12 +17,13 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local master may do without the setting; it then gets a temporary folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="llm-shared-"))
+        folder = sc.getCheckpointDir()
     return folder.rstrip("/")
 
 
