@@ -12,6 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch to a Python worker.
+BATCH_ROWS = 500
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -35,6 +39,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage and fixes the rows."""
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -64,6 +69,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20)
     import numpy as np
     import pyarrow.compute as pc
 
+    pool = pa.default_memory_pool()
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -76,13 +82,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20)
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        # Idle workers of later stages keep nothing of this one.
+        pool.release_unused()
 
 
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of long texts go to Python few at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
