@@ -59,9 +59,14 @@ def _c(c: str | Column) -> Column:
 # --- coercion (raw text -> typed) -------------------------------------------
 
 def money(c: str | Column) -> Column:
-    """Numeric text to exact decimal, 0 when missing or unparseable."""
-    return F.coalesce(F.expr(f"try_cast(trim({_sql(c)}) as {MONEY_TYPE})"),
-                      F.lit(0).cast(MONEY_TYPE))
+    """Numeric text to decimal, rounded half up to its 4 digits; 0 when missing or no number.
+
+    Numbers too wide for the type raise: a silent 0 would be a wrong total.
+    """
+    text = f"trim({_sql(c)})"
+    wide = f"try_cast({text} as double)"
+    return F.expr(f"case when {wide} is null or isnan({wide}) then cast(0 as {MONEY_TYPE}) "
+                  f"else coalesce(try_cast({text} as {MONEY_TYPE}), cast({wide} as {MONEY_TYPE})) end")
 
 
 def int_trunc(c: str | Column) -> Column:
@@ -74,13 +79,15 @@ def type_id(c: str | Column) -> Column:
     return F.expr(f"try_cast(try_cast(trim({_sql(c)}) as double) as int)")
 
 
-TIMESTAMP_FORMATS = ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd")
+TIMESTAMP_FORMATS = ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a", "M/d/yyyy",
+                     "M/d/yy H:mm", "M/d/yy h:mm a", "M/d/yy", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd",
+                     "MMM d, yyyy h:mm a", "MMM d, yyyy", "d MMM yyyy", "MMMM d, yyyy")
 
 
 def timestamp(c: str | Column) -> Column:
     """Text to naive timestamp; bad text gives null."""
     s = _sql(c)
-    parts = [f"try_cast(trim({s}) as timestamp_ntz)"]
+    parts = [f"try_cast(nullif(trim({s}), '') as timestamp_ntz)"]
     parts += [f"cast(try_to_timestamp(trim({s}), '{fmt}') as timestamp_ntz)" for fmt in TIMESTAMP_FORMATS]
     return F.expr(f"coalesce({', '.join(parts)})")
 
@@ -112,21 +119,6 @@ def row_margin(profit_col: Column | None = None, sale_col: Column | None = None)
 
 # --- calendar -------------------------------------------------------------------
 
-def year_month(ts: str | Column) -> Column:
-    """``yyyy-MM`` key, null when the timestamp is null."""
-    return F.date_format(_c(ts), "yyyy-MM")
-
-
-def month_abbr(ts: str | Column) -> Column:
-    """``Jan`` .. ``Dec``."""
-    return F.date_format(_c(ts), "MMM")
-
-
-def day_name(ts: str | Column) -> Column:
-    """``Monday`` .. ``Sunday``."""
-    return F.date_format(_c(ts), "EEEE")
-
-
 def day_order(ts: str | Column) -> Column:
     """0 for Monday .. 6 for Sunday."""
     return F.weekday(_c(ts))
@@ -281,12 +273,12 @@ def enrich(df: DataFrame) -> DataFrame:
         "Profit": profit(),
         "TicketsSold": F.col("Quantity"),
         "SellMonth": _month_key(F.col("_sy"), F.col("_sm")),
-        "SellMonthName": F.element_at(months, F.col("_sm")),
+        "SellMonthName": F.when(sell.isNotNull(), F.element_at(months, F.col("_sm"))),
         "SellMonthNum": F.col("_sm"),
-        "SellDayOfWeek": F.element_at(days, F.col("_swd") + 1),
+        "SellDayOfWeek": F.when(sell.isNotNull(), F.element_at(days, F.col("_swd") + 1)),
         "SellHour": hour_of(sell),
         "EventMonth": _month_key(F.col("_ey"), F.col("_em")),
-        "EventDayOfWeek": F.element_at(days, F.col("_ewd") + 1),
+        "EventDayOfWeek": F.when(event.isNotNull(), F.element_at(days, F.col("_ewd") + 1)),
         "LeadTimeDays": lead_time_days(sell, event),
         "Section_Num": section_number_from(F.col("_digits"), "Seats"),
         "Section_Type": section_letters("Section"),

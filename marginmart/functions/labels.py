@@ -13,6 +13,11 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _plain(x: Column, digits: int) -> Column:
+    """A number with that many decimals and no thousands separators."""
+    return F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))
+
+
 def month_label(ts: str | Column) -> Column:
     """``Oct 24``."""
     return F.date_format(_c(ts), "MMM yy")
@@ -27,11 +32,11 @@ def money(x: str | Column) -> Column:
 
 
 def pct(x: str | Column, signed: bool = False) -> Column:
-    """``12.3%`` (``+12.3%`` when signed); null shows as an em dash."""
+    """``12.3%`` (``+12.3%`` when signed, no thousands separators); null shows as an em dash."""
     v = _c(x).cast("double")
     sign = F.when(v >= 0, F.lit("+")).otherwise(F.lit("-")) if signed else F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
     return (F.when(v.isNull() | F.isnan(v), F.lit("—"))
-            .otherwise(F.concat(sign, F.format_number(F.abs(v), 1), F.lit("%"))))
+            .otherwise(F.concat(sign, _plain(F.abs(v), 1), F.lit("%"))))
 
 
 def integer(x: str | Column) -> Column:
@@ -42,13 +47,13 @@ def integer(x: str | Column) -> Column:
 
 
 def compact_money(x: str | Column) -> Column:
-    """``$1.2M`` / ``$45K`` / ``$850``; empty for 0, null or non-finite."""
+    """``$1.2M`` / ``$45K`` / ``$850``, no thousands separators; empty for 0, null or non-finite."""
     v = _c(x).cast("double")
     a = F.abs(v)
     sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
-    body = (F.when(a >= 1e6, F.concat(F.lit("$"), F.format_number(a / 1e6, 1), F.lit("M")))
-            .when(a >= 1e3, F.concat(F.lit("$"), F.format_number(a / 1e3, 0), F.lit("K")))
-            .otherwise(F.concat(F.lit("$"), F.format_number(a, 0))))
+    body = (F.when(a >= 1e6, F.concat(F.lit("$"), _plain(a / 1e6, 1), F.lit("M")))
+            .when(a >= 1e3, F.concat(F.lit("$"), _plain(a / 1e3, 0), F.lit("K")))
+            .otherwise(F.concat(F.lit("$"), _plain(a, 0))))
     bad = v.isNull() | F.isnan(v) | (a == F.lit(float("inf"))) | (v == 0)
     return F.when(bad, F.lit("")).otherwise(F.concat(sign, body))
 

@@ -292,6 +292,8 @@ def head_to_head(df: DataFrame, name_a: str | Column | None = None, name_b: str
     Without names, A and B are the two affiliates with the highest this-year revenue
     (ties by name), chosen inside the plan (no driver round trip).
     """
+    if (name_a is None) != (name_b is None):
+        raise ValueError("name both affiliates or none")
     ty = df.where(TY() & F.col("CompanyName").isNotNull())
     per = _pin(ty.groupBy("CompanyName")
                  .agg(M.dsum("SaleTotal").alias("rev"), M.dsum("Profit").alias("prof"),

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import labels as L
 from ..functions import metrics as M
 from ..functions.enrich import LAST_YEAR, THIS_YEAR, fine_lead_bucket, fine_lead_order
 from .joins import join_on
@@ -190,15 +191,18 @@ def scatter_frame(df: DataFrame) -> DataFrame:
                     F.col("ProfitMargin").alias("margin"), upper.alias("upper"))
 
 
-def scatter_sample(df: DataFrame, target: int = 5000, seed: int = 7) -> DataFrame:
-    """Bernoulli sample of about ``target`` rows with the break-even side flag.
+# FIXED VALUES — modulus and step of the sample's draw.
+SAMPLE_PRIME, SAMPLE_STEP = 1_000_003, 7_919
 
-    The fraction ``min(1, target / n)`` is a scalar subquery, so nothing reaches the driver.
+
+def scatter_sample(df: DataFrame, fraction: float = 0.05) -> DataFrame:
+    """The rows whose order key falls in the caller's fraction, with the break-even side flag.
+
+    The draw is arithmetic on the key (a multiplicative step modulo a prime), so it is the same on
+    every run and in every engine.
     """
-    n = df.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    frac = F.least(F.lit(1.0), F.lit(float(target)) / F.greatest(n, F.lit(1)))
-    return (df.where(F.rand(seed) < frac)
+    draw = F.col("InvoiceID").cast("long") % F.lit(SAMPLE_PRIME) * F.lit(SAMPLE_STEP) % F.lit(SAMPLE_PRIME)
+    return (df.where(draw < F.lit(int(fraction * SAMPLE_PRIME)))
               .select(F.col("TicketCost").cast("double").alias("cost"), F.col("SaleTotal").cast("double").alias("revenue"),
                       F.col("Sport").alias("sport"), F.col("CompanyName").alias("affiliate"),
-                      (F.col("Profit") >= 0).alias("profit_side")))
-
+                      L.break_even_side("Profit").alias("profit_side")))

@@ -2,18 +2,9 @@
 
 ``percentile`` keeps, per group, a map of every distinct value in one task; a group
 holding a third of 100 TB of rows would not fit.  Here a quantile is found by position
-instead:
-
-1. ``global_positions`` range-partitions the rows by (group keys, value) — Spark samples
-   the key distribution, so a hot group is *split* over many partitions — sorts within
-   each partition, and numbers the rows: ``monotonically_increasing_id`` gives the row
-   index inside a partition, and a prefix sum over the per-partition counts (one row per
-   partition, broadcast) gives each partition's offset.  The numbered rows are
-   checkpointed once so every later step sees the same partition cut.
-2. Per group, the count and the first position (``min``) are algebraic aggregates.
-3. The positions a quantile needs (floor / ceil of ``p * (n - 1)``) are joined back on
-   the unique position column, so that join has no skew; the values are interpolated
-   linearly, as ``percentile`` / pandas ``quantile`` / DuckDB ``quantile_cont`` do.
+instead (see :func:`quantiles`): the rows are range-partitioned by (group keys, value), so a
+hot group is split over many partitions, and prefix sums over partitions give positions.  The
+same plan runs at every size.
 
 Equal values are combined into weighted runs first, so a value repeated by a third of
 all rows is one row, not a hot task.  Every step is a bounded-memory shuffle; the only
@@ -36,26 +27,11 @@ from ..session import ensure_checkpoint_dir
 from .joins import join_on
 
 POS = "_pos"
-# Largest group (rows) for which Spark's own exact ``percentile`` is used; above it the
-# distributed path runs.  ``percentile`` keeps a group's values in one task, so the bound is
-# what makes that safe.
-SMALL_GROUP_ROWS = 1_000_000
 # Quantiles are rounded to this many decimals (well below the 4-decimal money inputs), so a
 # result does not depend on the last bit of the interpolation arithmetic.
 DIGITS = 6
 
 
-SMALL_GROUP_CONF = "spark.marginmart.quantiles.smallGroupRows"
-# Session-wide override of the quantile method ("exact" or "approx", percentile_approx).
-METHOD_CONF = "spark.marginmart.quantiles.method"
-
-
-def conf_int(spark, key: str, default: int) -> int:
-    """An integer session setting (``spark.conf``), or the default."""
-    value = spark.conf.get(key, None)
-    return int(value) if value not in (None, "") else default
-
-
 def _num_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -70,30 +46,6 @@ def _pin(s: DataFrame) -> DataFrame:
     return pinned
 
 
-def global_positions(df: DataFrame, order_cols: Sequence[str | Column],
-                     num_partitions: int | None = None) -> DataFrame:
-    """Add ``_pos``: the 0-based position of each row in the global order of ``order_cols``."""
-    n = num_partitions or _num_partitions(df)
-    cols = list(df.columns)
-    s = (df.repartitionByRange(n, *order_cols)
-           .sortWithinPartitions(*order_cols)
-           .withColumn("_pid", F.spark_partition_id())
-           .withColumn("_rip", F.monotonically_increasing_id()
-                       - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)))
-    # The range bounds come from sampling the input, and the input order after a shuffle is
-    # not fixed, so two evaluations could cut the partitions differently.  A reliable
-    # checkpoint (in the cluster's shared checkpoint folder) pins one cut: the partition
-    # counts and the row numbers below are read from the same files, also after a lost
-    # executor.
-    s = _pin(s)
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
-    # One row per partition: a proven size bound for the broadcast.
-    return (join_on(s, offsets, ["_pid"], broadcast=True)
-            .select(*cols, (F.col("_off") + F.col("_rip")).alias(POS)))
-
-
 def _chunk_running_sum(keys: Sequence[str], weight: str):
     """Per-partition function: running sum of ``weight`` before each row, restarting at
     every change of (``_pid``, keys).  Rows arrive sorted, so a chunk is contiguous; it may
@@ -130,8 +82,7 @@ def _chunk_running_sum(keys: Sequence[str], weight: str):
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
               probs: Mapping[str, float], method: str = "exact",
-              accuracy: int = 10000, digits: int | None = DIGITS,
-              small_group_rows: int | None = None) -> DataFrame:
+              accuracy: int = 10000, digits: int | None = DIGITS) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` per ``keys`` group (nulls and NaN ignored).
 
     Returns ``keys`` + one double column per entry of ``probs``; groups without a
@@ -153,25 +104,11 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
     keys = out_keys or ["_g"]
     d = (df.select(*[F.col(k) for k in out_keys], v.cast("double").alias("_v"))
            .where(F.col("_v").isNotNull() & ~F.isnan("_v")))
-    method = df.sparkSession.conf.get(METHOD_CONF, method) or method
     if method == "approx":
         aggs = [_round(F.percentile_approx("_v", p, accuracy), digits).alias(name) for name, p in probs.items()]
         return d.groupBy(*out_keys).agg(*aggs) if out_keys else d.agg(*aggs)
     if method != "exact":
         raise ValueError(f"unknown method {method!r}")
-    limit = (conf_int(df.sparkSession, SMALL_GROUP_CONF, SMALL_GROUP_ROWS)
-             if small_group_rows is None else small_group_rows)
-    if limit > 0:
-        # Size check with a proven bound: the largest group's row count (one small job).
-        # Below the bound, Spark's exact ``percentile`` holds at most that many values per
-        # group in one task, which is safe; above it, the distributed path below runs.
-        sizes = d.groupBy(*out_keys).agg(F.count(F.lit(1)).alias("_n"))
-        largest = sizes.agg(F.max("_n")).first()[0]
-        if largest is None or largest <= limit:
-            pct = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs.values()]))
-            g = d.groupBy(*out_keys).agg(pct.alias("_p")) if out_keys else d.agg(pct.alias("_p"))
-            return g.select(*out_keys, *[_round(F.col("_p")[i], digits).alias(name)
-                                         for i, name in enumerate(probs)])
     if not out_keys:
         d = d.withColumn("_g", F.lit(0))
 
@@ -230,5 +167,5 @@ def _round(c: Column, digits: int | None) -> Column:
 
 
 def quantile_scalar(df: DataFrame, value: str | Column, p: float, method: str = "exact") -> Column:
-    """One quantile of the whole frame as a scalar-subquery Column."""
-    return quantiles(df, [], value, {"q": p}, method=method).select("q").scalar()
+    """One quantile of the whole frame as a scalar-subquery Column; not rounded, as it is compared with."""
+    return quantiles(df, [], value, {"q": p}, method=method, digits=None).select("q").scalar()

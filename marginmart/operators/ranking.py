@@ -37,8 +37,8 @@ def team_breakdown(df: DataFrame, years: Sequence[str] | None = (THIS_YEAR,)) ->
     d = df.where(F.col("HomeTeam").isNotNull())
     # One scan of the fact: (team, affiliate, sport) partial sums; everything else is
     # aggregated from that small table.
-    base = d.groupBy("HomeTeam", "CompanyName", "Sport").agg(
-        *M.component_aggs(), F.coalesce(F.sum(F.col("TicketsSold").cast("bigint")), F.lit(0).cast("bigint")).alias("tickets"))
+    base = _pin(d.groupBy("HomeTeam", "CompanyName", "Sport").agg(
+        *M.component_aggs(), F.coalesce(F.sum(F.col("TicketsSold").cast("bigint")), F.lit(0).cast("bigint")).alias("tickets")))
     sport_counts = (base.where(F.col("Sport").isNotNull()).groupBy("HomeTeam", "Sport")
                         .agg(F.sum("orders").alias("_c")))
     modes = sport_counts.groupBy("HomeTeam").agg(
@@ -179,27 +179,26 @@ def margin_by_dimension(df: DataFrame, dims: Sequence[str] = MARGIN_DIMENSIONS,
     ONE aggregation (grouping sets), long form; ``heads`` keeps the largest-revenue rows
     of a dimension (default: 8 marketplaces)."""
     heads = {"ShippingCompany": 8} if heads is None else heads
-    g = df.groupingSets([[d] for d in dims], *dims).agg(*M.component_aggs(), F.grouping_id().alias("_gid"))
+    # One aggregation of the fact, pinned: every dimension's rows are read from it.
+    g = _pin(df.groupingSets([[d] for d in dims], *dims).agg(*M.component_aggs(), F.grouping_id().alias("_gid")))
     n = len(dims)
-    parts = []
-    for i, d in enumerate(dims):
-        gid = (1 << n) - 1 - (1 << (n - 1 - i))
-        parts.append(g.where((F.col("_gid") == gid) & F.col(d).isNotNull())
-                      .select(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"),
-                              "rev", "prof", "cost", "orders"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    rank = F.row_number().over(Window.partitionBy("dimension").orderBy(F.col("rev").desc(), "value"))
-    out = out.withColumn("rank", rank)
-    keep = F.lit(True)
+    gids = {d: (1 << n) - 1 - (1 << (n - 1 - i)) for i, d in enumerate(dims)}
+    name = F.lit(None).cast("string")
+    value = F.lit(None).cast("string")
+    for d, gid in gids.items():
+        name = F.when(F.col("_gid") == gid, F.lit(d)).otherwise(name)
+        value = F.when(F.col("_gid") == gid, F.col(d).cast("string")).otherwise(value)
+    out = g.select(name.alias("dimension"), value.alias("value"), "rev", "prof", "cost", "orders").where(F.col("value").isNotNull())
+    # Largest rows are taken of the headed dimensions alone, each by a distributed top-k.
+    best = out.where(~F.col("dimension").isin(list(heads)))
     for d, k in heads.items():
-        keep = keep & ~((F.col("dimension") == d) & (F.col("rank") > k))
-    return out.where(keep).select(
+        best = best.unionByName(out.where(F.col("dimension") == d).orderBy(F.col("rev").desc(), "value").limit(k))
+    out = best
+    return out.select(
         "dimension", "value", F.col("rev").cast("double").alias("revenue"), F.col("prof").cast("double").alias("profit"),
         F.col("cost").cast("double").alias("cost"), "orders",
         M.guarded_pct(F.col("prof"), F.col("rev")).alias("margin"),
-        M.guarded_pct(F.col("prof"), F.col("cost")).alias("ratio"), "rank")
+        M.guarded_pct(F.col("prof"), F.col("cost")).alias("ratio"))
 
 
 def section_codes(df: DataFrame) -> DataFrame:

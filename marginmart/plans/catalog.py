@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import enrich as E
 from ..functions import labels as L
+from ..functions import metrics as M
 from ..operators import compare as C
 from ..operators import distributions as D
 from ..operators import profile as P
@@ -22,31 +23,23 @@ from ..operators import risk as K
 from ..operators import grids as G
 from ..operators import scope as S
 from ..operators import shares as SH
-from ..sources import csv as CSV
+from .text_export import TEXT_QUERIES
 from ..sources import load_enriched
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 
 
-def in_scope(e: DataFrame) -> DataFrame:
-    """The analysed scope: the two labelled years.  (The source loads exactly those two
-    exports; mart rows of other years only feed the monthly queries and the enrichment
-    checks, which are registered with ``scope="all"``.)"""
-    return e.where(F.col("YearLabel").isNotNull())
-
-
-def query(name: str, scope: str = "years"):
+def query(name: str):
     def deco(fn: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
         def on_enriched(e: DataFrame) -> DataFrame:
-            return fn(e if scope == "all" else in_scope(e))
+            return fn(e)
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return on_enriched(load_enriched(spark, sf_dir))
         run.__name__ = f"q_{name}"
         run.__doc__ = fn.__doc__
         run.on_enriched = on_enriched  # type: ignore[attr-defined]
-        run.scope = scope  # type: ignore[attr-defined]
         QUERIES[name] = run
         return fn
     return deco
@@ -98,13 +91,13 @@ def _headline(e: DataFrame) -> DataFrame:
     return C.headline(e)
 
 
-@query("monthly_trend", scope="all")
+@query("monthly_trend")
 def _monthly_trend(e: DataFrame) -> DataFrame:
     """Monthly metrics, chronological."""
     return C.monthly_trend(e)
 
 
-@query("monthly_kpi", scope="all")
+@query("monthly_kpi")
 def _monthly_kpi(e: DataFrame) -> DataFrame:
     """Monthly KPI table with same-month-last-year revenue YoY."""
     return C.monthly_kpi(e)
@@ -166,27 +159,27 @@ def _mix_shift(e: DataFrame) -> DataFrame:
 
 # --- enrichment checks ------------------------------------------------------------------
 
-@query("enrich_sections", scope="all")
+@query("enrich_sections")
 def _enrich_sections(e: DataFrame) -> DataFrame:
     """Section digits / letters, seat fallback, number and type tiers, per distinct input."""
     return (e.groupBy("Section", "Seats", "Section_Num", "Section_Type", "SectionNumTier", "SectionTypeTier")
              .agg(F.count(F.lit(1)).alias("orders")))
 
 
-@query("enrich_lead_time", scope="all")
+@query("enrich_lead_time")
 def _enrich_lead_time(e: DataFrame) -> DataFrame:
     """Lead-time days, bucket and fine bucket."""
     return (e.groupBy("LeadTimeDays", "LeadTimeBucket", E.fine_lead_bucket("LeadTimeDays").alias("fine_bucket"))
              .agg(F.count(F.lit(1)).alias("orders")))
 
 
-@query("enrich_quantity", scope="all")
+@query("enrich_quantity")
 def _enrich_quantity(e: DataFrame) -> DataFrame:
     """Quantity and its bucket."""
     return e.groupBy("Quantity", "QuantityBucket").agg(F.count(F.lit(1)).alias("orders"))
 
 
-@query("enrich_calendar", scope="all")
+@query("enrich_calendar")
 def _enrich_calendar(e: DataFrame) -> DataFrame:
     """Calendar attributes of sale and event."""
     return (e.groupBy("YearLabel", "YEAR", "SellMonth", "SellMonthName", "SellMonthNum", "SellDayOfWeek",
@@ -194,7 +187,7 @@ def _enrich_calendar(e: DataFrame) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("orders")))
 
 
-@query("enrich_flags", scope="all")
+@query("enrich_flags")
 def _enrich_flags(e: DataFrame) -> DataFrame:
     """Flags, profit sign and null margins per year label."""
     return (e.groupBy("YearLabel")
@@ -206,14 +199,11 @@ def _enrich_flags(e: DataFrame) -> DataFrame:
                   F.count_if(F.col("ProfitMargin").isNull()).alias("null_margins")))
 
 
-@query("lookup_dims", scope="all")
+@query("lookup_dims")
 def _lookup_dims(e: DataFrame) -> DataFrame:
-    """Sport by type id, else by team, else Other; state by team; tier by
-    marketplace — recomputed from the raw key columns of every order."""
-    raw = e.drop("Sport", "State", "MarketplaceTier")
-    looked = CSV.lookup_dims(raw)
-    return (looked.groupBy("RequestedPerformerTypeId", "ShippingCompany", "Sport", "State", "MarketplaceTier")
-                  .agg(F.count(F.lit(1)).alias("orders")))
+    """Sport by type id, else by team, else Other; state by team; tier by marketplace."""
+    return (e.groupBy("RequestedPerformerTypeId", "PrimaryPerformerName", "ShippingCompany", "Sport", "State",
+                      "MarketplaceTier").agg(F.count(F.lit(1)).alias("orders")))
 
 
 # --- scope ----------------------------------------------------------------------------------
@@ -331,7 +321,7 @@ def _state_metric(e: DataFrame) -> DataFrame:
 @query("state_shared_range")
 def _state_shared_range(e: DataFrame) -> DataFrame:
     """Shared state map range over both years."""
-    return G.state_shared_range(e.where(F.col("YearLabel").isNotNull()))
+    return G.state_shared_range(e)
 
 
 @query("cross_tab")
@@ -421,8 +411,8 @@ def _scatter_frame(e: DataFrame) -> DataFrame:
 
 @query("scatter_sample")
 def _scatter_sample(e: DataFrame) -> DataFrame:
-    """About 5000 sampled this-year orders with the break-even side (rows-only check)."""
-    return D.scatter_sample(_ty(e))
+    """A twentieth of the orders, drawn by order key, with the break-even side."""
+    return D.scatter_sample(e)
 
 
 # --- rankings -------------------------------------------------------------------------------
@@ -571,7 +561,7 @@ def _filtered_total(e: DataFrame) -> DataFrame:
 
 # --- labels ----------------------------------------------------------------------------------
 
-@query("labels", scope="all")
+@query("labels")
 def _labels(e: DataFrame) -> DataFrame:
     """Display labels of the monthly KPI table."""
     m = C.monthly_kpi(e)
@@ -579,3 +569,75 @@ def _labels(e: DataFrame) -> DataFrame:
                     L.money("revenue").alias("revenue_text"), L.compact_money("profit").alias("profit_compact"),
                     L.pct("margin").alias("margin_text"), L.pct("revenue_yoy_pct", signed=True).alias("yoy_text"),
                     L.integer("orders").alias("orders_text"))
+
+
+# --- choices a caller makes -----------------------------------------------------------------
+
+@query("share_delivery")
+def _share_delivery(e: DataFrame) -> DataFrame:
+    """This-year revenue by delivery type."""
+    return SH.share_by(_ty(e), "DeliveryType", "SaleTotal")
+
+
+@query("share_home_team")
+def _share_home_team(e: DataFrame) -> DataFrame:
+    """This-year revenue by home team (any number of categories)."""
+    return SH.share_by(_ty(e), "HomeTeam", "SaleTotal")
+
+
+@query("yoy_by_affiliate_top")
+def _yoy_by_affiliate_top(e: DataFrame) -> DataFrame:
+    """The first ten rows of the affiliate YoY table."""
+    return C.yoy_table(e, "CompanyName", top_n=10)
+
+
+@query("yoy_scoped")
+def _yoy_scoped(e: DataFrame) -> DataFrame:
+    """YoY table by sport of one affiliate."""
+    return C.yoy_table(S.scope(e, "Supplier#000000001"), "Sport")
+
+
+@query("yoy_pair")
+def _yoy_pair(e: DataFrame) -> DataFrame:
+    """YoY table of a pair of affiliates."""
+    return C.yoy_table(S.pair(e, "Supplier#000000001", "Supplier#000000002"), "CompanyName")
+
+
+@query("yoy_bars_margin")
+def _yoy_bars_margin(e: DataFrame) -> DataFrame:
+    """A1, A5: margin by sport and year."""
+    return C.yoy_compare(e, "Sport", "Margin")
+
+
+@query("yoy_bars_ratio")
+def _yoy_bars_ratio(e: DataFrame) -> DataFrame:
+    """A1, A5: profit over cost by sport and year."""
+    return C.yoy_compare(e, "Sport", "Ratio")
+
+
+@query("yoy_bars_orders")
+def _yoy_bars_orders(e: DataFrame) -> DataFrame:
+    """A1, A5: orders by sport and year."""
+    return C.yoy_compare(e, "Sport", "Orders")
+
+
+@query("count_losses")
+def _count_losses(e: DataFrame) -> DataFrame:
+    """Cancelled orders at a loss."""
+    return C.count_where(e, (F.col("Profit") < 0) & F.col("IsCancelled"))
+
+
+@query("positions")
+def _positions(e: DataFrame) -> DataFrame:
+    """Gradient and diverging positions, clipped and rounded values by sport."""
+    g = e.groupBy("Sport").agg(M.metric_agg("Margin").alias("margin"), M.metric_agg("SaleTotal").alias("revenue"))
+    low, high, bound = F.lit(-50.0), F.lit(100.0), F.lit(200.0)
+    out = g.select("Sport", L.gradient_position("margin", low, high).alias("margin_position"),
+                   L.gradient_position("margin", low, high, low_is_good=True).alias("inverted_position"),
+                   L.diverging_position("margin", bound).alias("diverging_position"),
+                   L.clip("margin", F.lit(-10.0), F.lit(10.0)).alias("clipped"), "revenue", "margin")
+    return L.round_table(out, money=["revenue"], pct=["margin"])
+
+
+for _name, _fn in TEXT_QUERIES.items():
+    QUERIES[_name] = _fn

@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 from .catalog import YOY_DIMENSIONS
-from ..functions.enrich import ENRICHED_EXTRA
-from ..sources import dims
-from ..sources.mart import MART_COLUMNS
-from .oracle_base import LY, MART, TY, dbl, dsum, gpct, with_enriched
+from .oracle_base import LY, TY, dbl, dsum, gpct, with_enriched
 
 ORACLE: dict[str, str] = {}
 
@@ -234,22 +231,9 @@ SELECT YearLabel, count(*) AS orders, count_if(IsDelivered) AS delivered, count_
 FROM eall GROUP BY ALL""")
 
 
-def _values(rows, cols) -> str:
-    def lit(v):
-        return "NULL" if v is None else (str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'")
-    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
-    return f"(VALUES {body}) AS t({', '.join(cols)})"
-
-
-ORACLE["lookup_dims"] = f"""WITH {MART}
-SELECT m.RequestedPerformerTypeId, m.ShippingCompany,
-  coalesce(sd.type_sport, td.team_sport, 'Other') AS Sport, td.team_state AS State,
-  coalesce(md.tier, 'Other') AS MarketplaceTier, count(*) AS orders
-FROM mart m
-LEFT JOIN (SELECT * FROM {_values(dims.SPORT_BY_TYPE_ID.items(), ["type_id", "type_sport"])}) sd ON m.RequestedPerformerTypeId = sd.type_id
-LEFT JOIN (SELECT * FROM {_values(dims.team_rows(), ["team", "team_sport", "team_state"])}) td ON m.PrimaryPerformerName = td.team
-LEFT JOIN (SELECT * FROM {_values(dims.MARKETPLACE_TIER.items(), ["marketplace", "tier"])}) md ON m.ShippingCompany = md.marketplace
-GROUP BY ALL"""
+ORACLE["lookup_dims"] = with_enriched("""
+SELECT RequestedPerformerTypeId, PrimaryPerformerName, ShippingCompany, Sport, State, MarketplaceTier, count(*) AS orders
+FROM eall GROUP BY ALL""")
 
 _SC = ("count(*) AS rows, count_if(YearLabel = 'This Year') AS ty_rows, "
        "count_if(YearLabel = 'Last Year') AS ly_rows")
@@ -335,9 +319,9 @@ def compact_money_sql(v: str) -> str:
     a = f"abs({v})"
     return (f"CASE WHEN {v} IS NULL OR isnan({v}) OR isinf({v}) OR {v} = 0 THEN '' ELSE "
             f"(CASE WHEN {v} < 0 THEN '-' ELSE '' END) || CASE "
-            f"WHEN {a} >= 1e6 THEN '$' || format('{{:,.1f}}', {a} / 1e6) || 'M' "
-            f"WHEN {a} >= 1e3 THEN '$' || format('{{:,.0f}}', {a} / 1e3) || 'K' "
-            f"ELSE '$' || format('{{:,.0f}}', {a}) END END")
+            f"WHEN {a} >= 1e6 THEN '$' || format('{{:.1f}}', {a} / 1e6) || 'M' "
+            f"WHEN {a} >= 1e3 THEN '$' || format('{{:.0f}}', {a} / 1e3) || 'K' "
+            f"ELSE '$' || format('{{:.0f}}', {a}) END END")
 
 
 ORACLE["grid_intensity"] = with_enriched(f"""
@@ -377,7 +361,7 @@ ORACLE["state_shared_range"] = with_enriched(
     f"g AS (SELECT YearLabel, State, {dsum('SaleTotal')} AS rev, {dsum('Profit')} AS prof, {dsum('TicketCost')} AS cost "
     f"FROM e WHERE State IS NOT NULL AND YearLabel IS NOT NULL GROUP BY 1, 2)")
 
-_SP = dims.SPORTS
+_SP = ["MLB", "NBA", "NFL", "NHL", "Other"]
 ORACLE["cross_tab"] = with_enriched(
     "SELECT CompanyName AS affiliate, "
     + ", ".join(f"CAST(r_{sp} AS DOUBLE) AS revenue_{sp.lower()}" for sp in _SP) + ", "
@@ -574,7 +558,7 @@ _MBD = " UNION ALL ".join(
     for d in ("Sport", "ShippingCompany", "SectionNumTier", "LeadTimeBucket"))
 ORACLE["margin_by_dimension"] = with_enriched(f"""
 SELECT dimension, value, CAST(rev AS DOUBLE) AS revenue, CAST(prof AS DOUBLE) AS profit, CAST(cost AS DOUBLE) AS cost,
-  orders, {gpct('prof', 'rev')} AS margin, {gpct('prof', 'cost')} AS ratio, "rank"
+  orders, {gpct('prof', 'rev')} AS margin, {gpct('prof', 'cost')} AS ratio
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY dimension ORDER BY rev DESC, value) AS INTEGER) AS "rank" FROM ({_MBD}))
 WHERE NOT (dimension = 'ShippingCompany' AND "rank" > 8)""")
 
@@ -616,7 +600,12 @@ ORDER BY loss_dollars, affiliate LIMIT 15""")
 
 # --- profile --------------------------------------------------------------------------------
 
-ENRICHED_COLUMNS = list(MART_COLUMNS) + list(ENRICHED_EXTRA)
+# FIXED VALUES — the enriched table's columns, written out for the oracle.
+ENRICHED_COLUMNS = """YearLabel InvoiceID SellDate_dt EventDate_dt SaleTotal TicketCost Quantity CompanyName PrimaryPerformerName
+SecondaryPerformerName RequestedPerformerTypeId VenueName EventName Section Seats ShippingCompany DeliveryType IsDelivered
+IsCancelled IsExpired Sport State MarketplaceTier 
+Profit TicketsSold SellMonth SellMonthName SellMonthNum SellDayOfWeek SellHour EventMonth EventDayOfWeek LeadTimeDays
+Section_Num Section_Type HomeTeam AwayTeam YEAR ProfitMargin LeadTimeBucket SectionNumTier SectionTypeTier QuantityBucket""".split()
 _DOUBLE_COLUMNS = ("ProfitMargin", "Section_Num")
 
 ORACLE["profile_dates"] = with_enriched(f"""
@@ -652,7 +641,7 @@ def money_sql(v: str) -> str:
 
 def pct_sql(v: str, signed: bool = False) -> str:
     sign = f"CASE WHEN {v} >= 0 THEN '+' ELSE '-' END" if signed else f"CASE WHEN {v} < 0 THEN '-' ELSE '' END"
-    return f"CASE WHEN {v} IS NULL OR isnan({v}) THEN '—' ELSE {sign} || format('{{:,.1f}}', abs({v})) || '%' END"
+    return f"CASE WHEN {v} IS NULL OR isnan({v}) THEN '—' ELSE {sign} || format('{{:.1f}}', abs({v})) || '%' END"
 
 
 def int_sql(v: str) -> str:
@@ -670,6 +659,43 @@ FROM mi m LEFT JOIN mi p ON p.idx = m.idx - 12""",
     _MONTHS, "mi AS (SELECT *, year(month_start) * 12 + month(month_start) AS idx FROM m)")
 
 
+ORACLE["share_delivery"] = share_sql("DeliveryType", "SaleTotal", TY)
+ORACLE["share_home_team"] = share_sql("HomeTeam", "SaleTotal", TY)
+
+ORACLE["yoy_by_affiliate_top"] = yoy_table_sql("CompanyName") + " ORDER BY revenue_ty DESC, CompanyName LIMIT 10"
+ORACLE["yoy_scoped"] = yoy_table_sql("Sport", where="CompanyName = 'Supplier#000000001'")
+ORACLE["yoy_pair"] = yoy_table_sql("CompanyName", where="CompanyName IN ('Supplier#000000001', 'Supplier#000000002')")
+
+_YM = {"margin": lambda c: gpct(dsum("Profit", c), dsum("SaleTotal", c)), "ratio": lambda c: gpct(dsum("Profit", c), dsum("TicketCost", c)),
+       "orders": lambda c: f"CAST(count_if({c}) AS DOUBLE)"}
+for _name, _sql in _YM.items():
+    ORACLE[f"yoy_bars_{_name}"] = with_enriched(f"""
+SELECT Sport AS group_value, 'This Year' AS year_label, {_sql(TY)} AS value FROM e WHERE Sport IS NOT NULL GROUP BY 1
+UNION ALL SELECT Sport, 'Last Year', {_sql(LY)} FROM e WHERE Sport IS NOT NULL GROUP BY 1""")
+
+ORACLE["count_losses"] = with_enriched("SELECT count(*) AS n FROM e WHERE Profit < 0 AND IsCancelled")
+
+ORACLE["positions"] = with_enriched(f"""
+SELECT Sport, least(greatest((m - -50.0) / 150.0, 0.0), 1.0) AS margin_position,
+  1 - least(greatest((m - -50.0) / 150.0, 0.0), 1.0) AS inverted_position, least(greatest(0.5 + m / 200.0 / 2, 0.0), 1.0) AS diverging_position,
+  least(greatest(m, -10.0), 10.0) AS clipped, round(r, 2) AS revenue, round(m, 1) AS margin
+FROM (SELECT Sport, {gpct(dsum('Profit'), dsum('SaleTotal'))} AS m, CAST({dsum('SaleTotal')} AS DOUBLE) AS r FROM e GROUP BY 1)""")
+
+# The text export (plans/text_export.py) holds the mart's rows as text; these are the values it must give back.
+_TEXT = """
+x AS (SELECT *, YearLabel = 'This Year' AS ty, CASE WHEN InvoiceID % 11 < 2 THEN 0 ELSE SaleTotal END AS sale, hour(SellDate_dt) AS h FROM mart)"""
+ORACLE["coerce_text"] = with_enriched("""
+SELECT YearLabel, strftime(SellDate_dt, '%Y-%m') AS sell_month, CASE WHEN ty THEN CAST(h AS INTEGER) END AS event_hour, count(*) AS orders,
+  CAST(sum(sale) AS DOUBLE) AS revenue, CAST(sum(TicketCost) AS DOUBLE) AS cost, CAST(sum(Quantity) AS BIGINT) AS tickets,
+  CAST(coalesce(sum(RequestedPerformerTypeId), 0) AS BIGINT) AS type_ids, count(CompanyName) AS named FROM x GROUP BY ALL""", _TEXT)
+ORACLE["coerce_flags"] = with_enriched("""
+SELECT YearLabel, IsDelivered, IsCancelled, ty AND IsExpired AS IsExpired, count(*) AS orders FROM x GROUP BY ALL""", _TEXT)
+ORACLE["harmonized_union"] = with_enriched("""
+SELECT YearLabel, count(*) AS n, count_if(InvoiceID % 11 >= 2) AS "SaleTotal", count(CompanyName) AS "CompanyName",
+  count_if(ty AND h IS NOT NULL) AS "EventTime", count_if(ty) AS "IsExpired", count_if(NOT ty) AS "Notes", count(SellDate_dt) AS "SellDate"
+FROM x GROUP BY ALL""", _TEXT)
+
+
 def _wrap_calls(sql: str, fn: str, before: str, after: str) -> str:
     out, i, key = [], 0, fn + "("
     while True:
@@ -694,3 +720,8 @@ def wrap_quantiles(sql: str, digits: int = 6) -> str:
 
 for _k in list(ORACLE):
     ORACLE[_k] = wrap_quantiles(ORACLE[_k])
+
+ORACLE["scatter_sample"] = with_enriched("""
+SELECT CAST(TicketCost AS DOUBLE) AS cost, CAST(SaleTotal AS DOUBLE) AS revenue, Sport AS sport, CompanyName AS affiliate,
+  Profit >= 0 AS profit_side
+FROM e WHERE InvoiceID % 1000003 * 7919 % 1000003 < 50000""")

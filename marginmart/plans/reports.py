@@ -35,7 +35,7 @@ def _scoped(df: DataFrame, affiliate: str | None, sports: Sequence[str] | None):
     return fdf, ty, ly
 
 
-def executive_summary(df: DataFrame, affiliate=None, sports=None, metric: str = "SaleTotal") -> Bundle:
+def executive_summary(df: DataFrame, affiliate=None, sports=None) -> Bundle:
     """KPI row, monthly trend, and the (unscoped) affiliate YoY table."""
     fdf, _, _ = _scoped(df, affiliate, sports)
     return {"kpis": C.kpi_deltas(fdf), "monthly": C.monthly_trend(fdf),
@@ -51,7 +51,7 @@ def yoy_trends(df: DataFrame, dimension: str = "Sport", metric: str = "SaleTotal
             "table": C.yoy_table(fdf, col), "monthly": C.monthly_kpi(fdf)}
 
 
-def affiliate_performance(df: DataFrame, affiliate: str, sports=None, metric: str = "SaleTotal") -> Bundle:
+def affiliate_performance(df: DataFrame, affiliate: str, sports=None) -> Bundle:
     """One affiliate vs the portfolio and vs last year, its trend, mixes and sport table."""
     fdf, ty, _ = _scoped(df, affiliate, sports)
     port = S.scope(df, None, sports)
@@ -59,7 +59,7 @@ def affiliate_performance(df: DataFrame, affiliate: str, sports=None, metric: st
             "vs_portfolio_per_order": C.affiliate_vs_portfolio_per_order(port, affiliate),
             "yoy": C.affiliate_yoy(fdf), "monthly": C.monthly_trend(fdf),
             "sport_mix": SH.share_by(ty, "Sport", "SaleTotal"),
-            "marketplace_mix": SH.share_by(ty, "MarketplaceTier", "SaleTotal"),
+            "marketplace_mix": SH.share_by(ty, "ShippingCompany", "SaleTotal"),
             "by_sport": C.yoy_table(fdf, "Sport")}
 
 
@@ -87,20 +87,20 @@ def sport_breakdown(df: DataFrame, affiliate=None, sports=None) -> Bundle:
 
 
 def team_performance(df: DataFrame, sport_filter: Sequence[str] | None = None, top_n: int = 20,
-                     affiliate=None, sports=None, years=("This Year",)) -> Bundle:
-    """Team breakdown (page-local sport filter, F5) and YoY bars for the top teams."""
+                     affiliate=None, sports=None, years=("This Year",), metric: str = "SaleTotal") -> Bundle:
+    """Team breakdown (page-local sport filter, F5) and YoY bars of a metric for the top teams."""
     fdf, _, _ = _scoped(df, affiliate, sports)
     if sport_filter:
         fdf = fdf.where(F.col("Sport").isin(list(sport_filter)))
-    top_n = max(5, min(30, top_n))
-    return {"teams": R.team_breakdown(fdf, years), "bars": C.yoy_compare(fdf, "HomeTeam", top_n=top_n)}
+    return {"teams": R.team_breakdown(fdf, years), "bars": C.yoy_compare(fdf, "HomeTeam", metric, top_n=top_n)}
 
 
 def marketplace(df: DataFrame, affiliate=None, sports=None) -> Bundle:
     """R8."""
     fdf, ty, _ = _scoped(df, affiliate, sports)
     return {"tier_share": SH.share_by(ty, "MarketplaceTier"), "marketplace_share": SH.share_by(ty, "ShippingCompany"),
-            "margin_box": D.margin_box(ty, "MarketplaceTier"), "table": C.yoy_table(fdf, "ShippingCompany")}
+            "delivery_share": SH.share_by(ty, "DeliveryType"), "margin_box": D.margin_box(ty, "ShippingCompany"),
+            "table": C.yoy_table(fdf, "ShippingCompany")}
 
 
 def margin_deep_dive(df: DataFrame, group: str = "Sport", affiliate=None, sports=None) -> Bundle:
@@ -114,10 +114,13 @@ def margin_deep_dive(df: DataFrame, group: str = "Sport", affiliate=None, sports
 
 
 def ticket_type(df: DataFrame, tier: str = "SectionNumTier", metric: str = "SaleTotal", affiliate=None, sports=None) -> Bundle:
-    """Tier and quantity mixes (ratio metrics fall back to profit share), box, codes, table."""
+    """Tier and quantity mixes (order counts for Orders; ratio metrics fall back to profit), box, codes, table."""
     fdf, ty, _ = _scoped(df, affiliate, sports)
     share_metric = metric if metric in ("SaleTotal", "Profit") else "Profit"
-    return {"tier_share": SH.share_by(ty, tier, share_metric), "quantity_share": SH.share_by(ty, "QuantityBucket", share_metric),
+
+    def mix(col: str) -> DataFrame:
+        return SH.order_share_by(ty, col) if metric == "Orders" else SH.share_by(ty, col, share_metric)
+    return {"tier_share": mix(tier), "quantity_share": mix("QuantityBucket"),
             "tier_orders": SH.order_share_by(ty, tier), "margin_box": D.margin_box(ty, tier),
             "section_codes": R.section_codes(ty), "table": C.yoy_table(fdf, tier)}
 
@@ -125,7 +128,7 @@ def ticket_type(df: DataFrame, tier: str = "SectionNumTier", metric: str = "Sale
 def geography(df: DataFrame, affiliate=None, sports=None) -> Bundle:
     """Shared map range, per-state metrics per year, state YoY table."""
     fdf, ty, ly = _scoped(df, affiliate, sports)
-    return {"range": G.state_shared_range(fdf.where(F.col("YearLabel").isNotNull())),
+    return {"range": G.state_shared_range(fdf),
             "this_year": G.state_metric(ty), "last_year": G.state_metric(ly), "table": C.state_yoy(fdf)}
 
 
@@ -150,9 +153,8 @@ def time_patterns(df: DataFrame, affiliate=None, sports=None) -> Bundle:
 
 
 def top_events(df: DataFrame, by: str = "Profit", n: int = 20, affiliate=None, sports=None) -> Bundle:
-    """Event rollup, top n (5-50) by a metric, bottom 15 by profit."""
+    """Event rollup, top n by a metric, bottom 15 by profit."""
     fdf, _, _ = _scoped(df, affiliate, sports)
-    n = max(5, min(50, n))
     return {"events": R.event_rollup(fdf), "top": R.top_events(fdf, n, by), "bottom": R.bottom_events(fdf)}
 
 

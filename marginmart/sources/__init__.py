@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.enrich import enrich
+from .csv import lookup_dims
 from .mart import sales_mart
 
 
 def load_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sales mart of ``sf_dir`` with every derived column (one lazy plan)."""
-    return enrich(sales_mart(spark, sf_dir))
+    """Sales mart of ``sf_dir`` with the looked-up and every derived column (one lazy plan)."""
+    return enrich(lookup_dims(sales_mart(spark, sf_dir)))
 
 
 __all__ = ["load_enriched", "sales_mart"]

@@ -35,25 +35,38 @@ class InputError(ValueError):
 UNSPLITTABLE = (".gz", ".gzip", ".zst", ".zstd", ".lz4", ".snappy", ".deflate")
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
+# FIXED VALUES — texts that stand for a missing value.
+NULL_TEXTS = ("", "NA", "N/A", "NULL", "null", "NaN", "nan", "n/a", "#N/A", "None", "<NA>")
+
+
+def read_raw(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Header CSV, all columns as strings (no inference), blank lines skipped (S3).
 
+    Quoted fields may hold separators and doubled quotes.  With ``multi_line`` they may hold line
+    breaks too, and a file is then read by one task.  Without it, a record whose quotes do not
+    close on its line raises, as do rows longer or shorter than the header.  A line of separators
+    alone is an order without values and stays.
+
     Plain and bzip2 files are split by Spark across tasks.  A file in an unsplittable codec
     is read by one task, so its rows are spread round-robin over the shuffle partitions
     right after the read (one exchange) instead of leaving all enrichment work in that task.
     """
     df = (spark.read.option("header", True).option("inferSchema", False)
-          .option("mode", "PERMISSIVE").csv(path))
-    if str(path).lower().endswith(UNSPLITTABLE):
+          .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+          .option("mode", "FAILFAST").csv(path))
+    if multi_line or str(path).lower().endswith(UNSPLITTABLE):
         df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    df = df.drop(STRAY_COLUMN)                                    # S2
-    # S3: a line of only separators reads as all-null; drop such rows.
-    return df.dropna(how="all")
+    return missing_to_null(df.drop(STRAY_COLUMN))                 # S2
+
+
+def missing_to_null(df: DataFrame) -> DataFrame:
+    """Texts that stand for a missing value become null, in every column."""
+    return df.withColumns({c: F.when(~F.trim(F.col(f"`{c}`")).isin(*NULL_TEXTS), F.col(f"`{c}`")) for c in df.columns})
 
 
-def load_one(spark: SparkSession, path: str, year_label: str) -> DataFrame:
+def load_one(spark: SparkSession, path: str, year_label: str, multi_line: bool = False) -> DataFrame:
     """Read one export and stamp it; any year column in the file is ignored."""
-    return read_raw(spark, path).withColumn("YearLabel", F.lit(year_label))
+    return read_raw(spark, path, multi_line).withColumn("YearLabel", F.lit(year_label))
 
 
 def harmonize(this_df: DataFrame, last_df: DataFrame) -> DataFrame:
@@ -70,9 +83,10 @@ def check_inputs(this_df: DataFrame, last_df: DataFrame) -> None:
 
 
 def coerce(df: DataFrame) -> DataFrame:
-    """Text columns to typed ones. Missing contract columns are null."""
+    """Text columns to typed ones. Missing contract columns are null; flags
+    that are not in the input stay out."""
     for c in RAW_COLUMNS:
-        if c not in df.columns:
+        if c not in df.columns and c not in FLAG_COLUMNS:
             df = df.withColumn(c, F.lit(None).cast("string"))
     typed = {
         "SaleTotal": E.money("SaleTotal"),
@@ -114,10 +128,11 @@ def lookup_dims(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     return out.drop("type_id", "type_sport", "team", "team_sport", "team_state", "marketplace", "tier")
 
 
-def load_combined(spark: SparkSession, this_path: str, last_path: str, check: bool = True) -> DataFrame:
+def load_combined(spark: SparkSession, this_path: str, last_path: str, check: bool = True,
+                  multi_line: bool = False) -> DataFrame:
     """Both exports, unioned, coerced, looked up and enriched (one lazy plan)."""
-    this_df = load_one(spark, this_path, E.THIS_YEAR)
-    last_df = load_one(spark, last_path, E.LAST_YEAR)
+    this_df = load_one(spark, this_path, E.THIS_YEAR, multi_line)
+    last_df = load_one(spark, last_path, E.LAST_YEAR, multi_line)
     if check:
         check_inputs(this_df, last_df)
     combined = harmonize(this_df, last_df)

@@ -7,7 +7,6 @@ at any fact size: their size does not grow with the data.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — these must equal the source application's lookup tables so
@@ -105,20 +104,18 @@ def team_rows() -> list[tuple[str, str, str]]:
     return [(team, sport, state) for team, (sport, state) in merged.items()]
 
 
+def _values(spark: SparkSession, rows, columns: str) -> DataFrame:
+    """An inline relation: no Python job, and Spark knows its size."""
+    return spark.sql("select * from values " + ", ".join(str(tuple(r)) for r in rows) + f" as t({columns})")
+
+
 def sport_dim(spark: SparkSession) -> DataFrame:
-    schema = StructType([StructField("type_id", IntegerType(), False),
-                         StructField("type_sport", StringType(), False)])
-    return spark.createDataFrame(list(SPORT_BY_TYPE_ID.items()), schema)
+    return _values(spark, SPORT_BY_TYPE_ID.items(), "type_id, type_sport")
 
 
 def team_dim(spark: SparkSession) -> DataFrame:
-    schema = StructType([StructField("team", StringType(), False),
-                         StructField("team_sport", StringType(), False),
-                         StructField("team_state", StringType(), False)])
-    return spark.createDataFrame(team_rows(), schema)
+    return _values(spark, team_rows(), "team, team_sport, team_state")
 
 
 def marketplace_dim(spark: SparkSession) -> DataFrame:
-    schema = StructType([StructField("marketplace", StringType(), False),
-                         StructField("tier", StringType(), False)])
-    return spark.createDataFrame(list(MARKETPLACE_TIER.items()), schema)
+    return _values(spark, MARKETPLACE_TIER.items(), "marketplace, tier")

@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .dims import MARKETPLACE_TIER, team_rows
+
 # Columns read from each star table (column pruning reaches the scan).
 STAR_COLUMNS = {
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -35,37 +37,46 @@ STAR_COLUMNS = {
     "supplier": ["s_suppkey", "s_name"],
 }
 
+# Fixture choices.  Orders from the cut date on are this year's export, earlier ones last
+# year's, so every order has a label, as every row of the two exports does.  Part keys name home
+# teams (some keys beyond the list keep the part's name, which no lookup knows) and customer keys
+# name marketplaces.
+CUT_DATE = "1998-07-01"
+TEAMS = [team for team, _, _ in team_rows()]
+MARKETPLACES = list(MARKETPLACE_TIER)
+
+
+def _pick(names: list[str], key: str, other: str) -> str:
+    listed = ", ".join(f"'{n}'" for n in names)
+    return f"coalesce(try_element_at(array({listed}), cast({key} + 1 as int)), {other})"
+
+
 # Mart column expressions (Spark SQL).  These are the fixture definitions the DuckDB
 # oracle repeats, so both engines see the same input rows.
 MART_EXPRS = {
-    "YearLabel": "case year(o_orderdate) when 2000 then 'This Year' when 1999 then 'Last Year' end",
+    "YearLabel": f"case when o_orderdate >= timestamp_ntz '{CUT_DATE} 00:00:00' then 'This Year' else 'Last Year' end",
     "InvoiceID": "l_orderkey",
-    "SellDate_dt": "timestampadd(HOUR, cast(l_orderkey % 24 as int), cast(o_orderdate as timestamp_ntz))",
-    "EventDate_dt": "timestampadd(DAY, cast(l_partkey % 13 * 30 as int), "
-                    "cast(date_trunc('month', o_orderdate) as timestamp_ntz))",
+    "SellDate_dt": "case when l_orderkey % 97 <> 0 then "
+                   "timestampadd(HOUR, cast(l_orderkey % 24 as int), cast(o_orderdate as timestamp_ntz)) end",
+    "EventDate_dt": "case when l_partkey % 89 <> 0 then timestampadd(DAY, cast(l_partkey % 13 * 30 as int), "
+                    "cast(date_trunc('month', o_orderdate) as timestamp_ntz)) end",
     "SaleTotal": "case when l_returnflag = 'R' and l_linenumber = 1 then cast(0 as decimal(21,4)) "
                  "else cast(cast(l_extendedprice as decimal(15,2)) * (1 - cast(l_discount as decimal(4,2))) "
                  "as decimal(21,4)) end",
     "TicketCost": "cast(cast(p_retailprice as decimal(15,2)) * cast(l_quantity as int) as decimal(21,4))",
     "Quantity": "case when l_linenumber = 7 then 0 else cast(l_quantity as int) % 12 end",
-    "CompanyName": "s_name",
-    "PrimaryPerformerName": "p_name",
+    "CompanyName": "case when s_suppkey % 50 <> 0 then s_name end",
+    "PrimaryPerformerName": _pick(TEAMS, "p_partkey % 140", "p_name"),
     "SecondaryPerformerName": "nullif(p_brand, 'Brand#1')",
     "RequestedPerformerTypeId": "case p_type when 'STANDARD' then 38 when 'PROMO' then 42 "
                                 "when 'ECONOMY' then 43 end",
-    "Sport": "case p_type when 'STANDARD' then 'NBA' when 'PROMO' then 'NFL' when 'ECONOMY' then 'NHL' "
-             "when 'MEDIUM' then 'MLB' else 'Other' end",
-    "State": "case when r_name <> 'MIDDLE EAST' then n_name end",
     "VenueName": "concat('Venue ', r_name)",
     "EventName": "concat(p_type, ' Night')",
     "Section": "concat(case l_linenumber when 1 then 'Club ' when 2 then 'Lot' when 3 then 'Bal' "
                "when 4 then 'A' when 5 then '' else concat(p_name, ' ') end, "
                "case when p_size < 45 then cast(p_size * 10 as string) else '' end)",
     "Seats": "concat(cast(l_linenumber as string), '-', cast(l_linenumber + 1 as string))",
-    "ShippingCompany": "c_mktsegment",
-    "MarketplaceTier": "case c_mktsegment when 'MACHINERY' then 'Tier 1 - Major' "
-                       "when 'BUILDING' then 'Tier 2 - Mid' when 'AUTOMOBILE' then 'Tier 3 - B2B' "
-                       "else 'Other' end",
+    "ShippingCompany": _pick(MARKETPLACES, "c_custkey % 11", "c_mktsegment"),
     "DeliveryType": "o_orderpriority",
     "IsDelivered": "l_linestatus = 'F'",
     "IsCancelled": "l_returnflag = 'R'",
@@ -75,20 +86,9 @@ MART_EXPRS = {
 MART_COLUMNS = list(MART_EXPRS)
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Parquet table of ``sf_dir``, projected to the used columns.
-
-    The (lazy) DataFrame is kept per session and path, so the file footers are read for
-    schema inference once, not once per query."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    df = _TABLES.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
-        _TABLES[key] = df
+    """Parquet table of ``sf_dir``, projected to the used columns."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     cols = columns if columns is not None else STAR_COLUMNS.get(name)
     return df.select(*cols) if cols else df
 

@@ -34,8 +34,7 @@ def main() -> None:
     if args and args[0] == "--csv":
         fact, args = CSV.load_combined(spark, args[1], args[2]), args[3:]
     else:
-        from marginmart.plans.catalog import in_scope
-        fact, args = in_scope(load_enriched(spark, args[0])), args[1:]
+        fact, args = load_enriched(spark, args[0]), args[1:]
     page = args[0] if args else "Executive Summary"
     if page not in PAGES:
         raise SystemExit(f"unknown page {page!r}; pages: {', '.join(PAGES)}")

@@ -41,12 +41,11 @@ def test_section_rules_match_model(spark, rows):
 
 
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(-50, 50)), min_size=1, max_size=60),
-       st.sampled_from([0, None]))
-def test_quantiles_match_numpy_property(spark, rows, small):
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(-50, 50)), min_size=1, max_size=60))
+def test_quantiles_match_numpy_property(spark, rows):
     df = spark.createDataFrame([(g, float(v)) for g, v in rows], "g string, v double")
     probs = {"p0": 0.0, "p33": 0.33, "p50": 0.5, "p95": 0.95, "p100": 1.0}
-    got = {r.g: r for r in quantiles(df, ["g"], "v", probs, digits=None, small_group_rows=small).collect()}
+    got = {r.g: r for r in quantiles(df, ["g"], "v", probs, digits=None).collect()}
     for g in {g for g, _ in rows}:
         xs = np.array([v for gg, v in rows if gg == g], dtype=float)
         for name, p in probs.items():

@@ -2,13 +2,11 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from marginmart.operators.quantiles import global_positions, quantiles
+from marginmart.operators.quantiles import quantiles
 
 
-@pytest.mark.parametrize("small", [0, None])
-def test_quantiles_match_numpy(spark, small):
+def test_quantiles_match_numpy(spark):
     rng = np.random.default_rng(3)
     groups = ["hot"] * 3000 + [f"g{i % 7}" for i in range(6000)]
     vals = rng.normal(size=len(groups)).round(3)  # rounding creates ties
@@ -16,36 +14,24 @@ def test_quantiles_match_numpy(spark, small):
     pdf_rows += [("hot", None), ("solo", 5.0)]
     df = spark.createDataFrame(pdf_rows, "g string, v double").repartition(5)
     probs = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p100": 1.0}
-    got = {r.g: r for r in quantiles(df, ["g"], "v", probs, digits=None, small_group_rows=small).collect()}
+    got = {r.g: r for r in quantiles(df, ["g"], "v", probs, digits=None).collect()}
     for g in set(groups) | {"solo"}:
         xs = np.array([v for gg, v in pdf_rows if gg == g and v is not None])
         for name, p in probs.items():
             assert getattr(got[g], name) == pytest.approx(float(np.quantile(xs, p)), abs=1e-12)
 
 
-def test_global_positions_are_a_permutation(spark):
-    df = spark.range(10000).select(((F.col("id") * 7919) % 1000).alias("k"))
-    pos = global_positions(df, ["k"], num_partitions=6).collect()
-    ps = sorted(r._pos for r in pos)
-    assert ps == list(range(10000))
-    ordered = [r.k for r in sorted(pos, key=lambda r: r._pos)]
-    assert ordered == sorted(ordered)
-
-
-@pytest.mark.parametrize("small", [0, None])
-def test_global_quantile_and_empty_group(spark, small):
+def test_global_quantile_and_empty_group(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (None,)], "v double")
-    r = quantiles(df, [], "v", {"m": 0.5, "q": 0.25}, small_group_rows=small).first()
+    r = quantiles(df, [], "v", {"m": 0.5, "q": 0.25}).first()
     assert (r.m, r.q) == (2.0, 1.5)
 
 
-@pytest.mark.parametrize("small", [0, None])
-def test_hot_value_and_hot_group(spark, small):
+def test_hot_value_and_hot_group(spark):
     """A third of all rows share one group AND one value: still exact."""
     rows = [("hot", 0.0)] * 4000 + [("hot", float(i)) for i in range(2000)] + [(f"g{i % 5}", float(i % 97)) for i in range(6000)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(7)
-    got = {r.g: r for r in quantiles(df, ["g"], "v", {"p25": 0.25, "p50": 0.5, "p99": 0.99}, digits=None,
-                                           small_group_rows=small).collect()}
+    got = {r.g: r for r in quantiles(df, ["g"], "v", {"p25": 0.25, "p50": 0.5, "p99": 0.99}, digits=None).collect()}
     for g in {r[0] for r in rows}:
         xs = np.array([v for gg, v in rows if gg == g])
         for name, p in (("p25", 0.25), ("p50", 0.5), ("p99", 0.99)):
@@ -61,8 +47,7 @@ def test_small_arrow_batches_carry_running_sums(spark):
         rng = np.random.default_rng(5)
         rows = [("a" if i % 3 else "b", float(rng.integers(0, 50))) for i in range(3000)]
         df = spark.createDataFrame(rows, "g string, v double")
-        got = {r.g: r for r in quantiles(df, ["g"], "v", {"p37": 0.37, "p81": 0.81}, digits=None,
-                                           small_group_rows=0).collect()}
+        got = {r.g: r for r in quantiles(df, ["g"], "v", {"p37": 0.37, "p81": 0.81}, digits=None).collect()}
         for g in ("a", "b"):
             xs = np.array([v for gg, v in rows if gg == g])
             assert got[g].p37 == pytest.approx(float(np.quantile(xs, 0.37)), abs=1e-9)
@@ -71,11 +56,6 @@ def test_small_arrow_batches_carry_running_sums(spark):
         spark.conf.set(key, old)
 
 
-def test_approx_method_switch(spark):
+def test_approx_method_is_an_argument(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1001)], "v double")
-    spark.conf.set("spark.marginmart.quantiles.method", "approx")
-    try:
-        r = quantiles(df, [], "v", {"m": 0.5}).first()
-    finally:
-        spark.conf.unset("spark.marginmart.quantiles.method")
-    assert abs(r.m - 500.0) <= 2.0
+    assert abs(quantiles(df, [], "v", {"m": 0.5}, method="approx").first().m - 500.0) <= 2.0
