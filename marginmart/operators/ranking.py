@@ -35,7 +35,7 @@ def team_breakdown(df: DataFrame, years: Sequence[str] | None = (THIS_YEAR,)) ->
     if years:
         df = df.where(F.col("YearLabel").isin(list(years)))
     d = df.where(F.col("HomeTeam").isNotNull())
-    # One scan of the fact: (team, affiliate, sport) partial sums; everything else is
+    # One scan of the fact: (team, affiliate, sport) partial sums, pinned; everything else is
     # aggregated from that small table.
     base = _pin(d.groupBy("HomeTeam", "CompanyName", "Sport").agg(
         *M.component_aggs(), F.coalesce(F.sum(F.col("TicketsSold").cast("bigint")), F.lit(0).cast("bigint")).alias("tickets")))

@@ -1,7 +1,8 @@
 """Report bundles: the source application's pages as dictionaries of lazy DataFrames.
 
 Each bundle applies the global scope (affiliate, sports) once and hands the scoped frame to
-the operators; nothing runs until the caller acts on a result.  Persist the enriched fact
+the operators.  Building a bundle pins some small aggregates (quantiles, grid cells), which runs jobs;
+the rest runs when the caller acts on a result.  Persist the enriched fact
 first (:func:`marginmart.sources.sinks.materialize`) when many bundles share it.
 """
 

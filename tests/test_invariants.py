@@ -48,7 +48,7 @@ def test_scope_filters(enriched_small):
 
 
 def test_head_to_head_named(enriched_small):
-    names = [r[0] for r in enriched_small.select("CompanyName").distinct().orderBy("CompanyName").limit(2).collect()]
+    names = [r[0] for r in enriched_small.select("CompanyName").dropna().distinct().orderBy("CompanyName").limit(2).collect()]
     h = C.head_to_head(enriched_small, names[0], names[1]).collect()
     assert len(h) == 6 and h[0].affiliate_a == names[0]
     for r in h:

@@ -2,6 +2,7 @@
 
 import pytest
 
+from marginmart.operators import scope, shares
 from marginmart.plans import reports
 
 
@@ -10,11 +11,30 @@ def test_bundle_runs(spark, enriched_small, page):
     fn = reports.PAGES[page]
     kwargs = {}
     if page in ("Affiliate Performance",):
-        kwargs["affiliate"] = enriched_small.select("CompanyName").first()[0]
+        kwargs["affiliate"] = enriched_small.select("CompanyName").dropna().first()[0]
     if page == "Affiliate Head-to-Head":
-        names = [r[0] for r in enriched_small.select("CompanyName").distinct().orderBy("CompanyName").limit(2).collect()]
+        names = [r[0] for r in enriched_small.select("CompanyName").dropna().distinct().orderBy("CompanyName").limit(2).collect()]
         kwargs = {"a": names[0], "b": names[1]}
     bundle = fn(enriched_small, **kwargs)
     assert bundle
     for key, df in bundle.items():
         df.limit(5).collect()
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_bundles_hold_the_pages_frames(enriched_small):
+    ty = scope.split_years(enriched_small)[0]
+    name = enriched_small.select("CompanyName").dropna().first()[0]
+    own = reports.affiliate_performance(enriched_small, name)
+    assert rows(own["marketplace_mix"]) == rows(shares.share_by(scope.split_years(scope.scope(enriched_small, name))[0], "ShippingCompany"))
+    market = reports.marketplace(enriched_small)
+    assert rows(market["delivery_share"]) == rows(shares.share_by(ty, "DeliveryType"))
+    assert {r["grp"] if "grp" in r else r[0] for r in market["margin_box"].collect()} <= {r[0] for r in ty.select("ShippingCompany").distinct().collect()}
+    tickets = reports.ticket_type(enriched_small, metric="Orders")
+    assert rows(tickets["quantity_share"]) == rows(shares.order_share_by(ty, "QuantityBucket"))
+    teams = reports.team_performance(enriched_small, top_n=40, metric="Orders")
+    assert teams["bars"].count() == 80
+    assert reports.top_events(enriched_small, n=70)["top"].count() == 70
