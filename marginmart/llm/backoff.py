@@ -59,11 +59,12 @@ def _asked(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return distinct[distinct != 0], counts[distinct != 0]
 
 
-def _dealt(keys: np.ndarray, buckets: int) -> list[np.ndarray]:
-    """Places of each bucket's keys, ascending within."""
+def _dealt(keys: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """The buckets that have keys, each with its keys' places, ascending."""
     bucket = (keys % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    return np.split(order, np.searchsorted(bucket[order], np.arange(1, buckets)))
+    used, first = np.unique(bucket[order], return_index=True)
+    return list(zip(used.tolist(), np.split(order, first[1:])))
 
 
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -78,12 +79,11 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_bytes
         keys, counts = _asked(grams)
         out: dict[str, list] = {"bucket": [], "block": [], "keys": [], "counts": []}
         block = table.column("block")[0].as_py()
-        for bucket, at in enumerate(_dealt(keys, blocks)):
-            if len(at):
-                out["bucket"].append(bucket)
-                out["block"].append(block)
-                out["keys"].append(keys[at].tobytes())
-                out["counts"].append(counts[at].astype(np.uint32).tobytes())
+        for bucket, at in _dealt(keys, blocks):
+            out["bucket"].append(bucket)
+            out["block"].append(block)
+            out["keys"].append(keys[at].tobytes())
+            out["counts"].append(counts[at].astype(np.uint32).tobytes())
         return pa.table({"bucket": pa.array(out["bucket"], pa.int64()), "block": pa.array(out["block"], pa.int64()), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
@@ -103,9 +103,8 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_bytes
         keys, counts = _asked(grams)
         totals = np.zeros(len(keys), np.int64)
         parts = dict(zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist()))
-        for bucket, where in enumerate(_dealt(keys, blocks)):
-            if len(where):
-                totals[where] = np.frombuffer(parts[bucket], np.uint32 if len(parts[bucket]) == 4 * len(where) else np.uint64)
+        for bucket, where in _dealt(keys, blocks):
+            totals[where] = np.frombuffer(parts[bucket], np.uint32 if len(parts[bucket]) == 4 * len(where) else np.uint64)
         rows_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
         others = []  # counts in other documents, for each order
         for code in grams:
