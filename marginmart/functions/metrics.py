@@ -14,14 +14,7 @@ from pyspark.sql import functions as F
 
 from .enrich import LAST_YEAR, MONEY_TYPE, THIS_YEAR
 
-# FIXED VALUES — the four toggleable metrics and their display labels.
-METRICS = ("SaleTotal", "Profit", "Margin", "Ratio")
-METRIC_LABELS = {
-    "SaleTotal": "Revenue",
-    "Profit": "Profit",
-    "Margin": "Profit Margin (%)",
-    "Ratio": "Profit/Cost Ratio (%)",
-}
+# FIXED VALUES — which metrics are ratios of sums.
 METRIC_IS_RATIO = {"SaleTotal": False, "Profit": False, "Margin": True, "Ratio": True, "Orders": False}
 
 def zero() -> Column:
@@ -36,10 +29,6 @@ def dsum(c: str | Column, cond: Column | None = None) -> Column:
     return F.coalesce(F.sum(col), zero())
 
 
-def count_where(cond: Column) -> Column:
-    return F.count_if(cond)
-
-
 def to_double(c: Column) -> Column:
     return c.cast("double")
 

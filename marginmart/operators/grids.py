@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.enrich import DAYS_ORDER
-from ..functions.labels import compact_money
+from ..functions.labels import compact_money, pct
 from ..sources.dims import SPORTS
 from .joins import join_on
 from .ordering import global_order
@@ -102,7 +102,7 @@ def intensity(cells: DataFrame, zmax: Column, metric: str = "SaleTotal", label_s
     inten = F.when(zmax > 0, v / zmax).otherwise(F.lit(0.0))
     threshold = F.when(zmax > 0, zmax * label_share).otherwise(F.lit(0.0))
     shown = (v != 0) & ~F.isnan(v) & (F.abs(v) >= threshold)
-    text = (F.concat(F.format_number(v, 1), F.lit("%")) if M.METRIC_IS_RATIO.get(metric) else compact_money(v))
+    text = (pct(v) if M.METRIC_IS_RATIO.get(metric) else compact_money(v))
     return cells.select("row_label", "col_label", "value", inten.alias("intensity"),
                         shown.alias("labeled"), F.when(shown, text).alias("label"),
                         (inten > 0.5).alias("light_text"))

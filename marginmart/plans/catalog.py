@@ -639,5 +639,27 @@ def _positions(e: DataFrame) -> DataFrame:
     return L.round_table(out, money=["revenue"], pct=["margin"])
 
 
+@query("grid_max_range")
+def _grid_max_range(e: DataFrame) -> DataFrame:
+    """Colour range from the largest absolute cell of the affiliate x sport grid."""
+    return G.max_abs_range([G.grid_cells(_ty(e), "CompanyName", "Sport", "Profit")])
+
+
+@query("grid_margin_cells")
+def _grid_margin_cells(e: DataFrame) -> DataFrame:
+    """Margin by affiliate and sport, with intensity and labels over its own range."""
+    cells = G.grid_cells(_ty(e), "CompanyName", "Sport", "Margin").select("row_label", "col_label", "value")
+    return G.intensity(cells, F.lit(100.0), "Margin").select("row_label", "col_label", "value", "intensity", "labeled", "label")
+
+
+@query("day_hour_intensity")
+def _day_hour_intensity(e: DataFrame) -> DataFrame:
+    """The day x hour grid's revenue over its own largest cell, labels from 4%."""
+    grid = G.day_hour_grid(_ty(e)).select(F.col("day").alias("row_label"), F.col("hour").cast("string").alias("col_label"),
+                                          F.col("revenue").alias("value"))
+    zmax = grid.agg(F.max(F.abs("value")).alias("m")).select("m").scalar()
+    return G.intensity(grid, zmax, "SaleTotal", label_share=0.04).select("row_label", "col_label", "value", "intensity", "labeled")
+
+
 for _name, _fn in TEXT_QUERIES.items():
     QUERIES[_name] = _fn

@@ -681,6 +681,21 @@ SELECT Sport, least(greatest((m - -50.0) / 150.0, 0.0), 1.0) AS margin_position,
   least(greatest(m, -10.0), 10.0) AS clipped, round(r, 2) AS revenue, round(m, 1) AS margin
 FROM (SELECT Sport, {gpct(dsum('Profit'), dsum('SaleTotal'))} AS m, CAST({dsum('SaleTotal')} AS DOUBLE) AS r FROM e GROUP BY 1)""")
 
+ORACLE["grid_max_range"] = with_enriched(f"""
+SELECT 0.0::DOUBLE AS zmin, coalesce(max(abs(v)), 1.0) AS zmax FROM (SELECT CAST({dsum('Profit')} AS DOUBLE) AS v
+FROM e WHERE {TY} AND CompanyName IS NOT NULL AND Sport IS NOT NULL GROUP BY CompanyName, Sport)""")
+ORACLE["grid_margin_cells"] = with_enriched(f"""
+SELECT row_label, col_label, value, value / 100.0 AS intensity, value <> 0 AND abs(value) >= 3.0 AS labeled,
+  CASE WHEN value <> 0 AND abs(value) >= 3.0 THEN {pct_sql('value')} END AS label
+FROM (SELECT CompanyName AS row_label, Sport AS col_label, {gpct(dsum('Profit'), dsum('SaleTotal'))} AS value
+      FROM e WHERE {TY} AND CompanyName IS NOT NULL AND Sport IS NOT NULL GROUP BY 1, 2)""")
+ORACLE["day_hour_intensity"] = with_enriched(f"""
+SELECT day AS row_label, CAST(hour AS VARCHAR) AS col_label, v AS value, v / z AS intensity, v <> 0 AND abs(v) >= z * 0.04 AS labeled
+FROM (SELECT a.day, a.hour, coalesce(r, 0.0) AS v, max(abs(coalesce(r, 0.0))) OVER () AS z
+      FROM (SELECT i % 24 AS hour, {_DAYS}[CAST(i // 24 AS INTEGER) + 1] AS day FROM range(168) t(i)) a
+      LEFT JOIN (SELECT SellDayOfWeek AS day, SellHour AS hour, CAST({dsum('SaleTotal')} AS DOUBLE) AS r FROM e
+                 WHERE {TY} AND SellDate_dt IS NOT NULL GROUP BY 1, 2) c ON a.day = c.day AND a.hour = c.hour)""")
+
 # The text export (plans/text_export.py) holds the mart's rows as text; these are the values it must give back.
 _TEXT = """
 x AS (SELECT *, YearLabel = 'This Year' AS ty, CASE WHEN InvoiceID % 11 < 2 THEN 0 ELSE SaleTotal END AS sale, hour(SellDate_dt) AS h FROM mart)"""
