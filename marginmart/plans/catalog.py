@@ -23,6 +23,7 @@ from ..operators import risk as K
 from ..operators import grids as G
 from ..operators import scope as S
 from ..operators import shares as SH
+from ..operators.quantiles import _pin
 from .text_export import TEXT_QUERIES
 from ..sources import load_enriched
 
@@ -281,23 +282,29 @@ def _grid_top_rows_cols(e: DataFrame) -> DataFrame:
     return G.heatmap_grid(_ty(e), "CompanyName", "HomeTeam", "Profit", top_rows=25, top_cols=15)
 
 
-def _shared(e: DataFrame) -> DataFrame:
-    ty = _ty(e)
-    return G.shared_range([G.grid_cells(ty, "CompanyName", "Sport", "SaleTotal"),
-                           G.grid_cells(ty, "CompanyName", "MarketplaceTier", "SaleTotal")])
+def _grid_base(e: DataFrame) -> DataFrame:
+    """This-year sums by affiliate, sport and tier, pinned: both grids' cells come from this one scan."""
+    sums = [M.dsum(c).alias(c) for c in ("SaleTotal", "Profit", "TicketCost")]
+    return _pin(_ty(e).groupBy("CompanyName", "Sport", "MarketplaceTier").agg(*sums))
+
+
+def _shared(base: DataFrame) -> DataFrame:
+    return G.shared_range([G.grid_cells(base, "CompanyName", "Sport", "SaleTotal"),
+                           G.grid_cells(base, "CompanyName", "MarketplaceTier", "SaleTotal")])
 
 
 @query("grid_shared_range")
 def _grid_shared_range(e: DataFrame) -> DataFrame:
     """Shared colour range of the affiliate x sport and affiliate x tier revenue grids."""
-    return _shared(e)
+    return _shared(_grid_base(e))
 
 
 @query("grid_intensity")
 def _grid_intensity(e: DataFrame) -> DataFrame:
     """Colour position and labels of the affiliate x sport revenue grid on the shared range."""
-    zmax = _shared(e).select("zmax").scalar()
-    return G.intensity(G.grid_cells(_ty(e), "CompanyName", "Sport", "SaleTotal"), zmax, "SaleTotal")
+    base = _grid_base(e)
+    zmax = _shared(base).select("zmax").scalar()
+    return G.intensity(G.grid_cells(base, "CompanyName", "Sport", "SaleTotal"), zmax, "SaleTotal")
 
 
 @query("day_hour_grid")
