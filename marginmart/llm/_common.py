@@ -36,12 +36,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage and fixes the rows."""
     spark = df.sparkSession
-    small_batches(spark)
+    small_batches(spark, batch_rows)
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    small_batches(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -90,9 +91,9 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Rows of long texts go to Python few at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
