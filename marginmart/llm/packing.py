@@ -64,8 +64,7 @@ class Plan:
     @staticmethod
     def _pattern(left: np.ndarray, first: int, capacity: int) -> dict[int, int]:
         """How many pieces of each length fill one sequence, first among them."""
-        free, used, gap = left, {first: 1}, capacity - first
-        free = left.copy()
+        free, used, gap = left.copy(), {first: 1}, capacity - first
         free[first] -= 1
         while gap:
             found = exact(free, gap)
@@ -124,7 +123,6 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
     Lengths are integers from 1 to the capacity; rows with a null length, or one outside, get
     nulls. The result is staged once, as ranks need fixed rows.
     """
-    spark = pieces.sparkSession
     # A rank is the number of pieces of the length in earlier write tasks, plus that in the own task.
     schema = T.StructType([*pieces.schema.fields, T.StructField("_task", T.IntegerType()), T.StructField("_rank", T.LongType())])
     at = pieces.columns.index(length)
@@ -148,7 +146,6 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
 
 def place(fixed: DataFrame, length: str, capacity: int) -> DataFrame:
     """pack() for rows that hold their task and rank within it already."""
-    spark = fixed.sparkSession
     n = F.col(length).cast("long")
     inside = n.between(1, capacity)
     by_task = fixed.where(inside).groupBy("_task", n.alias("_n")).agg(F.count(F.lit(1)).alias("_c"))
