@@ -172,7 +172,9 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = TOP, page: int = P
                 cols = list(zip(*out)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
+    # A row holds a shard and a block, some MB: few rows go to Python at once.
     found = trees.join(asks, ["dim", "shard"]).select("dim", "shard", "points", "asks").mapInArrow(search, "query_id long, vec_id long, score long")
+    found = _common.staged(found, "mtree", batch_rows=4)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
