@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginmart.llm.backoff import OP7_SQL, op7_backoff
+from marginmart.llm.backoff import OP7_SQL, op7_backoff, op7_backoff_order3
 from marginmart.llm.chat import op8_chat
 from marginmart.llm.decontam import op4_decontam
 from marginmart.llm.forest import op6_jaccard
@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffixes": op5_suffixes,
     "op6_jaccard": op6_jaccard,
     "op7_backoff": op7_backoff,
+    "op7_backoff_order3": op7_backoff_order3,
     "op8_chat": op8_chat,
     "op9_langid": op9_langid,
     "op10_warc": op10_warc,

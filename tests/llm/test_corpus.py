@@ -121,6 +121,22 @@ def test_backoff_against_brute_force(spark, order):
     assert backoff.score(docs.limit(0)).count() == 0
 
 
+def test_trigram_query_against_brute_force(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = {i: (n, x) for i, n, x in brute_scores(docs, 3, 0.4)}
+    got = QUERIES["op7_backoff_order3"](spark, SF).collect()
+    assert len(got) == len(docs) == len(want)
+    assert all(r["n_words"] == want[r["doc_id"]][0] and abs(r["log_score"] - want[r["doc_id"]][1]) < 1e-4 for r in got)
+
+
+def test_packed_arrays_are_whole():
+    rng = np.random.default_rng(7)
+    keys = np.sort(rng.integers(0, 1 << 64, 1000, dtype=np.uint64, endpoint=False))
+    counts = np.array([1, 255, 256, 1 << 33, (1 << 64) - 1], np.uint64)
+    assert (backoff._unpacked_keys(backoff._packed_keys(keys)) == keys).all()
+    assert (backoff._unpacked(backoff._packed(counts)) == counts).all()
+
+
 def test_pipeline_against_brute_force(spark):
     docs = _common.documents(spark, SF)
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
