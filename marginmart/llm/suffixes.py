@@ -14,6 +14,9 @@ occur twice matter; about one byte in thirty is an anchor. The steps:
    buckets at a time and sorts their window suffixes by bucket and first COVER bytes; longer ties
    are resolved by the ranks of a difference cover's sample positions, which are computed first,
    and at last by the window's end. Windows of one class are equal; all but the earliest are covered.
+   Anchors with more different segments than a block holds (a common line between different
+   neighbours) are split first, until no bucket is larger: windows with the anchor in the first or
+   second half of its offsets each share more bytes, and these are dealt on by.
 5. Covered windows, merged, are cut out of the texts.
 
 Positions come in order of doc_id, then place. Defined results: null text is empty; a null id is
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -335,6 +339,39 @@ def sort_buckets(sent: DataFrame, length: int = LENGTH, cover: int = COVER, bloc
     return ordered.mapInArrow(work, "ord long, sub long, start long, stop long")
 
 
+def spread(sent: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(known, rows) of segment rows: ranges that equal segments cover, and rows for sort_buckets of which no bucket holds more than ``block`` bytes of different segments.
+
+    The windows of an oversized bucket have their anchor at offsets low to high. Those up to the middle
+    all hold the bytes from low before the anchor to the middle's end, the others likewise; each half
+    goes to the buckets of those bytes. At a single offset these are the whole window, so that a bucket
+    holds one content. A bucket is a hash: others that share it are told apart by content when sorted.
+    """
+    columns = ["ord", "sub", "start", "stop", "h", "lead", "bytes"]
+    rest = sent.select(*columns, F.lit(0).alias("low"), F.lit(length - gram).alias("high"))
+    known, rows = [], []
+    while True:
+        parts = rest.where("bytes is not null and low < high")
+        # By all segments first, without their bytes; then by different ones.
+        large = rest.groupBy("h").agg(F.sum(F.col("stop") - F.col("start")).alias("size")).where(F.col("size") > block).select("h")
+        different = parts.join(F.broadcast(large), "h").groupBy("h", "lead", F.xxhash64("bytes")).agg(F.max(F.octet_length("bytes")).alias("size"))
+        hot = _common.staged(different.groupBy("h").agg(F.sum("size").alias("size")).where(F.col("size") > block).select("h"), "hot")
+        if hot.isEmpty():
+            return known, [*rows, rest.where("bytes is not null").select(*columns)]
+        rows += [parts.join(F.broadcast(hot), "h", "left_anti").select(*columns), rest.where("bytes is not null and low = high").select(*columns)]
+        many = parts.join(F.broadcast(hot), "h")
+        # Of equal segments the first stays; rows that repeat its document are that same segment.
+        first = many.groupBy("h", "lead", "bytes", "low", "high").agg(F.min(F.struct("ord", "sub", "start", "stop")).alias("at"))
+        first = _common.staged(first.select("at.*", "h", "lead", "bytes", "low", "high"), "distinct")
+        known.append(many.select("ord", "sub", "start", "stop").join(first.select("ord", "sub", "start", "stop"), ["ord", "sub", "start", "stop"], "left_anti"))
+        middle = "cast(floor((low + high) / 2) as int)"
+        halves = first.withColumn("half", F.explode(F.expr(f"array(struct(low as l, {middle} as r), struct({middle} + 1 as l, high as r))")))
+        # The half's windows of the segment: those with the anchor at offsets most down to least.
+        halves = halves.selectExpr("*", "least(lead, half.r) as most", f"greatest(lead - (cast(stop - start as int) - {length}), half.l) as least").where("most >= least")
+        rest = halves.selectExpr("ord", "sub", "start + (lead - most) as start", f"start + (lead - least) + {length} as stop", f"xxhash64(h, half.l, half.r, substring(bytes, lead - half.l + 1, {length} - half.r + half.l)) as h", "most as lead", f"substring(bytes, lead - most + 1, most - least + {length}) as bytes", "half.l as low", "half.r as high")
+        rest = _common.staged(rest, "halves")
+
+
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Disjoint ascending ranges; ranges that touch are one."""
     out: list[tuple[int, int]] = []
@@ -377,7 +414,7 @@ def _named(rows: DataFrame, clashes: DataFrame) -> DataFrame:
     return rows.join(clashes, "ord", "left").withColumn("sub", F.when(F.col("clash"), F.col("own")).otherwise(F.lit(0).cast("long"))).drop("clash", "own")
 
 
-def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cover: int = COVER) -> tuple[DataFrame, DataFrame, DataFrame]:
+def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cover: int = COVER, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(base, clashes, ranges): a row per document with its text's digest; ids with several texts; and the covered byte ranges of each (ord, sub) that is no later copy of a whole text."""
     keyed = _keyed(docs.select("doc_id", "text"))
     base = _common.staged(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "ord", F.sha2("text", 256).alias("sha"), "own", F.octet_length("text").cast("long").alias("n_bytes")), "texts")
@@ -393,13 +430,16 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cover: int
     hints = repeating(texts.select("ord", "text"), length, gram).join(copies, "ord", "left_anti").groupBy("ord").agg(F.collect_set("h").alias("hs"))
     sent = _common.staged(segments(squeezed(texts).join(hints, "ord").select("ord", "sub", "z", "hs"), length, gram), "segments")
     known = sent.where("bytes is null").select("ord", "sub", "start", "stop")
-    ranges = known.unionByName(sort_buckets(sent, length, cover)).groupBy("ord", "sub").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+    equal, buckets = spread(sent, length, gram, block)
+    for more in (*equal, sort_buckets(reduce(DataFrame.unionByName, buckets), length, cover, block)):
+        known = known.unionByName(more)
+    ranges = known.groupBy("ord", "sub").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
     return base, clashes, ranges
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cover: int = COVER) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cover: int = COVER, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    base, clashes, ranges = covered(docs, length, gram, cover)
+    base, clashes, ranges = covered(docs, length, gram, cover, block)
     texts = _named(_keyed(docs.select("doc_id", "text")).select("ord", "text", "own"), clashes)
     rest = cut(squeezed(texts).join(ranges, ["ord", "sub"])).dropDuplicates(["ord", "sub"])
     out = base.join(_common.staged(rest, "cut"), ["ord", "sub"], "left")

@@ -53,6 +53,30 @@ def test_suffixes_of_repeated_ids_and_no_rows(spark):
     assert suffixes.dedup(docs.limit(0)).count() == 0 == suffixes.remove(docs.limit(0)).count()
 
 
+def test_common_line_is_split_into_bounded_buckets(spark, monkeypatch):
+    rng = random.Random(11)
+    line = "".join(rng.choice("abcdefghij ") for _ in range(80))
+    around = ["".join(rng.choice("abcdefghij ") for _ in range(60)) for _ in range(12)]
+    said = [rng.choice(around) + line + rng.choice(around) for _ in range(60)]
+    said += ["".join(rng.choice("abcdefghij ") for _ in range(50)) + line + "".join(rng.choice("abcdefghij ") for _ in range(50)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    rows = list(enumerate(said))
+    assert digests(suffixes.dedup(docs, block=1500)) == sorted(((i, n, n - len(kept), spans, sha(kept)) for i, n, kept, spans in cut_passages(rows)), key=str)
+    sent, split = [], []
+    cut, sort = suffixes.spread, suffixes.sort_buckets
+    monkeypatch.setattr(suffixes, "spread", lambda *a: (sent.append(a[0]), cut(*a))[1])
+    monkeypatch.setattr(suffixes, "sort_buckets", lambda df, *a: (split.append(df), sort(df, *a))[1])
+    suffixes.covered(docs, block=1500)
+
+    def largest(df):
+        sizes = Counter()
+        for h, _, part in {(r["h"], r["lead"], bytes(r["bytes"])) for r in df.where("bytes is not null").collect()}:
+            sizes[h] += len(part)
+        return max(sizes.values())
+
+    assert largest(sent[0]) > 1500 >= largest(split[0])
+
+
 def test_suffix_query_against_brute_force(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
     want = [(i, n, n - len(kept), spans, sha(kept)) for i, n, kept, spans in cut_passages(docs)]
