@@ -172,8 +172,9 @@ def read_digests(manifest: DataFrame) -> DataFrame:
 
 
 def _read(manifest: DataFrame, digest: bool) -> DataFrame:
-    # One row a file, so the running total over files is small.
-    totals = manifest.selectExpr("file", "doc_ids", "coalesce(sum(n_ids) over (order by part, number rows between unbounded preceding and 1 preceding), 0) as base")
+    # One short row a file, so the running total over files is small; the lists of documents join later.
+    bases = manifest.selectExpr("file", "coalesce(sum(n_ids) over (order by part, number rows between unbounded preceding and 1 preceding), 0) as base")
+    totals = manifest.select("file", "doc_ids").join(bases, "file")
     schema = "doc_id long, start long, " + ("n_tokens long, ids_crc32 long" if digest else "ids binary")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

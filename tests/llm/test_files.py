@@ -48,6 +48,18 @@ def test_token_query_against_brute_force(spark):
     assert not got
 
 
+def test_running_total_of_files_carries_no_documents(spark):
+    manifest = tokenfile.write(odd_documents(spark, ["one text", "two texts"]), _common.scratch(spark, "t"), file_ids=50)
+    node = tokenfile.read_digests(manifest)._jdf.queryExecution().optimizedPlan()
+    seen, todo = [], [node]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+        if node.nodeName() == "Window":
+            seen.append(node.output().mkString(" "))
+    assert len(seen) == 1 and "doc_ids" not in seen[0]
+
+
 def test_token_files_of_odd_documents(spark):
     docs = odd_documents(spark, ["one text", "two texts"])
     manifest = tokenfile.write(docs, _common.scratch(spark, "t"), file_ids=50)
