@@ -13,8 +13,11 @@ from marginmart.llm import _common, decontam, forest, langid, packing, suffixes
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows; those without any letter go."""
-    known = langid.predict(docs, langid.fit_documents(docs)).where(F.col("lang_pred") != langid.UNKNOWN).drop("lang_pred", "score")
+    """Documents in a language that the model knows; those without any letter go. Without a model (no row names a language) all with letters stay."""
+    trees = langid.fit_documents(docs)
+    if not trees:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    known = langid.predict(docs, trees).where(F.col("lang_pred") != langid.UNKNOWN).drop("lang_pred", "score")
     return known.toDF(*docs.columns)
 
 

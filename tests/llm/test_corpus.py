@@ -175,6 +175,11 @@ def test_pipeline_against_brute_force(spark):
     assert len({r["sequence_id"] for r in got}) <= -(-sum(r["length"] for r in got) // 4096) + 1
 
 
+def test_documents_without_any_named_language_stay(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "... 12", None), (3, "слова", None), (4, None, None)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF).collect()) == [1, 3]
+
+
 def test_pipeline_stages_keep_the_columns(spark):
     docs = odd_documents(spark, passages(random.Random(3), 6) + ["... 12"], extra="n_chars").withColumnRenamed("lang", "lang")
     docs = docs.selectExpr("doc_id", "text", "lang", "'s' as source", "cast(n_chars as bigint) as n_chars", "1 as score")
