@@ -87,6 +87,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20)
         pool.release_unused()
 
 
+def binary(values: pa.Array):
+    """All bytes of a binary array (null: empty), writable, and the offsets of its rows."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    values = pc.fill_null(values.cast(pa.large_binary()), b"")
+    lengths = pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    return np.frombuffer(bytearray(b"".join(values.to_pylist())), np.uint8), offsets
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

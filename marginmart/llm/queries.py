@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marginmart.llm.backoff import OP7_SQL, op7_backoff, op7_backoff_order3
+from marginmart.llm.bytebpe import op13_bytebpe
 from marginmart.llm.chat import op8_chat
 from marginmart.llm.decontam import op4_decontam
+from marginmart.llm.filteraudit import OP11_SQL, op11_filters
 from marginmart.llm.forest import op6_jaccard
 from marginmart.llm.langid import op9_langid
 from marginmart.llm.mtree import OP2_SQL, op2_mtree
@@ -29,10 +31,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_langid": op9_langid,
     "op10_warc": op10_warc,
+    "op11_filters": op11_filters,
+    "op13_bytebpe": op13_bytebpe,
 }
 
 ORACLE: dict[str, str] = {
     "op2_mtree": OP2_SQL,
     "op7_backoff": OP7_SQL,
     "op10_warc": OP10_SQL,
+    "op11_filters": OP11_SQL,
 }
