@@ -36,12 +36,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
+def staged(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS, **options) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage and fixes the rows."""
     spark = df.sparkSession
     small_batches(spark, batch_rows)
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**options).option("compression", "zstd").parquet(path)
     small_batches(spark)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -15,6 +15,7 @@ from marginmart.llm.forest import op6_jaccard
 from marginmart.llm.langid import op9_langid
 from marginmart.llm.mtree import OP2_SQL, op2_mtree
 from marginmart.llm.packing import op1_packing
+from marginmart.llm.phrases import OP12_SQL, op12_phrases
 from marginmart.llm.suffixes import op5_suffixes
 from marginmart.llm.tokenfile import op3_token_files
 from marginmart.llm.warc import OP10_SQL, op10_warc
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid": op9_langid,
     "op10_warc": op10_warc,
     "op11_filters": op11_filters,
+    "op12_phrases": op12_phrases,
     "op13_bytebpe": op13_bytebpe,
 }
 
@@ -40,4 +42,5 @@ ORACLE: dict[str, str] = {
     "op7_backoff": OP7_SQL,
     "op10_warc": OP10_SQL,
     "op11_filters": OP11_SQL,
+    "op12_phrases": OP12_SQL,
 }
