@@ -21,19 +21,18 @@ empty table gives no rows; other columns and null ids are ignored.
 
 from __future__ import annotations
 
-import uuid
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginmart.llm import _common
 
 #: Words of a shard, unless one piece has more, and bytes of text that are cut into words at a time.
-SHARD_WORDS, CUT_BYTES = 2 << 20, 1 << 20
+SHARD_WORDS, CUT_BYTES = 3 << 20, 1 << 20
 #: Rows of an Arrow batch where rows are short.
 SHORT_ROWS = 20_000
 #: No byte of a UTF-8 text.
@@ -76,11 +75,11 @@ class Shard:
 def sorted_contexts(words: np.ndarray, depth: int, step: int) -> np.ndarray:
     """Places of a circular text in order of the ``depth`` words from each on, read in steps of 1 or -1."""
     wide = int(words.max()) + 1 if len(words) else 1
-    order, rank = np.argsort(words, kind="stable"), words.astype(np.int64)
+    order, rank = np.argsort(words), words.astype(np.int64)
     for d in range(1, depth):
         # One more word in front of what is ranked already.
         key = words.astype(np.int64) * wide + np.roll(rank, -step)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if d < depth - 1:
             new = np.empty(len(key), np.int64)
             new[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
@@ -95,23 +94,26 @@ def transforms(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return before, after
 
 
-def extensions(transform: np.ndarray, start: np.ndarray, size: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def extensions(transform: np.ndarray, start: np.ndarray, size: np.ndarray, wide: int, places: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All one-word extensions of intervals of a transform.
 
-    Returns parent (place among the intervals), word, count, first (place in the transform of the
-    word's first occurrence in the interval) and lesser (how many words of the interval are smaller:
-    where the extension begins within its parent's interval of the other index).
+    Returns parent (place among the intervals), word, count, first (if ``places``: place in the
+    transform of the word's first occurrence in the interval) and lesser (how many words of the
+    interval are smaller: where the extension begins within its parent's interval of the other index).
     """
     at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
     parent = np.repeat(np.arange(len(size)), size)
     place = np.arange(at[-1]) - at[parent] + start[parent]
     key = parent * wide + transform[place]
-    order = np.argsort(key, kind="stable")
-    key = key[order]
+    if places:
+        order = np.argsort(key, kind="stable")
+        place, key = place[order], key[order]
+    else:
+        key.sort()
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     count = np.diff(np.append(begin, len(key)))
     own, word = key[begin] // wide, key[begin] % wide
-    return own, word, count, place[order[begin]], begin - at[own]
+    return own, word, count, place[begin] if places else begin, begin - at[own]
 
 
 def backward(transform: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -141,31 +143,34 @@ def _unpack(raw: bytes, n: int) -> np.ndarray:
 
 def shards(docs: DataFrame, max_words: int, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The index table, staged: shard, lang, size, n_words, words, counts, before, after; a task builds the shards of its rows one after the other."""
-    kinds = [("shard", pa.string()), ("lang", pa.string()), ("size", pa.int64()), ("n_words", pa.int64()), ("words", pa.list_(pa.string())), ("counts", pa.binary()), ("before", pa.binary()), ("after", pa.binary())]
+    kinds = [("shard", pa.int64()), ("lang", pa.string()), ("size", pa.int64()), ("n_words", pa.int64()), ("words", pa.list_(pa.string())), ("counts", pa.binary()), ("before", pa.binary()), ("after", pa.binary())]
 
-    def row(lang: str, shard: Shard) -> pa.RecordBatch:
+    def row(lang: str, shard: Shard, number: int) -> pa.RecordBatch:
         words, names = shard.words(), list(shard.number)
         counts = np.bincount(words, minlength=len(names))
         before, after = transforms(words, max_words - 1)
-        values = [uuid.uuid4().hex, lang, len(words), int(counts[1:].sum()), [w.decode() for w in names[1:]], _pack(counts), _pack(before), _pack(after)]
+        values = [number, lang, len(words), int(counts[1:].sum()), [w.decode() for w in names[1:]], _pack(counts), _pack(before), _pack(after)]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(values, kinds)], names=[n for n, _ in kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         held: dict[str, Shard] = {}
+        numbers = itertools.count(TaskContext.get().partitionId() << 32)
         for batch in _common.slices(batches, "text"):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for stretch in stretches(text.encode().translate(RULE)):
                     held.setdefault(lang, Shard()).add(stretch)
                     if held[lang].n >= shard_words:
-                        yield row(lang, held.pop(lang))
+                        yield row(lang, held.pop(lang), next(numbers))
                     elif sum(s.n for s in held.values()) >= 2 * shard_words:  # many languages
                         largest = max(held, key=lambda x: held[x].n)
-                        yield row(largest, held.pop(largest))
+                        yield row(largest, held.pop(largest), next(numbers))
         for lang, shard in held.items():
-            yield row(lang, shard)
+            yield row(lang, shard, next(numbers))
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text <> ''")
-    schema = "shard string, lang string, size long, n_words long, words array<string>, counts binary, before binary, after binary"
+    schema = "shard long, lang string, size long, n_words long, words array<string>, counts binary, before binary, after binary"
     return _common.staged(rows.mapInArrow(run, schema), "phrase-shards", **{"parquet.block.size": 16 << 20})
 
 
@@ -181,10 +186,10 @@ def vocabulary(index: DataFrame) -> DataFrame:
                 for at in range(0, n, SHORT_ROWS):
                     part = words.slice(at, SHORT_ROWS)
                     m = len(part)
-                    same = lambda c: pa.array([batch.column(c)[k].as_py()] * m, pa.string())  # noqa: E731, B023
+                    same = lambda c: pa.repeat(batch.column(c)[k], m)  # noqa: E731, B023
                     yield pa.RecordBatch.from_arrays([same(0), same(1), pa.array(np.arange(at + 1, at + 1 + m, dtype=np.int32)), part, pa.array(counts[at : at + m])], names=["shard", "lang", "w", "word", "n"])
 
-    return index.select("shard", "lang", "words", "counts").mapInArrow(run, "shard string, lang string, w int, word string, n long")
+    return index.select("shard", "lang", "words", "counts").mapInArrow(run, "shard long, lang string, w int, word string, n long")
 
 
 def _level(d: int) -> list[str]:
@@ -192,13 +197,13 @@ def _level(d: int) -> list[str]:
 
 
 def pairs(index: DataFrame, known: DataFrame) -> DataFrame:
-    """Right extensions of the frequent words by frequent words: shard, g1, g2 (global numbers), l1, l2 (local), start (in the forward index), n. Staged."""
+    """Right extensions of the frequent words by frequent words: shard, g1, g2 (global numbers), l1, l2 (local), start (in the forward index), n."""
     names = ["shard", "g1", "g2", "l1", "l2", "start", "n"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        outs = [pa.table([pa.array([], t) for t in (pa.string(), *[pa.int64()] * 2, *[pa.int32()] * 3, pa.int64())], names=names)]
+        outs = [pa.table([pa.array([], t) for t in (pa.int64(), *[pa.int64()] * 2, *[pa.int32()] * 3, pa.int64())], names=names)]
         for k in range(left.num_rows):
-            shard = left.column(0)[k].as_py()
+            shard = left.column(0)[k]
             n, counts = left.column(1)[k].as_py(), left.column(2)[k].as_py()
             after = _unpack(left.column(3)[k].as_py(), n)
             wide = left.column(4)[k].as_py() + 1
@@ -208,32 +213,32 @@ def pairs(index: DataFrame, known: DataFrame) -> DataFrame:
             number[right.column(1).to_numpy()] = right.column(2).to_numpy()
             mine = np.flatnonzero(number >= 0)
             # A word's interval is the same in both indexes.
-            parent, word, count, _, lesser = extensions(after, starts[mine], counts[mine], wide)
+            parent, word, count, _, lesser = extensions(after, starts[mine], counts[mine], wide, False)
             good = number[word] >= 0
             l1, l2 = mine[parent[good]], word[good]
             values = [number[l1], number[l2], l1.astype(np.int32), l2.astype(np.int32), (starts[l1] + lesser[good]).astype(np.int32), count[good]]
-            outs.append(pa.table([pa.array([shard] * len(l1), pa.string()), *(pa.array(v) for v in values)], names=names))
+            outs.append(pa.table([pa.repeat(shard, len(l1)), *(pa.array(v) for v in values)], names=names))
         return pa.concat_tables(outs)
 
     left = index.select("shard", "size", "counts", "after", F.size("words").alias("n_names"))
-    schema = "shard string, g1 long, g2 long, l1 int, l2 int, start int, n long"
-    return _common.staged(left.groupBy("shard").cogroup(known.select("shard", "w", "g").groupBy("shard")).applyInArrow(run, schema), "phrase-pairs", SHORT_ROWS)
+    schema = "shard long, g1 long, g2 long, l1 int, l2 int, start int, n long"
+    return left.groupBy("shard").cogroup(known.select("shard", "w", "g").groupBy("shard")).applyInArrow(run, schema)
 
 
 def longer(index: DataFrame, frequent: DataFrame, d: int, last: bool) -> DataFrame:
-    """Left extensions of the frequent (d-1)-grams whose own left part is frequent too: shard, g1..gd, l1..ld, start, n. Staged unless last."""
+    """Left extensions of the frequent (d-1)-grams whose own left part is frequent too: shard, g1..gd, l1..ld, start (unless last), n."""
     names = ["shard", *_level(d), *(f"l{k}" for k in range(1, d + 1)), "start", "n"]
     m = d - 1
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        outs = [pa.table([pa.array([], t) for t in (pa.string(), *[pa.int64()] * d, *[pa.int32()] * (d + 1), pa.int64())], names=names)]
+        outs = [pa.table([pa.array([], t) for t in (pa.int64(), *[pa.int64()] * d, *[pa.int32()] * (d + 1), pa.int64())], names=names)]
         for k in range(left.num_rows if right.num_rows else 0):
-            shard = left.column(0)[k].as_py()
+            shard = left.column(0)[k]
             n, wide = left.column(1)[k].as_py(), left.column(3)[k].as_py() + 1
             before = _unpack(left.column(2)[k].as_py(), n)
             globals_ = np.stack([right.column(1 + j).to_numpy() for j in range(m)], axis=1)
             locals_ = np.stack([right.column(1 + m + j).to_numpy().astype(np.int64) for j in range(m)], axis=1)
-            parent, word, count, first, _ = extensions(before, right.column(1 + 2 * m).to_numpy().astype(np.int64), right.column(2 + 2 * m).to_numpy(), wide)
+            parent, word, count, first, _ = extensions(before, right.column(1 + 2 * m).to_numpy().astype(np.int64), right.column(2 + 2 * m).to_numpy(), wide, not last)
             heads = np.concatenate([word[:, None], locals_[parent][:, : m - 1]], axis=1)
             code, have = codes(heads, locals_)
             order = np.argsort(have)
@@ -244,14 +249,13 @@ def longer(index: DataFrame, frequent: DataFrame, d: int, last: bool) -> DataFra
             parent, word, count, first, head = parent[good], word[good], count[good], first[good], head[good]
             start = np.zeros(len(word), np.int64) if last else backward(before, first)
             columns = [globals_[head, 0], *globals_[parent].T, word.astype(np.int32), *locals_[parent].astype(np.int32).T, start.astype(np.int32), count]
-            outs.append(pa.table([pa.array([shard] * len(word), pa.string()), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=names))
+            outs.append(pa.table([pa.repeat(shard, len(word)), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=names))
         return pa.concat_tables(outs)
 
     left = index.select("shard", "size", "before", F.size("words").alias("n_names"))
     right = frequent.select("shard", *_level(m), *(f"l{k}" for k in range(1, d)), "start", "n")
-    schema = "shard string, " + ", ".join(f"g{k} long" for k in range(1, d + 1)) + ", " + ", ".join(f"l{k} int" for k in range(1, d + 1)) + ", start int, n long"
-    out = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(run, schema)
-    return out if last else _common.staged(out, "phrase-longer", SHORT_ROWS)
+    schema = "shard long, " + ", ".join(f"g{k} long" for k in range(1, d + 1)) + ", " + ", ".join(f"l{k} int" for k in range(1, d + 1)) + ", start int, n long"
+    return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(run, schema)
 
 
 def counts(docs: DataFrame, min_count: int, max_words: int, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, dict[int, DataFrame]]:
@@ -270,10 +274,14 @@ def counts(docs: DataFrame, min_count: int, max_words: int, shard_words: int = S
     found = pairs(index, known) if max_words > 1 else None
     for d in range(2, max_words + 1):
         g = _level(d)
-        grams[d] = _common.staged(found.groupBy(*g).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count), "phrase-grams", SHORT_ROWS)
-        if d < max_words:
-            back = found.join(grams[d].select(*g), g, "left_semi")
-            found = longer(index, back, d + 1, d + 1 == max_words)
+        if d == max_words:
+            summed = found.groupBy(*g).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+        else:
+            # The shards' rows of an n-gram meet once: those of frequent ones are what goes back to the shards.
+            found = _common.staged(found.withColumn("f", F.sum("n").over(Window.partitionBy(*g))).where(F.col("f") >= min_count), "phrase-found", SHORT_ROWS)
+            summed = found.groupBy(*g).agg(F.max("f").alias("f"))
+            found = longer(index, found, d + 1, d + 1 == max_words)
+        grams[d] = _common.staged(summed, "phrase-grams", SHORT_ROWS)
     return totals, frequent, grams
 
 
