@@ -329,10 +329,9 @@ def head_to_head(df: DataFrame, name_a: str | Column | None = None, name_b: str
 def order_size_shift(df: DataFrame) -> DataFrame:
     """Mean, median and p90 order revenue per year and the % change."""
     yr = df.where(F.col("YearLabel").isin(THIS_YEAR, LAST_YEAR))
-    mean = (yr.groupBy("YearLabel").agg((M.dsum("SaleTotal").cast("double") / F.count(F.lit(1))).alias("mean")))
-    q = quantiles(yr.withColumn("v", F.col("SaleTotal").cast("double")), ["YearLabel"], "v",
-                  {"median": 0.5, "p90": 0.9})
-    stats = join_on(mean, q, ["YearLabel"], "full")
+    stats = quantiles(yr, ["YearLabel"], "SaleTotal", {"median": 0.5, "p90": 0.9},
+                      sums={"rev": F.coalesce(F.col("SaleTotal"), M.zero()), "n": F.lit(1)})
+    stats = stats.withColumn("mean", F.col("rev").cast("double") / F.col("n"))
     wide = stats.agg(*[F.max(F.when(F.col("YearLabel") == lab, F.col(s))).alias(f"{s}{suf}")
                        for s in ("mean", "median", "p90") for lab, suf in ((THIS_YEAR, "_ty"), (LAST_YEAR, "_ly"))])
     rows = []

@@ -3,13 +3,15 @@ A20, A43, A53-A55, scatter frame, T12).
 
 Histograms use equal-width bins computed from scalar-subquery bounds: each row maps to a
 bin with arithmetic, then one grouped count (partial aggregation, so skew-free).  All
-quantiles go through :func:`marginmart.operators.quantiles.quantiles`, which never holds
-a group in one task.
+quantiles go through :mod:`marginmart.operators.quantiles`: order-preserving bins counted in one
+scan, and a second scan of the few bins that matter.  Histograms whose range depends on a quantile
+share that scan: a fine bin that lies in one histogram bar whatever the exact quantile is
+counted as a whole, and only the bins at the bars' edges are read again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +21,8 @@ from ..functions import metrics as M
 from ..functions.enrich import LAST_YEAR, THIS_YEAR, fine_lead_bucket, fine_lead_order
 from .joins import join_on
 from .ordering import global_order
-from .quantiles import _pin, quantile_scalar, quantiles
+from . import quantiles as Q
+from .quantiles import _pin, quantiles
 
 
 def histogram(df: DataFrame, value: str | Column, nbins: int = 50, lo: float | Column | None = None,
@@ -76,36 +79,97 @@ def lead_time_histogram(df: DataFrame, lo: int = -30, hi: int = 365, nbins: int
     return histogram(d, "LeadTimeDays", nbins, lo=float(lo), hi=float(hi), by=["YearLabel"])
 
 
+# Bins per factor of e of the two histograms below: a bin spans a thousandth of its values.
+FINE_BINS = 1024
+# Rounding of a bar's position, and of a quantile, that the choice of edge bins allows for.
+SLACK = 1e-6
+
+
+def _bars(whole: DataFrame, edges: DataFrame, rows: DataFrame, by: Sequence[str], nbins: int) -> DataFrame:
+    """Bars over [lo, hi] of (by, lo, hi, value, count) rows: fine bins that are no edge bins count as a
+    whole at their least value, the others value by value."""
+    kept = join_on(whole, edges, edges.columns, "left_anti")
+    d = kept.select(*by, "lo", "hi", F.col("_at").alias("_v"), F.col("_cnt").alias("_c")).unionByName(rows.select(*by, "lo", "hi", "_v", "_c"))
+    width = (F.col("hi") - F.col("lo")) / nbins
+    raw = F.when(width > 0, F.floor((F.col("_v") - F.col("lo")) / width)).otherwise(F.lit(0))
+    d = d.withColumn("bin", F.least(raw, F.lit(nbins - 1)).cast("int"))
+    return (d.groupBy(*by, "bin", "lo", "hi").agg(F.sum("_c").alias("count"))
+             .select(*by, "bin", (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
+                     (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"), "count"))
+
+
 def order_size_histogram(df: DataFrame, nbins: int = 50) -> DataFrame:
-    """A10 (legacy): order revenue below its 99th percentile (F8), per year."""
-    p99 = quantile_scalar(df, "SaleTotal", 0.99)
-    d = _labeled(df).where(F.col("SaleTotal").cast("double") < p99)
-    return histogram(d, "SaleTotal", nbins, by=["YearLabel"])
+    """A10 (legacy): order revenue below its 99th percentile (F8), per year, in two scans.
+
+    The first scan's fine bins bound the percentile, and so the largest order below it and the bars'
+    edges; the second reads the bins that one of these may lie in."""
+    probs, one = {"p99": 0.99}, [F.lit(0).alias("_g"), "_b"]
+    folded = _pin(Q.fold(df, ["YearLabel"], "SaleTotal", bins=FINE_BINS).where(F.col("_cnt") > 0))
+    both = folded.groupBy(*one).agg(F.sum("_cnt").alias("_cnt"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    want = _pin(Q.wanted(both, ["_g"], probs))
+    reach = want.agg(F.struct(F.min("_b").alias("first"), F.max("_b").alias("last")).alias("r")).select("r").scalar()
+    b = _labeled(folded).withColumn("_r", reach)
+    # Every value of a bin before the percentile's first is below it; none after its last is.
+    ends = b.agg(F.struct(F.min("_lo").alias("lo"),
+                          F.max(F.when(F.col("_b") < F.col("_r.first"), F.col("_hi"))).alias("under"),
+                          F.max(F.when(F.col("_b") <= F.col("_r.last"), F.col("_hi"))).alias("most")).alias("e")).select("e").scalar()
+    b = _pin(b.withColumn("_e", ends).where(F.col("_b") <= F.col("_r.last")))
+    at = lambda v, hi: (v - F.col("_e.lo")) / (hi - F.col("_e.lo")) * nbins
+    split = F.floor(at(F.col("_lo"), F.col("_e.most")) - SLACK) != F.floor(at(F.col("_hi"), F.col("_e.under")) + SLACK)
+    unsure = (F.col("_b") >= F.col("_r.first")) | (F.col("_e.under") <= F.col("_e.lo")) | split
+    edges = _pin(b.where(F.coalesce(unsure, F.lit(True))).select("_b").union(want.select("_b")).distinct())
+    # Fine bins have a fixed number, so the broadcast has a bound.
+    rows = _pin(Q.runs(df, ["YearLabel"], "SaleTotal", edges, [], True, FINE_BINS))
+    values = rows.groupBy(*one, "_v").agg(F.sum("_c").alias("_c"))
+    p99 = Q.interpolated(want, Q.pick(want, values, ["_g"]), ["_g"], probs, None).select("p99").scalar()
+    less = _labeled(rows).withColumn("_p", p99).where(F.col("_v") < F.col("_p"))
+    whole = b.where(F.col("_b") < F.col("_r.first")).withColumn("_at", F.col("_lo"))
+    top = less.agg(F.max("_v").alias("m")).select("m").scalar()
+    # The largest below is a value of the edge bins or the end of a whole bin.
+    spanned = lambda d: d.withColumn("_e", ends).withColumns({"lo": F.col("_e.lo"), "hi": F.greatest(F.col("_e.under"), top)})
+    return _bars(spanned(whole), edges, spanned(less), ["YearLabel"], nbins)
 
 
 def clipped_histograms(df: DataFrame, nbins: int = 60) -> DataFrame:
-    """SaleTotal, TicketCost and Profit clipped to [0 (Profit: p1), p99], ``nbins`` bins
-    over each clipped range; long form with a ``column_name`` field.
+    """SaleTotal, TicketCost and Profit clipped to [0 (Profit: p1), p99], ``nbins`` bars
+    over each clipped range; long form with a ``column_name`` field; two scans.
 
-    The three columns are stacked into one long frame, so their quantiles, bounds and bins
-    come from one pass each instead of one per column; the per-column tables (3 rows) are
-    broadcast.
+    The first scan counts the three columns' fine bins; these bound the quantiles and the bars'
+    edges, and the second scan reads the bins that one of them may lie in.  The tables per column
+    (3 rows) and per fine bin (a fixed number) are broadcast.
     """
-    cols = ("SaleTotal", "TicketCost", "Profit")
+    cols, by = ("SaleTotal", "TicketCost", "Profit"), ["column_name"]
+    probs = {"p1": 0.01, "p99": 0.99}
     pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in cols)
-    long = df.selectExpr(f"stack({len(cols)}, {pairs}) as (column_name, x)").where(F.col("x").isNotNull())
-    q = quantiles(long, ["column_name"], "x", {"p1": 0.01, "p99": 0.99})
-    lo = F.when(F.col("column_name") == "Profit", F.col("p1")).otherwise(F.lit(0.0))
-    clipped = (join_on(long, q, ["column_name"], broadcast=True)
-                   .select("column_name", F.least(F.greatest(F.col("x"), lo), F.col("p99")).alias("_c")))
-    bounds = clipped.groupBy("column_name").agg(F.min("_c").alias("lo"), F.max("_c").alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / nbins
-    raw = F.when(width > 0, F.floor((F.col("_c") - F.col("lo")) / width)).otherwise(F.lit(0))
-    binned = (join_on(clipped, bounds, ["column_name"], broadcast=True)
-                     .withColumn("bin", F.least(raw, F.lit(nbins - 1)).cast("int")))
-    g = binned.groupBy("column_name", "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("count"))
-    return g.select("column_name", "bin", (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
-                    (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"), "count")
+    long = df.selectExpr(f"stack({len(cols)}, {pairs}) as (column_name, x)")
+    folded = _pin(Q.fold(long, by, "x", bins=FINE_BINS).where(F.col("_cnt") > 0))
+    want = _pin(Q.wanted(folded, by, probs))
+    found = want.select(*by, "_lo", "_hi", F.explode("_hits").alias("h"))
+    near = found.groupBy(*by).agg(*[e for q in probs for e in (
+        F.min(F.when(F.col("h.q") == q, F.col("_lo"))).alias(f"{q}_least"), F.max(F.when(F.col("h.q") == q, F.col("_hi"))).alias(f"{q}_most"))])
+    span = folded.groupBy(*by).agg(F.min("_lo").alias("low"), F.max("_hi").alias("high"))
+    b = join_on(join_on(folded, near, by, broadcast=True), span, by, broadcast=True)
+
+    def clip(v: Column, p1: Column, p99: Column) -> Column:
+        return F.least(F.greatest(v, F.when(F.col("column_name") == "Profit", p1).otherwise(F.lit(0.0))), p99)
+
+    def place(v: str, p1: Column, p99: Column) -> Column:
+        lo, hi = clip(F.col("low"), p1, p99), clip(F.col("high"), p1, p99)
+        return F.when(hi > lo, (clip(F.col(v), p1, p99) - lo) / (hi - lo) * nbins).otherwise(0.0)
+
+    corners = [(F.col(f"p1_{x}") + d1, F.col(f"p99_{y}") + d2) for x, d1 in (("least", -SLACK), ("most", SLACK)) for y, d2 in (("least", -SLACK), ("most", SLACK))]
+    first = F.floor(F.least(*[place("_lo", *c) for c in corners]) - SLACK)
+    last = F.floor(F.greatest(*[place("_hi", *c) for c in corners]) + SLACK)
+    edges = _pin(b.where((F.col("_lo") < F.col("_hi")) & (first != last)).select(*by, "_b").union(want.select(*by, "_b")).distinct())
+    rows = _pin(Q.runs(long, by, "x", edges, by, True, FINE_BINS))
+    q = Q.interpolated(want, Q.pick(want, rows, by), by, probs)
+    limits = _pin(join_on(q, span, by))
+
+    def spanned(d: DataFrame, v: str, out: str) -> DataFrame:
+        own = join_on(d, limits, by, broadcast=True)
+        return own.withColumns({out: clip(F.col(v), F.col("p1"), F.col("p99")), "lo": clip(F.col("low"), F.col("p1"), F.col("p99")),
+                                "hi": clip(F.col("high"), F.col("p1"), F.col("p99"))})
+    return _bars(spanned(folded, "_lo", "_at"), edges, spanned(rows, "_v", "_v"), by, nbins)
 
 
 FIVE = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
@@ -113,20 +177,17 @@ FIVE = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
 
 def margin_box(df: DataFrame, group_col: str) -> DataFrame:
     """A19 + T9: five-number summary of the row margin per group, ranked by median (desc)."""
-    d = df.where(F.col(group_col).isNotNull())
-    q = quantiles(d, [group_col], "ProfitMargin", FIVE)
-    n = d.where(F.col("ProfitMargin").isNotNull()).groupBy(group_col).agg(F.count(F.lit(1)).alias("n"))
-    out = global_order(join_on(q, n, [group_col]), [F.col("median").desc(), F.col(group_col).asc()], "_mr")
+    d = df.where(F.col(group_col).isNotNull() & F.col("ProfitMargin").isNotNull())
+    q = quantiles(d, [group_col], "ProfitMargin", FIVE, sums={"n": F.lit(1)})
+    out = global_order(q, [F.col("median").desc(), F.col(group_col).asc()], "_mr")
     return out.select(F.col(group_col).alias("group_value"), *FIVE, "n", (F.col("_mr") - 1).cast("int").alias("median_rank"))
 
 
 def margin_summary(df: DataFrame, group_col: str) -> DataFrame:
     """Revenue, median / p25 / p75 row margin (0 without margins), loss orders and share."""
     d = df.where(F.col(group_col).isNotNull())
-    g = d.groupBy(group_col).agg(M.dsum("SaleTotal").alias("rev"), F.count(F.lit(1)).alias("orders"),
-                                 F.count_if(F.col("Profit") < 0).alias("loss"))
-    q = quantiles(d, [group_col], "ProfitMargin", {"median": 0.5, "p25": 0.25, "p75": 0.75})
-    out = join_on(g, q, [group_col], "left")
+    out = quantiles(d, [group_col], "ProfitMargin", {"median": 0.5, "p25": 0.25, "p75": 0.75},
+                    sums={"rev": F.coalesce(F.col("SaleTotal"), M.zero()), "orders": F.lit(1), "loss": F.when(F.col("Profit") < 0, 1).otherwise(0)})
     return out.select(F.col(group_col).alias("group_value"), F.col("rev").cast("double").alias("revenue"),
                       *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"{c}_margin") for c in ("median", "p25", "p75")],
                       F.col("loss").alias("loss_orders"), (F.col("loss") / F.col("orders") * 100).alias("loss_pct"),
@@ -140,10 +201,8 @@ def lead_bucket_margin(df: DataFrame) -> DataFrame:
            .withColumn("bucket", fine_lead_bucket("LeadTimeDays"))
            .withColumn("bucket_order", fine_lead_order("LeadTimeDays"))
            .where(F.col("bucket").isNotNull()))
-    g = d.groupBy("bucket", "bucket_order").agg(F.count(F.lit(1)).alias("orders"),
-                                                M.dsum("SaleTotal").alias("rev"), M.dsum("Profit").alias("prof"))
-    q = quantiles(d, ["bucket"], "ProfitMargin", {"median_margin": 0.5})
-    out = join_on(g, q, ["bucket"], "left")
+    out = quantiles(d, ["bucket", "bucket_order"], "ProfitMargin", {"median_margin": 0.5},
+                    sums={"orders": F.lit(1), "rev": F.col("SaleTotal"), "prof": F.col("Profit")})
     return out.select("bucket", "bucket_order", "orders", "median_margin",
                       F.when(F.col("rev") != 0, F.col("prof").cast("double") / F.col("rev").cast("double") * 100)
                       .alias("agg_margin"))
@@ -160,10 +219,8 @@ def _finite(c: Column) -> Column:
 
 def robust_ranges(table: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(p10, p90) of each column's finite values; null when fewer than 2 or equal."""
-    long = _pin(_long(table, columns).where(_finite(F.col("value"))))
-    q = quantiles(long, ["column_name"], "value", {"p10": 0.1, "p90": 0.9})
-    n = long.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
-    out = join_on(n, q, ["column_name"], "left")
+    long = _long(_pin(table), columns).where(_finite(F.col("value")))
+    out = quantiles(long, ["column_name"], "value", {"p10": 0.1, "p90": 0.9}, sums={"n": F.lit(1)})
     ok = (F.col("n") >= 2) & (F.col("p10") != F.col("p90"))
     return out.select("column_name", F.when(ok, F.col("p10")).alias("lo"), F.when(ok, F.col("p90")).alias("hi"))
 
@@ -171,12 +228,12 @@ def robust_ranges(table: DataFrame, columns: Sequence[str]) -> DataFrame:
 def diverging_bounds(table: DataFrame, columns: Sequence[str], method: str = "p90") -> DataFrame:
     """Symmetric bound per column: 90th percentile of |v| (or the max of |v|); null
     when fewer than 2 finite values or the bound is 0."""
-    long = _pin(_long(table, columns).where(_finite(F.col("value"))).withColumn("value", F.abs("value")))
-    n = long.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("mx"))
+    table = table if method == "max" else _pin(table)
+    long = _long(table, columns).where(_finite(F.col("value"))).withColumn("value", F.abs("value"))
     if method == "max":
-        out = n.withColumn("b", F.col("mx"))
+        out = long.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("b"))
     else:
-        out = join_on(n, quantiles(long, ["column_name"], "value", {"b": 0.9}), ["column_name"], "left")
+        out = quantiles(long, ["column_name"], "value", {"b": 0.9}, sums={"n": F.lit(1)})
     ok = (F.col("n") >= 2) & (F.col("b") != 0)
     return out.select("column_name", F.when(ok, F.col("b")).alias("bound"))
 

@@ -1,35 +1,37 @@
-"""Exact quantiles that never gather a group into one task.
-
-``percentile`` keeps, per group, a map of every distinct value in one task; a group
-holding a third of 100 TB of rows would not fit.  Here a quantile is found by position
-instead (see :func:`quantiles`): the rows are range-partitioned by (group keys, value), so a
-hot group is split over many partitions, and prefix sums over partitions give positions.  The
-same plan runs at every size.
-
-Equal values are combined into weighted runs first, so a value repeated by a third of
-all rows is one row, not a hot task.  Every step is a bounded-memory shuffle; the only
-single-task step is the prefix sum over one row per partition.  ``method="approx"`` uses ``percentile_approx`` (a
-mergeable sketch) instead, for callers that accept its rank error.
+"""Exact quantiles by selection: no sort of the column, no group in one task.
+
+A value falls into an order-preserving bin (equal steps of its logarithm, mirrored below zero).
+One scan counts the bins of every group; cumulative counts name the few bins that hold a wanted
+position; a second scan takes only the rows of those bins, folded to (value, count).  Sums and
+counts of the group travel in the first scan, so a summary needs no scan of its own.
+
+Bounds: a group has at most ``2 * 1456 * BINS`` bins, whatever its rows, so the window over a
+group's bins is small even for a group with a third of all rows.  Where a wanted bin holds
+more than ``refine_rows`` rows, its folded values are cut into ``SUB`` equal steps between the
+bin's own least and greatest value, at most three times; after that no bin has more than about a
+thousand different doubles.  The wanted bins are broadcast only if they are at most
+``BROADCAST_ROWS``; beyond, Spark joins by size.  ``method="approx"`` uses
+``percentile_approx`` (a mergeable sketch) instead, for callers that accept its rank error.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
-
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import ensure_checkpoint_dir
 from .joins import join_on
 
-POS = "_pos"
 # Quantiles are rounded to this many decimals (well below the 4-decimal money inputs), so a
 # result does not depend on the last bit of the interpolation arithmetic.
 DIGITS = 6
+# Bins per factor of e: a bin spans about 1.6 % of its values.
+BINS = 64
+# Steps of one refinement, rows of a wanted bin that are refined no further, rows of a broadcast.
+SUB, REFINE_ROWS, BROADCAST_ROWS = 4096, 1 << 20, 100_000
 
 
 def _num_partitions(df: DataFrame) -> int:
@@ -46,120 +48,149 @@ def _pin(s: DataFrame) -> DataFrame:
     return pinned
 
 
-def _chunk_running_sum(keys: Sequence[str], weight: str):
-    """Per-partition function: running sum of ``weight`` before each row, restarting at
-    every change of (``_pid``, keys).  Rows arrive sorted, so a chunk is contiguous; it may
-    span Arrow batches, which the carried total covers.  Vectorised pandas, no row loop."""
-    cols = ["_pid", *keys]
-
-    def run(batches):
-        prev_key, carry = None, 0
-        for pdf in batches:
-            if len(pdf) == 0:
-                yield pdf.assign(_before=pd.Series([], dtype="int64"))
-                continue
-            w = pdf[weight].astype("int64")
-            change = pd.Series(False, index=pdf.index)
-            for c in cols:
-                col = pdf[c].astype(object).where(pdf[c].notna(), "\0null")
-                change |= col.ne(col.shift())
-            change.iloc[0] = True
-            chunk = change.cumsum()
-            before = w.groupby(chunk).cumsum() - w
-            first_key = tuple(pdf[c].iloc[0] for c in cols)
-            if prev_key is not None and first_key == prev_key:
-                before = before.where(chunk != chunk.iloc[0], before + carry)
-                first_total = carry
-            else:
-                first_total = 0
-            last_chunk = chunk.iloc[-1]
-            in_last = chunk == last_chunk
-            carry = int(w[in_last].sum()) + (first_total if last_chunk == chunk.iloc[0] else 0)
-            prev_key = tuple(pdf[c].iloc[-1] for c in cols)
-            yield pdf.assign(_before=before.astype("int64"))
-    return run
-
-
-def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
-              probs: Mapping[str, float], method: str = "exact",
-              accuracy: int = 10000, digits: int | None = DIGITS) -> DataFrame:
+def value_bin(v: Column, bins: int = BINS) -> Column:
+    """Order-preserving bin of a double (the logarithm is monotone by its specification); null for null.
+
+    Magnitudes from the least to the greatest double have logarithms between -745 and 710."""
+    inf = float("inf")
+    step = (F.floor((F.log(F.abs(v)) + 746.0) * bins) + 1).cast("bigint")
+    far = F.lit(2 * 1456 * bins).cast("bigint")
+    return (F.when(v == 0, F.lit(0).cast("bigint")).when(v == inf, far).when(v == -inf, -far)
+             .when(v > 0, step).when(v < 0, -step))
+
+
+def _values(df: DataFrame, keys: Sequence[str], value: str | Column, extra: Sequence[Column] = ()) -> DataFrame:
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    return df.select(*[F.col(k) for k in keys], F.when(~F.isnan(v), v).alias("_v"), *extra)
+
+
+def fold(df: DataFrame, keys: Sequence[str], value: str | Column, sums: Mapping[str, Column] | None = None,
+         bins: int = BINS) -> DataFrame:
+    """The first scan: per (keys, bin) the values' count, least and greatest, and the sums.
+
+    Missing values have a null bin of their own, which counts nothing but carries sums."""
+    sums = sums or {}
+    d = _values(df, keys, value, [c.alias(f"_s_{n}") for n, c in sums.items()])
+    return (d.groupBy(*keys, value_bin(F.col("_v"), bins).alias("_b"))
+             .agg(F.count("_v").alias("_cnt"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+                  *[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in sums]))
+
+
+def _q(names: Sequence[str]) -> str:
+    return ", ".join(f"`{n}`" for n in names)
+
+
+def wanted(folded: DataFrame, keys: Sequence[str], probs: Mapping[str, float], sums: Sequence[str] = ()) -> DataFrame:
+    """The bins that hold a wanted position, each with its positions (``_hits``) and the group's size and sums.
+
+    A group without values keeps one row without positions."""
+    group = f"over (partition by {_q(keys)})"
+    own = [f"sum(`_s_{n}`) {group} as `_s_{n}`" for n in sums]
+    earlier = f"over (partition by {_q(keys)} order by _b rows between unbounded preceding and 1 preceding)"
+    c = folded.selectExpr(*[f"`{k}`" for k in keys], "_b", "_cnt", "_lo", "_hi", f"coalesce(sum(_cnt) {earlier}, 0L) as _before",
+                          f"sum(_cnt) {group} as _n", *own)
+    ends = ", ".join(f"named_struct('q', '{name}', 'end', '{end}', 'pos', {fn}({float(p)!r}d * cast(_n - 1 as double)))"
+                     for name, p in probs.items() for end, fn in (("lo", "floor"), ("hi", "ceil")))
+    c = c.withColumn("_hits", F.expr(f"filter(array({ends}), e -> e.pos >= _before and e.pos < _before + _cnt)"))
+    return c.where("size(_hits) > 0 or (_n = 0 and _b is null)")
+
+
+def runs(df: DataFrame, keys: Sequence[str], value: str | Column, open_bins: DataFrame, on: Sequence[str],
+         broadcast: bool, bins: int = BINS) -> DataFrame:
+    """The second scan: the values in the given (distinct) bins, folded to (keys, bin, value, count)."""
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    b = value_bin(F.when(~F.isnan(v), v), bins)
+    d = df.select(*[F.col(k) for k in keys], v.alias("_v"), b.alias("_b"))
+    kept = join_on(d, open_bins.select(*on, "_b"), [*on, "_b"], "left_semi", broadcast=broadcast)
+    return kept.where("_v is not null").groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
+
+
+def _located(rows: DataFrame, opened: DataFrame, keys: Sequence[str], step: str, size: str) -> DataFrame:
+    """Rows of the open bins in order of ``step``, each with the positions that fall in it.
+
+    An open bin's own row comes first in its window (null step, size 0) and brings its positions: no join."""
+    at = [*keys, "_b"]
+    head = opened.select(*at, "_before", "_hits")
+    both = rows.unionByName(head, allowMissingColumns=True)
+    bin_ = f"partition by {_q(at)}"
+    before = f"max(_before) over ({bin_}) + coalesce(sum({size}) over ({bin_} order by {step} nulls first rows between unbounded preceding and 1 preceding), 0L)"
+    names = [c for c in rows.columns]
+    both = both.selectExpr(*[f"`{c}`" for c in names], f"{before} as _before", f"first(_hits) over ({bin_} order by {step} nulls first) as _hits")
+    both = both.withColumn("_hits", F.expr(f"filter(_hits, e -> e.pos >= _before and e.pos < _before + {size})"))
+    return both.where(f"{step} is not null and size(_hits) > 0")
+
+
+def pick(want: DataFrame, folded_values: DataFrame | None, keys: Sequence[str], refine_rows: int = REFINE_ROWS,
+         most: int | None = None) -> DataFrame:
+    """(keys, q, end, value) of every wanted position; ``most`` is the largest open bin's size, if known."""
+    chosen = lambda d, v: d.selectExpr(*[f"`{k}`" for k in keys], "inline(transform(_hits, h -> named_struct('q', h.q, 'end', h.end)))", f"{v} as _v")
+    sure = chosen(want.where("_lo = _hi"), "_lo")
+    if folded_values is None:
+        return sure
+    opened, rows, at = want.where("_lo < _hi"), folded_values, [*keys, "_b"]
+    for _ in range(3):
+        most = opened.agg(F.max("_cnt")).first()[0] if most is None else most
+        if not most or most <= refine_rows:
+            break
+        ranges = opened.select(*at, "_lo", "_hi")
+        step = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * SUB), F.lit(SUB - 1))
+        cut = _pin(join_on(rows, ranges, at).select(*at, step.alias("_s"), "_v", "_c"))
+        parts = cut.groupBy(*at, "_s").agg(F.sum("_c").alias("_cnt"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        deeper = F.col("_b") * SUB + F.when(F.col("_b") < 0, F.col("_s") - SUB).otherwise(F.col("_s"))
+        parts = _pin(_located(parts, opened, keys, "_s", "_cnt").withColumn("_b", deeper).drop("_s"))
+        sure = sure.unionByName(chosen(parts.where("_lo = _hi"), "_lo"))
+        opened = parts.where("_lo < _hi")
+        rows = join_on(cut.withColumn("_b", deeper).drop("_s"), opened.select(*at), at, "left_semi")
+        most = None
+    return sure.unionByName(chosen(_located(rows, opened, keys, "_v", "_c"), "_v"))
+
+
+def interpolated(want: DataFrame, picked: DataFrame, keys: Sequence[str], probs: Mapping[str, float],
+                 digits: int | None = DIGITS, sums: Sequence[str] = ()) -> DataFrame:
+    """keys, one column per quantile (linear interpolation, like ``percentile`` / DuckDB ``quantile_cont``) and the sums."""
+    carried = ["_n", *[f"_s_{n}" for n in sums]]
+    named = want.select(*keys, *carried)
+    both = named.unionByName(picked, allowMissingColumns=True)
+    values = [F.max(F.when((F.col("q") == n) & (F.col("end") == e), F.col("_v"))).alias(f"_{e}_{n}") for n in probs for e in ("lo", "hi")]
+    g = both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carried], *values)
+    out = []
+    for name, p in probs.items():
+        at = F.lit(float(p)) * (F.col("_n") - 1).cast("double")
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        out.append(_round(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (at - F.floor(at))), digits).alias(name))
+    return g.select(*keys, *out, *[F.col(f"_s_{n}").alias(n) for n in sums])
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column, probs: Mapping[str, float],
+              method: str = "exact", accuracy: int = 10000, digits: int | None = DIGITS,
+              sums: Mapping[str, Column] | None = None, refine_rows: int = REFINE_ROWS) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` per ``keys`` group (nulls and NaN ignored).
 
-    Returns ``keys`` + one double column per entry of ``probs``; groups without a
-    non-null value are absent.
-
-    1. Equal values become weighted runs (``groupBy(keys, value).count()``, map-side
-       combined), so neither a hot group nor a hot value lands in one task.
-    2. The runs are range-partitioned by (keys, value) — sampled, so a hot group is split —
-       sorted within partitions and checkpointed (pins the cut).
-    3. Per (partition, group) totals (at most partitions + groups rows) give, with a prefix
-       sum, the first global position of each group's chunk in each partition, and the
-       group size; from these, the positions each quantile needs.
-    4. Only the partitions that hold a needed position are scanned row by row (a sequential
-       running sum per partition, ``mapInPandas``, no shuffle); the covering runs give the
-       values, interpolated linearly like ``percentile`` / DuckDB ``quantile_cont``.
+    Returns ``keys`` + one double column per entry of ``probs`` + the sums over all of the group's
+    rows.  Groups without a value are absent, unless sums are asked for; then their quantiles are
+    null.  ``df`` is scanned once, and a second time for the rows of the wanted bins alone.
     """
-    out_keys = list(keys)
-    v = F.col(value) if isinstance(value, str) else value
+    out_keys, sums = list(keys), sums or {}
     keys = out_keys or ["_g"]
-    d = (df.select(*[F.col(k) for k in out_keys], v.cast("double").alias("_v"))
-           .where(F.col("_v").isNotNull() & ~F.isnan("_v")))
     if method == "approx":
         aggs = [_round(F.percentile_approx("_v", p, accuracy), digits).alias(name) for name, p in probs.items()]
+        d = _values(df, out_keys, value).where(F.col("_v").isNotNull())
         return d.groupBy(*out_keys).agg(*aggs) if out_keys else d.agg(*aggs)
     if method != "exact":
         raise ValueError(f"unknown method {method!r}")
     if not out_keys:
-        d = d.withColumn("_g", F.lit(0))
-
-    runs = d.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_cnt"))
-    n = _num_partitions(runs)
-    s = _pin(runs.repartitionByRange(n, *keys, "_v").sortWithinPartitions(*keys, "_v")
-                 .withColumn("_pid", F.spark_partition_id()))
-
-    # (partition, group) chunks: size and first global position.
-    chunks = s.groupBy("_pid", *keys).agg(F.sum("_cnt").alias("_pcnt"))
-    in_pid = Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumn("_inner", F.coalesce(F.sum("_pcnt").over(in_pid), F.lit(0)))
-    totals = chunks.groupBy("_pid").agg(F.sum("_pcnt").alias("_tot"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"))
-    pg = (join_on(chunks, offsets, ["_pid"], broadcast=True)
-          .select("_pid", *keys, "_pcnt", (F.col("_off") + F.col("_inner")).alias("_pstart")))
-    stats = pg.groupBy(*keys).agg(F.sum("_pcnt").alias("_n"), F.min("_pstart").alias("_gstart"))
-
-    targets = []
-    for name, p in probs.items():
-        rn = F.lit(float(p)) * (F.col("_n") - 1).cast("double")
-        targets.append(F.struct(F.lit(name).alias("_q"),
-                                (F.col("_gstart") + F.floor(rn)).alias("_lo"),
-                                (F.col("_gstart") + F.ceil(rn)).alias("_hi"),
-                                (rn - F.floor(rn)).alias("_frac")))
-    wanted = stats.select(*keys, F.inline(F.array(*targets)))
-    need = wanted.select(*keys, F.explode(F.array("_lo", "_hi")).alias("_t")).distinct()
-    # Each needed position lies in exactly one chunk (at most 2 x |probs| per group).
-    need_chunk = (join_on(need, pg, keys)
-                  .where((F.col("_t") >= F.col("_pstart")) & (F.col("_t") < F.col("_pstart") + F.col("_pcnt")))
-                  .select(*keys, "_t", "_pid", "_pstart"))
-    # Keep only the partitions holding a needed position: at most one row per partition, a
-    # proven bound for the broadcast, and a broadcast semi-join keeps each partition's rows
-    # in their sorted order for the sequential scan below.
-    pids = need_chunk.select("_pid").distinct()
-    hot = join_on(s, pids, ["_pid"], "left_semi", broadcast=True)
-    schema = StructType(hot.schema.fields + [StructField("_before", LongType(), False)])
-    scanned = hot.mapInPandas(_chunk_running_sum(keys, "_cnt"), schema)
-    # need_chunk grows with the number of groups, so Spark's size check picks the join.
-    cover = (join_on(scanned, need_chunk, ["_pid", *keys])
-             .withColumn("_start", F.col("_pstart") + F.col("_before"))
-             .where((F.col("_t") >= F.col("_start")) & (F.col("_t") < F.col("_start") + F.col("_cnt")))
-             .select(*keys, "_t", "_v"))
-    lo = cover.select(*keys, F.col("_t").alias("_lo"), F.col("_v").alias("_lo_v"))
-    hi = cover.select(*keys, F.col("_t").alias("_hi"), F.col("_v").alias("_hi_v"))
-    picked = (join_on(join_on(wanted, lo, [*keys, "_lo"]), hi, [*keys, "_hi"])
-              .withColumn("_qv", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo_v"))
-                          .otherwise(F.col("_lo_v") + (F.col("_hi_v") - F.col("_lo_v")) * F.col("_frac"))))
-    outs = [_round(F.max(F.when(F.col("_q") == name, F.col("_qv"))), digits).alias(name) for name in probs]
-    return picked.groupBy(*out_keys).agg(*outs) if out_keys else picked.agg(*outs)
+        df = df.withColumn("_g", F.lit(0))
+    want = _pin(wanted(fold(df, keys, value, sums), keys, probs, list(sums)))
+    opened = want.where("_lo < _hi")
+    n, most = opened.agg(F.count(F.lit(1)), F.max("_cnt")).first()
+    rows = runs(df, keys, value, opened, keys, n <= BROADCAST_ROWS) if n else None
+    if not sums:
+        want = want.where("_n > 0")
+    out = interpolated(want, pick(want, rows, keys, refine_rows, most), keys, probs, digits, list(sums))
+    if not out_keys:
+        # One row also for an empty frame, as an aggregate without keys gives.
+        out = out.agg(*[F.max(c).alias(c) for c in (*probs, *sums)])
+    return out
 
 
 def _round(c: Column, digits: int | None) -> Column:

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from .joins import join_on
 from .quantiles import quantiles
 
 
@@ -54,10 +53,9 @@ def loss_profile(df: DataFrame, min_orders: int = 50, n: int = 15) -> DataFrame:
     dollars, median loss, total orders and loss share; the ``n`` largest losses first."""
     d = df.where(F.col("CompanyName").isNotNull())
     loss = F.col("Profit") < 0
-    g = d.groupBy("CompanyName").agg(F.count_if(loss).alias("loss_orders"), M.dsum("Profit", loss).alias("l"),
-                                     F.count(F.lit(1)).alias("total_orders"))
-    med = quantiles(d.where(loss), ["CompanyName"], "Profit", {"median_loss": 0.5})
-    out = join_on(g.where((F.col("loss_orders") > 0) & (F.col("total_orders") >= min_orders)), med, ["CompanyName"], "left")
+    out = quantiles(d, ["CompanyName"], F.when(loss, F.col("Profit")), {"median_loss": 0.5},
+                    sums={"loss_orders": F.when(loss, 1).otherwise(0), "l": F.when(loss, F.col("Profit")).otherwise(M.zero()), "total_orders": F.lit(1)})
+    out = out.where((F.col("loss_orders") > 0) & (F.col("total_orders") >= min_orders))
     return (out.select(F.col("CompanyName").alias("affiliate"), "loss_orders",
                        F.col("l").cast("double").alias("loss_dollars"), "median_loss", "total_orders",
                        (F.col("loss_orders") / F.col("total_orders") * 100).alias("loss_pct"))
