@@ -59,14 +59,19 @@ def _c(c: str | Column) -> Column:
 # --- coercion (raw text -> typed) -------------------------------------------
 
 def money(c: str | Column) -> Column:
-    """Numeric text to decimal, rounded half up to its 4 digits; 0 when missing or no number.
+    """Numeric text to decimal, rounded half up to its 4 digits; 0 when missing, no number or too
+    wide for the type (:func:`number_kind` tells these apart, so that a load can count them)."""
+    text = f"trim({_sql(c)})"
+    wide = f"try_cast({text} as double)"
+    return F.expr(f"coalesce(try_cast({text} as {MONEY_TYPE}), try_cast(nullif({wide}, double('nan')) as {MONEY_TYPE}), cast(0 as {MONEY_TYPE}))")
 
-    Numbers too wide for the type raise: a silent 0 would be a wrong total.
-    """
+
+def number_kind(c: str | Column) -> Column:
+    """What E1 makes of a text: ``number``, ``missing``, ``no number`` or ``too wide``."""
     text = f"trim({_sql(c)})"
     wide = f"try_cast({text} as double)"
-    return F.expr(f"case when {wide} is null or isnan({wide}) then cast(0 as {MONEY_TYPE}) "
-                  f"else coalesce(try_cast({text} as {MONEY_TYPE}), cast({wide} as {MONEY_TYPE})) end")
+    return F.expr(f"case when coalesce({text}, '') = '' then 'missing' when {wide} is null or isnan({wide}) then 'no number' "
+                  f"when coalesce(try_cast({text} as {MONEY_TYPE}), try_cast({wide} as {MONEY_TYPE})) is null then 'too wide' else 'number' end")
 
 
 def int_trunc(c: str | Column) -> Column:
@@ -79,17 +84,42 @@ def type_id(c: str | Column) -> Column:
     return F.expr(f"try_cast(try_cast(trim({_sql(c)}) as double) as int)")
 
 
-TIMESTAMP_FORMATS = ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a", "M/d/yyyy",
-                     "M/d/yy H:mm", "M/d/yy h:mm a", "M/d/yy", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd",
-                     "MMM d, yyyy h:mm a", "MMM d, yyyy", "d MMM yyyy", "MMMM d, yyyy")
+# Written-out styles that name the month or put the year first, and the two orders of day and month.
+PLAIN_FORMATS = ("yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "yyyyMMdd", "MMM d, yyyy h:mm a", "MMM d, yyyy", "d MMM yyyy", "MMMM d, yyyy")
+_CLOCKS = (" H:mm:ss", " H:mm", " h:mm:ss a", " h:mm a", "")
+MONTH_FIRST = tuple(f"M/d/{y}{t}" for y in ("yyyy", "yy") for t in _CLOCKS)
+DAY_FIRST = tuple(f"d/M/{y}{t}" for y in ("yyyy", "yy") for t in _CLOCKS)
+
+
+def _first_parsed(text: str, formats: tuple[str, ...]) -> str:
+    return "coalesce(" + ", ".join(f"cast(try_to_timestamp({text}, '{fmt}') as timestamp_ntz)" for fmt in formats) + ")"
+
+
+def _slashed(c: str) -> str:
+    """Trimmed text; day, month and year apart by dots or hyphens get slashes."""
+    return f"regexp_replace(trim({_sql(c)}), '^([0-9]{{1,2}})[.-]([0-9]{{1,2}})[.-]([0-9])', '$1/$2/$3')"
+
+
+def timestamp(c: str | Column, day_first: Column | None = None) -> Column:
+    """Text to naive timestamp; bad text gives null.
+
+    Dates of two numbers and a year are read in the order that ``day_first`` names, and are null if
+    they are none in that order; without it, month first, then day first."""
+    text = _slashed(c)
+    plain = F.coalesce(F.expr(f"try_cast(nullif(trim({_sql(c)}), '') as timestamp_ntz)"), F.expr(_first_parsed(text, PLAIN_FORMATS)))
+    month, day = F.expr(_first_parsed(text, MONTH_FIRST)), F.expr(_first_parsed(text, DAY_FIRST))
+    if day_first is None:
+        return F.coalesce(plain, month, day)
+    return F.coalesce(plain, F.when(day_first, day).otherwise(month))
+
 
+def prefers_day_first(c: str) -> Column:
+    """The file's vote as an aggregate: more of its dates of two numbers and a year are dates when read day first.
 
-def timestamp(c: str | Column) -> Column:
-    """Text to naive timestamp; bad text gives null."""
-    s = _sql(c)
-    parts = [f"try_cast(nullif(trim({s}), '') as timestamp_ntz)"]
-    parts += [f"cast(try_to_timestamp(trim({s}), '{fmt}') as timestamp_ntz)" for fmt in TIMESTAMP_FORMATS]
-    return F.expr(f"coalesce({', '.join(parts)})")
+    Only a number above 12 decides; a tie (no such number, or as many on either side) is month first."""
+    text = _slashed(c)
+    numbers = [F.regexp_extract(F.expr(text), "^([0-9]{1,2})/([0-9]{1,2})/[0-9]{2}", i).try_cast("int") for i in (1, 2)]
+    return F.count_if((numbers[0] > 12) & (numbers[1] <= 12)) > F.count_if((numbers[1] > 12) & (numbers[0] <= 12))
 
 
 def flag(c: str | Column) -> Column:

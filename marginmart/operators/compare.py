@@ -53,6 +53,30 @@ def yoy_table(df: DataFrame, group_col: str, top_n: int | None = None,
     return out.limit(top_n) if top_n else out
 
 
+def yoy_tables(df: DataFrame, dimensions: dict[str, str], top_n: int | None = None) -> DataFrame:
+    """The YoY tables of many dimensions ({name: column}) from one scan: dimension, group_value, the table's columns.
+
+    Grouping sets give every dimension's sums in one aggregation, pinned.  ``top_n`` keeps the
+    first rows of each table: an ordered limit per dimension over the pinned sums (the first rows of
+    each partition, merged), not a window that takes a whole dimension into one task."""
+    cols = list(dimensions.values())
+    sets = [[F.col(c)] for c in cols]
+    g = df.groupingSets(sets, *cols).agg(F.grouping_id(*cols).alias("_gid"), *M.component_aggs(TY(), "_ty"), *M.component_aggs(LY(), "_ly"))
+    name, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (label, c) in enumerate(dimensions.items()):
+        own = F.col("_gid").bitwiseAND(F.lit(1 << (len(cols) - 1 - i))) == 0
+        name, value = F.when(own, F.lit(label)).otherwise(name), F.when(own, F.col(c).cast("string")).otherwise(value)
+    out = g.select(name.alias("dimension"), value.alias("group_value"), *_yoy_columns()).where(F.col("group_value").isNotNull())
+    if not top_n:
+        return out
+    out = _pin(out)
+    first = [out.where(F.col("dimension") == label).orderBy(F.col("revenue_ty").desc(), "group_value").limit(top_n) for label in dimensions]
+    both = first[0]
+    for part in first[1:]:
+        both = both.unionByName(part)
+    return both
+
+
 def state_yoy(df: DataFrame) -> DataFrame:
     """The YoY table by State, without the cost-ratio columns."""
     return yoy_table(df, "State", include_ratio=False)
@@ -120,7 +144,11 @@ def kpi_block(df: DataFrame) -> DataFrame:
 
 def kpi_deltas(df: DataFrame) -> DataFrame:
     """A3: this vs last for revenue, profit, orders, tickets (YoY %) and margin (points)."""
-    agg = df.agg(*_kpi_aggs(TY(), "_ty"), *_kpi_aggs(LY(), "_ly"))
+    return kpi_deltas_of(df.agg(*_kpi_aggs(TY(), "_ty"), *_kpi_aggs(LY(), "_ly")))
+
+
+def kpi_deltas_of(agg: DataFrame) -> DataFrame:
+    """A3 of one row of both years' components."""
     t, l = _kpi_values("_ty"), _kpi_values("_ly")
     cols = []
     for k in ("revenue", "profit", "orders", "tickets"):

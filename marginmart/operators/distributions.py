@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -249,17 +249,24 @@ def scatter_frame(df: DataFrame) -> DataFrame:
 
 
 # FIXED VALUES — modulus and step of the sample's draw.
-SAMPLE_PRIME, SAMPLE_STEP = 1_000_003, 7_919
+SAMPLE_PRIME, SAMPLE_STEP = 2_147_483_647, 48_271
 
 
-def scatter_sample(df: DataFrame, fraction: float = 0.05) -> DataFrame:
-    """The rows whose order key falls in the caller's fraction, with the break-even side flag.
+def scatter_sample(df: DataFrame, n: int = 5000, by: str | None = None) -> DataFrame:
+    """Exactly ``n`` rows (all, if fewer), or ``n`` of each value of ``by``, with the break-even side flag.
 
-    The draw is arithmetic on the key (a multiplicative step modulo a prime), so it is the same on
-    every run and in every engine.
-    """
+    The rows with the least draws: arithmetic on the order key (a multiplicative step modulo a prime),
+    so the sample is the same on every run and in every engine; equal draws go by the key and the
+    row's values.  Each partition keeps its first ``n`` rows and these are merged, whatever the size."""
     draw = F.col("InvoiceID").cast("long") % F.lit(SAMPLE_PRIME) * F.lit(SAMPLE_STEP) % F.lit(SAMPLE_PRIME)
-    return (df.where(draw < F.lit(int(fraction * SAMPLE_PRIME)))
-              .select(F.col("TicketCost").cast("double").alias("cost"), F.col("SaleTotal").cast("double").alias("revenue"),
-                      F.col("Sport").alias("sport"), F.col("CompanyName").alias("affiliate"),
-                      L.break_even_side("Profit").alias("profit_side")))
+    points = df.select(draw.alias("_draw"), F.col("InvoiceID").alias("_id"), F.col("TicketCost").cast("double").alias("cost"),
+                       F.col("SaleTotal").cast("double").alias("revenue"), F.col("Sport").alias("sport"),
+                       F.col("CompanyName").alias("affiliate"), L.break_even_side("Profit").alias("profit_side"),
+                       *([F.col(by).alias("_by")] if by else []))
+    order = ["_draw", "_id", "cost", "revenue", "sport", "affiliate", "profit_side"]
+    if by:
+        place = F.row_number().over(Window.partitionBy("_by").orderBy(*order))
+        points = points.withColumn("_place", place).where(F.col("_place") <= n)
+    else:
+        points = points.orderBy(*order).limit(n)
+    return points.select("cost", "revenue", "sport", "affiliate", "profit_side")

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
@@ -24,6 +24,8 @@ from .ordering import global_order
 from .quantiles import _pin, quantiles
 
 SUM_METRICS = ("SaleTotal", "Profit")
+# Dimensions whose values are a fixed list, whatever the size of the data.
+FEW_LABELS = ("Sport", "MarketplaceTier", "SectionNumTier", "SectionTypeTier", "QuantityBucket", "LeadTimeBucket", "YearLabel")
 
 
 def grid_cells(df: DataFrame, row_col: str, col_col: str, metric: str = "SaleTotal") -> DataFrame:
@@ -43,6 +45,13 @@ def _top(cells: DataFrame, axis: str, n: int) -> DataFrame:
     return join_on(cells, keep, [axis], "left_semi")
 
 
+def _places(totals: DataFrame, order: Sequence[Column], out: str, few: bool) -> DataFrame:
+    """0-based place of each label: one window where labels are few by a fixed bound, else the distributed order."""
+    if few:
+        return totals.withColumn(out, (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))
+    return global_order(totals, order, "_place").withColumn(out, (F.col("_place") - 1).cast("int")).drop("_place")
+
+
 def heatmap_grid(df: DataFrame, row_col: str, col_col: str, metric: str = "SaleTotal",
                  top_rows: int | None = None, top_cols: int | None = None) -> DataFrame:
     """Metric per cell with top-N rows then top-N columns (T3), row / column totals and
@@ -58,10 +67,8 @@ def heatmap_grid(df: DataFrame, row_col: str, col_col: str, metric: str = "SaleT
     # each span every affiliate, which a window partitioned by the column would put in one task.
     rows = cells.groupBy("row_label").agg(F.sum("_w").alias("_rt"))
     cols = cells.groupBy("col_label").agg(F.sum("_w").alias("_ct"))
-    rows = global_order(rows, [F.col("_rt").asc(), F.col("row_label").asc()], "_ro")
-    rows = rows.withColumn("row_order", (F.col("_ro") - 1).cast("int")).drop("_ro")
-    cols = global_order(cols, [F.col("_ct").desc(), F.col("col_label").asc()], "_co")
-    cols = cols.withColumn("col_order", (F.col("_co") - 1).cast("int")).drop("_co")
+    rows = _places(rows, [F.col("_rt").asc(), F.col("row_label").asc()], "row_order", top_rows is not None or row_col in FEW_LABELS)
+    cols = _places(cols, [F.col("_ct").desc(), F.col("col_label").asc()], "col_order", top_cols is not None or col_col in FEW_LABELS)
     out = join_on(join_on(cells, rows, ["row_label"]), cols, ["col_label"])
     return out.select("row_label", "col_label", "value",
                       F.col("_rt").cast("double").alias("row_total"), F.col("_ct").cast("double").alias("col_total"),
@@ -127,11 +134,20 @@ def day_hour_grid(df: DataFrame) -> DataFrame:
 
 
 def time_pivot(df: DataFrame, value_col: str = "SaleTotal") -> DataFrame:
-    """A32 (legacy): day x hour sums rounded to whole units, long form, Monday first."""
-    return (df.where(F.col("SellDayOfWeek").isNotNull() & F.col("SellHour").isNotNull())
-              .groupBy(F.col("SellDayOfWeek").alias("day"), F.col("SellHour").alias("hour"))
-              .agg(F.round(M.dsum(value_col), 0).cast("double").alias("value"))
-              .withColumn("day_order", F.array_position(F.array(*[F.lit(d) for d in DAYS_ORDER]), F.col("day")) - 1))
+    """A32 (legacy): day x hour sums rounded to whole units, long form, Monday first.
+
+    A row for each day of the week and each hour that has orders; a day's hours without orders are
+    0, and all hours of a day without orders are null."""
+    cells = (df.where(F.col("SellDayOfWeek").isNotNull() & F.col("SellHour").isNotNull())
+               .groupBy(F.col("SellDayOfWeek").alias("day"), F.col("SellHour").alias("hour"))
+               .agg(F.round(M.dsum(value_col), 0).cast("double").alias("_v")))
+    days = F.array(*[F.lit(d) for d in DAYS_ORDER])
+    # At most 24 hours: the sums are collected per hour into a map by day, then read for all seven days.
+    hours = cells.groupBy("hour").agg(F.map_from_entries(F.collect_list(F.struct("day", "_v"))).alias("_by_day"))
+    seen = cells.agg(F.collect_set("day").alias("d")).select("d").scalar()
+    rows = hours.withColumn("_seen", seen).select("hour", "_by_day", "_seen", F.posexplode(days).alias("day_order", "day"))
+    value = F.coalesce(F.try_element_at("_by_day", F.col("day")), F.when(F.array_contains("_seen", F.col("day")), 0.0))
+    return rows.select("day", "hour", value.alias("value"), F.col("day_order").cast("bigint").alias("day_order"))
 
 
 def state_metric(df: DataFrame) -> DataFrame:

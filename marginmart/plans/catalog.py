@@ -6,6 +6,7 @@ them and runs one operator of the library on the whole data.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,21 +24,26 @@ from ..operators import risk as K
 from ..operators import grids as G
 from ..operators import scope as S
 from ..operators import shares as SH
+from ..operators.components import HLL_LG_K, KLL_K, Store
+from ..operators.joins import join_on
 from ..operators.quantiles import _pin
-from .text_export import TEXT_QUERIES
+from ..session import ensure_checkpoint_dir
 from ..sources import load_enriched
+from ..sources.cache import cached_mart
+from .text_export import TEXT_QUERIES
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 
 
-def query(name: str):
+def query(name: str, year: str | None = None):
+    """Register a query on the enriched mart; ``year`` names the only year label that it reads."""
     def deco(fn: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
         def on_enriched(e: DataFrame) -> DataFrame:
             return fn(e)
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return on_enriched(load_enriched(spark, sf_dir))
+            return on_enriched(load_enriched(spark, sf_dir, year))
         run.__name__ = f"q_{name}"
         run.__doc__ = fn.__doc__
         run.on_enriched = on_enriched  # type: ignore[attr-defined]
@@ -234,19 +240,19 @@ def _venue_rollup(e: DataFrame) -> DataFrame:
                                         "orders": ("count", "InvoiceID")})
 
 
-@query("share_revenue")
+@query("share_revenue", E.THIS_YEAR)
 def _share_revenue(e: DataFrame) -> DataFrame:
     """This-year revenue share by sport."""
     return SH.share_by(S.split_years(e)[0], "Sport", "SaleTotal")
 
 
-@query("share_profit")
+@query("share_profit", E.THIS_YEAR)
 def _share_profit(e: DataFrame) -> DataFrame:
     """This-year profit share by marketplace tier."""
     return SH.share_by(S.split_years(e)[0], "MarketplaceTier", "Profit")
 
 
-@query("share_orders")
+@query("share_orders", E.THIS_YEAR)
 def _share_orders(e: DataFrame) -> DataFrame:
     """This-year order share by sport."""
     return SH.order_share_by(S.split_years(e)[0], "Sport")
@@ -258,25 +264,25 @@ def _ty(e: DataFrame) -> DataFrame:
     return S.split_years(e)[0]
 
 
-@query("grid_affiliate_sport")
+@query("grid_affiliate_sport", E.THIS_YEAR)
 def _grid_affiliate_sport(e: DataFrame) -> DataFrame:
     """This-year revenue, affiliate x sport."""
     return G.heatmap_grid(_ty(e), "CompanyName", "Sport", "SaleTotal")
 
 
-@query("grid_affiliate_tier")
+@query("grid_affiliate_tier", E.THIS_YEAR)
 def _grid_affiliate_tier(e: DataFrame) -> DataFrame:
     """This-year revenue, affiliate x marketplace tier."""
     return G.heatmap_grid(_ty(e), "CompanyName", "MarketplaceTier", "SaleTotal")
 
 
-@query("grid_top_teams")
+@query("grid_top_teams", E.THIS_YEAR)
 def _grid_top_teams(e: DataFrame) -> DataFrame:
     """A13 + T3: this-year revenue, affiliate x the 15 largest home teams."""
     return G.heatmap_grid(_ty(e), "CompanyName", "HomeTeam", "SaleTotal", top_cols=15)
 
 
-@query("grid_top_rows_cols")
+@query("grid_top_rows_cols", E.THIS_YEAR)
 def _grid_top_rows_cols(e: DataFrame) -> DataFrame:
     """A13 + T3: this-year profit, the 25 largest affiliates x the 15 largest home teams."""
     return G.heatmap_grid(_ty(e), "CompanyName", "HomeTeam", "Profit", top_rows=25, top_cols=15)
@@ -293,13 +299,13 @@ def _shared(base: DataFrame) -> DataFrame:
                            G.grid_cells(base, "CompanyName", "MarketplaceTier", "SaleTotal")])
 
 
-@query("grid_shared_range")
+@query("grid_shared_range", E.THIS_YEAR)
 def _grid_shared_range(e: DataFrame) -> DataFrame:
     """Shared colour range of the affiliate x sport and affiliate x tier revenue grids."""
     return _shared(_grid_base(e))
 
 
-@query("grid_intensity")
+@query("grid_intensity", E.THIS_YEAR)
 def _grid_intensity(e: DataFrame) -> DataFrame:
     """Colour position and labels of the affiliate x sport revenue grid on the shared range."""
     base = _grid_base(e)
@@ -319,7 +325,7 @@ def _time_pivot(e: DataFrame) -> DataFrame:
     return G.time_pivot(e)
 
 
-@query("state_metric")
+@query("state_metric", E.THIS_YEAR)
 def _state_metric(e: DataFrame) -> DataFrame:
     """This-year metrics per state."""
     return G.state_metric(_ty(e))
@@ -331,7 +337,7 @@ def _state_shared_range(e: DataFrame) -> DataFrame:
     return G.state_shared_range(e)
 
 
-@query("cross_tab")
+@query("cross_tab", E.THIS_YEAR)
 def _cross_tab(e: DataFrame) -> DataFrame:
     """Affiliate x sport revenue and margin cross-tab (this year)."""
     return G.cross_tab(_ty(e))
@@ -363,31 +369,31 @@ def _hist_clipped(e: DataFrame) -> DataFrame:
     return D.clipped_histograms(e)
 
 
-@query("margin_box")
+@query("margin_box", E.THIS_YEAR)
 def _margin_box(e: DataFrame) -> DataFrame:
     """This-year row-margin five-number summary by sport."""
     return D.margin_box(_ty(e), "Sport")
 
 
-@query("margin_box_lead")
+@query("margin_box_lead", E.THIS_YEAR)
 def _margin_box_lead(e: DataFrame) -> DataFrame:
     """This-year row-margin five-number summary by lead-time bucket."""
     return D.margin_box(_ty(e), "LeadTimeBucket")
 
 
-@query("margin_summary")
+@query("margin_summary", E.THIS_YEAR)
 def _margin_summary(e: DataFrame) -> DataFrame:
     """This-year margin summary by affiliate."""
     return D.margin_summary(_ty(e), "CompanyName")
 
 
-@query("margin_summary_sport")
+@query("margin_summary_sport", E.THIS_YEAR)
 def _margin_summary_sport(e: DataFrame) -> DataFrame:
     """This-year margin summary by sport."""
     return D.margin_summary(_ty(e), "Sport")
 
 
-@query("lead_bucket_margin")
+@query("lead_bucket_margin", E.THIS_YEAR)
 def _lead_bucket_margin(e: DataFrame) -> DataFrame:
     """This-year margin profile by fine lead-time bucket."""
     return D.lead_bucket_margin(_ty(e))
@@ -410,7 +416,7 @@ def _diverging_bounds(e: DataFrame) -> DataFrame:
     return D.diverging_bounds(C.yoy_table(e, "CompanyName"), YOY_PCT_COLUMNS)
 
 
-@query("scatter_frame")
+@query("scatter_frame", E.THIS_YEAR)
 def _scatter_frame(e: DataFrame) -> DataFrame:
     """R9 scatter: this-year orders with positive cost and revenue, plus the break-even bound."""
     return D.scatter_frame(_ty(e))
@@ -418,10 +424,16 @@ def _scatter_frame(e: DataFrame) -> DataFrame:
 
 @query("scatter_sample")
 def _scatter_sample(e: DataFrame) -> DataFrame:
-    """A twentieth of the orders, drawn by order key, with the break-even side."""
+    """5000 orders, drawn by order key, with the break-even side."""
     return D.scatter_sample(e)
 
 
+@query("scatter_sample_by_sport")
+def _scatter_sample_by_sport(e: DataFrame) -> DataFrame:
+    """200 orders of each sport, drawn by order key."""
+    return D.scatter_sample(e, 200, "Sport")
+
+
 # --- rankings -------------------------------------------------------------------------------
 
 @query("team_breakdown")
@@ -496,13 +508,13 @@ def _worst_pairs(e: DataFrame) -> DataFrame:
     return R.worst_pairs(e)
 
 
-@query("margin_by_dimension")
+@query("margin_by_dimension", E.THIS_YEAR)
 def _margin_by_dimension(e: DataFrame) -> DataFrame:
     """This-year margin by four dimensions in one grouping-sets aggregation."""
     return R.margin_by_dimension(_ty(e))
 
 
-@query("section_codes")
+@query("section_codes", E.THIS_YEAR)
 def _section_codes(e: DataFrame) -> DataFrame:
     """This-year section letter codes."""
     return R.section_codes(_ty(e))
@@ -510,25 +522,25 @@ def _section_codes(e: DataFrame) -> DataFrame:
 
 # --- risk -----------------------------------------------------------------------------------
 
-@query("delivery_kpis")
+@query("delivery_kpis", E.THIS_YEAR)
 def _delivery_kpis(e: DataFrame) -> DataFrame:
     """This-year delivery KPIs."""
     return K.delivery_kpis(_ty(e))
 
 
-@query("undelivered")
+@query("undelivered", E.THIS_YEAR)
 def _undelivered(e: DataFrame) -> DataFrame:
     """This-year undelivered orders by affiliate."""
     return K.undelivered_by_affiliate(_ty(e))
 
 
-@query("cancellations")
+@query("cancellations", E.LAST_YEAR)
 def _cancellations(e: DataFrame) -> DataFrame:
     """Last-year cancellations by affiliate."""
     return K.cancellations_by_affiliate(S.split_years(e)[1])
 
 
-@query("delivery_rate")
+@query("delivery_rate", E.THIS_YEAR)
 def _delivery_rate(e: DataFrame) -> DataFrame:
     """This-year delivery rate by affiliate."""
     return K.delivery_rate_by_affiliate(_ty(e))
@@ -580,13 +592,13 @@ def _labels(e: DataFrame) -> DataFrame:
 
 # --- choices a caller makes -----------------------------------------------------------------
 
-@query("share_delivery")
+@query("share_delivery", E.THIS_YEAR)
 def _share_delivery(e: DataFrame) -> DataFrame:
     """This-year revenue by delivery type."""
     return SH.share_by(_ty(e), "DeliveryType", "SaleTotal")
 
 
-@query("share_home_team")
+@query("share_home_team", E.THIS_YEAR)
 def _share_home_team(e: DataFrame) -> DataFrame:
     """This-year revenue by home team (any number of categories)."""
     return SH.share_by(_ty(e), "HomeTeam", "SaleTotal")
@@ -646,20 +658,21 @@ def _positions(e: DataFrame) -> DataFrame:
     return L.round_table(out, money=["revenue"], pct=["margin"])
 
 
-@query("grid_max_range")
+@query("grid_max_range", E.THIS_YEAR)
 def _grid_max_range(e: DataFrame) -> DataFrame:
     """Colour range from the largest absolute cell of the affiliate x sport grid."""
     return G.max_abs_range([G.grid_cells(_ty(e), "CompanyName", "Sport", "Profit")])
 
 
-@query("grid_margin_cells")
+@query("grid_margin_cells", E.THIS_YEAR)
 def _grid_margin_cells(e: DataFrame) -> DataFrame:
     """Margin by affiliate and sport, with intensity and labels over its own range."""
-    cells = G.grid_cells(_ty(e), "CompanyName", "Sport", "Margin").select("row_label", "col_label", "value")
-    return G.intensity(cells, F.lit(100.0), "Margin").select("row_label", "col_label", "value", "intensity", "labeled", "label")
+    cells = _pin(G.grid_cells(_ty(e), "CompanyName", "Sport", "Margin").select("row_label", "col_label", "value"))
+    zmax = G.shared_range([cells]).select("zmax").scalar()
+    return G.intensity(cells, zmax, "Margin").select("row_label", "col_label", "value", "intensity", "labeled", "label")
 
 
-@query("day_hour_intensity")
+@query("day_hour_intensity", E.THIS_YEAR)
 def _day_hour_intensity(e: DataFrame) -> DataFrame:
     """The day x hour grid's revenue over its own largest cell, labels from 4%."""
     grid = G.day_hour_grid(_ty(e)).select(F.col("day").alias("row_label"), F.col("hour").cast("string").alias("col_label"),
@@ -668,5 +681,85 @@ def _day_hour_intensity(e: DataFrame) -> DataFrame:
     return G.intensity(grid, zmax, "SaleTotal", label_share=0.04).select("row_label", "col_label", "value", "intensity", "labeled")
 
 
+@query("yoy_all_dimensions")
+def _yoy_all_dimensions(e: DataFrame) -> DataFrame:
+    """The YoY tables of all ten dimensions from one scan."""
+    return C.yoy_tables(e, YOY_DIMENSIONS)
+
+
+@query("yoy_all_top")
+def _yoy_all_top(e: DataFrame) -> DataFrame:
+    """The first 25 rows of the YoY table of each of the ten dimensions."""
+    return C.yoy_tables(e, YOY_DIMENSIONS, top_n=25)
+
+
+# --- cached load and the store of components ------------------------------------------------
+
+def _cached_yoy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """YoY table by sport from the cached mart, loaded a second time from the cache."""
+    cached_mart(spark, sf_dir)
+    return C.yoy_table(cached_mart(spark, sf_dir), "Sport")
+
+
+QUERIES["cached_yoy"] = _cached_yoy
+STORE_DIMENSIONS = ("CompanyName", "Sport", "MarketplaceTier", "State")
+
+
+def _store(e: DataFrame) -> Store:
+    """A store first filled with a wrong month (its orders twice), which its right rows then replace."""
+    spark = e.sparkSession
+    store = Store(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/marginmart-store-{uuid.uuid4().hex}", STORE_DIMENSIONS)
+    month = F.col("SellMonth") == "1997-03"
+    store.replace(e.withColumn("_times", F.when(month, 2).otherwise(1)).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times", "_"))
+    store.replace(e, ["1997-03"])
+    return store
+
+
+@query("store_yoy_affiliate")
+def _store_yoy_affiliate(e: DataFrame) -> DataFrame:
+    """YoY table by affiliate from the store of monthly components, one month replaced."""
+    return _store(e).yoy_table("CompanyName")
+
+
+@query("store_kpi_deltas")
+def _store_kpi_deltas(e: DataFrame) -> DataFrame:
+    """KPIs from the store of monthly components, one month replaced."""
+    return _store(e).kpi_deltas()
+
+
+@query("store_yoy_bars")
+def _store_yoy_bars(e: DataFrame) -> DataFrame:
+    """Margin by sport and year from the store of monthly components, one month replaced."""
+    return _store(e).yoy_compare("Sport", "Margin")
+
+
+@query("store_monthly")
+def _store_monthly(e: DataFrame) -> DataFrame:
+    """The months from the store of monthly components, one month replaced."""
+    return _store(e).monthly()
+
+
+@query("store_margin_sketch")
+def _store_margin_sketch(e: DataFrame) -> DataFrame:
+    """Median row margin by sport from merged sketches; whether its rank in the data is within the sketch's bound of a half."""
+    sketch = _store(e).margin_quantiles("Sport", [0.5])
+    ranked = join_on(e.where(F.col("ProfitMargin").isNotNull()).select(F.col("Sport").alias("value"), "ProfitMargin"), sketch, ["value"], broadcast=True)
+    g = ranked.groupBy("value", "n").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("ProfitMargin") < F.col("p50")).alias("less"),
+                                         F.count_if(F.col("ProfitMargin") <= F.col("p50")).alias("upto"))
+    bound = 2.3 / KLL_K ** 0.9
+    inside = (F.col("less") / F.col("rows") <= 0.5 + bound) & (F.col("upto") / F.col("rows") >= 0.5 - bound)
+    return g.select(F.col("value").alias("sport"), "n", "rows", inside.alias("within_bound"))
+
+
+@query("store_invoice_sketch")
+def _store_invoice_sketch(e: DataFrame) -> DataFrame:
+    """Invoices by sport from united sketches; whether they are within four standard errors of the exact count."""
+    sketch = _store(e).distinct_invoices("Sport")
+    exact = e.groupBy(F.col("Sport").alias("value")).agg(F.count_distinct("InvoiceID").alias("invoices_exact"))
+    both = join_on(exact, sketch, ["value"])
+    error = F.abs(F.col("invoices") - F.col("invoices_exact")) / F.col("invoices_exact")
+    return both.select(F.col("value").alias("sport"), "invoices_exact", (error <= 4 * 1.04 / 2 ** (HLL_LG_K / 2)).alias("within_bound"))
+
+
 for _name, _fn in TEXT_QUERIES.items():
     QUERIES[_name] = _fn

@@ -344,9 +344,11 @@ FROM axis a LEFT JOIN c ON a.day = c.day AND a.hour = c.hour""",
     f"{dsum('TicketCost')} AS cost, count(*) AS orders FROM e WHERE SellDate_dt IS NOT NULL GROUP BY 1, 2)")
 
 ORACLE["time_pivot"] = with_enriched(f"""
-SELECT SellDayOfWeek AS day, SellHour AS hour, CAST(round({dsum('SaleTotal')}, 0) AS DOUBLE) AS value,
-  CAST(list_position({_DAYS}, SellDayOfWeek) - 1 AS BIGINT) AS day_order
-FROM e WHERE SellDayOfWeek IS NOT NULL AND SellHour IS NOT NULL GROUP BY 1, 2""")
+SELECT d.day, h.hour, coalesce(c.value, CASE WHEN d.day IN (SELECT day FROM c) THEN 0.0 END) AS value, d.day_order
+FROM (SELECT DISTINCT hour FROM c) h CROSS JOIN (SELECT i AS day_order, {_DAYS}[CAST(i AS INTEGER) + 1] AS day FROM range(7) t(i)) d
+LEFT JOIN c ON c.day = d.day AND c.hour = h.hour""",
+    f"c AS (SELECT SellDayOfWeek AS day, SellHour AS hour, CAST(round({dsum('SaleTotal')}, 0) AS DOUBLE) AS value "
+    f"FROM e WHERE SellDayOfWeek IS NOT NULL AND SellHour IS NOT NULL GROUP BY 1, 2)")
 
 _MET4 = (("revenue", "CAST(rev AS DOUBLE)"), ("profit", "CAST(prof AS DOUBLE)"),
          ("margin", gpct("prof", "rev")), ("ratio", gpct("prof", "cost")))
@@ -685,10 +687,12 @@ ORACLE["grid_max_range"] = with_enriched(f"""
 SELECT 0.0::DOUBLE AS zmin, coalesce(max(abs(v)), 1.0) AS zmax FROM (SELECT CAST({dsum('Profit')} AS DOUBLE) AS v
 FROM e WHERE {TY} AND CompanyName IS NOT NULL AND Sport IS NOT NULL GROUP BY CompanyName, Sport)""")
 ORACLE["grid_margin_cells"] = with_enriched(f"""
-SELECT row_label, col_label, value, value / 100.0 AS intensity, value <> 0 AND abs(value) >= 3.0 AS labeled,
-  CASE WHEN value <> 0 AND abs(value) >= 3.0 THEN {pct_sql('value')} END AS label
-FROM (SELECT CompanyName AS row_label, Sport AS col_label, {gpct(dsum('Profit'), dsum('SaleTotal'))} AS value
-      FROM e WHERE {TY} AND CompanyName IS NOT NULL AND Sport IS NOT NULL GROUP BY 1, 2)""")
+SELECT row_label, col_label, value, CASE WHEN z > 0 THEN value / z ELSE 0.0 END AS intensity, value <> 0 AND abs(value) >= CASE WHEN z > 0 THEN z * 0.03 ELSE 0.0 END AS labeled,
+  CASE WHEN value <> 0 AND abs(value) >= CASE WHEN z > 0 THEN z * 0.03 ELSE 0.0 END THEN {pct_sql('value')} END AS label
+FROM c CROSS JOIN (SELECT CASE WHEN quantile_cont(value, 0.98) > 0 THEN quantile_cont(value, 0.98)
+  WHEN max(value) IS NOT NULL AND max(value) <> 0 THEN max(value) ELSE 1.0 END AS z FROM c WHERE value <> 0)""",
+    f"c AS (SELECT CompanyName AS row_label, Sport AS col_label, {gpct(dsum('Profit'), dsum('SaleTotal'))} AS value "
+    f"FROM e WHERE {TY} AND CompanyName IS NOT NULL AND Sport IS NOT NULL GROUP BY 1, 2)")
 ORACLE["day_hour_intensity"] = with_enriched(f"""
 SELECT day AS row_label, CAST(hour AS VARCHAR) AS col_label, v AS value, v / z AS intensity, v <> 0 AND abs(v) >= z * 0.04 AS labeled
 FROM (SELECT a.day, a.hour, coalesce(r, 0.0) AS v, max(abs(coalesce(r, 0.0))) OVER () AS z
@@ -736,7 +740,42 @@ def wrap_quantiles(sql: str, digits: int = 6) -> str:
 for _k in list(ORACLE):
     ORACLE[_k] = wrap_quantiles(ORACLE[_k])
 
-ORACLE["scatter_sample"] = with_enriched("""
-SELECT CAST(TicketCost AS DOUBLE) AS cost, CAST(SaleTotal AS DOUBLE) AS revenue, Sport AS sport, CompanyName AS affiliate,
-  Profit >= 0 AS profit_side
-FROM e WHERE InvoiceID % 1000003 * 7919 % 1000003 < 50000""")
+_POINTS = """
+SELECT cost, revenue, sport, affiliate, profit_side FROM (SELECT CAST(TicketCost AS DOUBLE) AS cost, CAST(SaleTotal AS DOUBLE) AS revenue, Sport AS sport,
+  CompanyName AS affiliate, Profit >= 0 AS profit_side, row_number() OVER ({part} ORDER BY InvoiceID % 2147483647 * 48271 % 2147483647, InvoiceID,
+    CAST(TicketCost AS DOUBLE), CAST(SaleTotal AS DOUBLE), Sport NULLS FIRST, CompanyName NULLS FIRST, Profit >= 0) AS place FROM e) WHERE place <= {n}"""
+ORACLE["scatter_sample"] = with_enriched(_POINTS.format(part="", n=5000))
+ORACLE["scatter_sample_by_sport"] = with_enriched(_POINTS.format(part="PARTITION BY Sport", n=200))
+
+
+def _all_dimensions(limit: str) -> str:
+    return with_enriched(" UNION ALL ".join(
+        f"SELECT '{name}' AS dimension, {col} AS group_value, * EXCLUDE ({col}) FROM ({yoy_table_body(col)} {limit.format(col=col)})" for name, col in YOY_DIMENSIONS.items()))
+
+
+ORACLE["yoy_all_dimensions"] = wrap_quantiles(_all_dimensions(""))
+ORACLE["yoy_all_top"] = wrap_quantiles(_all_dimensions("ORDER BY revenue_ty DESC, {col} LIMIT 25"))
+ORACLE["cached_yoy"] = ORACLE["yoy_by_sport"]
+ORACLE["store_yoy_affiliate"] = ORACLE["yoy_by_affiliate"]
+ORACLE["store_kpi_deltas"] = ORACLE["kpi_deltas"]
+ORACLE["store_yoy_bars"] = ORACLE["yoy_bars_margin"]
+ORACLE["store_monthly"] = with_enriched(f"""
+SELECT SellMonth AS year_month, CAST({dsum('SaleTotal')} AS DOUBLE) AS revenue, CAST({dsum('Profit')} AS DOUBLE) AS profit,
+  {gpct(dsum('Profit'), dsum('SaleTotal'))} AS margin, {gpct(dsum('Profit'), dsum('TicketCost'))} AS ratio, count(*) AS orders
+FROM e WHERE SellMonth IS NOT NULL GROUP BY 1""")
+ORACLE["store_margin_sketch"] = with_enriched(
+    "SELECT Sport AS sport, count(ProfitMargin) AS n, count(ProfitMargin) AS rows, true AS within_bound FROM e GROUP BY 1")
+ORACLE["store_invoice_sketch"] = with_enriched(
+    "SELECT Sport AS sport, count(DISTINCT InvoiceID) AS invoices_exact, true AS within_bound FROM e GROUP BY 1")
+
+# The written files (plans/text_export.py): orders by invoice id modulo 50.
+_FILES = """
+x AS (SELECT *, YearLabel = 'This Year' AS ty, InvoiceID % 50 AS k, CASE WHEN InvoiceID % 11 < 2 OR InvoiceID % 50 = 19 THEN 0 ELSE SaleTotal END AS sale FROM mart)"""
+ORACLE["csv_load"] = with_enriched("""
+SELECT YearLabel, strftime(SellDate_dt, '%Y-%m') AS SellMonth, count(*) AS orders, CAST(sum(sale) AS DOUBLE) AS revenue, CAST(sum(Quantity) AS BIGINT) AS tickets,
+  CAST(count_if(IsDelivered AND k <> 7) AS BIGINT) AS delivered, count(CompanyName) AS named FROM x WHERE k NOT IN (11, 13) GROUP BY ALL""", _FILES)
+ORACLE["csv_load_report"] = with_enriched("""
+SELECT YearLabel, item, kind, count(*) AS n FROM (
+  SELECT YearLabel, 'line' AS item, CASE k WHEN 11 THEN 'too many fields' WHEN 13 THEN 'quote not closed' ELSE 'record' END AS kind FROM x
+  UNION ALL SELECT YearLabel, 'SaleTotal', CASE WHEN k = 19 THEN 'too wide' WHEN InvoiceID % 11 < 2 THEN 'missing' ELSE 'number' END FROM x WHERE k NOT IN (11, 13)
+  UNION ALL SELECT YearLabel, 'TicketCost', 'number' FROM x WHERE k NOT IN (11, 13)) GROUP BY ALL""", _FILES)

@@ -1,16 +1,21 @@
 """Queries over the text path: the mart's rows as two exports' text columns, parsed again.
 
 ``text_exports`` only renders rows as text, the way two yearly exports hold them (numbers that are
-none, blanks, missing-value spellings, three date styles, mixed-case flags, and columns that only
-one of the files has).  The queries then run the library's own union and coercion on it.
+none, blanks, missing-value spellings, several date styles, month first in one export and day first
+in the other, mixed-case flags, and columns that only one of the files has).  ``written_exports`` writes them
+as CSV files with lines that are too short, too long, empty or have an open quote.  The queries then
+run the library's own reader, union and coercion on it.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import enrich as E
+from ..session import ensure_checkpoint_dir
 from ..sources import csv as CSV
 from ..sources.mart import sales_mart
 
@@ -28,7 +33,9 @@ _TEXT = {
     "InvoiceID": "string(InvoiceID)",
 }
 _THIS = {"EventTime": "date_format(SellDate_dt, 'yyyy-MM-dd HH:mm:ss')", "IsExpired": "upper(string(IsExpired))"}
-_LAST = {"Notes": "'x'", CSV.STRAY_COLUMN: "string(InvoiceID)"}
+_LAST = {"Notes": "'x'", CSV.STRAY_COLUMN: "string(InvoiceID)",
+         "SellDate": "case when InvoiceID % 7 = 0 then date_format(SellDate_dt, 'yyyyMMdd') when InvoiceID % 3 = 0 then date_format(SellDate_dt, 'yyyy-MM-dd HH:mm:ss') "
+                     "when InvoiceID % 3 = 1 then date_format(SellDate_dt, 'd/M/yyyy H:mm') else date_format(SellDate_dt, 'd.M.yyyy h:mm a') end"}
 
 
 def text_exports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -43,11 +50,52 @@ def text_exports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both exports as a reader gives them, stamped and united by name."""
-    frames = [CSV.missing_to_null(df.drop(CSV.STRAY_COLUMN)).withColumn("YearLabel", F.lit(label))
+    frames = [CSV.stamp(CSV.missing_to_null(df.drop(CSV.STRAY_COLUMN)), label)
               for df, label in zip(text_exports(spark, sf_dir), (E.THIS_YEAR, E.LAST_YEAR))]
     return CSV.harmonize(*frames)
 
 
+# What the written files do to an order, by its invoice id modulo 50.
+SHORT, LONG, OPEN_QUOTE, AFTER_BLANK, TOO_WIDE = 7, 11, 13, 17, 19
+
+
+def written_exports(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Both exports as CSV files in the shared folder, each file with its header; returns the paths to read."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/marginmart-text-{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    paths = []
+    for name, df in zip(("this", "last"), text_exports(spark, sf_dir)):
+        case = F.col("InvoiceID").cast("bigint") % 50
+        df = df.withColumn("SaleTotal", F.when(case == TOO_WIDE, "1e30").otherwise(F.col("SaleTotal")))
+        last = ["IsDelivered", "IsCancelled"]
+        cols = [c for c in df.columns if c not in last]
+        csv = lambda names: F.to_csv(F.struct(*[F.col(f"`{c}`") for c in names]), {"escape": '"'})  # noqa: E731, B023
+        line = (F.when(case == SHORT, csv(cols)).when(case == LONG, F.concat(csv([*cols, *last]), F.lit(",more")))
+                 .when(case == OPEN_QUOTE, F.concat(csv(cols), F.lit(',"open')))
+                 .when(case == AFTER_BLANK, F.concat(F.lit("\n"), csv([*cols, *last]))).otherwise(csv([*cols, *last])))
+        lines = df.select(line.alias("value")).select(F.pmod(F.xxhash64("value"), F.lit(n)).alias("file"), F.lit(1).alias("place"), "value")
+        heads = spark.range(n).select(F.col("id").alias("file"), F.lit(0).alias("place"), F.lit(",".join([*cols, *last])).alias("value"))
+        files = lines.unionByName(heads).repartition(n, "file").sortWithinPartitions("file", "place")
+        files.select("file", "value").write.partitionBy("file").text(f"{base}/{name}")
+        paths.append(f"{base}/{name}/*")
+    return paths[0], paths[1]
+
+
+def csv_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written exports loaded; orders, revenue and deliveries by year and month."""
+    e = CSV.load_combined(spark, *written_exports(spark, sf_dir))
+    return e.groupBy("YearLabel", "SellMonth").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("SaleTotal").cast("double").alias("revenue"), F.sum("TicketsSold").cast("bigint").alias("tickets"),
+        F.count_if("IsDelivered").alias("delivered"), F.count("CompanyName").alias("named"))
+
+
+def csv_load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written exports' lines and money texts by what became of them."""
+    this_path, last_path = written_exports(spark, sf_dir)
+    rows = CSV.harmonize(CSV.load_one(spark, this_path, E.THIS_YEAR), CSV.load_one(spark, last_path, E.LAST_YEAR))
+    return CSV.load_report(rows, CSV.bad_records(spark, this_path, last_path))
+
+
 def coerce_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed numbers and dates by year and month."""
     typed = CSV.coerce(combined(spark, sf_dir))
@@ -71,4 +119,5 @@ def harmonized_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("YearLabel").agg(F.count(F.lit(1)).alias("n"), *filled)
 
 
-TEXT_QUERIES = {"coerce_text": coerce_text, "coerce_flags": coerce_flags, "harmonized_union": harmonized_union}
+TEXT_QUERIES = {"coerce_text": coerce_text, "coerce_flags": coerce_flags, "harmonized_union": harmonized_union,
+                "csv_load": csv_load, "csv_load_report": csv_load_report}

@@ -9,9 +9,9 @@ from .csv import lookup_dims
 from .mart import sales_mart
 
 
-def load_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sales mart of ``sf_dir`` with the looked-up and every derived column (one lazy plan)."""
-    return enrich(lookup_dims(sales_mart(spark, sf_dir)))
+def load_enriched(spark: SparkSession, sf_dir: str, year: str | None = None) -> DataFrame:
+    """Sales mart of ``sf_dir`` (or one year label of it) with the looked-up and every derived column (one lazy plan)."""
+    return enrich(lookup_dims(sales_mart(spark, sf_dir, year)))
 
 
 __all__ = ["load_enriched", "sales_mart"]

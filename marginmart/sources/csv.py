@@ -6,10 +6,16 @@ order differs), stamped with ``YearLabel``.
 U1 ``harmonize``: union by name, missing columns null, columns sorted.
 S4 ``load_combined``: S1 twice + U1 + coercion + dimension lookups + enrichment.
 S7 ``check_inputs``: both inputs present and non-empty (one ``limit(1)`` probe each).
+
+A line that is no record of the export does not stop a load: it is set aside (``bad_records``) with
+its file and the reason, and counted; a line that only ends early is a record whose last columns
+are null.  Each export's own dates decide whether its numeric dates put the day or the month first.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,24 +45,76 @@ UNSPLITTABLE = (".gz", ".gzip", ".zst", ".zstd", ".lz4", ".snappy", ".deflate")
 NULL_TEXTS = ("", "NA", "N/A", "NULL", "null", "NaN", "nan", "n/a", "#N/A", "None", "<NA>")
 
 
-def read_raw(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Header CSV, all columns as strings (no inference), blank lines skipped (S3).
+# Columns of a read that the loader itself uses.
+BAD, FILE = "_bad_record", "_file"
+DATE_COLUMNS = ("SellDate", "EventDate")
+
+
+@dataclass(frozen=True)
+class Export:
+    """One export: its records, and the lines that are none (file, line, reason)."""
+
+    rows: DataFrame
+    bad: DataFrame
+
+
+def read_export(spark: SparkSession, path: str, multi_line: bool = False) -> Export:
+    """Header CSV, all columns as text (no inference), blank lines skipped.
 
     Quoted fields may hold separators and doubled quotes.  With ``multi_line`` they may hold line
-    breaks too, and a file is then read by one task.  Without it, a record whose quotes do not
-    close on its line raises, as do rows longer or shorter than the header.  A line of separators
-    alone is an order without values and stays.
+    breaks too, and a file is then read by one task.  A line with the header's number of fields is a
+    record; one with fewer is filled up with nulls, unless a quote does not close on it: then, and
+    with more fields, it is set aside.  A line of separators alone is an order without values and stays.
 
     Plain and bzip2 files are split by Spark across tasks.  A file in an unsplittable codec
     is read by one task, so its rows are spread round-robin over the shuffle partitions
     right after the read (one exchange) instead of leaving all enrichment work in that task.
     """
-    df = (spark.read.option("header", True).option("inferSchema", False)
-          .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-          .option("mode", "FAILFAST").csv(path))
+    def reader():
+        return (spark.read.option("header", True).option("inferSchema", False)
+                .option("quote", '"').option("escape", '"').option("multiLine", multi_line))
+    names = reader().csv(path).columns
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, BAD])
+    # A line's fields are counted only when no column is pruned from the parser.
+    df = (reader().schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD)
+          .option("columnPruning", False).csv(path).withColumn(FILE, F.col("_metadata.file_path")))
     if multi_line or str(path).lower().endswith(UNSPLITTABLE):
         df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    return missing_to_null(df.drop(STRAY_COLUMN))                 # S2
+    # Outside of quoted parts: a quote that is left has no partner, and separators count the fields.
+    bare = F.regexp_replace(BAD, '"([^"]|"")*"', "")
+    fields = F.length(bare) - F.length(F.replace(bare, F.lit(","))) + 1
+    # Spark reads the set-aside text only along with a column of the file, so the test names one; a parsed text is never that.
+    other = F.coalesce(F.col(f"`{names[0]}`") == "\0", F.lit(False))
+    reason = (F.when(F.col(BAD).isNull() & ~other, F.lit(None)).when(F.contains(bare, F.lit('"')), "quote not closed")
+              .when(fields > len(names), "too many fields"))
+    marked = df.withColumn("_reason", reason)
+    bad = marked.where(F.col("_reason").isNotNull()).select(F.col(FILE).alias("file"), F.col(BAD).alias("line"), F.col("_reason").alias("reason"))
+    rows = marked.where(F.col("_reason").isNull()).drop(BAD, FILE, "_reason", STRAY_COLUMN)     # S2
+    return Export(missing_to_null(rows), bad)
+
+
+def read_raw(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The records of one export (see :func:`read_export`)."""
+    return read_export(spark, path, multi_line).rows
+
+
+def bad_records(spark: SparkSession, this_path: str, last_path: str, multi_line: bool = False) -> DataFrame:
+    """The lines of both exports that are no records: YearLabel, file, line, reason."""
+    parts = [read_export(spark, path, multi_line).bad.withColumn("YearLabel", F.lit(label))
+             for path, label in ((this_path, E.THIS_YEAR), (last_path, E.LAST_YEAR))]
+    return parts[0].unionByName(parts[1]).select("YearLabel", "file", "line", "reason")
+
+
+def load_report(rows: DataFrame, bad: DataFrame) -> DataFrame:
+    """What became of a load's lines and values, counted: YearLabel, item, kind, n.
+
+    Items are ``line`` (records, and set-aside lines by reason) and each money column (by
+    :func:`marginmart.functions.enrich.number_kind`)."""
+    lines = bad.groupBy("YearLabel", F.lit("line").alias("item"), F.col("reason").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    items = F.array(F.struct(F.lit("line").alias("item"), F.lit("record").alias("kind")),
+                    *[F.struct(F.lit(c).alias("item"), E.number_kind(c).alias("kind")) for c in ("SaleTotal", "TicketCost")])
+    kinds = rows.select("YearLabel", F.inline(items)).groupBy("YearLabel", "item", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return kinds.unionByName(lines)
 
 
 def missing_to_null(df: DataFrame) -> DataFrame:
@@ -66,7 +124,17 @@ def missing_to_null(df: DataFrame) -> DataFrame:
 
 def load_one(spark: SparkSession, path: str, year_label: str, multi_line: bool = False) -> DataFrame:
     """Read one export and stamp it; any year column in the file is ignored."""
-    return read_raw(spark, path, multi_line).withColumn("YearLabel", F.lit(year_label))
+    return stamp(read_raw(spark, path, multi_line), year_label)
+
+
+def stamp(rows: DataFrame, year_label: str) -> DataFrame:
+    """The year label, and for each date column the order of day and month that this export's dates vote for."""
+    dates = [c for c in DATE_COLUMNS if c in rows.columns]
+    out = rows.withColumn("YearLabel", F.lit(year_label))
+    if dates:
+        votes = rows.agg(F.struct(*[E.prefers_day_first(c).alias(c) for c in dates]).alias("v")).select("v").scalar()
+        out = out.withColumns({f"_day_first_{c}": votes[c] for c in dates})
+    return out
 
 
 def harmonize(this_df: DataFrame, last_df: DataFrame) -> DataFrame:
@@ -93,8 +161,7 @@ def coerce(df: DataFrame) -> DataFrame:
         "TicketCost": E.money("TicketCost"),
         "Quantity": E.int_trunc("Quantity"),
         "RequestedPerformerTypeId": E.type_id("RequestedPerformerTypeId"),
-        "SellDate_dt": E.timestamp("SellDate"),
-        "EventDate_dt": E.timestamp("EventDate"),
+        **{f"{c}_dt": E.timestamp(c, F.col(f"_day_first_{c}") if f"_day_first_{c}" in df.columns else None) for c in DATE_COLUMNS},
         "EventHour": F.hour(E.timestamp("EventTime")),
     }
     for c in FLAG_COLUMNS:
@@ -104,7 +171,7 @@ def coerce(df: DataFrame) -> DataFrame:
     for c in ("CompanyName", "PrimaryPerformerName", "SecondaryPerformerName", "VenueName",
               "ShippingCompany", "DeliveryType", "EventName", "InvoiceID"):
         typed[c] = F.when(F.trim(F.col(c)) != "", F.col(c))
-    return df.withColumns(typed)
+    return df.withColumns(typed).drop(*[f"_day_first_{c}" for c in DATE_COLUMNS])
 
 
 def lookup_dims(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.enrich import THIS_YEAR
 from .dims import MARKETPLACE_TIER, team_rows
 
 # Columns read from each star table (column pruning reaches the scan).
@@ -93,9 +94,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df.select(*cols) if cols else df
 
 
-def sales_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw-order-shaped rows (one per line item) from the star tables in ``sf_dir``."""
+def sales_mart(spark: SparkSession, sf_dir: str, year: str | None = None) -> DataFrame:
+    """Raw-order-shaped rows (one per line item) from the star tables in ``sf_dir``.
+
+    ``year`` (a year label) takes that export alone: a plain comparison of the order date, which reaches
+    the orders scan and shrinks every join after it."""
     t = {name: read_table(spark, sf_dir, name) for name in STAR_COLUMNS}
+    if year:
+        cut = F.to_timestamp_ntz(F.lit(f"{CUT_DATE} 00:00:00"))
+        # Orders without a date are last year's, as their label says.
+        t["orders"] = t["orders"].where(F.col("o_orderdate") >= cut if year == THIS_YEAR
+                                        else (F.col("o_orderdate") < cut) | F.col("o_orderdate").isNull())
     geo = (t["nation"].join(F.broadcast(t["region"]), F.col("n_regionkey") == F.col("r_regionkey"))
            .select("n_nationkey", "n_name", "r_name"))
     cust = t["customer"].join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))

@@ -115,3 +115,88 @@ def test_gzip_export_is_spread(spark, tmp_path):
     df = CSV.load_combined(spark, str(t), str(lst))
     assert df.count() == 4
     assert CSV.read_raw(spark, str(t)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_lines_that_are_no_records_are_set_aside(spark, tmp_path):
+    t, lst = tmp_path / "this.csv", tmp_path / "last.csv"
+    head = "InvoiceID,SaleTotal,TicketCost,CompanyName\n"
+    t.write_text(head + '1,10,5,"A, B ""C"""\n2,20\n\n3,30,5,X,too,many\n4,40,"open,x\n5,1e30,abc,Y\n,,,\n6,7,"5,8\n')
+    lst.write_text(head + "7,1,1,Z\n")
+    e = CSV.load_combined(spark, str(t), str(lst))
+    got = {r.InvoiceID: (float(r.SaleTotal), float(r.TicketCost), r.CompanyName) for r in e.collect()}
+    # A short line is filled up, separators alone are an order, a number too wide is 0.
+    assert got["1"] == (10.0, 5.0, 'A, B "C"') and got["2"] == (20.0, 0.0, None) and got["5"] == (0.0, 0.0, "Y") and got["7"][2] == "Z"
+    assert set(got) == {"1", "2", "5", "7", None}
+    bad = CSV.bad_records(spark, str(t), str(lst))
+    assert {(r.YearLabel, r.line, r.reason) for r in bad.collect()} == {
+        ("This Year", "3,30,5,X,too,many", "too many fields"), ("This Year", '4,40,"open,x', "quote not closed"),
+        ("This Year", '6,7,"5,8', "quote not closed")}
+    assert all(r.file.endswith("this.csv") for r in bad.collect()) and bad.count() == 3
+    rows = CSV.harmonize(CSV.load_one(spark, str(t), "This Year"), CSV.load_one(spark, str(lst), "Last Year"))
+    report = {(r.YearLabel, r.item, r.kind): r.n for r in CSV.load_report(rows, bad).collect()}
+    assert report["This Year", "line", "record"] == 4 and report["This Year", "line", "too many fields"] == 1
+    assert report["This Year", "SaleTotal", "too wide"] == 1 and report["This Year", "TicketCost", "no number"] == 1
+    assert report["This Year", "TicketCost", "missing"] == 2 and report["This Year", "SaleTotal", "missing"] == 1
+
+
+def test_each_export_votes_on_day_and_month(spark, tmp_path):
+    t, lst = tmp_path / "this.csv", tmp_path / "last.csv"
+    t.write_text("InvoiceID,SellDate,EventDate\n1,13/05/2024,05/13/2024\n2,01/02/2024,01/02/2024\n3,20241005,2024-03-04\n4,05/13/2024,3.4.24 1:05 PM\n")
+    lst.write_text("InvoiceID,SellDate,EventDate\n7,01/02/2023,31-12-2023 23:10\n8,02/01/2023,01-02-2023\n")
+    e = CSV.load_combined(spark, str(t), str(lst))
+    got = {r.InvoiceID: tuple(None if x is None else x.strftime("%Y-%m-%d %H:%M") for x in (r.SellDate_dt, r.EventDate_dt)) for r in e.collect()}
+    # One date each way is a tie in this year's sale dates: month first, and what is no date then is missing.
+    assert got["1"] == (None, "2024-05-13 00:00") and got["4"] == ("2024-05-13 00:00", "2024-03-04 13:05")
+    assert got["2"] == ("2024-01-02 00:00", "2024-01-02 00:00") and got["3"] == ("2024-10-05 00:00", "2024-03-04 00:00")
+    # Last year's event dates are day first; its sale dates do not tell, so month first.
+    assert got["7"] == ("2023-01-02 00:00", "2023-12-31 23:10") and got["8"] == ("2023-02-01 00:00", "2023-02-01 00:00")
+    t.write_text("InvoiceID,SellDate,EventDate\n1,13/05/2024,\n2,01/02/2024,\n")
+    first = CSV.load_combined(spark, str(t), str(lst)).where("InvoiceID in ('1', '2') and YearLabel = 'This Year'").orderBy("InvoiceID").collect()
+    assert [r.SellDate_dt.strftime("%m-%d") for r in first] == ["05-13", "02-01"]
+
+
+def versions(spark):
+    from pathlib import Path
+
+    from marginmart.session import ensure_checkpoint_dir
+    base = Path(ensure_checkpoint_dir(spark).removeprefix("file:")) / "marginmart-cache"
+    return {e.name: sorted(v.name for v in e.iterdir() if not v.name.startswith(".")) for e in base.iterdir()}
+
+
+def test_cached_load_reuses_and_replaces_versions(spark, pair, monkeypatch):
+    from marginmart.sources import cache
+
+    built = []
+    load = CSV.load_combined
+    monkeypatch.setattr(cache.csv, "load_combined", lambda *a, **k: built.append(1) or load(*a, **k))
+    entries = set(versions(spark)) if built else set()
+    first = cache.cached_load(spark, *pair)
+    want = sorted(map(str, load(spark, *pair).collect()))
+    assert sorted(map(str, first.collect())) == want and first.columns == load(spark, *pair).columns
+    again = cache.cached_load(spark, *pair)
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert len(built) == 1 and "Join" not in plan and sorted(map(str, again.collect())) == want
+    (name,) = [n for n, v in versions(spark).items() if n.startswith("exports-") and n not in entries]
+    before = versions(spark)[name]
+    assert len(before) == 1 and before[0].startswith("v-")
+    with open(pair[1], "a") as f:
+        f.write("last,2023-11-03 10:00:00,2023-11-04,1900-01-01T19:00:00,1,2,4,Affiliate A,Dallas Stars,,43,Arena,106,,SeatGeek,Mobile,TRUE,False,false,9002,Stars Night,true\n")
+    changed = cache.cached_load(spark, *pair)
+    assert len(built) == 2 and changed.count() == len(want) + 1
+    after = versions(spark)[name]
+    assert len(after) == 1 and after != before, "the stale version and every draft are gone"
+
+
+def test_cache_keeps_versions_if_asked_and_survives_an_unfinished_build(spark, tmp_path):
+    from marginmart.sources import cache
+
+    src = tmp_path / "in"
+    build = lambda: spark.read.parquet(str(src)).withColumn("YearLabel", F.lit("This Year")).withColumn("CompanyName", F.lit("A"))
+    for n in (3, 5, 7):
+        spark.range(n).write.mode("overwrite").parquet(str(src))
+        assert cache.cached(spark, "kept", [str(src)], build, keep=2).count() == n
+    (name,) = [n for n in versions(spark) if n.startswith("kept-")]
+    assert len(versions(spark)[name]) == 2
+    with pytest.raises(ZeroDivisionError):
+        cache.cached(spark, "broken", [str(src)], lambda: 1 / 0)
+    assert cache.cached(spark, "broken", [str(src)], build).count() == 7
