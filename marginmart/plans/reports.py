@@ -21,6 +21,7 @@ from ..operators import ranking as R
 from ..operators import risk as K
 from ..operators import scope as S
 from ..operators import shares as SH
+from ..operators.quantiles import _pin
 from .catalog import YOY_DIMENSIONS
 
 Bundle = dict[str, DataFrame]
@@ -134,15 +135,22 @@ def geography(df: DataFrame, affiliate=None, sports=None) -> Bundle:
 
 
 def heatmap_hub(df: DataFrame, metric: str = "SaleTotal", affiliate=None, sports=None) -> Bundle:
-    """Three grids (sport and tier share a range for sum metrics) and the cross-tab."""
+    """Three grids, each with its range and its cells' colour positions and labels, and the cross-tab.
+
+    For sum metrics the sport and tier grids share one range; for ratios, and for the team grid, the
+    range is the grid's own."""
     _, ty, _ = _scoped(df, affiliate, sports)
-    out = {"sport": G.heatmap_grid(ty, "CompanyName", "Sport", metric),
-           "marketplace": G.heatmap_grid(ty, "CompanyName", "MarketplaceTier", metric),
-           "teams": G.heatmap_grid(ty, "CompanyName", "HomeTeam", metric, top_cols=15),
-           "cross_tab": G.cross_tab(ty)}
-    if metric in ("SaleTotal", "Profit"):
-        out["shared_range"] = G.shared_range([G.grid_cells(ty, "CompanyName", "Sport", metric),
-                                              G.grid_cells(ty, "CompanyName", "MarketplaceTier", metric)])
+    grids = {"sport": G.heatmap_grid(ty, "CompanyName", "Sport", metric),
+             "marketplace": G.heatmap_grid(ty, "CompanyName", "MarketplaceTier", metric),
+             "teams": G.heatmap_grid(ty, "CompanyName", "HomeTeam", metric, top_cols=15)}
+    # Cells of a ratio grid that have no orders are 0 in the source's grid, and 0 takes no part in a range.
+    cells = {name: _pin(g.select("row_label", "col_label", "value")) for name, g in grids.items()}
+    ranges = {name: G.shared_range([c]) for name, c in cells.items() if name == "teams" or metric not in G.SUM_METRICS}
+    if metric in G.SUM_METRICS:
+        ranges["shared"] = G.shared_range([cells["sport"], cells["marketplace"]])
+    out = {**grids, "cross_tab": G.cross_tab(ty), **{f"{name}_range": r for name, r in ranges.items()}}
+    for name, c in cells.items():
+        out[f"{name}_intensity"] = G.intensity(c, ranges.get(name, ranges.get("shared")).select("zmax").scalar(), metric)
     return out
 
 

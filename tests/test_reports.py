@@ -38,3 +38,45 @@ def test_bundles_hold_the_pages_frames(enriched_small):
     teams = reports.team_performance(enriched_small, top_n=40, metric="Orders")
     assert teams["bars"].count() == 80
     assert reports.top_events(enriched_small, n=70)["top"].count() == 70
+
+
+@pytest.mark.parametrize("metric", ["SaleTotal", "Margin"])
+def test_two_way_grids_have_their_ranges(enriched_small, metric):
+    import numpy as np
+
+    bundle = reports.heatmap_hub(enriched_small, metric)
+    values = {name: [r.value for r in bundle[name].collect()] for name in ("sport", "marketplace", "teams")}
+
+    def zmax(*names):
+        xs = [v for n in names for v in values[n] if v != 0]
+        p = round(float(np.quantile(xs, 0.98)), 6)
+        return p if p > 0 else max(xs)
+
+    own = metric == "Margin"
+    assert ("shared_range" in bundle) != own and ("sport_range" in bundle) == own
+    for name in values:
+        names = [name] if own or name == "teams" else ["sport", "marketplace"]
+        z = bundle[f"{name}_range" if own or name == "teams" else "shared_range"].first().zmax
+        assert z == pytest.approx(zmax(*names), rel=1e-9)
+        cells = bundle[f"{name}_intensity"].collect()
+        assert len(cells) == len(values[name]) and all(r.intensity == r.value / z for r in cells)
+        assert all((r.label is not None) == r.labeled == (r.value != 0 and abs(r.value) >= z * 0.03) for r in cells)
+
+
+def test_all_dimensions_equal_the_single_tables(spark, enriched_small):
+    from marginmart.operators import compare
+    from marginmart.plans.catalog import YOY_DIMENSIONS
+
+    both = compare.yoy_tables(enriched_small, YOY_DIMENSIONS)
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lineitem") <= plan.count("Expand") * 20 and plan.count("Aggregate") == 1, "one aggregation of one scan"
+    got = rows(both)
+    want = []
+    for name, col in YOY_DIMENSIONS.items():
+        want += [(name, *r) for r in map(tuple, compare.yoy_table(enriched_small, col).collect())]
+    assert got == sorted(want, key=str)
+    top = compare.yoy_tables(enriched_small, YOY_DIMENSIONS, top_n=3)
+    first = []
+    for name, col in YOY_DIMENSIONS.items():
+        first += [(name, *r) for r in map(tuple, compare.yoy_table(enriched_small, col, top_n=3).collect())]
+    assert rows(top) == sorted(first, key=str)
