@@ -28,8 +28,11 @@ from ..operators.components import HLL_LG_K, KLL_K, Store
 from ..operators.joins import join_on
 from ..operators.quantiles import _pin
 from ..session import ensure_checkpoint_dir
+from ..sources import csv as CSV
 from ..sources import load_enriched
 from ..sources.cache import cached_mart
+from ..sources.dims import SPORTS
+from ..sources.sinks import write_csv
 from .text_export import TEXT_QUERIES
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -761,5 +764,36 @@ def _store_invoice_sketch(e: DataFrame) -> DataFrame:
     return both.select(F.col("value").alias("sport"), "invoices_exact", (error <= 4 * 1.04 / 2 ** (HLL_LG_K / 2)).alias("within_bound"))
 
 
+# --- tables at the edge ----------------------------------------------------------------------
+
+@query("sorted_table")
+def _sorted_table(e: DataFrame) -> DataFrame:
+    """The five affiliates with the least revenue growth (missing growth last)."""
+    return R.sort_table(C.yoy_table(e, "CompanyName"), "revenue_yoy_pct", descending=False).limit(5)
+
+
+@query("wide_grid", E.THIS_YEAR)
+def _wide_grid(e: DataFrame) -> DataFrame:
+    """This-year revenue by affiliate, a column per sport, zero filled."""
+    return G.pivot_wide(G.grid_cells(_ty(e), "CompanyName", "Sport", "SaleTotal"), SPORTS)
+
+
+@query("month_key_text")
+def _month_key_text(e: DataFrame) -> DataFrame:
+    """Orders by the month key of the sale date's text."""
+    text = F.date_format("SellDate_dt", "yyyy-MM-dd HH:mm:ss")
+    return e.select(L.month_key_text(text).alias("month_key")).groupBy("month_key").agg(F.count(F.lit(1)).alias("orders"))
+
+
+@query("csv_sink")
+def _csv_sink(e: DataFrame) -> DataFrame:
+    """The YoY table by sport written as CSV and read back by name."""
+    table = C.yoy_table(e, "Sport")
+    path = f"{ensure_checkpoint_dir(e.sparkSession).rstrip('/')}/marginmart-csv-{uuid.uuid4().hex}"
+    write_csv(table, path)
+    back = CSV.read_raw(e.sparkSession, path)
+    return back.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema.fields])
+
+
 for _name, _fn in TEXT_QUERIES.items():
     QUERIES[_name] = _fn

@@ -779,3 +779,9 @@ SELECT YearLabel, item, kind, count(*) AS n FROM (
   SELECT YearLabel, 'line' AS item, CASE k WHEN 11 THEN 'too many fields' WHEN 13 THEN 'quote not closed' ELSE 'record' END AS kind FROM x
   UNION ALL SELECT YearLabel, 'SaleTotal', CASE WHEN k = 19 THEN 'too wide' WHEN InvoiceID % 11 < 2 THEN 'missing' ELSE 'number' END FROM x WHERE k NOT IN (11, 13)
   UNION ALL SELECT YearLabel, 'TicketCost', 'number' FROM x WHERE k NOT IN (11, 13)) GROUP BY ALL""", _FILES)
+ORACLE["sorted_table"] = ORACLE["yoy_by_affiliate"] + " ORDER BY revenue_yoy_pct ASC NULLS LAST, revenue_ty DESC, CompanyName LIMIT 5"
+ORACLE["wide_grid"] = with_enriched(
+    "SELECT CompanyName AS row_label, " + ", ".join(f"CAST({dsum('SaleTotal', f"Sport = '{x}'")} AS DOUBLE) AS \"{x}\"" for x in ("NBA", "NFL", "NHL", "MLB", "Other"))
+    + f" FROM e WHERE {TY} AND CompanyName IS NOT NULL GROUP BY 1")
+ORACLE["month_key_text"] = with_enriched("SELECT substr(strftime(SellDate_dt, '%Y-%m-%d %H:%M:%S'), 1, 7) AS month_key, count(*) AS orders FROM e GROUP BY 1")
+ORACLE["csv_sink"] = ORACLE["yoy_by_sport"]
