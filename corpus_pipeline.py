@@ -23,8 +23,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies; rows that repeat its id and text go. Rows without an id stay."""
-    first = forest.near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.join(first, docs["doc_id"].cast("long") == F.col("first_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    name = "first_id" + "_" * max(len(c) for c in docs.columns)  # longer than any column of theirs
+    first = forest.near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(first, docs["doc_id"].cast("long") == F.col(name), "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id is null"))
 
 
