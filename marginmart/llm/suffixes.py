@@ -460,12 +460,15 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cover: int =
     base, clashes, ranges = covered(docs, length, gram, cover)
     whole = base.where("copy").select("ord", "sub", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop"))).alias("ranges")).dropDuplicates(["ord", "sub"])
     ranges = ranges.unionByName(whole).groupBy("ord", "sub").agg(F.flatten(F.collect_list("ranges")).alias("_ranges"))
-    rows = docs.withColumn("ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))).withColumn("own", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    rows = _named(rows, clashes).join(ranges, ["ord", "sub"], "left").select(*docs.columns, "_ranges")
+    # The documents' columns travel under numbers, so that none of them meets a helper column's name.
+    numbers = [f"c{i}" for i in range(len(docs.columns))]
+    id_, text = (F.col(numbers[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    rows = docs.toDF(*numbers).withColumn("ord", F.coalesce(id_.cast("long"), F.lit(LEAST))).withColumn("own", F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))))
+    rows = _named(rows, clashes).join(ranges, ["ord", "sub"], "left").select(*numbers, "_ranges")
     at = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _common.slices(batches, "text"):
+        for batch in _common.slices(batches, numbers[at]):
             texts = batch.column(at).to_pylist()
             for k, ranges in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 if ranges:
