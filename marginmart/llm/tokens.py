@@ -3,13 +3,15 @@
 The word vocabulary's rules drop white space, never let a token span it, and cut each word into
 runs of letters, single digits, contractions and runs of other signs. The ids of a text are thus
 those of its words' pieces, in order. The library encodes each new piece once per worker; pieces
-and words are kept in bounded caches. Words with letters beyond Latin, or with the marks of
+and words are kept in bounded caches. A vocabulary file with other rules is noticed, and its texts
+are given to the library whole. Words with letters beyond Latin, or with the marks of
 special tokens, and texts with one of the four characters that only Python counts as white
 space, are given to the library as they are.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -22,6 +24,17 @@ CACHE_WORDS, CACHE_PIECES = 400_000, 600_000
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Fixed value: the vocabulary file's split pattern, for lower-case Latin text.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The rules of a vocabulary file that the words' way stands for.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITS = [{"type": "Split", "pattern": {"Regex": PIECE}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+
+
+def has_known_rules(path: str) -> bool:
+    """Whether a vocabulary file normalises and splits as the words' way does, and marks word ends."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    parts = lambda key, inner: (rules.get(key) or {}).get(inner)
+    return parts("normalizer", "normalizers") == NORMALIZERS and parts("pre_tokenizer", "pretokenizers") == SPLITS and parts("model", "end_of_word_suffix") == "</w>"
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -39,6 +52,7 @@ class Encoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = has_known_rules(path)
         self.plain = Tokenizer.from_file(path)  # for pieces that are already normal
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -81,6 +95,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text (null: none)."""
+        if not self.by_words:
+            return [self.whole(t or "") for t in texts]
         split = [[] if not t else None if ODD_SPACE.search(t) else t.split() for t in texts]
         known = [None if ws is None else list(map(self.words.get, ws)) for ws in split]
         new = {w for ws, got in zip(split, known) if got and None in got for w, x in zip(ws, got) if x is None}

@@ -102,3 +102,20 @@ def test_pack_keeps_columns_and_nulls(spark):
             gaps.remove(fits)
         gaps.append((12 if fits is None else fits) - n)
     assert len({r["sequence_id"] for r in got} - {None}) <= len(gaps)
+
+
+def test_a_vocabulary_with_other_rules_is_encoded_by_the_library(tmp_path):
+    import json
+
+    import public_tokenizers as public
+
+    own = json.load(open(public.path("word_bpe_49k.json")))
+    own["normalizer"]["normalizers"].pop()  # upper case stays
+    path = tmp_path / "own.json"
+    path.write_text(json.dumps(own))
+    for file in (str(path), public.path("byte_bpe_50k.json")):
+        e = tokens.Encoder(file)
+        assert not e.by_words
+        for text in ["Some WORDS here, 12 don't", "", None]:
+            assert e.encode([text])[0].tolist() == (e.tokenizer.encode(text, add_special_tokens=False).ids if text else [])
+    assert tokens.Encoder(tokens.vocabulary_path()).by_words
