@@ -76,8 +76,10 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     same = F.sha2("html", 256)
-    # Pre-aggregated in each task, so a payload that fills a third of the rows is a row a task.
+    # Counted with partial sums in each task, and written: both sides of the join are then plain
+    # shuffles, and the rows of a payload that fills a third of the table can be split over tasks.
     kept = rows.groupBy(same.alias("_same")).agg(F.max(F.coalesce("page_id", F.lit(-(1 << 63)))).alias("_response"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    kept = _common.staged(kept, "warc-copies")
     plan = rows.withColumn("_same", same).join(kept, "_same", "left").drop("_same")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
