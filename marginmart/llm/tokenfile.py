@@ -10,7 +10,8 @@ ids (the last may have fewer) and starts at a byte. Layout, all little-endian:
     u64 x (blocks + 1)      byte offset of each block, and the end
     packed blocks
 
-Any id range is read by seeking to its blocks alone. Tasks write files under names of their own
+Any id range is read by seeking to its blocks alone. Texts are encoded where they are read, and
+their packed ids are what is put in order. Tasks write files under names of their own
 and report them in a manifest table; files of lost attempts are in no manifest and never read.
 
 Defined results: a null or empty text has its end id alone; rows with the same id stay apart, in
@@ -65,21 +66,28 @@ class Writer:
 
     def __init__(self, bits: int, block_ids: int = BLOCK_IDS):
         self.bits, self.block_ids = bits, block_ids
-        self.starts, self.blocks, self.rest, self.n = [0], [], np.zeros(0, np.uint32), 0
+        self.starts, self.blocks, self.held, self.waiting, self.n = [0], [], [], 0, 0
 
-    def add(self, ids: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, lengths: np.ndarray | None = None) -> None:
+        """The ids of a document, or of several with the given lengths."""
+        ends = self.n + np.cumsum([len(ids)] if lengths is None else lengths)
+        self.starts += ends.tolist()
         self.n += len(ids)
-        self.starts.append(self.n)
-        self.rest = np.concatenate([self.rest, ids])
-        whole = len(self.rest) // self.block_ids * self.block_ids
-        for at in range(0, whole, self.block_ids):
-            self.blocks.append(pack_bits(self.rest[at : at + self.block_ids], self.bits))
-        self.rest = self.rest[whole:]
+        self.held.append(ids)
+        self.waiting += len(ids)
+        if self.waiting >= self.block_ids:
+            self._pack(self.waiting // self.block_ids * self.block_ids)
+
+    def _pack(self, n: int) -> None:
+        """Pack the first n waiting ids into blocks."""
+        ids = np.concatenate(self.held)
+        for at in range(0, n, self.block_ids):
+            self.blocks.append(pack_bits(ids[at : min(n, at + self.block_ids)], self.bits))
+        self.held, self.waiting = [ids[n:]], len(ids) - n
 
     def save(self, fs, path: str) -> None:
-        if len(self.rest):
-            self.blocks.append(pack_bits(self.rest, self.bits))
-            self.rest = self.rest[:0]
+        if self.waiting:
+            self._pack(self.waiting)
         ends = np.concatenate([[0], np.cumsum([len(b) for b in self.blocks])]).astype("<u8")
         with fs.open_output_stream(path, compression=None) as out:
             out.write(struct.pack(HEAD, MAGIC, self.bits, self.block_ids, len(self.starts) - 1, self.n, len(self.blocks), int(ends[-1])))
@@ -130,34 +138,56 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
     vocabulary = vocabulary or tokens.vocabulary_path()
     spark = docs.sparkSession
 
+    def width(encoder) -> int:
+        return bits_for(max(vocabulary_size or encoder.tokenizer.get_vocab_size(), end_id + 1))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, end = tokens.encoder(vocabulary), np.array([end_id], np.uint32)
+        bits = width(encoder)
+        for batch in _common.slices(batches, "text"):
+            ids = [np.concatenate([x, end]) for x in encoder.encode(batch.column(2).to_pylist())]
+            packed = pa.array([pack_bits(x, bits) for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in ids], pa.int64()), packed], names=["doc_id", "place", "n_ids", "packed"])
+
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         fs, base = _common.filesystem(folder)
         fs.create_dir(base, recursive=True)
-        encoder = tokens.encoder(vocabulary)
-        bits = bits_for(max(vocabulary_size or encoder.tokenizer.get_vocab_size(), end_id + 1))
-        end, part = np.array([end_id], np.uint32), TaskContext.get().partitionId()
-        writer, ids, number = Writer(bits), [], 0
+        bits, part = width(tokens.encoder(vocabulary)), TaskContext.get().partitionId()
+        writer, docs_, number = Writer(bits), [], 0
 
         def done() -> pa.RecordBatch:
             name = f"{part:06d}-{number:04d}-{uuid.uuid4().hex}.tokbits"
             writer.save(fs, f"{base}/{name}")
-            row = {"file": [f"{folder}/{name}"], "part": [part], "number": [number], "n_docs": [len(ids)], "n_ids": [writer.n], "doc_ids": [ids]}
+            row = {"file": [f"{folder}/{name}"], "part": [part], "number": [number], "n_docs": [len(docs_)], "n_ids": [writer.n], "doc_ids": [docs_]}
             return pa.RecordBatch.from_arrays([pa.array(row["file"]), pa.array(row["part"], pa.int32()), pa.array(row["number"], pa.int32()), pa.array(row["n_docs"], pa.int64()), pa.array(row["n_ids"], pa.int64()), pa.array(row["doc_ids"], pa.list_(pa.int64()))], names=list(row))
 
-        for batch in _common.slices(batches, "text"):
-            for doc, got in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                if writer.n and writer.n + len(got) >= file_ids:
+        for batch in _common.slices(batches, "packed"):
+            own, lengths = batch.column(0).to_pylist(), batch.column(2).to_numpy()
+            raw, cuts = _common.binary(batch.column(3))
+            if bits in (8, 16, 32):  # whole bytes an id: all documents at once
+                ids = unpack_bits(raw.tobytes(), bits, int(lengths.sum()))
+            else:
+                ids = np.concatenate([unpack_bits(raw[a:b].tobytes(), bits, int(n)) for a, b, n in zip(cuts, cuts[1:], lengths)])
+            ends, at = np.cumsum(lengths), 0
+            while at < len(own):
+                # As many documents as the file still takes; one at least into an empty file.
+                begun = int(ends[at - 1]) if at else 0
+                to = max(at + (writer.n == 0), int(np.searchsorted(ends, begun + file_ids - writer.n)))
+                if to > at:
+                    writer.add(ids[begun : int(ends[to - 1])], lengths[at:to])
+                    docs_ += own[at:to]
+                if to < len(own):
                     yield done()
-                    writer, ids, number = Writer(bits), [], number + 1
-                writer.add(np.concatenate([got, end]))
-                ids.append(doc)
-        if ids:
+                    writer, docs_, number = Writer(bits), [], number + 1
+                at = to
+        if docs_:
             yield done()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(_common.n_partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("place"), F.col("text").cast("string").alias("text"))
+    packed = _common.staged(rows.mapInArrow(encode, "doc_id long, place long, n_ids long, packed binary"), "token-ids")
+    ordered = packed.repartitionByRange(_common.n_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "place")
     return _common.staged(ordered.mapInArrow(save, "file string, part int, number int, n_docs long, n_ids long, doc_ids array<long>"), "token-manifest")
 
 
