@@ -20,8 +20,10 @@ import numpy as np
 from marginmart.llm._common import worker_cache
 
 #: Words and pieces that a worker keeps; beyond, that cache starts anew.
-CACHE_WORDS, CACHE_PIECES = 400_000, 600_000
+CACHE_WORDS, CACHE_PIECES = 300_000, 400_000
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Letters beyond Latin, and one whose lower case is two code points: their words keep their case here.
+BEYOND = re.compile("[\u0130\u0250-\U0010ffff]")
 #: Fixed value: the vocabulary file's split pattern, for lower-case Latin text.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The rules of a vocabulary file that the words' way stands for.
@@ -68,8 +70,6 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> None:
         """Fill the word cache."""
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
         if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
         cut: dict[str, list[str]] = {}
@@ -97,17 +97,18 @@ class Encoder:
         """Ids of each text (null: none)."""
         if not self.by_words:
             return [self.whole(t or "") for t in texts]
-        split = [[] if not t else None if ODD_SPACE.search(t) else t.split() for t in texts]
-        known = [None if ws is None else list(map(self.words.get, ws)) for ws in split]
-        new = {w for ws, got in zip(split, known) if got and None in got for w, x in zip(ws, got) if x is None}
+        # In lower case, which is the vocabulary's rule, there are fewer different words.
+        split = [[] if not t else None if ODD_SPACE.search(t) else (t if BEYOND.search(t) else t.lower()).split() for t in texts]
+        here = set().union(*filter(None, split))
+        new = here.difference(self.words)
         if new:
+            if len(self.words) + len(new) > CACHE_WORDS:
+                self.words.clear()
+                new = here
             self._learn(new)
-            get = self.words.__getitem__
-            for row, got in enumerate(known):
-                if got and None in got:
-                    ws = split[row]
-                    known[row] = [get(w) if x is None else x for w, x in zip(ws, got)]
-        return [self.whole(t) if got is None else np.frombuffer(b"".join(got), np.uint32) for t, got in zip(texts, known)]
+        # A small table of the batch's own words is looked up faster than all known ones.
+        get = dict(zip(here, map(self.words.__getitem__, here))).__getitem__
+        return [self.whole(t) if ws is None else np.frombuffer(b"".join(map(get, ws)), np.uint32) for t, ws in zip(texts, split)]
 
 
 def encoder(path: str) -> Encoder:
