@@ -7,7 +7,8 @@ occur twice matter; about one byte in thirty is an anchor. The steps:
 1. Documents with equal texts: all but the first are removed whole (if long enough), and take no
    further part as originals.
 2. Anchors: a task counts those of a batch; what it sees twice is known to repeat, and the others
-   meet by their hash. Each document gets the hashes of its repeating anchors.
+   meet by their hash. One scan of the texts writes both as a table. Each document gets the hashes of
+   its repeating anchors.
 3. Segments: with its text, a document yields for each repeating anchor the bytes of all windows
    that have this anchor. Equal segments of a batch are sent once; later ones are covered already.
 4. Buckets: the segments of one anchor are a suffix bucket. A task takes a bounded block of
@@ -42,6 +43,8 @@ from marginmart.llm import _common, _text
 LENGTH, GRAM = 100, 32
 #: Modulus of the difference cover, and bytes of segments that are sorted at once.
 COVER, BLOCK = 32, 1 << 20
+#: Windows whose anchors are found at once: their arrays fit a core's cache.
+STEP = 1 << 15
 LEAST = -(1 << 63)
 
 
@@ -65,11 +68,8 @@ def _slide(x: np.ndarray, width: int, fold) -> np.ndarray:
     return fold(x[: len(x) - (width - done)], x[width - done :]) if done < width else x
 
 
-def anchors(raw: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch of rows: each anchor's hash and place, and the first and last start of its windows."""
-    none = np.zeros(0, np.int64)
-    if len(raw) < length:
-        return np.zeros(0, np.uint64), none, none, none
+def _gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the ``gram`` bytes from each place."""
     h, size, factor = raw.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
     total, done = None, 0
     while size <= gram:  # hash of each power of two of bytes; those of gram's bits are joined
@@ -79,34 +79,35 @@ def anchors(raw: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np
         if 2 * size <= gram:
             h = h[: len(h) - size] * np.uint64(factor) + h[size:]
         size, factor = 2 * size, factor * factor % (1 << 64)
-    x = _text.mix(total[: len(raw) - gram + 1])
-    width = length - gram + 1
-    least = _slide(x, width, np.minimum)
-    starts = np.arange(len(least))
-    row = np.searchsorted(at, starts, side="right") - 1
-    starts = starts[starts + length <= at[row + 1]]
-    if not len(starts):
+    return _text.mix(total[: len(raw) - gram + 1])
+
+
+def anchors(raw: np.ndarray, at: np.ndarray, length: int, gram: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of rows: each anchor's hash and place, and the first and last start of its windows.
+
+    Hashes are compared without their lowest bits, where the place stands instead: so the least of a
+    window's neighbours names its leftmost place. Works on ``step`` starts at a time.
+    """
+    none = np.zeros(0, np.int64)
+    n = len(raw) - length + 1
+    inside = np.ones(max(0, n), bool)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        inside[max(a, b - length + 1) : b] = False
+    if not inside.any():
         return np.zeros(0, np.uint64), none, none, none
-    # The leftmost least hash: the next place at or after the start with that hash.
-    place = _leftmost(x, least, width)[starts]
-    cut = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-    first, last = starts[cut], starts[np.concatenate([cut[1:], [len(starts)]]) - 1]
-    return x[place[cut]], place[cut], first, last
-
-
-def _leftmost(x: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
-    """For each start, the first of its ``width`` places with the least hash."""
-    # Steps of falling powers of two, over neighbours that are all larger.
-    place, done = np.arange(len(least)), 1
-    levels = [x]
-    while done * 2 <= width:
-        levels.append(np.minimum(levels[-1][:-done], levels[-1][done:]))
-        done *= 2
-    for k in range(len(levels) - 1, -1, -1):
-        level = levels[k]
-        ahead = np.minimum(place, len(level) - 1)
-        place = place + (1 << k) * (level[ahead] > least)
-    return place
+    bits = (step + length).bit_length()
+    low = np.uint64((1 << bits) - 1)
+    h, place = np.empty(len(raw) - gram + 1, np.uint64), np.empty(n, np.int64)
+    for begin in range(0, n, step):
+        x = _gram_hashes(raw[begin : min(begin + step, n) + length - 1], gram)
+        h[begin : begin + len(x)] = x
+        least = _slide(x & ~low | np.arange(len(x), dtype=np.uint64), length - gram + 1, np.minimum)
+        place[begin : begin + len(least)] = (least & low).astype(np.int64) + begin
+    # Rows' last starts are outside, so a run of equal places never goes on into another row.
+    new = place[1:] != place[:-1]
+    first = np.flatnonzero(inside & np.concatenate([[True], new | ~inside[:-1]]))
+    last = np.flatnonzero(inside & np.concatenate([new | ~inside[1:], [True]]))
+    return h[place[first]], place[first], first, last
 
 
 def _repeats(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -128,18 +129,17 @@ def _repeats(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
 def repeating(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(ord, h) of the anchors that occur more than once, of (ord, text) rows."""
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each hash of a batch, with its document if that is its only place."""
+        """One row for each hash of a batch, with its document if that is its only place; else its documents follow, with n = 0."""
         for h, ids, n in _repeats(batches, length, gram):
             first = np.concatenate([[True], h[1:] != h[:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(ids[first], mask=n[first] > 1), pa.array(np.minimum(n[first], 2).astype(np.int8))], names=["h", "ord", "n"])
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The documents of each hash that repeats within a batch."""
-        for h, ids, n in _repeats(batches, length, gram):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[n > 1]), pa.array(h[n > 1].view(np.int64))], names=["ord", "h"])
-
-    met = texts.mapInArrow(probe, "h long, ord long, n byte").withColumn("total", F.expr("sum(n) over (partition by h)"))
-    return met.where("n = 1 and total > 1").select("ord", "h").unionByName(texts.mapInArrow(known, "ord long, h long"))
+            more = n > 1
+            hashes, docs = np.concatenate([h[first], h[more]]), np.concatenate([ids[first], ids[more]])
+            count = np.concatenate([np.minimum(n[first], 2), np.zeros(int(more.sum()), np.int64)]).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(docs, mask=count > 1), pa.array(count)], names=["h", "ord", "n"])
+
+    found = _common.staged(texts.mapInArrow(probe, "h long, ord long, n byte"), "anchors")
+    met = found.where("n > 0").withColumn("total", F.expr("sum(n) over (partition by h)"))
+    return met.where("n = 1 and total > 1").select("ord", "h").unionByName(found.where("n = 0").select("ord", "h"))
 
 
 def squeezed(texts: DataFrame) -> DataFrame:
