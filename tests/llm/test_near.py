@@ -59,6 +59,52 @@ def test_prefix_length_follows_recall():
     assert forest.depth_for(0.8, 0.9999, 20, 8) == 4
     assert forest.depth_for(0.8, 0.5, 20, 8) == 8
     assert forest.depth_for(0.1, 0.9999, 20, 8) == 1
+    for depth in range(1, 9):
+        s = forest.similarity_for(depth, 0.9999)
+        assert abs(1 - (1 - s**depth) ** 20 - 0.9999) < 1e-9
+
+
+def test_prefixes_are_shortened_pair_by_pair():
+    levels = forest.Levels(0.8, 0.9999, 20, 8)
+    assert levels.shortest == 4
+    sizes = np.arange(1, 200)
+    for a in (1, 4, 5, 6, 9, 40, 150):
+        need = levels.needed(np.int64(a), sizes)
+        for b, d in zip(sizes.tolist(), need.tolist()):
+            reach = [m / (a + b - m) for m in range(min(a, b) + 1) if m / (a + b - m) >= 0.8]
+            if not reach:
+                assert d == 9
+            else:
+                found = lambda k: 1 - (1 - min(reach) ** k) ** 20
+                assert 4 <= d <= 8 and found(d) >= 0.9999 - 1e-12 and (d == 8 or found(d + 1) < 0.9999)
+    assert len(set(levels.needed(np.int64(6), sizes).tolist())) > 2  # short sets differ
+
+
+def test_trie_walk_meets_every_pair_once():
+    rng = np.random.default_rng(7)
+    levels, n, trees = forest.Levels(0.8, 0.9999, 20, 8), 60, 20
+    hashes = rng.integers(0, 3, (n, trees, 8)).astype(np.uint64)
+    hashes[:, :, :5] = rng.integers(0, 2, (n, trees, 5))
+    tries = np.zeros((n, trees, 2), np.uint64)
+    for d in range(8):
+        tries[:, :, d // 4] |= hashes[:, :, d] << np.uint64(48 - 16 * (d % 4))
+    sizes = rng.choice([5, 6, 9, 100], n)
+    want, got = set(), []
+    for i in range(n):
+        for j in range(i + 1, n):
+            need = int(levels.needed(sizes[i], sizes[j]))
+            met = [t for t in range(trees) if need <= 8 and (hashes[i, t, :need] == hashes[j, t, :need]).all()]
+            if met:
+                want.add((i, j, met[0]))
+    for t in range(trees):
+        # A task gets the classes of one shortest prefix.
+        for prefix in np.unique(tries[:, t, 0]):
+            rows = np.flatnonzero(tries[:, t, 0] == prefix)
+            side = rows % 2
+            for chosen, sides in ((rows, side), (rows[side == 0], np.full((side == 0).sum(), 2)), (rows[side == 1], np.full((side == 1).sum(), 2))):
+                one, two = levels.pairs(tries[chosen], t, sizes[chosen], sides)
+                got += [(i, j, t) for i, j in zip(chosen[one].tolist(), chosen[two].tolist())]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
 
 
 def test_forest_query_against_brute_force(spark):
