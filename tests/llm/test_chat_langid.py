@@ -1,9 +1,13 @@
+import functools
 import hashlib
 import math
+import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from helpers import SF, odd_documents
 from pyspark.sql import functions as F
 
@@ -71,6 +75,19 @@ def test_chat_query_against_brute_force(spark):
     assert digest(QUERIES["op8_chat"](spark, SF)) == expected(rows)
 
 
+def test_formatted_chars_are_those_of_the_windows(spark):
+    turns = conversations(spark)
+    for options in ({}, {"budget": 60, "history_tokens": 20}):
+        made = chat.windows(turns, **options)
+        want = {}
+        for r in made.collect():
+            want[r["conv_id"]] = want.get(r["conv_id"], 0) + len(r["formatted"])
+            # A window is its turns, each between its marks, and nothing else.
+            parts = r["formatted"].split("<|im_end|>\n")
+            assert parts.pop() == "" and all(p.startswith("<|im_start|>") and "\n" in p for p in parts)
+        assert {r["conv_id"]: r["formatted_chars"] for r in chat.digests(chat.read(made)).collect()} == want
+
+
 def test_code_lengths_against_a_byte_by_byte_model():
     texts, order = ["the cat sat", "the hat"], 3
     contexts = {}
@@ -110,6 +127,60 @@ def test_language_query_and_held_out_accuracy(spark):
     assert sum(r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in held) >= 0.97 * len(held)
 
 
+def folded(text):
+    return b" " * langid.ORDER + re.sub(r"[\x00-`{-\x7f]+", " ", " " + text.lower() + " ").encode()
+
+
+def test_language_query_against_a_byte_by_byte_model(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    out = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    by = {}
+    for r in docs:
+        if not out(r["doc_id"]) and r["lang"] is not None and r["text"] is not None and len(r["text"]) <= langid.SAMPLE_CHARS:
+            by.setdefault(r["lang"], set()).add(r["text"])
+    signed = lambda t: (xxhash.xxh64(t.encode(), seed=42).intdigest() + (1 << 63)) % (1 << 64)
+    models = {}
+    for lang in sorted(by):
+        used, contexts = 0, {}
+        for t in sorted(by[lang], key=signed)[: langid.SAMPLE_DOCS]:
+            if used + len(t) > langid.SAMPLE_CHARS:
+                continue
+            used += len(t)
+            raw = folded(t)
+            for i in range(langid.ORDER + 1, len(raw)):
+                for k in range(langid.ORDER + 1):
+                    c = contexts.setdefault(raw[i - k : i], {})
+                    c[raw[i]] = c.get(raw[i], 0) + 1
+        models[lang] = contexts
+
+    @functools.cache
+    def bits(lang, gram):
+        cost = 0.0
+        for k in range(langid.ORDER, -1, -1):
+            c = models[lang].get(gram[langid.ORDER - k : -1])
+            if c is not None:
+                whole = sum(c.values()) + len(c)
+                if gram[-1] in c:
+                    return cost - math.log2(c[gram[-1]] / whole)
+                cost -= math.log2(len(c) / whole)
+        return cost + 8
+
+    got = {r["doc_id"]: r for r in QUERIES["op9_langid"](spark, SF).collect()}
+    assert len(got) == len(docs) and len(models) > 2
+    for r in docs:
+        row, text = got[r["doc_id"]], r["text"] or ""
+        assert row["held_out"] == out(r["doc_id"])
+        if not any(unicodedata.category(c)[0] == "L" for c in text):
+            assert (row["lang_pred"], row["score"]) == ("und", 0.0)
+            continue
+        raw = folded(text)
+        places = range(langid.ORDER + 1, len(raw))
+        total = {lang: sum(bits(lang, raw[i - langid.ORDER : i + 1]) for i in places) for lang in models}
+        best = min(total.values())
+        assert row["lang_pred"] == min(lang for lang in total if round(total[lang] - best, 6) == 0)
+        assert abs(row["score"] - 1 / sum(2 ** max(-60, 4 * (best - x) / len(places)) for x in total.values())) < 1e-6
+
+
 def test_language_of_odd_documents(spark):
     docs = odd_documents(spark, ["the cat and the dog", "der hund und die katze", "123 ... !!"], extra="score")
     trees = langid.fit(spark.createDataFrame([("the cat and the dog sat on the mat", "en"), ("der hund und die katze", "de"), (None, "fr"), ("text", None)], "text string, lang string"))
