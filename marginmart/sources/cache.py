@@ -52,8 +52,12 @@ def fingerprint(spark: SparkSession, inputs: Sequence[str], rules: str = "") ->
 
 
 def cached(spark: SparkSession, name: str, inputs: Sequence[str], build: Callable[[], DataFrame], keep: int = 1,
-           partition_by: str | None = "YearLabel", cluster_by: tuple[str, ...] = ("CompanyName",)) -> DataFrame:
-    """The frame that ``build`` gives for the present state of ``inputs``, read from the cache when it is there."""
+           partition_by: str | None = "YearLabel", cluster_by: tuple[str, ...] = ("CompanyName",),
+           derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The frame that ``build`` gives for the present state of ``inputs``, read from the cache when it is there.
+
+    ``derive`` adds columns row by row (projections only) to the rows that ``build`` gives, after the sort of
+    a write task, so the sort holds the rows without them."""
     state = fingerprint(spark, inputs, _rules())
     entry = f"{ensure_checkpoint_dir(spark).rstrip('/')}/marginmart-cache/{name}-{hashlib.sha256(json.dumps(sorted(inputs)).encode()).hexdigest()[:16]}"
     fs, home = _files(spark, entry)
@@ -61,9 +65,10 @@ def cached(spark: SparkSession, name: str, inputs: Sequence[str], build: Callabl
     version, manifest = Path(home, f"v-{state}"), Path(home, f"v-{state}/{MANIFEST}")
     if not fs.exists(manifest):
         df = build()
-        order, draft = df.columns, f"building-{uuid.uuid4().hex}"
-        keys = [c for c in ((partition_by,) if partition_by else ()) + tuple(cluster_by) if c in order]
-        writer = (df.sortWithinPartitions(*keys) if keys else df).write
+        keys = [c for c in ((partition_by,) if partition_by else ()) + tuple(cluster_by) if c in df.columns]
+        df = df.sortWithinPartitions(*keys) if keys else df
+        df = derive(df) if derive else df
+        order, draft, writer = df.columns, f"building-{uuid.uuid4().hex}", df.write
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{entry}/{draft}")
         out = fs.create(Path(home, f"{draft}/{MANIFEST}"))
         out.write(json.dumps({"inputs": sorted(inputs), "fingerprint": state, "columns": order, "built": time.time()}).encode())
@@ -100,4 +105,4 @@ def cached_load(spark: SparkSession, this_path: str, last_path: str, keep: int =
 def cached_mart(spark: SparkSession, sf_dir: str, keep: int = 1) -> DataFrame:
     """S5 over the star tables: the enriched mart of ``sf_dir``, memoised on its files."""
     inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in STAR_COLUMNS]
-    return cached(spark, "mart", inputs, lambda: E.enrich(csv.lookup_dims(mart.sales_mart(spark, sf_dir))), keep)
+    return cached(spark, "mart", inputs, lambda: csv.lookup_dims(mart.sales_mart(spark, sf_dir)), keep, derive=E.enrich)
