@@ -3,8 +3,8 @@
 An export that comes late or corrected changes one month, not two years.  The store keeps, per
 (month, year label, dimension, value), what every table is made of: sums of revenue, profit, cost
 and tickets, counts of orders and loss orders, and two mergeable sketches (a KLL sketch of the row
-margin and a HyperLogLog sketch of the invoice ids).  One scan of the fact fills it (grouping
-sets over the dimensions); a changed month replaces its own partitions and reads nothing else.  All
+margin and a HyperLogLog sketch of the invoice ids).  One scan of the fact's few columns per
+dimension fills it; a changed month replaces its own partitions and reads nothing else.  All
 tables are sums, and sketch merges, over the store's few rows.
 
 The store is a Parquet table partitioned by ``month``; replacing months uses dynamic partition
@@ -28,29 +28,31 @@ TOTAL = ""
 # Size parameters of the sketches: KLL's k (the normalised rank error is about 2.3 / k ** 0.9, for
 # k = 400 about 1 % with two-sided 99 % confidence) and HyperLogLog's lg k (relative standard error 1.04 / sqrt(2 ** lg k), 1.6 %).
 KLL_K, HLL_LG_K = 400, 12
+# Values and months of one dimension that a task combines in memory before it sorts the rest of its rows: Spark's
+# 128 are fewer than two years of months of five sports.  A pair of sketches has at most about 14 KB.
+HASHED_GROUPS = 4096
+HASHED_CONF = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 SUMS = ("rev", "prof", "cost", "tickets", "orders", "loss")
 
 
 def components(df: DataFrame, dimensions: Sequence[str], sketches: bool = True) -> DataFrame:
-    """month, year_label, dimension, value and the components, from one scan of ``df``."""
-    keys = ["_month", "_year"]
-    d = df.withColumns({"_month": F.coalesce("SellMonth", F.lit("none")), "_year": F.coalesce("YearLabel", F.lit("none"))})
+    """month, year_label, dimension, value and the components; ``df`` is scanned once for the totals and once a dimension.
+
+    A dimension of few values is combined in its scan's hash maps; grouping sets would share these among
+    all dimensions, and one of many values would send the rows of all of them through a sort."""
     aggs = [M.dsum("SaleTotal").alias("rev"), M.dsum("Profit").alias("prof"), M.dsum("TicketCost").alias("cost"),
             F.coalesce(F.sum(F.col("TicketsSold").cast("bigint")), F.lit(0)).cast("bigint").alias("tickets"),
             F.count(F.lit(1)).alias("orders"), F.count_if(F.col("Profit") < 0).alias("loss")]
     if sketches:
         aggs += [F.kll_sketch_agg_double("ProfitMargin", F.lit(KLL_K)).alias("margin_sketch"),
                  F.hll_sketch_agg(F.col("InvoiceID").cast("bigint"), HLL_LG_K).alias("invoice_sketch")]
-    sets = [[F.col(k) for k in keys], *[[*[F.col(k) for k in keys], F.col(c)] for c in dimensions]]
-    g = d.groupingSets(sets, *keys, *dimensions).agg(F.grouping_id(*keys, *dimensions).alias("_gid"), *aggs)
-    # The bit of a dimension that takes part in the row's set is 0.
-    name, value = F.lit(TOTAL), F.lit(None).cast("string")
-    for i, c in enumerate(dimensions):
-        own = F.col("_gid").bitwiseAND(F.lit(1 << (len(dimensions) - 1 - i))) == 0
-        name, value = F.when(own, F.lit(c)).otherwise(name), F.when(own, F.col(c).cast("string")).otherwise(value)
-    extra = ["margin_sketch", "invoice_sketch"] if sketches else []
-    return g.select(F.col("_month").alias("month"), F.col("_year").alias("year_label"), name.alias("dimension"),
-                    value.alias("value"), *SUMS, *extra)
+    out = None
+    for name in (TOTAL, *dimensions):
+        value = F.col(name).cast("string") if name != TOTAL else F.lit(None).cast("string")
+        part = (df.groupBy(F.coalesce("SellMonth", F.lit("none")).alias("month"), F.coalesce("YearLabel", F.lit("none")).alias("year_label"),
+                           F.lit(name).alias("dimension"), value.alias("value")).agg(*aggs))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 class Store:
@@ -60,14 +62,20 @@ class Store:
         self.spark, self.path, self.dimensions = spark, path.rstrip("/"), list(dimensions)
 
     def replace(self, orders: DataFrame, months: Sequence[str] | None = None) -> None:
-        """Put the months of ``orders`` in place of the store's; ``orders`` holds all rows of these months.
+        """Put the months of ``orders`` in place of the store's; ``orders`` holds all rows of these months.  It is scanned once
+        a dimension, so rows that are dear to compute should lie in files.
 
         ``months`` names the months meant, and rows of others are left out; one of them without rows goes."""
         if months is not None:
             orders = orders.where(F.coalesce("SellMonth", F.lit("none")).isin(list(months)))
         # Few rows a month, so one file each.
         rows = components(orders, self.dimensions).repartition("month")
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(self.path)
+        conf, before = self.spark.conf, self.spark.conf.get(HASHED_CONF, None)
+        conf.set(HASHED_CONF, str(max(HASHED_GROUPS, int(before or 0))))
+        try:
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(self.path)
+        finally:
+            conf.unset(HASHED_CONF) if before is None else conf.set(HASHED_CONF, before)
         if months is not None:
             left = {r.month for r in orders.select(F.coalesce("SellMonth", F.lit("none")).alias("month")).distinct().collect()}
             for month in set(months) - left:
