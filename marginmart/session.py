@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -65,6 +66,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return scratch
 
 
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]):
+    """Session settings for the jobs inside; what was set before comes back."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def apply_query_conf(spark: SparkSession) -> None:
     """Session-level settings the queries need for correct results (naive timestamps)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")

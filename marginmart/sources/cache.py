@@ -22,11 +22,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import enrich as E
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, settings
 from . import csv, dims, mart
 from .mart import STAR_COLUMNS
+from .sinks import COMPRESSION
 
 MANIFEST = "_manifest.json"
+# The columns that the mart's lookups add.
+LOOKED_UP = ("Sport", "State", "MarketplaceTier")
+# Folders of a partitioned write that a task keeps open: with these Spark never adds a sort of its own by the
+# folder's column, which would hold the derived rows and undo the order within it.
+# The derived columns make one generated method beyond 8000 bytes of code, which the JVM would interpret for every row:
+# with the limit Spark splits it.
+WRITER_CONF = {"spark.sql.maxConcurrentOutputFileWriters": "8", "spark.sql.codegen.hugeMethodLimit": "8000"}
 # Seconds after which the folder of an unfinished build is taken for abandoned.
 ABANDONED = 24 * 3600
 
@@ -56,8 +64,8 @@ def cached(spark: SparkSession, name: str, inputs: Sequence[str], build: Callabl
            derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The frame that ``build`` gives for the present state of ``inputs``, read from the cache when it is there.
 
-    ``derive`` adds columns row by row (projections only) to the rows that ``build`` gives, after the sort of
-    a write task, so the sort holds the rows without them."""
+    ``derive`` makes the frame's rows of those that ``build`` gives, row by row (projections only), after the
+    sort of a write task, so the sort holds the rows without its columns."""
     state = fingerprint(spark, inputs, _rules())
     entry = f"{ensure_checkpoint_dir(spark).rstrip('/')}/marginmart-cache/{name}-{hashlib.sha256(json.dumps(sorted(inputs)).encode()).hexdigest()[:16]}"
     fs, home = _files(spark, entry)
@@ -69,7 +77,8 @@ def cached(spark: SparkSession, name: str, inputs: Sequence[str], build: Callabl
         df = df.sortWithinPartitions(*keys) if keys else df
         df = derive(df) if derive else df
         order, draft, writer = df.columns, f"building-{uuid.uuid4().hex}", df.write
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{entry}/{draft}")
+        with settings(spark, WRITER_CONF):
+            (writer.partitionBy(partition_by) if partition_by else writer).option("compression", COMPRESSION).parquet(f"{entry}/{draft}")
         out = fs.create(Path(home, f"{draft}/{MANIFEST}"))
         out.write(json.dumps({"inputs": sorted(inputs), "fingerprint": state, "columns": order, "built": time.time()}).encode())
         out.close()
@@ -102,7 +111,17 @@ def cached_load(spark: SparkSession, this_path: str, last_path: str, keep: int =
                   lambda: csv.load_combined(spark, this_path, last_path, multi_line=multi_line), keep)
 
 
+def _narrow_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the cached mart's sort holds: the joined tables' own columns, narrower than the mart's decimals and texts,
+    the sort's columns, and the looked-up ones with the marketplace (a lookup is a join, and Spark keeps no sort below one)."""
+    early = ("YearLabel", "RequestedPerformerTypeId", "PrimaryPerformerName")
+    rows = mart.star_rows(spark, sf_dir).withColumns({c: F.expr(mart.MART_EXPRS[c]) for c in early})
+    # Derived again after the sort, of columns that it holds anyway.
+    return csv.lookup_dims(rows).drop("RequestedPerformerTypeId", "PrimaryPerformerName")
+
+
 def cached_mart(spark: SparkSession, sf_dir: str, keep: int = 1) -> DataFrame:
     """S5 over the star tables: the enriched mart of ``sf_dir``, memoised on its files."""
     inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in STAR_COLUMNS]
-    return cached(spark, "mart", inputs, lambda: csv.lookup_dims(mart.sales_mart(spark, sf_dir)), keep, derive=E.enrich)
+    return cached(spark, "mart", inputs, lambda: _narrow_mart(spark, sf_dir), keep,
+                  derive=lambda rows: E.enrich(mart.mart_columns(rows, *LOOKED_UP)))

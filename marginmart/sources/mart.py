@@ -16,6 +16,9 @@ Scale notes
 * ``customer`` joins ``orders`` before ``lineitem`` does: where ``customer`` is too large to
   broadcast, the orders cross the network on the customer key, not the several times as many
   and wider line items.
+* A line item crosses the network once for each table too large to broadcast, with the columns of
+  the joins before.  ``supplier`` adds one column and ``orders`` (with ``customer``) the most, so they
+  join first and last; with a year, ``orders`` joins first, as it drops the other year's line items.
 * ``lineitem`` x ``orders`` is a big-big equi-join on the order key and shuffles on it
   (sort-merge or, after AQE, shuffled hash).  An order key holds few line items, so the
   key itself cannot be hot.
@@ -70,7 +73,7 @@ MART_EXPRS = {
     "TicketCost": "cast(cast(p_retailprice as decimal(15,2)) * cast(l_quantity as int) as decimal(21,4))",
     "Quantity": "case when l_linenumber = 7 then 0 else cast(l_quantity as int) % 12 end",
     "CompanyName": "case when s_suppkey % 50 <> 0 then s_name end",
-    "PrimaryPerformerName": _pick(TEAMS, "p_partkey % 140", "p_name"),
+    "PrimaryPerformerName": _pick(TEAMS, "l_partkey % 140", "p_name"),
     "SecondaryPerformerName": "nullif(p_brand, 'Brand#1')",
     "RequestedPerformerTypeId": "case p_type when 'STANDARD' then 38 when 'PROMO' then 42 "
                                 "when 'ECONOMY' then 43 end",
@@ -97,8 +100,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df.select(*cols) if cols else df
 
 
-def sales_mart(spark: SparkSession, sf_dir: str, year: str | None = None) -> DataFrame:
-    """Raw-order-shaped rows (one per line item) from the star tables in ``sf_dir``.
+def star_rows(spark: SparkSession, sf_dir: str, year: str | None = None) -> DataFrame:
+    """The star tables of ``sf_dir`` joined, one row per line item, in their own columns, with the two names that one
+    dimension's columns make (``CompanyName``, ``ShippingCompany``): these travel in place of the columns.
 
     ``year`` (a year label) takes that export alone: a plain comparison of the order date, which reaches
     the orders scan and shrinks every join after it."""
@@ -110,10 +114,26 @@ def sales_mart(spark: SparkSession, sf_dir: str, year: str | None = None) -> Dat
                                         else (F.col("o_orderdate") < cut) | F.col("o_orderdate").isNull())
     geo = (t["nation"].join(F.broadcast(t["region"]), F.col("n_regionkey") == F.col("r_regionkey"))
            .select("n_nationkey", "n_name", "r_name"))
-    cust = t["customer"].join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
+    cust = (t["customer"].withColumn("ShippingCompany", F.expr(MART_EXPRS["ShippingCompany"]))
+            .join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey")))
+    supplier = t["supplier"].withColumn("CompanyName", F.expr(MART_EXPRS["CompanyName"]))
     orders = t["orders"].join(cust, F.col("o_custkey") == F.col("c_custkey"))
-    joined = (t["lineitem"]
-              .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-              .join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
-              .join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey")))
-    return joined.select(*[F.expr(e).alias(c) for c, e in MART_EXPRS.items()])
+    joined = t["lineitem"]
+    for step in (("orders", "supplier", "part") if year else ("supplier", "part", "orders")):
+        if step == "orders":
+            joined = joined.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        elif step == "part":
+            joined = joined.join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
+        else:
+            joined = joined.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    return joined
+
+
+def mart_columns(joined: DataFrame, *more: str) -> DataFrame:
+    """The mart's columns of joined star rows, and ``more`` of theirs; those that are there already stay as they are."""
+    return joined.select(*[c if c in joined.columns else F.expr(e).alias(c) for c, e in MART_EXPRS.items()], *more)
+
+
+def sales_mart(spark: SparkSession, sf_dir: str, year: str | None = None) -> DataFrame:
+    """Raw-order-shaped rows (one per line item) from the star tables in ``sf_dir``, or from one ``year`` (:func:`star_rows`)."""
+    return mart_columns(star_rows(spark, sf_dir, year))

@@ -18,6 +18,9 @@ from ..operators.joins import join_on
 from ..operators.ordering import global_order
 from ..session import ensure_checkpoint_dir
 
+# Codec of the tables that are written to be read again.
+COMPRESSION = "zstd"
+
 
 def materialize(df: DataFrame, name: str = "enriched", partition_by: str | None = "YearLabel",
                 cluster_by: tuple[str, ...] = ("CompanyName",)) -> DataFrame:
@@ -33,7 +36,7 @@ def materialize(df: DataFrame, name: str = "enriched", partition_by: str | None
     keys = [c for c in ((partition_by,) if partition_by else ()) + tuple(cluster_by) if c in df.columns]
     if keys:
         df = df.sortWithinPartitions(*keys)
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("compression", COMPRESSION)
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)

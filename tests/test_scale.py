@@ -1,10 +1,12 @@
 """What moves between tasks: join order of the mart, the cached load's sort, columns kept for two scans, the store's groups."""
 import datetime as dt
+from urllib.parse import unquote
 
 from pyspark.sql import functions as F
 
 from marginmart.operators import components as S
 from marginmart.plans import catalog
+from marginmart.sources import cache, load_enriched
 from marginmart.sources.cache import cached
 from marginmart.sources.mart import sales_mart
 
@@ -77,3 +79,54 @@ def test_store_groups_one_dimension_at_a_time(spark, tmp_path):
     before = spark.conf.get(S.HASHED_CONF, None)
     S.Store(spark, f"{tmp_path}/store", ["Sport"]).replace(df)
     assert spark.conf.get(S.HASHED_CONF, None) == before
+
+
+def _star(spark, path):
+    for name, (schema, rows) in STAR.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def _below_orders(mart):
+    """Lines of the analyzed plan below the join on the order key."""
+    lines = mart._jdf.queryExecution().analyzed().toString().splitlines()
+    at = next(i for i, x in enumerate(lines) if "Join" in x and "l_orderkey" in x and "o_orderkey" in x)
+    depth = lines[at].index("Join")
+    below = lines[at + 1:]
+    return below[:next((i for i, x in enumerate(below) if len(x) - len(x.lstrip(" :+-")) <= depth), len(below))]
+
+
+def test_orders_join_last_and_first_with_a_year(spark, tmp_path):
+    path = _star(spark, tmp_path)
+    every, this = sales_mart(spark, path), sales_mart(spark, path, "This Year")
+    assert any("s_suppkey" in x and "Join" in x for x in _below_orders(every)) and any("p_partkey" in x and "Join" in x for x in _below_orders(every))
+    assert not any("s_suppkey" in x for x in _below_orders(this))
+    # Order 1 has a row of each year and two line items; the row of last year has two customers.
+    assert sorted(r.YearLabel for r in every.collect()) == ["Last Year"] * 4 + ["This Year"] * 2
+    assert this.count() == 2
+    # The names that one dimension makes travel in place of its columns.
+    joined = every._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("c_custkey" in x and "l_orderkey" in x for x in joined.splitlines() if "Project" in x)
+
+
+def test_cached_mart_sorts_star_columns(spark, tmp_path):
+    path = _star(spark, tmp_path)
+    narrow = cache._narrow_mart(spark, path)
+    assert not {"SaleTotal", "TicketCost", "Section", "EventName", "SellDate_dt", "PrimaryPerformerName"} & set(narrow.columns)
+    before = {k: spark.conf.get(k, None) for k in cache.WRITER_CONF}
+    got, plain = cache.cached_mart(spark, path), load_enriched(spark, path)
+    assert {k: spark.conf.get(k, None) for k in cache.WRITER_CONF} == before
+    assert got.columns == plain.columns and got.count() == 6
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_cached_mart_keeps_affiliates_together(spark):
+    """Each file of the cache is in order of the affiliate: the sort outlives the derived columns and the folders of the years."""
+    got = cache.cached_mart(spark, "/root/testdata/sf0.001")
+    for f in got.inputFiles():
+        names = [r[0] for r in spark.read.parquet(unquote(f)).select("CompanyName").collect()]
+        assert names == sorted(names, key=lambda n: (n is not None, n or ""))
+
+
+def test_store_holds_seven_years_of_affiliates_in_memory():
+    assert S.HASHED_GROUPS >= 7 * 12 * 100
