@@ -59,22 +59,33 @@ def fingerprint(spark: SparkSession, inputs: Sequence[str], rules: str = "") ->
     return hashlib.sha256(f"{tuple(state)}|{rules}".encode()).hexdigest()[:32]
 
 
+def _entry(spark: SparkSession, name: str, inputs: Sequence[str]) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/marginmart-cache/{name}-{hashlib.sha256(json.dumps(sorted(inputs)).encode()).hexdigest()[:16]}"
+
+
 def cached(spark: SparkSession, name: str, inputs: Sequence[str], build: Callable[[], DataFrame], keep: int = 1,
            partition_by: str | None = "YearLabel", cluster_by: tuple[str, ...] = ("CompanyName",),
-           derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+           derive: Callable[[DataFrame], DataFrame] | None = None, part_of: str | None = None) -> DataFrame:
     """The frame that ``build`` gives for the present state of ``inputs``, read from the cache when it is there.
 
     ``derive`` makes the frame's rows of those that ``build`` gives, row by row (projections only), after the
-    sort of a write task, so the sort holds the rows without its columns."""
+    sort of a write task, so the sort holds the rows without its columns.  ``part_of`` names an entry over the same
+    inputs that has the frame's columns among others: its present version, when there, is read instead."""
     state = fingerprint(spark, inputs, _rules())
-    entry = f"{ensure_checkpoint_dir(spark).rstrip('/')}/marginmart-cache/{name}-{hashlib.sha256(json.dumps(sorted(inputs)).encode()).hexdigest()[:16]}"
+    if part_of:
+        whole = f"{_entry(spark, part_of, inputs)}/v-{state}"
+        fs, found = _files(spark, f"{whole}/{MANIFEST}")
+        if fs.exists(found):
+            return spark.read.parquet(whole).select(*build().columns)
+    entry = _entry(spark, name, inputs)
     fs, home = _files(spark, entry)
     Path = spark._jvm.org.apache.hadoop.fs.Path
     version, manifest = Path(home, f"v-{state}"), Path(home, f"v-{state}/{MANIFEST}")
     if not fs.exists(manifest):
         df = build()
-        keys = [c for c in ((partition_by,) if partition_by else ()) + tuple(cluster_by) if c in df.columns]
-        df = df.sortWithinPartitions(*keys) if keys else df
+        clusters = [c for c in cluster_by if c in df.columns]
+        # Without a column to cluster by there is nothing to sort for: the writer keeps the folders apart by itself.
+        df = df.sortWithinPartitions(*([partition_by] if partition_by else []), *clusters) if clusters else df
         df = derive(df) if derive else df
         order, draft, writer = df.columns, f"building-{uuid.uuid4().hex}", df.write
         with settings(spark, WRITER_CONF):
@@ -120,8 +131,16 @@ def _narrow_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv.lookup_dims(rows).drop("RequestedPerformerTypeId", "PrimaryPerformerName")
 
 
-def cached_mart(spark: SparkSession, sf_dir: str, keep: int = 1) -> DataFrame:
-    """S5 over the star tables: the enriched mart of ``sf_dir``, memoised on its files."""
+def cached_mart(spark: SparkSession, sf_dir: str, keep: int = 1, columns: Sequence[str] | None = None) -> DataFrame:
+    """S5 over the star tables: the enriched mart of ``sf_dir``, memoised on its files.
+
+    ``columns`` (the year label comes with them) makes an entry of these alone, of every row: only they cross the
+    network and are written.  Where the whole mart of the same files is cached, they are read from it."""
     inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in STAR_COLUMNS]
+    if columns is not None:
+        own = list(dict.fromkeys(["YearLabel", *sorted(columns)]))
+        mark = hashlib.sha256(json.dumps(own).encode()).hexdigest()[:8]
+        return cached(spark, f"mart-{mark}", inputs, lambda: E.enrich(csv.lookup_dims(mart.sales_mart(spark, sf_dir))).select(*own),
+                      keep, part_of="mart")
     return cached(spark, "mart", inputs, lambda: _narrow_mart(spark, sf_dir), keep,
                   derive=lambda rows: E.enrich(mart.mart_columns(rows, *LOOKED_UP)))

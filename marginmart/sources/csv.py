@@ -177,13 +177,15 @@ def coerce(df: DataFrame) -> DataFrame:
 def lookup_dims(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """E21-E23 via J1-J3: sport (type id, else team, else Other), state by home team, tier by marketplace.
 
-    The three dimension tables are fixed-size, so each is a broadcast hash join; the
-    team table has a unique key, so the joins never multiply rows.
+    The three dimension tables are fixed-size, so each is a broadcast hash join; their
+    keys are unique, so the joins never multiply rows.  Each is grouped by its key, which tells Spark so: it
+    leaves out a lookup that a query does not read, and with it the columns that the lookup would carry through every join.
     """
     spark = spark or df.sparkSession
-    sport = F.broadcast(dims.sport_dim(spark))
-    team = F.broadcast(dims.team_dim(spark))
-    market = F.broadcast(dims.marketplace_dim(spark))
+    unique = lambda dim, key: F.broadcast(dim.coalesce(1).dropDuplicates([key]))
+    sport = unique(dims.sport_dim(spark), "type_id")
+    team = unique(dims.team_dim(spark), "team")
+    market = unique(dims.marketplace_dim(spark), "marketplace")
     out = (df.join(sport, F.col("RequestedPerformerTypeId") == F.col("type_id"), "left")
              .join(team, F.col("PrimaryPerformerName") == F.col("team"), "left")
              .join(market, F.col("ShippingCompany") == F.col("marketplace"), "left"))

@@ -19,6 +19,8 @@ Scale notes
 * A line item crosses the network once for each table too large to broadcast, with the columns of
   the joins before.  ``supplier`` adds one column and ``orders`` (with ``customer``) the most, so they
   join first and last; with a year, ``orders`` joins first, as it drops the other year's line items.
+* What one table's columns make (money, counts, flags, names) is made before that table's rows join, so
+  a line item travels with the few columns that the query reads, not with those that they are made of.
 * ``lineitem`` x ``orders`` is a big-big equi-join on the order key and shuffles on it
   (sort-merge or, after AQE, shuffled hash).  An order key holds few line items, so the
   key itself cannot be hot.
@@ -92,6 +94,20 @@ MART_EXPRS = {
 
 MART_COLUMNS = list(MART_EXPRS)
 
+# What a table's columns make by themselves, made before its rows join ("part": line items with their parts): these
+# travel in place of wider columns, and of each only what a query reads.
+OWN = {
+    "lineitem": ["SaleTotal", "Quantity", "IsDelivered", "IsCancelled"],
+    "part": ["TicketCost", "PrimaryPerformerName", "SecondaryPerformerName"],
+    "orders": ["YearLabel", "IsExpired"],
+}
+# Money travels in 8 bytes where it fits; what does not fit (a null here) goes on beside it in full width.
+NARROW, NARROW_TYPE, MONEY = "{}_narrow", "decimal(18,4)", ("SaleTotal", "TicketCost")
+WIDE = "{}_wide"
+# Days from the order's month to the event; a null, and so no event date, for the same keys as in MART_EXPRS.
+EVENT_DAYS = "case when l_partkey % 89 <> 0 then cast(l_partkey % 13 * 30 as int) end"
+EVENT_DATE = "timestampadd(DAY, event_days, cast(date_trunc('month', o_orderdate) as timestamp_ntz))"
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """Parquet table of ``sf_dir``, projected to the used columns."""
@@ -100,12 +116,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df.select(*cols) if cols else df
 
 
-def star_rows(spark: SparkSession, sf_dir: str, year: str | None = None) -> DataFrame:
+def _own(df: DataFrame, table: str) -> DataFrame:
+    """``df`` with the mart's columns of one table, its money in a narrow column and one for what does not fit."""
+    out = df.withColumns({c: F.expr(MART_EXPRS[c]) for c in OWN[table]})
+    for c in set(MONEY) & set(OWN[table]):
+        narrow = F.col(c).try_cast(NARROW_TYPE)
+        out = out.withColumns({NARROW.format(c): narrow, WIDE.format(c): F.when(narrow.isNull(), F.col(c))}).drop(c)
+    return out
+
+
+def star_rows(spark: SparkSession, sf_dir: str, year: str | None = None, early: bool = False) -> DataFrame:
     """The star tables of ``sf_dir`` joined, one row per line item, in their own columns, with the two names that one
     dimension's columns make (``CompanyName``, ``ShippingCompany``): these travel in place of the columns.
 
     ``year`` (a year label) takes that export alone: a plain comparison of the order date, which reaches
-    the orders scan and shrinks every join after it."""
+    the orders scan and shrinks every join after it.  ``early`` adds the mart's columns of one table (``OWN``)
+    before that table's rows join."""
     t = {name: read_table(spark, sf_dir, name) for name in STAR_COLUMNS}
     if year:
         cut = F.to_timestamp_ntz(F.lit(f"{CUT_DATE} 00:00:00"))
@@ -117,13 +143,14 @@ def star_rows(spark: SparkSession, sf_dir: str, year: str | None = None) -> Data
     cust = (t["customer"].withColumn("ShippingCompany", F.expr(MART_EXPRS["ShippingCompany"]))
             .join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey")))
     supplier = t["supplier"].withColumn("CompanyName", F.expr(MART_EXPRS["CompanyName"]))
-    orders = t["orders"].join(cust, F.col("o_custkey") == F.col("c_custkey"))
-    joined = t["lineitem"]
+    orders = (_own(t["orders"], "orders") if early else t["orders"]).join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    joined = _own(t["lineitem"], "lineitem").withColumn("event_days", F.expr(EVENT_DAYS)) if early else t["lineitem"]
     for step in (("orders", "supplier", "part") if year else ("supplier", "part", "orders")):
         if step == "orders":
             joined = joined.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         elif step == "part":
             joined = joined.join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
+            joined = _own(joined, "part") if early else joined
         else:
             joined = joined.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     return joined
@@ -131,9 +158,12 @@ def star_rows(spark: SparkSession, sf_dir: str, year: str | None = None) -> Data
 
 def mart_columns(joined: DataFrame, *more: str) -> DataFrame:
     """The mart's columns of joined star rows, and ``more`` of theirs; those that are there already stay as they are."""
-    return joined.select(*[c if c in joined.columns else F.expr(e).alias(c) for c, e in MART_EXPRS.items()], *more)
+    exprs = dict(MART_EXPRS)
+    if "event_days" in joined.columns:
+        exprs |= {"EventDate_dt": EVENT_DATE, **{c: f"coalesce(cast({NARROW.format(c)} as decimal(21,4)), {WIDE.format(c)})" for c in MONEY}}
+    return joined.select(*[c if c in joined.columns else F.expr(e).alias(c) for c, e in exprs.items()], *more)
 
 
 def sales_mart(spark: SparkSession, sf_dir: str, year: str | None = None) -> DataFrame:
     """Raw-order-shaped rows (one per line item) from the star tables in ``sf_dir``, or from one ``year`` (:func:`star_rows`)."""
-    return mart_columns(star_rows(spark, sf_dir, year))
+    return mart_columns(star_rows(spark, sf_dir, year, early=True))
