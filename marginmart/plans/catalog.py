@@ -46,7 +46,7 @@ def query(name: str, year: str | None = None):
             return fn(e)
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return on_enriched(load_enriched(spark, sf_dir, year))
+            return on_enriched(load_enriched(spark, sf_dir, year, droppable=True))
         run.__name__ = f"q_{name}"
         run.__doc__ = fn.__doc__
         run.on_enriched = on_enriched  # type: ignore[attr-defined]

@@ -9,9 +9,11 @@ from .csv import lookup_dims
 from .mart import sales_mart
 
 
-def load_enriched(spark: SparkSession, sf_dir: str, year: str | None = None) -> DataFrame:
-    """Sales mart of ``sf_dir`` (or one year label of it) with the looked-up and every derived column (one lazy plan)."""
-    return enrich(lookup_dims(sales_mart(spark, sf_dir, year)))
+def load_enriched(spark: SparkSession, sf_dir: str, year: str | None = None, droppable: bool = False) -> DataFrame:
+    """Sales mart of ``sf_dir`` (or one year label of it) with the looked-up and every derived column (one lazy plan).
+
+    ``droppable``: Spark leaves out lookups that the caller does not read (:func:`csv.lookup_dims`)."""
+    return enrich(lookup_dims(sales_mart(spark, sf_dir, year), droppable=droppable))
 
 
 __all__ = ["load_enriched", "sales_mart"]

@@ -140,7 +140,7 @@ def cached_mart(spark: SparkSession, sf_dir: str, keep: int = 1, columns: Sequen
     if columns is not None:
         own = list(dict.fromkeys(["YearLabel", *sorted(columns)]))
         mark = hashlib.sha256(json.dumps(own).encode()).hexdigest()[:8]
-        return cached(spark, f"mart-{mark}", inputs, lambda: E.enrich(csv.lookup_dims(mart.sales_mart(spark, sf_dir))).select(*own),
+        return cached(spark, f"mart-{mark}", inputs, lambda: E.enrich(csv.lookup_dims(mart.sales_mart(spark, sf_dir), droppable=True)).select(*own),
                       keep, part_of="mart")
     return cached(spark, "mart", inputs, lambda: _narrow_mart(spark, sf_dir), keep,
                   derive=lambda rows: E.enrich(mart.mart_columns(rows, *LOOKED_UP)))

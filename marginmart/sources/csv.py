@@ -174,15 +174,16 @@ def coerce(df: DataFrame) -> DataFrame:
     return df.withColumns(typed).drop(*[f"_day_first_{c}" for c in DATE_COLUMNS])
 
 
-def lookup_dims(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+def lookup_dims(df: DataFrame, spark: SparkSession | None = None, droppable: bool = False) -> DataFrame:
     """E21-E23 via J1-J3: sport (type id, else team, else Other), state by home team, tier by marketplace.
 
     The three dimension tables are fixed-size, so each is a broadcast hash join; their
-    keys are unique, so the joins never multiply rows.  Each is grouped by its key, which tells Spark so: it
-    leaves out a lookup that a query does not read, and with it the columns that the lookup would carry through every join.
+    keys are unique, so the joins never multiply rows.  With ``droppable`` each is grouped by its key, which tells
+    Spark so: it leaves out a lookup that a query does not read, and with it the columns that the lookup would
+    carry through every join.
     """
     spark = spark or df.sparkSession
-    unique = lambda dim, key: F.broadcast(dim.coalesce(1).dropDuplicates([key]))
+    unique = lambda dim, key: F.broadcast(dim.coalesce(1).dropDuplicates([key]) if droppable else dim)
     sport = unique(dims.sport_dim(spark), "type_id")
     team = unique(dims.team_dim(spark), "team")
     market = unique(dims.marketplace_dim(spark), "marketplace")
