@@ -87,6 +87,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20)
         pool.release_unused()
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices joined until their string column holds about ``limit`` bytes."""
+    import pyarrow.compute as pc
+
+    held, size = [], 0
+    for batch in slices(batches, column, limit):
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(batch.schema.get_field_index(column)))).as_py() or 0
+        if size >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def binary(values: pa.Array):
     """All bytes of a binary array (null: empty), writable, and the offsets of its rows."""
     import numpy as np

@@ -181,7 +181,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, task = [0] * (capacity + 1), TaskContext.get().partitionId()
         encode, end = tokens.encoder(vocabulary).encode, np.array([end_id], np.uint32)
-        for batch in _common.slices(batches, "text"):
+        for batch in _common.gathered(batches, "text"):
             rows: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                 raw = np.concatenate([ids, end]).tobytes()

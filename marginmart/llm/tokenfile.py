@@ -142,12 +142,18 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
         return bits_for(max(vocabulary_size or encoder.tokenizer.get_vocab_size(), end_id + 1))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = tokens.encoder(vocabulary), np.array([end_id], np.uint32)
+        encoder = tokens.encoder(vocabulary)
         bits = width(encoder)
-        for batch in _common.slices(batches, "text"):
-            ids = [np.concatenate([x, end]) for x in encoder.encode(batch.column(2).to_pylist())]
-            packed = pa.array([pack_bits(x, bits) for x in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in ids], pa.int64()), packed], names=["doc_id", "place", "n_ids", "packed"])
+        for batch in _common.gathered(batches, "text"):
+            ids, lengths = encoder.encode_all(batch.column(2))
+            ids, lengths = np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
+            if bits in (8, 16, 32):  # whole bytes an id: all documents at once
+                raw, cuts = pack_bits(ids, bits), np.concatenate([[0], np.cumsum(lengths)]) * (bits // 8)
+            else:
+                each = [pack_bits(x, bits) for x in np.split(ids, np.cumsum(lengths)[:-1])]
+                raw, cuts = b"".join(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+            packed = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths, pa.int64()), packed], names=["doc_id", "place", "n_ids", "packed"])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -73,6 +73,26 @@ def test_token_files_of_odd_documents(spark):
     assert tokenfile.read_digests(tokenfile.write(docs.limit(0), _common.scratch(spark, "t"))).count() == 0
 
 
+def test_token_files_of_other_widths(spark):
+    docs = odd_documents(spark, ["one text", "two texts"])
+    for size in (1 << 16, 70_000, 1 << 30):
+        manifest = tokenfile.write(docs, _common.scratch(spark, "t"), vocabulary_size=size)
+        got = [bytes(r["ids"]) for r in sorted(tokenfile.read(manifest).collect(), key=lambda r: r["start"])]
+        if size == 1 << 16:
+            first = got
+        assert got == first and tokenfile.Reader(*_common.filesystem(manifest.first()["file"])).bits == tokenfile.bits_for(size)
+
+
+def test_gathered_slices_keep_all_rows():
+    import pyarrow as pa
+
+    rows = [(k, None if k % 7 == 0 else "x" * (k * 13 % 90)) for k in range(300)]
+    made = [pa.RecordBatch.from_pylist([{"k": k, "t": t} for k, t in rows[a : a + 9]], pa.schema([("k", pa.int64()), ("t", pa.string())])) for a in range(0, 300, 9)]
+    out = list(_common.gathered(iter([made[0].slice(0, 0), *made]), "t", 500))
+    assert [(r["k"], r["t"]) for b in out for r in b.to_pylist()] == rows
+    assert 10 < len(out) < 25 and not list(_common.gathered(iter([]), "t"))
+
+
 def test_warc_odd_pages(spark):
     rows = [(1, "http://a/", "<p>x</p>", 7), (5, "http://b/ü \n", "<p>x</p>", 7), (5, "http://b/ü \n", "<p>x</p>", 7), (None, None, None, 0), (3, "", "", 1), (8, "u", "<p>" + "lang " * 50_000, 2), (None, "v", "<p>x</p>", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, offset int")

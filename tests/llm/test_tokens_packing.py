@@ -29,6 +29,66 @@ def test_ids_of_odd_texts(encoder):
         assert ids.tolist() == (encoder.whole(text).tolist() if text else [])
 
 
+def test_marks_of_special_tokens_keep_their_case(encoder):
+    texts = ["<|ENDOFTEXT|>", "x<|EndOfText|>y", "a <|endoftext|> b"]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert ids.tolist() == encoder.whole(text).tolist()
+
+
+def test_all_signs_and_white_space(encoder):
+    texts = [f"A {c}a{c}B's" for c in map(chr, [*range(0x251), *range(0x2000, 0x2070), 0x1680, 0x3000, 0xFEFF])]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert ids.tolist() == encoder.whole(text).tolist()
+
+
+class Spy:
+    """Counts what the library is asked to encode."""
+
+    def __init__(self, inner):
+        self.inner, self.asked = inner, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.asked += [p for t in texts for p in t.split()]
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+def test_a_full_cache_keeps_the_words_of_most_batches(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 300)
+    e = tokens.Encoder(tokens.vocabulary_path())
+    e.plain = spy = Spy(e.plain)
+    common, letters = [f"{a}{b}on" for a in "abcde" for b in "fghij"], "klmnopqrst"
+    for k in range(20):
+        rare = [f"zq{letters[k // 10]}{letters[k % 10]}{a}{b}" for a in letters[:4] for b in letters]
+        text = " ".join([*common, *(f"{w}," for w in rare)])
+        assert e.encode([text])[0].tolist() == e.whole(text).tolist()
+        assert len(e.known) <= 300 + 2 * len(rare) + len(common) + 2
+    assert sum(p in set(common) for p in spy.asked) == len(common)
+
+
+def test_long_words_do_not_fill_the_worker(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_CHARS", 1000)
+    e = tokens.Encoder(tokens.vocabulary_path())
+    for k in range(8):
+        texts = ["ab" * 400 + c * k for c in "xyz"]
+        assert [x.tolist() for x in e.encode(texts)] == [e.whole(t).tolist() for t in texts]
+        assert e.chars <= 1000 + 3 * 900
+
+
+def test_a_batch_looks_each_different_word_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *of):
+            Counted.asked += 1
+            return super().get(*of)
+
+    e = tokens.Encoder(tokens.vocabulary_path())
+    e.known = Counted(e.known)
+    text = "some words, some WORDS " * 2000
+    assert e.encode([text, None, text])[2].tolist() == e.whole(text).tolist()
+    assert Counted.asked <= 5
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=60))
 def test_plan_places_every_piece_once(lengths):
