@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import enrich as E
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, settings
 from ..sources import csv as CSV
 from ..sources.mart import sales_mart
 
@@ -60,25 +60,39 @@ SHORT, LONG, OPEN_QUOTE, AFTER_BLANK, TOO_WIDE = 7, 11, 13, 17, 19
 
 
 def written_exports(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    """Both exports as CSV files in the shared folder, each file with its header; returns the paths to read."""
+    """Both exports as CSV files in the shared folder, each file with its header; returns the folders to read.
+
+    The mart is joined once for both, and the task that joins a row writes it, into a file for each export: the text
+    is as wide as the mart's rows, so it is neither shuffled nor sorted.  A task's first row brings both headers along."""
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/marginmart-text-{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    paths = []
-    for name, df in zip(("this", "last"), text_exports(spark, sf_dir)):
-        case = F.col("InvoiceID").cast("bigint") % 50
-        df = df.withColumn("SaleTotal", F.when(case == TOO_WIDE, "1e30").otherwise(F.col("SaleTotal")))
-        last = ["IsDelivered", "IsCancelled"]
-        cols = [c for c in df.columns if c not in last]
-        csv = lambda names: F.to_csv(F.struct(*[F.col(f"`{c}`") for c in names]), {"escape": '"'})  # noqa: E731, B023
-        line = (F.when(case == SHORT, csv(cols)).when(case == LONG, F.concat(csv([*cols, *last]), F.lit(",more")))
-                 .when(case == OPEN_QUOTE, F.concat(csv(cols), F.lit(',"open')))
-                 .when(case == AFTER_BLANK, F.concat(F.lit("\n"), csv([*cols, *last]))).otherwise(csv([*cols, *last])))
-        lines = df.select(line.alias("value")).select(F.pmod(F.xxhash64("value"), F.lit(n)).alias("file"), F.lit(1).alias("place"), "value")
-        heads = spark.range(n).select(F.col("id").alias("file"), F.lit(0).alias("place"), F.lit(",".join([*cols, *last])).alias("value"))
-        files = lines.unionByName(heads).repartition(n, "file").sortWithinPartitions("file", "place")
-        files.select("file", "value").write.partitionBy("file").text(f"{base}/{name}")
-        paths.append(f"{base}/{name}/*")
-    return paths[0], paths[1]
+    last = ["IsDelivered", "IsCancelled"]
+    case = F.col("InvoiceID").cast("bigint") % 50
+    sale = F.when(case == TOO_WIDE, "1e30").otherwise(F.col("SaleTotal"))
+    csv = lambda names, own: F.to_csv(F.struct(*[sale.alias(c) if c == "SaleTotal" else F.col(own.get(c, c)).alias(c) for c in names]), {"escape": '"'})
+    # Columns that each export writes in a way of its own, made for its rows alone.
+    varied = {**_THIS, **_LAST}
+    texts, lines, heads = {c: F.expr(x) for c, x in _TEXT.items() if c not in varied}, {}, []
+    for name, label, more in (("this", E.THIS_YEAR, _THIS), ("last", E.LAST_YEAR, _LAST)):
+        exprs = {**_TEXT, **more}
+        own = {c: f"_{name}_{c}" for c in exprs if c in varied}
+        texts |= {own[c]: F.when(F.col("YearLabel") == label, F.expr(exprs[c])) for c in own}
+        cols = [c for c in exprs if c not in last]
+        lines[name] = (F.when(case == SHORT, csv(cols, own)).when(case == LONG, F.concat(csv([*cols, *last], own), F.lit(",more")))
+                       .when(case == OPEN_QUOTE, F.concat(csv(cols, own), F.lit(',"open')))
+                       .when(case == AFTER_BLANK, F.concat(F.lit("\n"), csv([*cols, *last], own))).otherwise(csv([*cols, *last], own)))
+        heads.append(F.struct(F.lit(name).alias("export"), F.lit(",".join([*cols, *last])).alias("value")))
+    is_this = F.col("YearLabel") == E.THIS_YEAR
+    rows = sales_mart(spark, sf_dir).select("YearLabel", *[x.alias(c) for c, x in texts.items()])
+    line = F.struct(F.when(is_this, "this").otherwise("last").alias("export"), F.when(is_this, lines["this"]).otherwise(lines["last"]).alias("value"))
+    # The rows of a task are numbered from 0 in the lower 33 bits.
+    rows = rows.select(line.alias("line"), (F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0).alias("first"))
+    rows = rows.select(F.inline(F.when(F.col("first"), F.array(*heads, F.col("line"))).otherwise(F.array(F.col("line")))))
+    # An export without rows has a file too.
+    files = rows.unionByName(spark.range(1, numPartitions=1).select(F.inline(F.array(*heads))))
+    # With a writer open for each export, Spark sorts no task's rows by export, and headers stay in front.
+    with settings(spark, {"spark.sql.maxConcurrentOutputFileWriters": "2"}):
+        files.write.partitionBy("export").text(base)
+    return f"{base}/export=this", f"{base}/export=last"
 
 
 def csv_load(spark: SparkSession, sf_dir: str) -> DataFrame:
