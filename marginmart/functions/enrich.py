@@ -84,15 +84,29 @@ def type_id(c: str | Column) -> Column:
     return F.expr(f"try_cast(try_cast(trim({_sql(c)}) as double) as int)")
 
 
-# Written-out styles that name the month or put the year first, and the two orders of day and month.
+# Written-out styles that name the month or put the year first, and dates of two numbers and a year, month first.
 PLAIN_FORMATS = ("yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "yyyyMMdd", "MMM d, yyyy h:mm a", "MMM d, yyyy", "d MMM yyyy", "MMMM d, yyyy")
 _CLOCKS = (" H:mm:ss", " H:mm", " h:mm:ss a", " h:mm a", "")
 MONTH_FIRST = tuple(f"M/d/{y}{t}" for y in ("yyyy", "yy") for t in _CLOCKS)
-DAY_FIRST = tuple(f"d/M/{y}{t}" for y in ("yyyy", "yy") for t in _CLOCKS)
 
 
-def _first_parsed(text: str, formats: tuple[str, ...]) -> str:
-    return "coalesce(" + ", ".join(f"cast(try_to_timestamp({text}, '{fmt}') as timestamp_ntz)" for fmt in formats) + ")"
+def _first_parsed(text: str, shape: str, formats: tuple[str, ...]) -> str:
+    """The first of the formats that reads the text.
+
+    Only formats of the text's own shape are tried, as a try that fails costs far more than to tell the shape: colons
+    and slashes are read by colons and slashes alone, letters by months and day halves alone, so a text can be of no
+    other format, and formats of different shapes never read the same text."""
+    tries: dict[int, list[str]] = {}
+    for fmt in formats:
+        kind = 6 * ("/" in fmt) + 2 * fmt.count(":") + ("a" in fmt or "MMM" in fmt)
+        tries.setdefault(kind, []).append(f"try_to_timestamp({text}, '{fmt}')")
+    return f"cast(case {shape} " + " ".join(f"when {kind} then coalesce({', '.join(x)})" for kind, x in tries.items()) + " end as timestamp_ntz)"
+
+
+def _shape(text: str) -> str:
+    """Any slashes, the colons (none, one, more) and any letters of a text as one number (:func:`_first_parsed`)."""
+    colons = f"case when locate(':', {text}) = 0 then 0 when locate(':', {text}, locate(':', {text}) + 1) = 0 then 1 else 2 end"
+    return f"cast(contains({text}, '/') as int) * 6 + {colons} * 2 + cast({text} rlike '[A-Za-z]' as int)"
 
 
 def _slashed(c: str) -> str:
@@ -100,14 +114,35 @@ def _slashed(c: str) -> str:
     return f"regexp_replace(trim({_sql(c)}), '^([0-9]{{1,2}})[.-]([0-9]{{1,2}})[.-]([0-9])', '$1/$2/$3')"
 
 
-def timestamp(c: str | Column, day_first: Column | None = None) -> Column:
+def _swapped(text: str) -> str:
+    """The first two of the numbers apart by slashes change places, so that a date read day first is one read month first."""
+    return f"regexp_replace({text}, '^([0-9]+)/([0-9]+)/', '$2/$1/')"
+
+
+def date_parts(df: DataFrame, columns: dict[str, Column | None]) -> DataFrame:
+    """What :func:`timestamp` reads of each text column with its order of day and month, made once a row: the text and its
+    shape, and the text with its numbers month first (under names of their own; see :func:`without_date_parts`)."""
+    df = df.withColumns({f"_text_{c}": F.expr(_slashed(c)) for c in columns})
+    swapped = lambda c, first: F.col(f"_text_{c}") if first is None else F.when(first, F.expr(_swapped(f"`_text_{c}`"))).otherwise(F.col(f"_text_{c}"))
+    return df.withColumns({f"_shape_{c}": F.expr(_shape(f"`_text_{c}`")) for c in columns} | {f"_numbers_{c}": swapped(c, first) for c, first in columns.items()})
+
+
+def without_date_parts(df: DataFrame, columns: dict[str, Column | None]) -> DataFrame:
+    return df.drop(*[f"_{part}_{c}" for part in ("text", "shape", "numbers") for c in columns])
+
+
+def timestamp(c: str | Column, day_first: Column | None = None, parts: bool = False) -> Column:
     """Text to naive timestamp; bad text gives null.
 
     Dates of two numbers and a year are read in the order that ``day_first`` names, and are null if
-    they are none in that order; without it, month first, then day first."""
-    text = _slashed(c)
-    plain = F.coalesce(F.expr(f"try_cast(nullif(trim({_sql(c)}), '') as timestamp_ntz)"), F.expr(_first_parsed(text, PLAIN_FORMATS)))
-    month, day = F.expr(_first_parsed(text, MONTH_FIRST)), F.expr(_first_parsed(text, DAY_FIRST))
+    they are none in that order; without it, month first, then day first.  With ``parts`` the row has
+    what :func:`date_parts` makes."""
+    text = f"`_text_{c}`" if parts else _slashed(c)
+    shape = f"`_shape_{c}`" if parts else _shape(text)
+    plain = F.coalesce(F.expr(f"try_cast(nullif(trim({_sql(c)}), '') as timestamp_ntz)"), F.expr(_first_parsed(text, shape, PLAIN_FORMATS)))
+    if parts and day_first is not None:
+        return F.coalesce(plain, F.expr(_first_parsed(f"`_numbers_{c}`", shape, MONTH_FIRST)))
+    month, day = (F.expr(_first_parsed(x, shape, MONTH_FIRST)) for x in (text, _swapped(text)))
     if day_first is None:
         return F.coalesce(plain, month, day)
     return F.coalesce(plain, F.when(day_first, day).otherwise(month))
@@ -117,9 +152,10 @@ def prefers_day_first(c: str) -> Column:
     """The file's vote as an aggregate: more of its dates of two numbers and a year are dates when read day first.
 
     Only a number above 12 decides; a tie (no such number, or as many on either side) is month first."""
-    text = _slashed(c)
-    numbers = [F.regexp_extract(F.expr(text), "^([0-9]{1,2})/([0-9]{1,2})/[0-9]{2}", i).try_cast("int") for i in (1, 2)]
-    return F.count_if((numbers[0] > 12) & (numbers[1] <= 12)) > F.count_if((numbers[1] > 12) & (numbers[0] <= 12))
+    high, low = "1[3-9]|[2-9][0-9]", "[0-9]|0[0-9]|1[0-2]"
+    # Slashes, or dots and hyphens (see _slashed).
+    votes = lambda a, b: F.count_if(F.trim(F.col(f"`{c}`")).rlike(f"^({a})(/({b})/|[.-]({b})[.-])[0-9]{{2}}"))
+    return votes(high, low) > votes(low, high)
 
 
 def flag(c: str | Column) -> Column:

@@ -156,13 +156,15 @@ def coerce(df: DataFrame) -> DataFrame:
     for c in RAW_COLUMNS:
         if c not in df.columns and c not in FLAG_COLUMNS:
             df = df.withColumn(c, F.lit(None).cast("string"))
+    dates = {c: F.col(f"_day_first_{c}") if f"_day_first_{c}" in df.columns else None for c in DATE_COLUMNS} | {"EventTime": None}
+    df = E.date_parts(df, dates)
     typed = {
         "SaleTotal": E.money("SaleTotal"),
         "TicketCost": E.money("TicketCost"),
         "Quantity": E.int_trunc("Quantity"),
         "RequestedPerformerTypeId": E.type_id("RequestedPerformerTypeId"),
-        **{f"{c}_dt": E.timestamp(c, F.col(f"_day_first_{c}") if f"_day_first_{c}" in df.columns else None) for c in DATE_COLUMNS},
-        "EventHour": F.hour(E.timestamp("EventTime")),
+        **{f"{c}_dt": E.timestamp(c, dates[c], parts=True) for c in DATE_COLUMNS},
+        "EventHour": F.hour(E.timestamp("EventTime", parts=True)),
     }
     for c in FLAG_COLUMNS:
         if c in df.columns:
@@ -171,7 +173,7 @@ def coerce(df: DataFrame) -> DataFrame:
     for c in ("CompanyName", "PrimaryPerformerName", "SecondaryPerformerName", "VenueName",
               "ShippingCompany", "DeliveryType", "EventName", "InvoiceID"):
         typed[c] = F.when(F.trim(F.col(c)) != "", F.col(c))
-    return df.withColumns(typed).drop(*[f"_day_first_{c}" for c in DATE_COLUMNS])
+    return E.without_date_parts(df.withColumns(typed), dates).drop(*[f"_day_first_{c}" for c in DATE_COLUMNS])
 
 
 def lookup_dims(df: DataFrame, spark: SparkSession | None = None, droppable: bool = False) -> DataFrame:
@@ -201,9 +203,8 @@ def lookup_dims(df: DataFrame, spark: SparkSession | None = None, droppable: boo
 def load_combined(spark: SparkSession, this_path: str, last_path: str, check: bool = True,
                   multi_line: bool = False) -> DataFrame:
     """Both exports, unioned, coerced, looked up and enriched (one lazy plan)."""
-    this_df = load_one(spark, this_path, E.THIS_YEAR, multi_line)
-    last_df = load_one(spark, last_path, E.LAST_YEAR, multi_line)
-    if check:
-        check_inputs(this_df, last_df)
-    combined = harmonize(this_df, last_df)
+    raw = [read_raw(spark, path, multi_line) for path in (this_path, last_path)]
+    if check:       # before the stamp, which would count the votes of a whole file for the probe
+        check_inputs(*raw)
+    combined = harmonize(*[stamp(rows, label) for rows, label in zip(raw, (E.THIS_YEAR, E.LAST_YEAR))])
     return E.enrich(lookup_dims(coerce(combined), spark))
